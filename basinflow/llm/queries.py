@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basinflow.llm import bpe
-from basinflow.llm.common import table
+from basinflow.llm import bpe, secrets, sstable
+from basinflow.llm.common import new_folder, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,5 +26,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, split_pattern()), path))
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe}
+def op2_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = sstable.write(table(spark, sf_dir, "documents"), new_folder(spark, "ids"), tokenizer_file("byte_bpe_50k.json"), split_pattern())
+    return sstable.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op2_sorted_tables": op2_sorted_tables, "op5_byte_bpe": op5_byte_bpe, "op7_secrets": op7_secrets}
 SQL: dict[str, str] = {}
