@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import bpe, secrets, sstable
+from basinflow.llm import bpe, secrets, simhash, sstable
 from basinflow.llm.common import new_folder, table
 
 
@@ -31,9 +31,13 @@ def op2_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_sorted_tables": op2_sorted_tables, "op5_byte_bpe": op5_byte_bpe, "op7_secrets": op7_secrets}
+QUERIES = {"op2_sorted_tables": op2_sorted_tables, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets}
 SQL: dict[str, str] = {}
