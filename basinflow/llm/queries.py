@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import bpe, secrets, simhash, sstable
+from basinflow.llm import bpe, html, secrets, simhash, sstable
 from basinflow.llm.common import new_folder, table
 
 
@@ -26,6 +26,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, split_pattern()), path))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = sstable.write(table(spark, sf_dir, "documents"), new_folder(spark, "ids"), tokenizer_file("byte_bpe_50k.json"), split_pattern())
     return sstable.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -39,5 +43,5 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_sorted_tables": op2_sorted_tables, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets}
+QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets}
 SQL: dict[str, str] = {}
