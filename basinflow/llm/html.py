@@ -167,6 +167,15 @@ LABELLED = (
     '<body><div id="sidebar"><h3>Popular</h3><p>The ten best walks along the lake, chosen by our readers and tested by us on two weekends.</p></div><article><p>[[One.]]</p><p>[[Two words.]]</p><blockquote>[[It is late, she said, and the lamp is low.]]</blockquote><pre>[[x = 1]]</pre></article><div class="newsletter"><p>Get our letter every Sunday morning and read it with your first cup of coffee.</p></div></body>',
     '<body><div><p>[[The recipe is an old one, and my grandmother wrote it down on the back of a letter that she had received from her sister in the south.]]</p><p>[[Stir the flour into the warm milk, add the eggs one after another, and leave the bowl alone for an hour before you begin to bake.]]</p><h2>[[Baking]]</h2><p>[[Bake it for forty minutes, then let it cool down on the table, and do not cut it before it has become quite cold inside.]]</p></div><div>Login</div><div><a href="/p">Privacy</a></div></body>',
     '<body><div class="header"><p>Example Journal, the paper for the whole valley and for all who have moved away from it</p></div><article><h1>[[Rules]]</h1><table><tr><td>[[Players]]</td><td>[[two to four]]</td></tr></table><p>[[<a href="/r">Read all the rules here</a>]]</p></article><div class="related"><a href="/q">Chess for beginners and their parents</a></div></body>',
+    '<body><article><p>[[Only this.]]</p></article></body>',
+    '<body><article><h1>[[Alone]]</h1><p>[[There is nothing else on this page, neither a menu above nor a line of links below, and it ends with this sentence.]]</p></article></body>',
+    '<body><article><p>[[<a href="/whole">The whole paragraph is one link to the paper</a>]]</p><p>[[<a href="/2">Second link</a>]]</p><p>[[End]]</p></article><a href="/next">Next page of the list</a></body>',
+    '<body><main><p>[[Yes.]]</p><p>[[<a href="/k">Key</a>]]</p></main><p><a href="/t">Terms and conditions of use</a> <a href="/i">Imprint</a></p></body>',
+    '<body><p><a href="/h">Home</a> | <a href="/w">What we do</a></p><p>[[The mill has stood at the brook for three hundred years, and it still grinds the flour for the bakers of the two villages on market days.]]</p><p>[[Visitors may look at the wheel from the path, but they must keep their dogs away from the ducks.]]</p></body>',
+    '<body><p>[[A letter with no frame around it, as people wrote them when the web was young and every page was made by hand in the evening.]]</p><p>[[Write to me if you have read it to the end and want to know what happened to the boat.]]</p></body>',
+    '<body><div><a href="/1">Page one</a></div><div>Menu</div><div><a href="/2">Page two</a> <a href="/3">Page three</a></div></body>',
+    '<body><nav>Open the menu to see all the pages of this site in the order in which they were written</nav><section>[[The snow came early, and it stayed until the end of March, so that the road over the pass was closed for nearly five months that winter.]]</section><section class="comments"><p>Nice.</p></section></body>',
+    '<body><article><p>[[First part of the story, which was told to me by a man on the ferry.]]</p><div class="advert"><p>Drink more water, sold in bottles made of glass.</p></div><p>[[Second.]]</p></article><div class="share-buttons">Send it on</div></body>',
 )
 
 
