@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import bpe, html, secrets, simhash, sstable
+from basinflow.llm import bpe, egojoin, html, kdtree, quality, secrets, simhash, sstable
 from basinflow.llm.common import new_folder, table
 
 
@@ -21,6 +21,16 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
+def op4_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kdtree.assign(table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, split_pattern()), path))
@@ -43,5 +53,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets}
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op3_weak_labels": op3_weak_labels, "op4_kdtree": op4_kdtree, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_embeddings": op8_embeddings}
 SQL: dict[str, str] = {}
