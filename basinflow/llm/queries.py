@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import bpe, egojoin, html, kdtree, quality, secrets, simhash, sstable, tiling
+from basinflow.llm import bpe, egojoin, html, kdtree, paragraphs, quality, secrets, simhash, sstable, tiling
 from basinflow.llm.common import new_folder, table
 
 
@@ -61,5 +61,9 @@ def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op3_weak_labels": op3_weak_labels, "op4_kdtree": op4_kdtree, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_embeddings": op8_embeddings, "op9_tiling": op9_tiling}
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op3_weak_labels": op3_weak_labels, "op4_kdtree": op4_kdtree, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_embeddings": op8_embeddings, "op9_tiling": op9_tiling, "op10_paragraphs": op10_paragraphs}
 SQL: dict[str, str] = {}
