@@ -1,8 +1,65 @@
-"""Corpus preparation: five stages over documents, each a library operator whose decisions take effect."""
+"""Corpus preparation: five stages over documents, each a library operator whose decisions take effect.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows it is given. The first four return the
+columns of documents; the last returns doc_id and ids, the tokens of every remaining text. null ids and
+texts pass as the operators' docstrings say; repeated rows of one identifier count as copies of each
+other, so one of them stays.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basinflow.llm import bpe, quality, secrets, simhash, tiling
+from basinflow.llm.common import new_folder, table
+from basinflow.llm.queries import split_pattern, tokenizer_file
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier keeps."""
+    return quality.filter_good(docs, quality.fit(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates (shingles of five words): the one with
+    the smallest identifier. Rows without an identifier stay if their group has none."""
+    parts = simhash.near_duplicates(docs, shingle=5)
+    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not cover an item of the benchmark."""
+    return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced by the kind of secret."""
+    return secrets.mask(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and ids of every document."""
+    return bpe.encode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern())
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", no_benchmark), ("secrets", no_secrets), ("tokens", tokens)]
+
+#: Expectation maximisation, hashing and merges cannot be written in SQL; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
-QUERIES: dict = {}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
 SQL: dict[str, str] = {}
