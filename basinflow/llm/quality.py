@@ -25,6 +25,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,8 +228,6 @@ def scores(texts: list[str | None], weights: np.ndarray | None, intercept: float
 
 def filter_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the scorer keeps."""
-    import pandas as pd
-
     small_batches(docs.sparkSession)
     weights, intercept = model["weights"], model.get("intercept", 0.0)
 

@@ -17,6 +17,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,8 +120,6 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every secret in the text replaced by <kind>; overlapping spans become one, under
     the kind of the first. All rows and columns stay; a null text stays null."""
     small_batches(docs.sparkSession)
-    import pandas as pd
-
     def clean(text):
         if text is None:
             return None

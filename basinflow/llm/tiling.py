@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,16 +180,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that cover no item of the benchmark enough."""
-    import pandas as pd
-
     spark = docs.sparkSession
     small_batches(spark)
-    for block in blocks(benchmark, item_col, item_text_col):
-        table = spark.sparkContext.broadcast(Seeds(block))
 
+    def free_of(table):
         @F.pandas_udf("boolean")
-        def free(texts: pd.Series, table=table) -> pd.Series:
+        def free(texts: pd.Series) -> pd.Series:
             return pd.Series([next(covered(t, table.value, coverage), None) is None for t in texts], dtype=bool)
 
-        docs = docs.where(free(F.col(text_col).cast("string")))
+        return free
+
+    for block in blocks(benchmark, item_col, item_text_col):
+        docs = docs.where(free_of(spark.sparkContext.broadcast(Seeds(block)))(F.col(text_col).cast("string")))
     return docs
