@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from basinflow.plans import grids
+
+QUERIES: dict = {**grids.QUERIES}
+SQL: dict[str, str] = {**grids.SQL}
