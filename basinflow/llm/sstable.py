@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import pre_tokens, split_patterns, text_slices
+from basinflow.llm.bpe import is_usual, pre_tokens, text_slices
 from basinflow.llm.common import small_batches
 
 MAGIC, RESTART, BLOCK, FILE = b"SSTids01", 16, 64 << 10, 16 << 20
@@ -201,8 +201,7 @@ class Encoder:
         self.dtype = f"<u{self.width}"
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        _, fast, odd = split_patterns(self.pattern)
-        usual = [fast is not None and not odd.search(t or "") for t in texts]
+        usual = [is_usual(t or "", self.pattern) for t in texts]
         split = [pre_tokens(t or "", self.pattern) if u else None for t, u in zip(texts, usual)]
         if len(self.cache) > CACHE:
             self.cache.clear()
