@@ -199,7 +199,7 @@ def pools(tree: DataFrame, components: DataFrame, states: DataFrame, kt: float =
     low = ground(states)
     own = tree.join(low, ID).select(ID, "lmin", "father", "e_saddle", F.lit(1).cast("long").alias("own"), weight(F.col("energy"), F.col("mfe"), kt).alias("own_z"))
     base = components.where("size > 0").join(low, ID).groupBy(ID, F.col("basins")[0]["lmin"].alias("lmin"), "energy").agg(F.sum("size").alias("size"), F.sum(F.col("size") * weight(F.col("energy"), F.col("mfe"), kt)).alias("w"))
-    return own.groupBy(ID).cogroup(base.groupBy(ID)).applyInPandas(valleys, f"{ID} string, lmin long, pool long, z double")
+    return own.groupBy(ID).cogroup(base.withColumnRenamed(ID, "_id").groupBy("_id")).applyInPandas(valleys, f"{ID} string, lmin long, pool long, z double")
 
 
 def true_minima(tree: DataFrame, minh: float = 1e-6, most: int = 0, connected: bool = False, epsilon: float = 1.1920928955078125e-07) -> DataFrame:
