@@ -70,22 +70,25 @@ def mutants(structure: str, protein: str, most_mutations: int, least_score: int,
     """A move set: all other bases of unpaired places and all other base pairs, if they fit."""
     table = partners(structure)
 
+    def bases(s: Column, i: int) -> Column:
+        here = F.substring(s, i + 1, 1)
+        return F.transform(F.filter(F.array(*map(F.lit, "ACGU")), lambda b: b != here), lambda b: put(s, F.lit(i + 1), b))
+
+    def pairs(s: Column, i: int, j: int, kinds: tuple[str, ...]) -> Column:
+        here = F.concat(F.substring(s, i + 1, 1), F.substring(s, j + 1, 1))
+        return F.transform(F.filter(F.array(*map(F.lit, kinds)), lambda p: p != here), lambda p: put(put(s, F.lit(i + 1), F.substring(p, 1, 1)), F.lit(j + 1), F.substring(p, 2, 1)))
+
     def of(s: Column) -> Column:
-        found = []
-        for i, c in enumerate(structure):
-            here = F.substring(s, i + 1, 1)
-            if c == ".":
-                found.append(F.transform(F.filter(F.array(*map(F.lit, "ACGU")), lambda b, h=here: b != h), lambda b, i=i: put(s, F.lit(i + 1), b)))
-            elif c in "(G":
-                j = table[i]
-                now = F.concat(here, F.substring(s, j + 1, 1))
-                kinds = F.array(*map(F.lit, WATSON_CRICK if c == "(" else WOBBLE))
-                found.append(F.transform(F.filter(kinds, lambda p, n=now: p != n), lambda p, i=i, j=j: put(put(s, F.lit(i + 1), F.substring(p, 1, 1)), F.lit(j + 1), F.substring(p, 2, 1))))
+        found = [bases(s, i) if c == "." else pairs(s, i, table[i], WATSON_CRICK if c == "(" else WOBBLE) for i, c in enumerate(structure) if c in ".(G"]
         return F.filter(F.concat(*found), lambda x: fitting(x, protein, most_mutations, least_score, scores)) if found else F.array().cast("array<string>")
 
     return of
 
 
+def pairing(letters: Column, first: Column, kinds: tuple[str, ...]) -> Column:
+    return F.filter(letters, lambda b: F.concat(first, b).isin(*kinds))
+
+
 def sequences(spark: SparkSession, constraint: str, structure: str) -> DataFrame:
     """All sequences under an IUPAC constraint and a structure: one column, sequence. Places are
     added one after another by exploding the letters they allow, so the rows grow in Spark."""
@@ -98,7 +101,7 @@ def sequences(spark: SparkSession, constraint: str, structure: str) -> DataFrame
         if table[i] >= 0 and table[i] < i:
             first = F.substring("sequence", table[i] + 1, 1)
             kinds = WATSON_CRICK if c == ")" else WOBBLE
-            allowed = F.filter(allowed, lambda b, f=first, k=kinds: F.concat(f, b).isin(*k))
+            allowed = pairing(allowed, first, kinds)
         out = out.select(F.explode(allowed).alias("_b"), "sequence").select(F.concat("sequence", "_b").alias("sequence"))
         if i % 8 == 7:
             out = out.repartition("sequence")

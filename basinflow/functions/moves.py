@@ -43,7 +43,8 @@ def point(alphabet: str) -> MoveSet:
 
 def exchange(s: Column) -> Column:
     """All swaps of a + with a - (their numbers stay)."""
-    plus, minus = (F.filter(places(s), lambda i, c=c: at(s, i) == c) for c in "+-")
+    of = lambda c: F.filter(places(s), lambda i: at(s, i) == c)
+    plus, minus = of("+"), of("-")
     return F.flatten(F.transform(plus, lambda i: F.transform(minus, lambda j: put(put(s, i, F.lit("-")), j, F.lit("+")))))
 
 

@@ -44,10 +44,13 @@ class Grid:
     def basins(self):
         return L.gradient_basins(self.stepped)
 
-    def components(self, basins=None):
-        return L.component_basins(self.states, self.edges, self.stepped, basins if basins is not None else self.basins, L.plateau_components(self.states, self.edges))
+    def components(self):
+        from basinflow.operators.graph import cut
+
+        return cut(L.component_basins(self.states, self.edges, self.stepped, self.basins, L.plateau_components(self.states, self.edges)))
 
     def tree(self, components=None):
+        """Father and saddle of all minima; components: those of components(), if at hand."""
         return L.forest(self.minima, L.merge_tree(components if components is not None else self.components()), self.states)
 
     @property

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from basinflow.plans import grids
+from basinflow.plans import grids, strings
+from basinflow.streaming import flood
 
-QUERIES: dict = {**grids.QUERIES}
-SQL: dict[str, str] = {**grids.SQL}
+QUERIES: dict = {**grids.QUERIES, **strings.QUERIES, **flood.QUERIES}
+SQL: dict[str, str] = {**grids.SQL, **strings.SQL, **flood.SQL}
