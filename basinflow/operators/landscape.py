@@ -174,32 +174,39 @@ def component_roots(tree: DataFrame) -> DataFrame:
     return chase(tree.select(ID, F.col("lmin").alias("node"), F.when(F.col("father") > 0, F.col("father")).alias("parent")), [ID]).select(ID, F.col("node").alias("lmin"), F.col("top").alias("root"))
 
 
-def valleys(tree: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-    """One landscape: a component's states go to the ancestor of its first basin that is still a root
-    above the component's energy; a merged valley's sums go to its father as well."""
-    father = dict(zip(tree["lmin"], tree["father"]))
-    saddle = dict(zip(tree["lmin"], tree["e_saddle"]))
-    pool, z = dict(zip(tree["lmin"], tree["own"])), dict(zip(tree["lmin"], tree["own_z"]))
-    for i, energy, size, w in zip(sums["lmin"], sums["energy"], sums["size"], sums["w"]):
-        while father[i] and saddle[i] <= energy:
+def valleys(minima: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    """One landscape: states and partition sums of all valleys, in the order of replay(). A component's
+    states count for the smallest root that it touches when its turn comes."""
+    father: dict[int, int] = {}
+    pool, z = dict(zip(minima["lmin"], minima["own"])), dict(zip(minima["lmin"], minima["own_z"]))
+
+    def root(i):
+        while i in father:
             i = father[i]
-        pool[i] += size
-        z[i] += w
-    for i in sorted(pool, key=lambda i: (saddle[i], -i)):
-        if father[i]:
-            pool[father[i]] += pool[i]
-            z[father[i]] += z[i]
-    return pd.DataFrame({ID: tree[ID].iloc[:1].repeat(len(pool)).to_numpy(), "lmin": list(pool), "pool": list(pool.values()), "z": [z[i] for i in pool]})
+        return i
+
+    for _, band in sums.groupby("energy", sort=True):
+        todo = sorted((sorted({root(i) for i in ids}), tuple(ids), size, w) for ids, size, w in zip(band["ids"], band["size"], band["w"]))
+        for _, ids, size, w in todo:
+            first, *rest = sorted({root(i) for i in ids})
+            for r in rest:
+                father[r] = first
+                pool[first] += pool[r]
+                z[first] += z[r]
+            pool[first] += size
+            z[first] += w
+    return pd.DataFrame({ID: minima[ID].iloc[:1].repeat(len(pool)).to_numpy(), "lmin": list(pool), "pool": list(pool.values()), "z": [z[i] for i in pool]})
 
 
 def pools(tree: DataFrame, components: DataFrame, states: DataFrame, kt: float = 1.0) -> DataFrame:
     """Per minimum: pool (states that its valley holds when it is merged, or at the end) and z (their
-    partition sum). Components are first added up per first basin and energy, so a task sees a
+    partition sum). Components are first added up per energy and set of basins, so a task sees a
     landscape's minima and that histogram, not its states."""
     low = ground(states)
-    own = tree.join(low, ID).select(ID, "lmin", "father", "e_saddle", F.lit(1).cast("long").alias("own"), weight(F.col("energy"), F.col("mfe"), kt).alias("own_z"))
-    base = components.where("size > 0").join(low, ID).groupBy(ID, F.col("basins")[0]["lmin"].alias("lmin"), "energy").agg(F.sum("size").alias("size"), F.sum(F.col("size") * weight(F.col("energy"), F.col("mfe"), kt)).alias("w"))
-    return own.groupBy(ID).cogroup(base.withColumnRenamed(ID, "_id").groupBy("_id")).applyInPandas(valleys, f"{ID} string, lmin long, pool long, z double")
+    own = tree.join(low, ID).select(ID, "lmin", F.lit(1).cast("long").alias("own"), weight(F.col("energy"), F.col("mfe"), kt).alias("own_z"))
+    ids = F.transform("basins", lambda b: b["lmin"]).alias("ids")
+    base = components.join(low, ID).select(F.col(ID).alias("_id"), "energy", ids, "size", (F.col("size") * weight(F.col("energy"), F.col("mfe"), kt)).alias("w")).groupBy("_id", "energy", "ids").agg(F.sum("size").alias("size"), F.sum("w").alias("w"))
+    return own.groupBy(ID).cogroup(base.groupBy("_id")).applyInPandas(valleys, f"{ID} string, lmin long, pool long, z double")
 
 
 def true_minima(tree: DataFrame, minh: float = 1e-6, most: int = 0, connected: bool = False, epsilon: float = 1.1920928955078125e-07) -> DataFrame:
