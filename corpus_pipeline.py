@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import bpe, quality, secrets, simhash, tiling
-from basinflow.llm.common import new_folder, table
+from basinflow.llm import bpe, paragraphs, quality, secrets, simhash, tiling
+from basinflow.llm.common import connected_components, new_folder, table
 from basinflow.llm.queries import split_pattern, tokenizer_file
 
 
@@ -22,11 +22,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates (shingles of five words): the one with
-    the smallest identifier. Rows without an identifier stay if their group has none."""
+    """One document of each group of near-duplicates: the one with the smallest identifier.
+
+    Groups are the SimHash components over shingles of five words. Fingerprints within 3 bits stand for
+    texts that are nearly equal; texts of a Jaccard similarity of 0.8 lie about 10 bits apart, where
+    fingerprints of 64 bits cannot be searched. So that such copies go too, whole documents are also
+    compared as one paragraph each by the banding operator, and both kinds of links are followed.
+    Rows without an identifier stay."""
     parts = simhash.near_duplicates(docs, shingle=5)
-    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    whole = docs.select("doc_id", F.translate("text", "\n", " ").alias("text"))
+    similar = paragraphs.repeated(whole, least=0.8, min_words=1)
+    links = parts.select("doc_id", "component_id").unionByName(similar.select("doc_id", "component_id"))
+    groups = connected_components(links.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")).where("src is not null and dst is not null"))
+    lost = groups.where("node <> component").select(F.col("node").alias("doc_id"))
+    numbered = docs.where("doc_id is not null").join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return numbered.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

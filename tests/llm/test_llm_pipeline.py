@@ -17,7 +17,9 @@ def test_stages(spark, tmp_path):
     item = prose(random.Random(77), 40)
     leaks = [(700, prose(rng, 60) + " " + item), (701, item)]
     secret = [(800, "Notes of today. password = hunter2222 " + prose(rng, 40))]
-    docs = table(spark, clean + copies + junk + leaks + secret + [(900, None), (901, "")])
+    words = clean[1][1].split()
+    near = [(550 + i, " ".join(words[:k] + ["changed"] + words[k + 1 :])) for i, k in enumerate((3, 40, 77))]
+    docs = table(spark, clean + copies + near + junk + leaks + secret + [(900, None), (901, "")])
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     columns, ids = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
@@ -28,7 +30,7 @@ def test_stages(spark, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     good = {i for i, _ in clean}
-    assert good <= ids[-1] and not {600 + i for i in range(15)} & ids[0] and not {500 + i for i in range(40)} & ids[1] and not {700, 701} & ids[2] and 800 in ids[-1]
+    assert good <= ids[-1] and not {600 + i for i in range(15)} & ids[0] and not {*range(500, 540), 550, 551, 552} & ids[1] and not {700, 701} & ids[2] and 800 in ids[-1]
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/secrets").collect()}
     assert "hunter2222" not in texts[800] and texts[1] == clean[1][1]
 
