@@ -66,4 +66,11 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op3_weak_labels": op3_weak_labels, "op4_kdtree": op4_kdtree, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_embeddings": op8_embeddings, "op9_tiling": op9_tiling, "op10_paragraphs": op10_paragraphs}
-SQL: dict[str, str] = {}
+#: The others cannot be written in SQL (trees, tokenizers, fingerprints, expectation maximisation,
+#: tilings) or only as a join of all pairs of paragraphs; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op8_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept FROM v JOIN reach ON reach.a = vec_id GROUP BY vec_id""",
+}
