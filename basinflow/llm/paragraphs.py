@@ -172,7 +172,7 @@ def tile_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
 
 def links(docs: DataFrame, distinct: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     """Links (src, dst) between hashes of similar paragraphs, enough for their components."""
-    keyed = distinct.select("hash", F.explode(F.array(*KEYS)).alias("key")).distinct()
+    keyed = distinct.select("hash", F.explode(F.array(*KEYS)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(keyed.join(shared, "key"))
     wanted = distinct.select("hash", "first.*").join(met.select("hash").distinct(), "hash")
