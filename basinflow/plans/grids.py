@@ -231,6 +231,16 @@ def torus_tree(spark, sf_dir):
     return g.tree().select(ID, "lmin", "structure", "energy", "father", rounded("e_saddle", 7), rounded("barrier", 7))
 
 
+#: Minima with their numbers and lowest and highest energies, for heads that have st and ed.
+NUMBERED = ", mn AS (SELECT *, row_number() OVER (PARTITION BY landscape_id ORDER BY n) AS lmin FROM st WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.landscape_id = st.landscape_id AND ed.n = st.n AND e_m < e_n)), low AS (SELECT landscape_id, min(e) AS mfe, max(e) AS top FROM st GROUP BY ALL)"
+SADDLES = NUMBERED + SADDLE + "SELECT landscape_id, lmin, energy, round(e_saddle, 7) AS e_saddle FROM tree"
+
+
+@query("torus_saddles", SADDLES, TORUS)
+def torus_saddles(spark, sf_dir):
+    return torus_tree(spark, sf_dir).select(ID, "lmin", "energy", "e_saddle")
+
+
 PARTS = "WITH p AS (SELECT p_brand AS landscape_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS lmin, p_partkey, p_size AS a, length(p_name) AS b, cast(p_partkey % 97 AS int) AS c FROM part) "
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basinflow.functions import design, lattice, moves, rna, trees
 from basinflow.operators import landscape as L
 from basinflow.operators import post
-from basinflow.plans.grids import Grid, rounded, table
+from basinflow.plans.grids import SADDLES, Grid, rounded, table
 from basinflow.sources.readers import hopfield, spin_string
 
 ID = L.ID
@@ -64,6 +64,11 @@ def spin_tree(spark, sf_dir):
     return g.tree().select(ID, "lmin", "structure", "energy", "father", rounded("e_saddle", 7))
 
 
+@query("spin_saddles", SPINS.replace("WITH cell", "WITH RECURSIVE cell") + ", ed AS (" + PAIR.replace("cast(a.e AS double)", "a.e").replace("cast(b.e AS double)", "b.e") + "bit_count(xor(a.x, b.x)) = 1)" + SADDLES)
+def spin_saddles(spark, sf_dir):
+    return spin_tree(spark, sf_dir).select(ID, "lmin", "energy", "e_saddle")
+
+
 DIGITS = """WITH cell AS (SELECT o_orderpriority AS landscape_id, o_custkey % 81 AS x, -count(*) AS e FROM orders GROUP BY ALL),
 st AS (SELECT *, x % 3 AS d0, x // 3 % 3 AS d1, x // 9 % 3 AS d2, x // 27 AS d3, row_number() OVER (PARTITION BY landscape_id ORDER BY e, x) AS n FROM cell)
 """
