@@ -32,10 +32,12 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 ASIDE = frozenset("nav footer aside form menu dialog button select option fieldset".split())
 MAIN = frozenset("article main".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|toolbar"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|topbar|toolbar"
     r"|comments?|disqus|replies|respond|discussion|notice|notices|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|share|sharing|social|related|recommended|widget|pagination|pager|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+#: These words mark what is not content only outside the article: within it, they mark its title.
+TITLE_HINT = re.compile(r"(?:^|[\s_-])(?:header|head|masthead)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -137,7 +139,8 @@ def blocks(page: str | None) -> list[Block]:
         main = name in MAIN or given.get("role") in ("main", "article")
         hint = f"{given.get('class', '')} {given.get('id', '')}"
         inside = state["main"] > 0
-        aside = name in ASIDE or name == "header" and not inside or given.get("role", "").lower() in ROLES or not main and name not in ("body", "html") and bool(HINT.search(hint)) and not (name in ("header", "h1", "h2") and inside)
+        hinted = name not in ("body", "html") and bool(HINT.search(hint) or not inside and TITLE_HINT.search(hint))
+        aside = name in ASIDE or name == "header" and not inside or given.get("role", "").lower() in ROLES or hinted and not main
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I))
         x = Open(name, aside, main, hidden, name == "a")
         if (aside or hidden) and name in INLINE:

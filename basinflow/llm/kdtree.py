@@ -28,8 +28,8 @@ from basinflow.llm.common import cut
 DIGIT, DIGITS, BUCKET = 10, 7, 4000
 
 
-def metadata(docs: DataFrame, id_col: str, text_col: str, dimensions: list[str]) -> DataFrame:
-    """doc_id, size, text_crc32 and keys (one per dimension) of every row."""
+def metadata(docs: DataFrame, id_col: str, text_col: str, dimensions: list[str]) -> tuple[DataFrame, int]:
+    """doc_id, size, text_crc32 and keys (one per dimension) of every row, and the dimensions' number."""
     types = dict(docs.dtypes)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 8

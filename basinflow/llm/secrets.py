@@ -12,7 +12,6 @@ only the id and the text are read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from functools import lru_cache
@@ -136,6 +135,3 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     return docs.withColumn(text_col, masked(F.col(text_col).cast("string")))
 
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -204,10 +204,11 @@ def test_html(spark):
         (1, "u", "<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><div class=\"ad\">Buy this now.</div><article><h1>A &amp; B</h1><p>One  <b>two</b>.<br><p>x&nbsp;&lt;y &am</article><footer>&copy; f</footer>"),
         (2, None, None), (3, "u", ""), (4, "u", "<body><script>var t='</p>';</script><nav><a href='/'>Home</a> <a href='/2'>Two</a></nav></body>"), (1, "u", "<article><p>Again</p></article>"),
         (5, "u", "<article><p>" + "long text. " * 20_000 + "</p></article>"), (6, "u", "<body><aside class='cookie-notice'>We use cookies.</aside><article><p>In.</p><section id='comments'><p>First comment here by a reader.</p></section></article></body>"),
+        (7, "u", "<body><div class='site-header'>My site and its long slogan for all readers.</div><article><div class='article-header'><h1>Title</h1></div><p>Body.</p></article></body>"),
     ]
     df = spark.createDataFrame([(*p, 7) for p in pages], "page_id long, url string, html string, n_chars int")
     got = sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in html.extract(df, nodes).collect())
-    want = {(1, "A & B One two. x <y &am"), (2, ""), (3, ""), (4, ""), (1, "Again"), (5, ("long text. " * 20_000).strip()), (6, "In.")}
+    want = {(1, "A & B One two. x <y &am"), (2, ""), (3, ""), (4, ""), (1, "Again"), (5, ("long text. " * 20_000).strip()), (6, "In."), (7, "Title Body.")}
     assert {(i, t) for i, _, t, _ in got} == want and all(len(t) == n for _, _, t, n in got)
     x = np.array(html.training_rows())
     assert (html.predict(nodes, x[:, 1:]) == x[:, 0]).mean() > 0.97
