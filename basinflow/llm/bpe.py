@@ -29,8 +29,25 @@ NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Cells of one matrix.
 CELLS = 1 << 20
-#: Pre-tokens kept with their ids by a Python worker; beyond it the cache starts anew.
-CACHE = 250_000
+#: Pre-tokens that a Python worker keeps with their ids, in each of two generations.
+CACHE = 300_000
+
+
+class WordCache:
+    """Ids of pre-tokens, as bytes. When the young generation is full it becomes the old one; what is
+    used again moves back to the young one, so frequent pre-tokens stay and memory is bounded."""
+
+    def __init__(self, most: int = CACHE):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, split: list[list[str] | None]) -> list[str]:
+        """The pre-tokens of these texts that are not known yet."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        asked = set().union(*filter(None, split)).difference(self.young)
+        back = asked.intersection(self.old) if self.old else ()
+        self.young.update((w, self.old[w]) for w in back)
+        return list(asked.difference(back))
 
 
 class PairTable:
@@ -116,7 +133,7 @@ class ByteBPE:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.pairs = PairTable(*np.array(pairs, np.int32).reshape(-1, 3).T)
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache()
 
     def matrix(self, words: list[bytes], out: list, where: np.ndarray, width: int) -> None:
         """Encode the words (each of 1 to width bytes) into out[where]."""
@@ -194,12 +211,11 @@ class ByteBPE:
 
     def encode_batch(self, texts: Iterable[str | None], pattern: str) -> Iterator[np.ndarray]:
         split = [pre_tokens(t or "", pattern) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list(set().union(*split).difference(self.cache)) if split else []
-        self.cache.update(zip(new, (x.tobytes() for x in self.words(new))))
+        new = self.cache.missing(split)
+        known = self.cache.young
+        known.update(zip(new, (x.tobytes() for x in self.words(new))))
         for pieces in split:
-            yield np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), np.int32)
+            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

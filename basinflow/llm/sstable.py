@@ -35,14 +35,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import is_usual, pre_tokens, text_slices
+from basinflow.llm.bpe import WordCache, is_usual, pre_tokens, text_slices
 from basinflow.llm.common import small_batches
 
 MAGIC, RESTART, BLOCK, FILE = b"SSTids01", 16, 64 << 10, 16 << 20
 FOOTER = struct.Struct("<QQQQQQI4x8s")
 PROBES, BITS = 7, 10
-#: Pre-tokens kept with their ids by a Python worker; beyond it the cache starts anew.
-CACHE = 300_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -195,7 +193,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.model, self.pattern, self.cache = Tokenizer.from_file(path), pattern, {}
+        self.model, self.pattern, self.cache = Tokenizer.from_file(path), pattern, WordCache()
         self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
@@ -203,13 +201,12 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         usual = [is_usual(t or "", self.pattern) for t in texts]
         split = [pre_tokens(t or "", self.pattern) if u else None for t, u in zip(texts, usual)]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list(set().union(*(s for s in split if s)).difference(self.cache))
+        new = self.cache.missing(split)
+        known = self.cache.young
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            self.cache.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
-        return [b"".join(map(self.cache.__getitem__, s)) if u else np.array(self.model.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t, s, u in zip(texts, split, usual)]
+            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
+        return [b"".join(map(known.__getitem__, s)) if u else np.array(self.model.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t, s, u in zip(texts, split, usual)]
 
 
 @lru_cache(maxsize=2)
