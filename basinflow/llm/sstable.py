@@ -22,6 +22,7 @@ renames, so a repeated task replaces its file by an equal one.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -41,6 +42,8 @@ from basinflow.llm.common import small_batches
 MAGIC, RESTART, BLOCK, FILE = b"SSTids01", 16, 64 << 10, 16 << 20
 FOOTER = struct.Struct("<QQQQQQI4x8s")
 PROBES, BITS = 7, 10
+#: Pre-tokens of one space and letters can be encoded as one text of so many of them.
+JOINABLE, JOINED = re.compile(r" [^\W\d_]+"), 4000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -198,11 +201,34 @@ class Encoder:
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
 
+        # Bytes of each token, if the vocabulary writes a byte as one character.
+        tokens = self.model.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(tokens.values()) + 1, np.int64) if "ByteLevel" in str(type(self.model.pre_tokenizer)) else None
+        if self.lengths is not None:
+            for token, i in tokens.items():
+                self.lengths[i] = len(token)
+
+    def as_one_text(self, words: list[str]):
+        """(word, ids) of words that the library splits apart again when they follow each other: one
+        call for all of them, cut where the tokens' bytes reach the end of a word."""
+        ids = np.array(self.model.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        reach = np.cumsum(self.lengths[ids])
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        cuts = np.searchsorted(reach, ends)
+        if len(ids) == 0 or cuts[-1] != len(ids) - 1 or (reach[cuts] != ends).any():
+            return []  # they are then encoded one by one
+        data, at = ids.tobytes(), [0, *(self.width * (cuts + 1)).tolist()]
+        return zip(words, map(data.__getitem__, map(slice, at, at[1:])))
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         usual = [is_usual(t or "", self.pattern) for t in texts]
         split = [pre_tokens(t or "", self.pattern) if u else None for t, u in zip(texts, usual)]
         new = self.cache.missing(split)
         known = self.cache.young
+        joined = [w for w in new if JOINABLE.fullmatch(w)] if self.lengths is not None else []
+        for k in range(0, len(joined), JOINED):
+            known.update(self.as_one_text(joined[k : k + JOINED]))
+        new = [w for w in new if w not in known] if joined else new
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
