@@ -12,22 +12,36 @@ A key shared by few paragraphs is joined with itself; one shared by many is cut
 size whose links come back as a spanning forest, never as all pairs. Equal paragraphs cost one row in
 all of this, however often they occur.
 
+Passages are found apart from lines, in the words of the whole text, so they may lie inside a longer line
+or spread over short ones: among the hashes of all runs of PASSAGE words, the smallest of each WINDOW
+following ones is taken. Texts that share PASSAGE + WINDOW - 1 = 50 words share one of them, wherever the
+passage stands. The same hash at two places is a repeat; overlapping ones of a text are joined to spans. So
+every repeated run of 50 words is found; of runs of PASSAGE to 49 words, those that were taken. A span may
+end up to WINDOW - 1 words before the common run does, on either side. Only places are counted and
+joined: no pairs of texts.
+
 null or empty texts have no paragraphs. null ids sort first, as in Spark. Repeated rows are occurrences
-like others. Short paragraphs are never removed. Extra columns are not read.
+like others. Lines of fewer words are removed as parts of passages only. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basinflow.llm.bpe import text_slices
 from basinflow.llm.common import connected_components, cut, small_batches
 
 MIN_WORDS, SHINGLE, BANDS, ROWS = 20, 5, 8, 3
+#: Words of a sampled run; following runs of which one is taken (together, runs of 50 words).
+PASSAGE, WINDOW = 32, 19
 #: Paragraphs under one key that are still joined as rows; rows of one tile side.
 FEW, TILE = 16, 512
 SLICE = 1 << 20
@@ -61,14 +75,52 @@ def lines_of(text: str | None, least: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def shingles(normal: list[bytes], counts: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all word shingles of the paragraphs, one after the other, and where each
-    paragraph's begin. A paragraph of fewer words has one shingle, the whole."""
+def sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the values before each place, weighted by powers of ODD."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers(ODD, len(x)), dtype=np.uint64)])
+
+
+def word_hashes(normal: list[bytes]) -> np.ndarray:
+    """Hashes of the words of all these normal forms, one after the other."""
     data = np.frombuffer(b" ".join(normal) + b" ", np.uint8)
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(ODD, len(data)), dtype=np.uint64)])
-    words = mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(data))[starts])
+    prefix = sums(data.astype(np.uint64) + np.uint64(1))
+    return mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(data))[starts])
+
+
+def sliding(take, x: np.ndarray, width: int) -> np.ndarray:
+    """take (minimum or maximum) over every run of so many values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = take(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def taken_runs(normal: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first word and hash of the runs of PASSAGE words that are taken. Every text has
+    at least PASSAGE + WINDOW - 1 words."""
+    words = word_hashes(normal)
+    n = np.array(counts)
+    sizes = n - PASSAGE + 1
+    text = np.repeat(np.arange(len(n)), sizes)
+    word = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = word + np.repeat(np.cumsum(n) - n, sizes)
+    prefix = sums(words)
+    hashes = mix((prefix[at + PASSAGE] - prefix[at]) * powers(INVERSE, len(words))[at])
+    low = sliding(np.minimum, hashes, WINDOW)
+    low[text[: len(low)] != text[WINDOW - 1 :]] = 0  # no window over the end of a text
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    mine = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, low, edge]), WINDOW) == hashes)
+    return text[mine], word[mine], hashes[mine]
+
+
+def shingles(normal: list[bytes], counts: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of the paragraphs, one after the other, and where each
+    paragraph's begin. A paragraph of fewer words has one shingle, the whole."""
+    words = word_hashes(normal)
     n = np.array(counts)
     first = np.cumsum(n) - n
     sizes = np.maximum(1, n - width + 1)
@@ -92,8 +144,8 @@ def band_keys(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line, words, hash and band keys of every paragraph."""
+def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str, banded: bool) -> DataFrame:
+    """doc_id, line, words, hash and, if wanted, band keys of every paragraph."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -104,11 +156,12 @@ def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str) -> Data
                 found = [(d, *x) for d, t in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts) for x in lines_of(t, least)]
                 if found:
                     ids, line, words, normal = zip(*found)
-                    hashes, begin = shingles(normal, words, SHINGLE)
+                    keys = band_keys(*shingles(normal, words, SHINGLE)) if banded else []
                     mark = np.array([xxhash.xxh3_64_intdigest(x) for x in normal], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.int32()), pa.array(mark), *map(pa.array, band_keys(hashes, begin))], names=["doc_id", "line", "words", "hash", *KEYS])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.int32()), pa.array(mark), *map(pa.array, keys)], names=names)
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, line int, words int, hash long, " + ", ".join(f"{k} long" for k in KEYS))
+    names = ["doc_id", "line", "words", "hash", *(KEYS if banded else [])]
+    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, line int, words int, hash long" + "".join(f", {k} long" for k in names[4:]))
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,9 +244,10 @@ def links(docs: DataFrame, distinct: DataFrame, least: float, id_col: str, text_
 def repeated(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every paragraph that occurs more than once or has a near copy: doc_id, line (from 0), words,
     component_id and component_line (the cluster's first occurrence), kept."""
-    found = cut(occurrences(docs, max(1, min_words), id_col, text_col))
+    # Two scans, the second without keys, are cheaper than to store all paragraphs.
+    banded, found = (occurrences(docs, max(1, min_words), id_col, text_col, b) for b in (True, False))
     place = F.struct("doc_id", "line")
-    distinct = cut(found.groupBy("hash").agg(*(F.first(k).alias(k) for k in KEYS), F.min(place).alias("first"), F.count("*").alias("n")))
+    distinct = cut(banded.groupBy("hash").agg(*(F.first(k).alias(k) for k in KEYS), F.min(place).alias("first"), F.count("*").alias("n")))
     parts = connected_components(links(docs, distinct, least, id_col, text_col))
     named = distinct.select("hash", "first", "n").join(parts, distinct["hash"] == parts["node"], "left").withColumn("part", F.coalesce("component", "hash"))
     clusters = named.groupBy("part").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")
@@ -202,9 +256,68 @@ def repeated(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WORDS, id
     return out.select("doc_id", "line", "words", F.col("head.doc_id").alias("component_id"), F.col("head.line").alias("component_line"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line") == F.col("head.line"))).alias("kept"))
 
 
+def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (of the text), word and hash of every run that is taken."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in text_slices(batch.column(1), SLICE):
+                split = ((d, t, t.lower().split()) for d, t in zip(batch.column(0).slice(at, len(texts)).to_pylist(), ((t or "").encode("utf-8", "surrogatepass") for t in texts)))
+                found = [(d, zlib.crc32(t), b" ".join(w), len(w)) for d, t, w in split if len(w) >= PASSAGE + WINDOW - 1]
+                if found:
+                    ids, marks, normal, counts = zip(*found)
+                    text, word, hashes = taken_runs(normal, counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(text)), pa.array(np.array(marks, np.uint32).view(np.int32)[text]), pa.array(word.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["doc_id", "mark", "word", "hash"])
+
+    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, mark int, word int, hash long")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every span of words that occurs at another place too: doc_id, word (from 0, in the whole text),
+    words, component_id and component_word (first occurrence of its first run), kept. The runs of a
+    text that are first occurrences and those that are not make spans of their own."""
+    found = runs(docs, id_col, text_col)  # scanned twice: cheaper than to store all runs
+    place = F.struct("doc_id", "mark", "word")
+    again = found.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1").drop("n")
+    met = found.join(again, found["hash"] == again["_hash"]).select("doc_id", "mark", "word", "head", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark")) & (F.col("word") == F.col("head.word"))).alias("kept"))
+    own = Window.partitionBy("doc_id", "mark", "kept").orderBy("word")
+    new = F.coalesce(F.col("word") > F.lag("word").over(own) + PASSAGE, F.lit(True))
+    spans = met.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(own))
+    joined = spans.groupBy("doc_id", "mark", "kept", "span").agg(F.min(F.struct("word", "head")).alias("first"), F.max("word").alias("last"))
+    return joined.select("doc_id", F.col("first.word").alias("word"), (F.col("last") + PASSAGE - F.col("first.word")).alias("words"), F.col("first.head.doc_id").alias("component_id"), F.col("first.head.word").alias("component_word"), "kept")
+
+
+def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of repeated() (word and component_word are null) and of passages() (line and
+    component_line are null)."""
+    return repeated(docs, id_col=id_col, text_col=text_col).unionByName(passages(docs, id_col, text_col), allowMissingColumns=True)
+
+
+def without(text: str, lines: list[int] | None, spans: list | None) -> str:
+    """text without these lines and without these spans (first word, words) of words."""
+    data = bytearray(text.encode("utf-8", "surrogatepass"))
+    gone = np.zeros(len(data), bool)
+    if spans:
+        words = [m.span() for m in re.finditer(rb"\S+", data)]
+        for first, n in spans:
+            if first + n <= len(words):  # else: of another text under this identifier
+                gone[words[first][0] : words[first + n - 1][1]] = True
+    out, at = [], 0
+    for i, line in enumerate(bytes(data).split(b"\n")):
+        here = gone[at : at + len(line)]
+        rest = bytes(np.frombuffer(line, np.uint8)[~here]) if here.any() else line
+        at += len(line) + 1
+        if i not in (lines or ()) and (rest.strip() or not here.any()):
+            out.append(rest)
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
+
+
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the paragraphs that repeated() would not keep. Row count and columns stay."""
-    lost = found.where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line").alias("_lost")).withColumnRenamed("doc_id", "_id")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n")
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["_id"]), "left").withColumn(text_col, F.when(F.col("_lost").isNotNull(), kept).otherwise(F.col(text_col))).drop("_id", "_lost")
+    """docs without the paragraphs and passages (of repeated() or all_repeats()) that are not kept.
+    Row count and columns stay."""
+    span = F.when(F.col("word").isNotNull(), F.struct("word", "words")) if "word" in found.columns else F.lit(None).cast("struct<word:int,words:int>")
+    lost = found.where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line").alias("_lines"), F.collect_set(span).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    rest = F.udf(lambda t, lines, spans: None if t is None else without(t, lines, spans), "string")
+    met = docs.join(lost, docs[id_col].eqNullSafe(lost["_id"]), "left")
+    return met.withColumn(text_col, F.when(F.col("_lines").isNotNull(), rest(F.col(text_col), "_lines", "_spans")).otherwise(F.col(text_col))).drop("_id", "_lines", "_spans")

@@ -62,7 +62,7 @@ def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+    return paragraphs.all_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op3_weak_labels": op3_weak_labels, "op4_kdtree": op4_kdtree, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_embeddings": op8_embeddings, "op9_tiling": op9_tiling, "op10_paragraphs": op10_paragraphs}

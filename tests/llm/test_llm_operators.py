@@ -303,3 +303,25 @@ def test_paragraphs(spark, monkeypatch):
     left = paragraphs.remove(docs, paragraphs.repeated(docs))
     assert left.columns == docs.columns and left.count() == docs.count()
     assert paragraphs.repeated(table(spark, [])).count() == 0
+
+
+def test_passages(spark):
+    """Verbatim runs of 50 words inside longer lines and over short lines, against brute force."""
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n))
+    shared = [own(50) for _ in range(6)]
+    cut = lambda t, k: "\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    rows = [(i, own(rng.randint(0, 90)) + " " + shared[i % 6] + " " + own(rng.randint(0, 90))) for i in range(30)]
+    rows += [(100 + i, own(9) + "\n" + cut(shared[i].upper(), 7) + "\n" + own(9)) for i in range(6)] + [(None, own(30) + " " + shared[0]), (None, own(40) + " " + shared[0]), (300, None), (301, ""), (302, own(300)), (303, own(45))]
+    docs = table(spark, rows)
+    out = paragraphs.passages(docs).collect()
+    assert {r["doc_id"] for r in out} == {i for i, t in rows if any(s in " ".join((t or "").lower().split()) for s in shared)}
+    heads = {None, 1, 2, 3, 4, 5}
+    assert {r["doc_id"] for r in out if not r["kept"]} - {None} == {r["doc_id"] for r in out} - heads
+    for r in out:
+        texts = [" ".join((t or "").lower().split()[r["word"] : r["word"] + r["words"]]) for i, t in rows if i == r["doc_id"]]
+        assert any(t in s and r["words"] >= paragraphs.PASSAGE for s in shared for t in texts)
+    left = {r["doc_id"]: r["text"] for r in paragraphs.remove(docs, paragraphs.all_repeats(docs)).collect()}
+    lost = [r for r in out if r["doc_id"] == 29 and not r["kept"]]
+    assert left[302] == dict(rows)[302] and left[300] is None and len(left[29].split()) == len(dict(rows)[29].split()) - sum(r["words"] for r in lost)
+    assert paragraphs.passages(table(spark, [])).count() == 0
