@@ -191,13 +191,14 @@ class Reader:
 class Encoder:
     """The tokenizer's ids of whole texts. Its pre-tokens do not depend on their neighbours, so
     each distinct one is encoded once by the library and kept; texts with characters on which
-    regular expression engines differ are encoded whole by the library."""
+    regular expression engines differ, or with the literal of an added token (such as the end of
+    text), are encoded whole by the library."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.model, self.pattern, self.cache = Tokenizer.from_file(path), pattern, WordCache()
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
 
@@ -206,7 +207,7 @@ class Encoder:
         self.lengths = np.zeros(max(tokens.values()) + 1, np.int64) if "ByteLevel" in str(type(self.model.pre_tokenizer)) else None
         if self.lengths is not None:
             for token, i in tokens.items():
-                self.lengths[i] = len(token)
+                self.lengths[i] = 0 if token in self.added else len(token)
 
     def as_one_text(self, words: list[str]):
         """(word, ids) of words that the library splits apart again when they follow each other: one
@@ -221,7 +222,7 @@ class Encoder:
         return zip(words, map(data.__getitem__, map(slice, at, at[1:])))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        usual = [is_usual(t or "", self.pattern) for t in texts]
+        usual = [is_usual(t or "", self.pattern) and not any(x in (t or "") for x in self.added) for t in texts]
         split = [pre_tokens(t or "", self.pattern) if u else None for t, u in zip(texts, usual)]
         new = self.cache.missing(split)
         known = self.cache.young

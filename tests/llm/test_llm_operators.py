@@ -325,3 +325,13 @@ def test_passages(spark):
     lost = [r for r in out if r["doc_id"] == 29 and not r["kept"]]
     assert left[302] == dict(rows)[302] and left[300] is None and len(left[29].split()) == len(dict(rows)[29].split()) - sum(r["words"] for r in lost)
     assert paragraphs.passages(table(spark, [])).count() == 0
+
+
+def test_sorted_tables_added_token():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), sstable.Encoder(path, P.PATTERN)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|> 日本 x", "a <|endoftext| > b", "one two", None]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.batch(texts)] == want and want[0] == [505, 220, 50256, 734]
