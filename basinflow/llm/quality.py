@@ -35,15 +35,16 @@ from basinflow.llm.common import small_batches
 
 #: Documents on which the scorer is trained; hashed features.
 SAMPLE, WIDTH = 4000, 1024
+#: Characters of the longest words and shapes that the caches keep; longer ones are worked out each time.
+KEPT = 32
 LABELLERS = ("sign_ends", "shouting", "exclaiming", "bare_signs", "stuttering", "few_words", "repeated_lines", "sign_share", "letter_share", "plain_words")
 LETTERS, OTHERS = re.compile(r"[^\W\d_]+"), re.compile(r"[^\w\s]+|_+")
 
 
-@lru_cache(maxsize=200_000)
 def shape(word: str) -> str:
-    """Shape of a word: runs of small letters, capitals, digits and other signs."""
+    """Shape of a whole word: runs of small letters, capitals, digits and other signs."""
     out, last = [], ""
-    for c in word[:32]:
+    for c in word:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "b" if c.isalpha() else c
         if k != last:
             out.append(k)
@@ -51,6 +52,19 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+class Shapes(dict):
+    """Shapes of words. Those of long words are not kept, nor more than so many."""
+
+    def __missing__(self, word: str) -> str:
+        out = shape(word)
+        if len(word) <= KEPT:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = out
+        return out
+
+
+SHAPES = Shapes()
 #: Shapes of plain words; of words that end in a sign that prose does not end words with.
 PLAIN = re.compile(r"[(\"']?(?:A?a|A|0|b)(?:['-](?:A?a|A|0|b))*['\")]?[.,;:?!]?")
 SIGN_END, BARE = re.compile(r".*[aAb0][^aAb0.,;:?!'\")]$"), re.compile(r"[^aAb0]+")
@@ -59,18 +73,24 @@ SIGN_END, BARE = re.compile(r".*[aAb0][^aAb0.,;:?!'\")]$"), re.compile(r"[^aAb0]
 def shapes_of(text: str) -> Counter:
     """Counts of the word shapes; a word that repeats the one before also counts as `same`."""
     words = text.split()
-    out = Counter(map(shape, words))
+    out = Counter(map(SHAPES.__getitem__, words))
     if same := sum(map(str.__eq__, words, words[1:])):
         out["same"] = same
     return out
 
 
-@lru_cache(maxsize=50_000)
 def kind_of(s: str) -> tuple[bool, bool, bool, bool, bool]:
+    return short_kind(s) if len(s) <= KEPT else kind(s)
+
+
+def kind(s: str) -> tuple[bool, bool, bool, bool, bool]:
     """Of a shape: ends in a sign, capitals only, ends in `!`, signs only, plain."""
     return bool(SIGN_END.fullmatch(s)), "A" in s and "a" not in s and s != "A", s.endswith("!"), bool(BARE.fullmatch(s)), bool(PLAIN.fullmatch(s))
 
 
+short_kind = lru_cache(maxsize=50_000)(kind)
+
+
 def measures(text: str) -> tuple[dict, Counter]:
     """What the labellers look at, over the whole text, and the counts of its word shapes."""
     shapes = shapes_of(text)

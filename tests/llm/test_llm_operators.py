@@ -335,3 +335,13 @@ def test_sorted_tables_added_token():
     texts = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|> 日本 x", "a <|endoftext| > b", "one two", None]
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, own.dtype).tolist() for x in own.batch(texts)] == want and want[0] == [505, 220, 50256, 734]
+
+
+def test_quality_long_words():
+    word = "a" * 40
+    assert quality.shape(word + "!!") == "a!" and quality.shape(word + "$") == "a$" and quality.shape("aB" * 40) == "aA" * 40
+    long = " ".join([word + "$"] * 3 + [word + "!"] * 3)
+    m, shapes = quality.measures(long)
+    assert (m["sign_ends"], m["exclaiming"]) == (0.5, 0.5) and dict(shapes) == {"a$": 3, "a!": 3, "same": 4}
+    one, other = "日本語" * 20, "日本語" * 20 + "$$ab12" * 3000
+    assert quality.shapes_of(one) != quality.shapes_of(other) and not any(len(w) > quality.KEPT for w in quality.SHAPES)
