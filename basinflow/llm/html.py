@@ -40,7 +40,8 @@ HINT = re.compile(
 TITLE_HINT = re.compile(r"(?:^|[\s_-])(?:header|head|masthead)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Name and value of an attribute; values are consumed whole, so that nothing in them is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Ends of the elements that close when a new one of their kind begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "aside", "main", "heading")
@@ -67,7 +68,11 @@ class Open:
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text else {}
+    """The attributes of a tag; the first one of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text or ""):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def blocks(page: str | None) -> list[Block]:

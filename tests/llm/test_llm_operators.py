@@ -345,3 +345,11 @@ def test_quality_long_words():
     assert (m["sign_ends"], m["exclaiming"]) == (0.5, 0.5) and dict(shapes) == {"a$": 3, "a!": 3, "same": 4}
     one, other = "日本語" * 20, "日本語" * 20 + "$$ab12" * 3000
     assert quality.shapes_of(one) != quality.shapes_of(other) and not any(len(w) > quality.KEPT for w in quality.SHAPES)
+
+
+def test_html_attributes():
+    given = html.attributes(""" href="/hidden-valley" title='A hidden id="x" gem' data-hidden="false" id="comments" data-id="7" width="30" class=big hidden/""")
+    assert given["id"] == "comments" and given["class"] == "big" and "hidden" in given
+    assert "hidden" not in html.attributes(' href="/hidden-valley" title="A hidden gem" data-hidden="false" alt=hidden') and html.attributes(' id="a" id="b"')["id"] == "a"
+    page = '<article data-hidden="false"><p>See <a href="/hidden-valley" title="A hidden gem">the valley</a>.</p></article><div id="sidebar" width="30">Side</div>'
+    assert [(b.text, b.aside) for b in html.blocks(page)] == [("See the valley.", 0), ("Side", 1)]
