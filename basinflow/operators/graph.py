@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a local one where none is set (tests)."""
+    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir. Where none
+    is set: a local folder if all tasks run on this machine, otherwise an error."""
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="basinflow-")
         context.setCheckpointDir(where)
     return where
@@ -24,6 +27,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with a gapless rank from 0 in the given order, without one task seeing all rows.
+
+    Range partitions are sorted and written once; only the row count of each partition meets in a
+    table of one row per partition, which is joined back. Rows that are equal in the order share a
+    partition, so an order without ties spreads best.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _start long")
+    return (
+        placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")
+    )
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """df with a dense rank from 1 within each value of the keys: the global rank less the first one
+    of its keys, so that a large group is ranked by many tasks."""
+    placed = global_rank(df, [*keys, *order], "_rank")
+    first = placed.groupBy(*keys).agg(F.min("_rank").alias("_first"))
+    return placed.join(first, keys).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
+
+
 def connected_components(edges: DataFrame, keys: list[str] | None = None, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node of edges(*keys, src, dst): *keys, node, component.
 
