@@ -2,8 +2,10 @@
 
 Every distinct pre-token becomes a row of a padded matrix of its length bucket. Each round looks
 all adjacent pairs up in a hash table, merges in every row the leftmost pair of least rank, closes
-the gap, and takes rows without a known pair out. Texts are handled whole, row by row, so no
-shuffle is needed and memory is bounded by the batch and by the cache of pre-tokens.
+the gap, and takes rows without a known pair out. Rows of over LONG bytes would need as many rounds as
+bytes; they merge all places of that pair in one round, with the same lookup and the same result.
+Texts are handled whole, row by row, so no shuffle is needed and memory is bounded by the batch and by
+the cache of pre-tokens.
 
 null text: as the empty text (no ids). null doc_id: stays null. Repeated rows: each is encoded.
 Extra columns are not read and not returned. Empty tables give empty results.
@@ -12,42 +14,64 @@ Extra columns are not read and not returned. Empty tables give empty results.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import small_batches
 
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens with more bytes go the heap way: a matrix would need as many rounds as bytes.
+#: Bytes up to which rows merge one pair a round; longer ones merge all places of their best pair.
 LONG = 256
 #: Cells of one matrix.
 CELLS = 1 << 20
-#: Pre-tokens that a Python worker keeps with their ids, in each of two generations.
-CACHE = 300_000
-
-
-class WordCache:
-    """Ids of pre-tokens, as bytes. When the young generation is full it becomes the old one; what is
-    used again moves back to the young one, so frequent pre-tokens stay and memory is bounded."""
-
-    def __init__(self, most: int = CACHE):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, split: list[list[str] | None]) -> list[str]:
-        """The pre-tokens of these texts that are not known yet."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        asked = set().union(*filter(None, split)).difference(self.young)
-        back = asked.intersection(self.old) if self.old else ()
-        self.young.update((w, self.old[w]) for w in back)
-        return list(asked.difference(back))
+#: Pre-tokens that a Python worker keeps with their ids, and characters of these, in each of two generations.
+CACHE, CACHE_CHARS = 300_000, 16 << 20
+
+
+class WordCache(dict):
+    """Ids of pre-tokens, as bytes. When a generation is full it becomes the old one; what is used again
+    moves back to the young one, so frequent pre-tokens stay and memory is bounded, however many or
+    long they are."""
+
+    def __init__(self, most: int = CACHE, most_chars: int = CACHE_CHARS):
+        self.most, self.most_chars, self.chars, self.old, self.new = most, most_chars, 0, {}, []
+
+    def __missing__(self, word: str) -> bytes | None:
+        known = self[word] = self.old.get(word)
+        self.chars += len(word)
+        if known is None:
+            self.new.append(word)
+        return known
+
+    def coded(self, split: list[list[str]], encode: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """Each text's ids, where encode gives those of new pre-tokens."""
+        if len(self) > self.most or self.chars > self.most_chars:
+            self.old = dict(self)
+            self.clear()
+            self.chars = 0
+        words = list(chain.from_iterable(split))
+        ids = list(map(self.__getitem__, words))  # None where a pre-token is new
+        new, self.new = self.new, []
+        try:
+            self.update(zip(new, encode(new)))
+        except BaseException:
+            for word in new:
+                self.pop(word, None)
+            raise
+        at = -1
+        with suppress(ValueError):
+            while True:
+                at = ids.index(None, at + 1)
+                ids[at] = self[words[at]]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids[i:j]) for i, j in zip([0, *ends], ends)]
 
 
 class PairTable:
@@ -93,34 +117,32 @@ class PairTable:
 
 @lru_cache(maxsize=4)
 def split_patterns(pattern: str):
-    """The pattern for any text, equal faster ones for usual and for ASCII texts (Python's re, with
-    the letters' branch first: no other branch can begin like it), and what tells usual texts: none
-    of their characters is classed otherwise by re, or lies beyond U+2FFF."""
+    """The pattern for any text; for texts of the first 65,536 characters and for ASCII ones, the known
+    pattern with its classes written out, in Python's re, which is faster (the letters' branch comes
+    first: no other one can begin like it); and what finds other characters. Other patterns: only the
+    first."""
     import regex
 
     slow = regex.compile(pattern)
     known = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     if pattern != known:
         return slow, None, None, None
-    text = [chr(i) for i in range(0x3000)]
-    classes = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))
-    odd = {c for a, b in classes for c in text if bool(regex.match(a, c)) != bool(re.match(b, c))}
-    usual = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    plain = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-    return slow, usual, plain, re.compile("[" + "".join(map(re.escape, sorted(odd))) + "　-\U0010ffff]")
 
+    def faster(last: int):
+        text = "".join(map(chr, range(last + 1)))
+        letter, number, space = ("".join(map(spans, regex.findall(c, text))) for c in (r"\p{L}+", r"\p{N}+", r"\s+"))
+        return re.compile(f" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+    def spans(run: str) -> str:
+        """A run of characters that follow each other, as a range of a class."""
+        return f"{re.escape(run[0])}-{re.escape(run[-1])}"
 
-def is_usual(text: str, pattern: str) -> bool:
-    """Whether the faster patterns give this text's pre-tokens."""
-    _, usual, _, odd = split_patterns(pattern)
-    if usual is None:
-        return False
-    return not any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else not odd.search(text)
+    return slow, faster(0xFFFF), faster(0x7F), re.compile("[\U00010000-\U0010ffff]")
 
 
 def pre_tokens(text: str, pattern: str) -> list[str]:
-    slow, usual, plain, _ = split_patterns(pattern)
-    if not is_usual(text, pattern):
+    slow, usual, plain, other = split_patterns(pattern)
+    if usual is None or not text.isascii() and other.search(text):
         return slow.findall(text)
     return (plain if text.isascii() else usual).findall(text)
 
@@ -172,34 +194,45 @@ class ByteBPE:
                 right = a[fix, at + 1]
                 rank[fix, at] = np.where(right >= 0, self.pairs.get(a[fix, at], np.maximum(right, 0)), NONE)
 
-    def long_word(self, word: bytes) -> np.ndarray:
-        """The same merges for one long pre-token, by a heap over a linked list."""
-        ids, n = self.byte[np.frombuffer(word, np.uint8)].tolist(), len(word)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        known = self.pairs.get(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(known) if r != NONE]
-        heapq.heapify(heap)
-        one = lambda a, b: self.ranks.get(self.tokens[a] + self.tokens[b])
-        while heap:
-            r, i, left, right = heapq.heappop(heap)
-            j = after[i] if ids[i] == left else -1
-            if j < 0 or ids[j] != right:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                if (x := one(r, ids[after[i]])) is not None:
-                    heapq.heappush(heap, (x, i, r, ids[after[i]]))
-            if before[i] >= 0 and (x := one(ids[before[i]], r)) is not None:
-                heapq.heappush(heap, (x, before[i], ids[before[i]], r))
-        return np.array([i for i in ids if i >= 0], np.int32)
+    def long_row(self, word: bytes) -> np.ndarray:
+        """One long row. All places of its pair of least rank merge in a round, from the left. That is
+        the same as one after another as long as no merge makes a pair of a lower rank, with what stands
+        around it then; if one would, only the leftmost place merges."""
+        a = self.byte[np.frombuffer(word, np.uint8)]
+        rank = self.pairs.get(a[:-1], a[1:])
+        while len(rank) and (low := rank.min()) != NONE:
+            at = np.flatnonzero(rank == low)
+            if len(at) > 1:  # of places that overlap, every other one from the left
+                run = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))) % 2 == 0]
+            if len(at) > 1:
+                behind, before = at[at + 2 < len(a)] + 2, at[at > 0]
+                first = np.where(np.isin(before - 2, at), low, a[before - 1])
+                if min(self.pairs.get(np.full(len(behind), low), a[behind]).min(initial=NONE), self.pairs.get(first, np.full(len(before), low)).min(initial=NONE)) < low:
+                    at = at[:1]
+            a, rank = self.merged(a, rank, at, low)
+        return a
+
+    def merged(self, a: np.ndarray, rank: np.ndarray, at: np.ndarray, low: np.int32) -> tuple[np.ndarray, np.ndarray]:
+        """The row and its ranks after the pairs at these places have become `low`."""
+        new = a.copy()
+        new[at] = low
+        keep = np.ones(len(a), bool)
+        keep[at + 1] = False
+        new = new[keep]
+        kept = rank[keep[1:]] if len(new) > 1 else rank[:0]
+        where = at - np.arange(len(at))  # places of the new ids
+        for k in (where - 1, where):
+            k = k[(k >= 0) & (k < len(new) - 1)]
+            kept[k] = self.pairs.get(new[k], new[k + 1])
+        return new, kept
 
     def words(self, words: Iterable[str]) -> list[np.ndarray]:
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
         out: list = [None] * len(coded)
         lengths = np.array([len(w) for w in coded], np.int64)
         for i in np.flatnonzero(lengths > LONG):
-            out[i] = self.long_word(coded[i])
+            out[i] = self.long_row(coded[i])
         edges = [0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG]
         for low, high in zip(edges, edges[1:]):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
@@ -211,11 +244,8 @@ class ByteBPE:
 
     def encode_batch(self, texts: Iterable[str | None], pattern: str) -> Iterator[np.ndarray]:
         split = [pre_tokens(t or "", pattern) for t in texts]
-        new = self.cache.missing(split)
-        known = self.cache.young
-        known.update(zip(new, (x.tobytes() for x in self.words(new))))
-        for pieces in split:
-            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        for ids in self.cache.coded(split, lambda new: (x.tobytes() for x in self.words(new))):
+            yield np.frombuffer(ids, np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -242,7 +272,6 @@ def text_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, lis
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: columns doc_id and ids (array of int), without special tokens."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         model = loaded(path)
@@ -259,7 +288,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """The bytes of every row's ids: columns doc_id, ids and decoded (binary). An id outside the
     vocabulary raises KeyError; null ids decode to no bytes."""
-    small_batches(coded.sparkSession)
 
     def run(batches):
         model = loaded(path)

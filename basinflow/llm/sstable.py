@@ -22,7 +22,6 @@ renames, so a repeated task replaces its file by an equal one.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -36,14 +35,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import WordCache, is_usual, pre_tokens, text_slices
-from basinflow.llm.common import small_batches
+from basinflow.llm.bpe import WordCache, pre_tokens, text_slices
 
 MAGIC, RESTART, BLOCK, FILE = b"SSTids01", 16, 64 << 10, 16 << 20
 FOOTER = struct.Struct("<QQQQQQI4x8s")
 PROBES, BITS = 7, 10
-#: Pre-tokens of one space and letters can be encoded as one text of so many of them.
-JOINABLE, JOINED = re.compile(r" [^\W\d_]+"), 4000
+#: New pre-tokens that are encoded in one call.
+JOINED = 4000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -190,9 +188,8 @@ class Reader:
 
 class Encoder:
     """The tokenizer's ids of whole texts. Its pre-tokens do not depend on their neighbours, so
-    each distinct one is encoded once by the library and kept; texts with characters on which
-    regular expression engines differ, or with the literal of an added token (such as the end of
-    text), are encoded whole by the library."""
+    each distinct one is encoded once by the library and kept; texts with the literal of an added
+    token (such as the end of text) are encoded whole by the library."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
@@ -209,31 +206,44 @@ class Encoder:
             for token, i in tokens.items():
                 self.lengths[i] = 0 if token in self.added else len(token)
 
-    def as_one_text(self, words: list[str]):
-        """(word, ids) of words that the library splits apart again when they follow each other: one
-        call for all of them, cut where the tokens' bytes reach the end of a word."""
-        ids = np.array(self.model.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+    def as_one_text(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the library splits apart again when they follow each other: one call for
+        all of them, cut where the tokens' bytes reach the end of a word. A word without a space in
+        front gets a line end there, which is a token of its own. Empty if a cut falls into a token."""
+        pieces = [w if w[0] == " " else "\n" + w for w in words]
+        ids = np.array(self.model.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
         reach = np.cumsum(self.lengths[ids])
-        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in pieces])
         cuts = np.searchsorted(reach, ends)
         if len(ids) == 0 or cuts[-1] != len(ids) - 1 or (reach[cuts] != ends).any():
-            return []  # they are then encoded one by one
-        data, at = ids.tobytes(), [0, *(self.width * (cuts + 1)).tolist()]
-        return zip(words, map(data.__getitem__, map(slice, at, at[1:])))
+            return []
+        ends = self.width * (cuts + 1)
+        starts = np.concatenate([[0], ends[:-1]]) + self.width * np.array([p[0] == "\n" for p in pieces])
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        usual = [is_usual(t or "", self.pattern) and not any(x in (t or "") for x in self.added) for t in texts]
-        split = [pre_tokens(t or "", self.pattern) if u else None for t, u in zip(texts, usual)]
-        new = self.cache.missing(split)
-        known = self.cache.young
-        joined = [w for w in new if JOINABLE.fullmatch(w)] if self.lengths is not None else []
-        for k in range(0, len(joined), JOINED):
-            known.update(self.as_one_text(joined[k : k + JOINED]))
-        new = [w for w in new if w not in known] if joined else new
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        whole = [t is not None and any(x in t for x in self.added) for t in texts]
+        split = [[] if w else pre_tokens(t or "", self.pattern) for t, w in zip(texts, whole)]
+        coded = self.cache.coded(split, self.words)
+        return [np.array(self.model.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if w else ids for t, ids, w in zip(texts, coded, whole)]
+
+    def words(self, new: list[str]) -> list[bytes]:
+        apart = [w for w in new if w.isspace()] if self.lengths is not None else new
+        known = {}
+        if len(apart) < len(new):
+            together = [w for w in new if not w.isspace()] if apart else new
+            for k in range(0, len(together), JOINED):
+                part = together[k : k + JOINED]
+                found = self.as_one_text(part)
+                if found and len(part) == len(new):
+                    return found
+                known.update(zip(part, found))
+                apart += part if not found else []
+        for k in range(0, len(apart), JOINED):
+            part = apart[k : k + JOINED]
             known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
-        return [b"".join(map(known.__getitem__, s)) if u else np.array(self.model.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t, s, u in zip(texts, split, usual)]
+        return [known[w] for w in new]
 
 
 @lru_cache(maxsize=2)
@@ -250,7 +260,6 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
     Returns the manifest in file order: path, docs, ids and the number of ids in earlier files. It
     has one row per file (FILE bytes), which is all that reaches the driver.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
@@ -292,7 +301,6 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
 def read(spark, manifest: list[dict]) -> DataFrame:
     """All documents of the files: doc_id, start (ids of all documents before it), n_tokens (with
     the end id) and ids as little-endian unsigned 32-bit integers in one binary value."""
-    small_batches(spark)
 
     def run(batches):
         for batch in batches:
