@@ -1,107 +1,57 @@
-"""What several operators of this folder share: tables, checkpoints, ranks, components."""
+"""What several operators of this folder share: tables, folders, batches, and numbers of rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: whole texts can be long, so batches stay small.
-BATCH_ROWS = 400
+from basinflow.operators.graph import checkpoint_dir, connected_components, cut, global_rank
 
+__all__ = ["COPY", "connected_components", "cut", "global_rank", "new_folder", "numbered", "table", "with_rows"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Name of the column that tells rows of one identifier apart.
+COPY = "_copy"
+#: Repeated identifiers that are broadcast (8 bytes each); more of them are joined by a shuffle.
+FEW_IDS = 1_000_000
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir,
-    or a local folder where none is set (tests)."""
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="basinflow-")
-        context.setCheckpointDir(where)
-    return where
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def new_folder(spark: SparkSession, prefix: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there: no lineage, no
-    recomputation after an executor is lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df with a gapless rank from 0 in the given order, without one task seeing all rows.
-
-    Range partitions are sorted and written once; only the row count of each partition meets in
-    a table of one row per partition, which is joined back.
-    """
-    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _start long")
-    return (
-        placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")
-    )
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node of every node in edges(src, dst): columns node, component.
-
-    Alternating large-star and small-star steps; each is one aggregation (pre-aggregated on the
-    map side) and one equi-join that adaptive execution can split when a node is hot. Edges to
-    itself are ignored; a node without another edge does not appear.
-    """
-    spark = edges.sparkSession
-    if spark.conf.get("spark.sql.adaptive.enabled") != "true":
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """Link each node's larger (large) or not larger neighbours to its smallest one."""
-        both = pairs if not large else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m"))
-        met = both.join(low, both["a"] == low["k"])
-        if large:
-            out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def mark(pairs: DataFrame):
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    before = mark(now)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
-        now = cut(star(star(now, True), False))
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the column COPY: 0 where the identifier occurs once; rows whose identifier is null or
+    occurs again get numbers from 1 that no two of them share, in the order of identifier and text.
+    So (identifier, COPY) names a row, and only equal rows can change places from call to call.
+
+    Usually no identifier repeats, and this costs a scan of that column. Otherwise only the rows of
+    repeated identifiers are ranked and written."""
+    if COPY in docs.columns:
+        return docs
+    key = F.col(id_col).cast("long")
+    again = cut(docs.groupBy(key.alias("_again")).agg(F.count("*").alias("_n")).where("_again is null or _n > 1").select("_again"))
+    n = again.count()
+    if not n:
+        return docs.withColumn(COPY, F.lit(0).cast("long"))
+    again = F.broadcast(again) if n <= FEW_IDS else again
+    same = key.eqNullSafe(F.col("_again"))
+    told = docs.join(again, same, "left_semi").withColumn("_mark", F.xxhash64(text_col)).withColumn("_at_", F.monotonically_increasing_id())
+    ranked = global_rank(told, [key, F.col("_mark"), F.col(text_col), F.col("_at_")], COPY).withColumn(COPY, F.col(COPY) + 1).drop("_mark", "_at_")
+    return docs.join(again, same, "left_anti").withColumn(COPY, F.lit(0).cast("long")).unionByName(ranked)
+
+
+def with_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the column _row, a number of its own for every row: the identifier where it occurs once,
+    larger numbers than any identifier for all others."""
+    told = numbered(docs, id_col, text_col)
+    key = F.col(id_col).cast("long")
+    top = told.agg(F.max(key)).first()[0] or 0
+    if top >= 1 << 62:
+        return global_rank(told, [key, F.col(COPY)], "_row").drop(COPY)
+    return told.withColumn("_row", F.when(F.col(COPY) == 0, key).otherwise(F.col(COPY) + F.lit(max(top, 0)))).drop(COPY)

@@ -20,24 +20,25 @@ every repeated run of 50 words is found; of runs of PASSAGE to 49 words, those t
 end up to WINDOW - 1 words before the common run does, on either side. Only places are counted and
 joined: no pairs of texts.
 
-null or empty texts have no paragraphs. null ids sort first, as in Spark. Repeated rows are occurrences
-like others. Lines of fewer words are removed as parts of passages only. Extra columns are not read.
+null or empty texts have no paragraphs. null ids sort first, as in Spark. Every row counts for itself, also
+where an identifier is null or repeats: the column copy tells such rows apart (see common.numbered), and
+of equal rows only the first is kept. Lines of fewer words are removed as parts of passages only. Extra
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import connected_components, cut, small_batches
+from basinflow.llm.common import COPY, connected_components, cut, numbered
 
 MIN_WORDS, SHINGLE, BANDS, ROWS = 20, 5, 8, 3
 #: Words of a sampled run; following runs of which one is taken (together, runs of 50 words).
@@ -145,31 +146,31 @@ def band_keys(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
 
 
 def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str, banded: bool) -> DataFrame:
-    """doc_id, line, words, hash and, if wanted, band keys of every paragraph."""
-    small_batches(docs.sparkSession)
+    """doc_id, copy, line, words, hash and, if wanted, band keys of every paragraph."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            for at, texts in text_slices(batch.column(1), SLICE):
-                found = [(d, *x) for d, t in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts) for x in lines_of(t, least)]
+            for at, texts in text_slices(batch.column(2), SLICE):
+                own = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (0, 1))
+                found = [(d, c, *x) for d, c, t in zip(*own, texts) for x in lines_of(t, least)]
                 if found:
-                    ids, line, words, normal = zip(*found)
+                    ids, copy, line, words, normal = zip(*found)
                     keys = band_keys(*shingles(normal, words, SHINGLE)) if banded else []
                     mark = np.array([xxhash.xxh3_64_intdigest(x) for x in normal], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.int32()), pa.array(mark), *map(pa.array, keys)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copy, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.int32()), pa.array(mark), *map(pa.array, keys)], names=names)
 
-    names = ["doc_id", "line", "words", "hash", *(KEYS if banded else [])]
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, line int, words int, hash long" + "".join(f", {k} long" for k in names[4:]))
+    names = ["doc_id", "copy", "line", "words", "hash", *(KEYS if banded else [])]
+    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, copy long, line int, words int, hash long" + "".join(f", {k} long" for k in names[5:]))
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(COPY).alias("copy"), F.col(text_col).cast("string").alias("text"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """hash and set (sorted shingle hashes) of the wanted paragraphs (doc_id, lines of line and hash)."""
+    """hash and set (sorted shingle hashes) of the wanted paragraphs (doc_id, copy, line and hash)."""
 
     def run(batches):
         import xxhash
@@ -186,9 +187,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                             sets.append(np.unique(shingles([normal], [n], SHINGLE)[0]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "set"])
 
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "hash")).alias("lines")).withColumnRenamed("doc_id", "_id")
+    asked = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_number")).agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
     rows = rows_of(docs, id_col, text_col)
-    return rows.join(asked, rows["doc_id"].eqNullSafe(asked["_id"])).select("text", "lines").mapInArrow(run, "hash long, set array<long>").dropDuplicates(["hash"])
+    return rows.join(asked, rows["doc_id"].eqNullSafe(asked["_id"]) & (rows["copy"] == asked["_number"])).select("text", "lines").mapInArrow(run, "hash long, set array<long>").dropDuplicates(["hash"])
 
 
 def tile_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -242,55 +243,61 @@ def links(docs: DataFrame, distinct: DataFrame, least: float, id_col: str, text_
 
 
 def repeated(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every paragraph that occurs more than once or has a near copy: doc_id, line (from 0), words,
+    """Every paragraph that occurs more than once or has a near copy: doc_id, copy, line (from 0), words,
     component_id and component_line (the cluster's first occurrence), kept."""
+    docs = numbered(docs, id_col, text_col)
     # Two scans, the second without keys, are cheaper than to store all paragraphs.
     banded, found = (occurrences(docs, max(1, min_words), id_col, text_col, b) for b in (True, False))
-    place = F.struct("doc_id", "line")
+    place = F.struct("doc_id", "copy", "line")
     distinct = cut(banded.groupBy("hash").agg(*(F.first(k).alias(k) for k in KEYS), F.min(place).alias("first"), F.count("*").alias("n")))
     parts = connected_components(links(docs, distinct, least, id_col, text_col))
     named = distinct.select("hash", "first", "n").join(parts, distinct["hash"] == parts["node"], "left").withColumn("part", F.coalesce("component", "hash"))
     clusters = named.groupBy("part").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")
     by_hash = named.join(clusters, "part").select(F.col("hash").alias("_hash"), "head")
     out = found.join(by_hash, found["hash"] == by_hash["_hash"])
-    return out.select("doc_id", "line", "words", F.col("head.doc_id").alias("component_id"), F.col("head.line").alias("component_line"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line") == F.col("head.line"))).alias("kept"))
+    return out.select("doc_id", "copy", "line", "words", F.col("head.doc_id").alias("component_id"), F.col("head.line").alias("component_line"), is_head("line").alias("kept"))
+
+
+def is_head(place: str) -> Column:
+    """Whether a row is the occurrence that its struct `head` names."""
+    return F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("copy") == F.col("head.copy")) & (F.col(place) == F.col(f"head.{place}"))
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, mark (of the text), word and hash of every run that is taken."""
-    small_batches(docs.sparkSession)
+    """doc_id, copy, word and hash of every run that is taken."""
 
     def run(batches):
         for batch in batches:
-            for at, texts in text_slices(batch.column(1), SLICE):
-                split = ((d, t, t.lower().split()) for d, t in zip(batch.column(0).slice(at, len(texts)).to_pylist(), ((t or "").encode("utf-8", "surrogatepass") for t in texts)))
-                found = [(d, zlib.crc32(t), b" ".join(w), len(w)) for d, t, w in split if len(w) >= PASSAGE + WINDOW - 1]
-                if found:
-                    ids, marks, normal, counts = zip(*found)
-                    text, word, hashes = taken_runs(normal, counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(text)), pa.array(np.array(marks, np.uint32).view(np.int32)[text]), pa.array(word.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["doc_id", "mark", "word", "hash"])
+            for at, texts in text_slices(batch.column(2), SLICE):
+                split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+                rows = [i for i, w in enumerate(split) if len(w) >= PASSAGE + WINDOW - 1]
+                if rows:
+                    text, word, hashes = taken_runs([b" ".join(split[i]) for i in rows], [len(split[i]) for i in rows])
+                    own = pa.array(np.array(rows)[text] + at)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(word.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["doc_id", "copy", "word", "hash"])
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, mark int, word int, hash long")
+    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, copy long, word int, hash long")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every span of words that occurs at another place too: doc_id, word (from 0, in the whole text),
+    """Every span of words that occurs at another place too: doc_id, copy, word (from 0, in the whole text),
     words, component_id and component_word (first occurrence of its first run), kept. The runs of a
     text that are first occurrences and those that are not make spans of their own."""
+    docs = numbered(docs, id_col, text_col)
     found = runs(docs, id_col, text_col)  # scanned twice: cheaper than to store all runs
-    place = F.struct("doc_id", "mark", "word")
-    again = found.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1").drop("n")
-    met = found.join(again, found["hash"] == again["_hash"]).select("doc_id", "mark", "word", "head", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark")) & (F.col("word") == F.col("head.word"))).alias("kept"))
-    own = Window.partitionBy("doc_id", "mark", "kept").orderBy("word")
+    again = found.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "word")).alias("head")).where("n > 1").drop("n")
+    met = found.join(again, found["hash"] == again["_hash"]).select("doc_id", "copy", "word", "head", is_head("word").alias("kept"))
+    own = Window.partitionBy("doc_id", "copy", "kept").orderBy("word")
     new = F.coalesce(F.col("word") > F.lag("word").over(own) + PASSAGE, F.lit(True))
     spans = met.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(own))
-    joined = spans.groupBy("doc_id", "mark", "kept", "span").agg(F.min(F.struct("word", "head")).alias("first"), F.max("word").alias("last"))
-    return joined.select("doc_id", F.col("first.word").alias("word"), (F.col("last") + PASSAGE - F.col("first.word")).alias("words"), F.col("first.head.doc_id").alias("component_id"), F.col("first.head.word").alias("component_word"), "kept")
+    joined = spans.groupBy("doc_id", "copy", "kept", "span").agg(F.min(F.struct("word", "head")).alias("first"), F.max("word").alias("last"))
+    return joined.select("doc_id", "copy", F.col("first.word").alias("word"), (F.col("last") + PASSAGE - F.col("first.word")).alias("words"), F.col("first.head.doc_id").alias("component_id"), F.col("first.head.word").alias("component_word"), "kept")
 
 
 def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of repeated() (word and component_word are null) and of passages() (line and
     component_line are null)."""
+    docs = numbered(docs, id_col, text_col)
     return repeated(docs, id_col=id_col, text_col=text_col).unionByName(passages(docs, id_col, text_col), allowMissingColumns=True)
 
 
@@ -301,8 +308,7 @@ def without(text: str, lines: list[int] | None, spans: list | None) -> str:
     if spans:
         words = [m.span() for m in re.finditer(rb"\S+", data)]
         for first, n in spans:
-            if first + n <= len(words):  # else: of another text under this identifier
-                gone[words[first][0] : words[first + n - 1][1]] = True
+            gone[words[first][0] : words[first + n - 1][1]] = True
     out, at = [], 0
     for i, line in enumerate(bytes(data).split(b"\n")):
         here = gone[at : at + len(line)]
@@ -316,8 +322,9 @@ def without(text: str, lines: list[int] | None, spans: list | None) -> str:
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the paragraphs and passages (of repeated() or all_repeats()) that are not kept.
     Row count and columns stay."""
+    told = numbered(docs, id_col, text_col)
     span = F.when(F.col("word").isNotNull(), F.struct("word", "words")) if "word" in found.columns else F.lit(None).cast("struct<word:int,words:int>")
-    lost = found.where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line").alias("_lines"), F.collect_set(span).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    lost = found.where(~F.col("kept")).groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_number")).agg(F.collect_set("line").alias("_lines"), F.collect_set(span).alias("_spans"))
     rest = F.udf(lambda t, lines, spans: None if t is None else without(t, lines, spans), "string")
-    met = docs.join(lost, docs[id_col].eqNullSafe(lost["_id"]), "left")
-    return met.withColumn(text_col, F.when(F.col("_lines").isNotNull(), rest(F.col(text_col), "_lines", "_spans")).otherwise(F.col(text_col))).drop("_id", "_lines", "_spans")
+    met = told.join(lost, told[id_col].cast("long").eqNullSafe(lost["_id"]) & (told[COPY] == lost["_number"]), "left")
+    return met.withColumn(text_col, F.when(F.col("_lines").isNotNull(), rest(F.col(text_col), "_lines", "_spans")).otherwise(F.col(text_col))).select(docs.columns)

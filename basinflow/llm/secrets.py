@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import small_batches
 
 # Keywords, patterns and the kinds' order.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -95,7 +94,6 @@ def written(spans: list[tuple[int, str, int]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and spans, an array of (kind, start, end) of the whole text."""
-    small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -118,7 +116,6 @@ def digests(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every secret in the text replaced by <kind>; overlapping spans become one, under
     the kind of the first. All rows and columns stay; a null text stays null."""
-    small_batches(docs.sparkSession)
     def clean(text):
         if text is None:
             return None

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import connected_components, cut, small_batches
+from basinflow.llm.common import connected_components, cut
 
 #: Start bit and width of the blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -61,7 +61,6 @@ def text_fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
