@@ -8,14 +8,15 @@ it takes for content are joined in page order.
 null or empty html, or a page without content: the empty string. Character references are decoded
 (unknown or broken ones stay as they are), white space inside a block becomes one space. Repeated
 pages keep their rows, null ids and urls stay null, other columns are not read. Pages are handled
-whole, one row at a time, without a shuffle.
+whole, one row at a time, without a shuffle, in time that grows with their length: a tag that is never
+closed takes the rest of the page, and open elements are found without a search.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import small_batches
 
 # Names of HTML elements and words that sites use in class, id and role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -39,11 +39,17 @@ HINT = re.compile(
 #: These words mark what is not content only outside the article: within it, they mark its title.
 TITLE_HINT = re.compile(r"(?:^|[\s_-])(?:header|head|masthead)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: A comment or tag that is not closed goes on to the end of the page, so that every match succeeds where
+#: it begins and pages are read in one pass. A quote that is not closed is no quote (see PLAIN_TAG); as
+#: there is none of its kind behind it, that is tried twice a page at most.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^>\"'])*+)(?:>|\Z)", re.S)
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 #: Name and value of an attribute; values are consumed whole, so that nothing in them is taken for a name.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Ends of the elements that close when a new one of their kind begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SCOPES = ("ul", "ol", "dl", "table", "div", "article", "section", "select")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "aside", "main", "heading")
 
 
@@ -60,11 +66,58 @@ class Block:
 @dataclass
 class Open:
     name: str
-    aside: bool
-    main: bool
+    aside: bool = False
+    main: bool = False
     hidden: bool = False
     link: bool = False
-    depth: tuple = field(default=())
+
+
+class Stack:
+    """The open elements. Where each name, and the last block, is open is kept, so that an end tag costs
+    the elements that it closes, however deep they stand."""
+
+    def __init__(self):
+        self.items: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.state = {"aside": 0, "main": 0, "hidden": 0, "link": 0, "head": 0}
+
+    def count(self, x: Open, by: int) -> None:
+        for flag in ("aside", "main", "hidden", "link"):
+            self.state[flag] += by * getattr(x, flag)
+        self.state["head"] += by * (x.name in HEADINGS)
+
+    def push(self, x: Open) -> None:
+        self.places.setdefault(x.name, []).append(len(self.items))
+        if x.name not in INLINE:
+            self.blocks.append(len(self.items))
+        self.items.append(x)
+        self.count(x, 1)
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, -1 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, k: int) -> None:
+        while len(self.items) > k:
+            x = self.items.pop()
+            self.places[x.name].pop()
+            if x.name not in INLINE:
+                self.blocks.pop()
+            self.count(x, -1)
+
+    def end(self, name: str) -> None:
+        """An end tag: an inline one does not reach out of its block."""
+        k = self.last(name)
+        if k >= 0 and not (name in INLINE and self.blocks and self.blocks[-1] > k):
+            self.close(k)
+
+    def begin(self, name: str) -> None:
+        """What ends because an element of this name begins, within the list, table or section at hand."""
+        if name in CLOSES:
+            k = self.last(*CLOSES[name])
+            if k > self.last(*SCOPES):
+                self.close(k)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -78,9 +131,9 @@ def attributes(text: str) -> dict[str, str]:
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[Open] = []
-    parts: list[tuple[str, bool]] = []
-    state = {"aside": 0, "main": 0, "hidden": 0, "link": 0, "head": 0}
+    stack, parts = Stack(), []
+    state = stack.state
+    ends: dict[str, bool] = {}  # names of raw elements whose end tag does not come again
     if not page:
         return out
 
@@ -93,16 +146,16 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, words, min(linked, words), int(state["aside"] > 0), int(state["main"] > 0), int(state["head"] > 0)))
             parts.clear()
 
-    def count(x: Open, by: int):
-        state["aside"] += by * x.aside
-        state["main"] += by * x.main
-        state["hidden"] += by * x.hidden
-        state["link"] += by * x.link
-        state["head"] += by * (x.name in ("h1", "h2", "h3", "h4", "h5", "h6"))
-
-    def close(k: int):
-        while len(stack) > k:
-            count(stack.pop(), -1)
+    def after(name: str, at: int) -> int:
+        """Where a raw element ends. Without an end tag it takes the rest of the page; a head ends at
+        the body, or is empty."""
+        for pattern in (rf"</{re.escape(name)}\s*>", *(["(?=<body)"] if name == "head" else [])):
+            if pattern not in ends:
+                m = re.compile(pattern, re.I).search(page, at)
+                if m:
+                    return m.end()
+                ends[pattern] = True
+        return at if name == "head" else len(page)
 
     at, n = 0, len(page)
     while at < n:
@@ -112,33 +165,25 @@ def blocks(page: str | None) -> list[Block]:
             parts.append((text, state["link"] > 0))
         if not m:
             break
+        if m[2] and m.end(3) == n:
+            m = PLAIN_TAG.match(page, m.start()) or m
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA[") and not state["hidden"]:
                 parts.append((m[0][9:].removesuffix("]]>").replace("&", "&amp;"), state["link"] > 0))
             continue
-        if m[1]:  # an end tag
-            if name not in INLINE:
-                flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), -1)
-            if k >= 0 and not (name in INLINE and any(x.name not in INLINE for x in stack[k + 1 :])):
-                close(k)
-            continue
         if name not in INLINE:
             flush()
-            if name in CLOSES:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name in CLOSES[name] or stack[k].name in ("ul", "ol", "dl", "table", "div", "article", "section", "select")), -1)
-                if k >= 0 and stack[k].name in CLOSES[name]:
-                    close(k)
+        if m[1]:
+            stack.end(name)
+            continue
+        stack.begin(name)
         if name in VOID or (m[3] or "").endswith("/") and name not in RAW:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if name == "head" and not end:
-                end = re.compile(r"(?=<body)", re.I).search(page, at)
             flush()
-            at = end.end() if end else n if name != "head" else at
+            at = after(name, at)
             continue
         given = attributes(m[3])
         main = name in MAIN or given.get("role") in ("main", "article")
@@ -147,11 +192,9 @@ def blocks(page: str | None) -> list[Block]:
         hinted = name not in ("body", "html") and bool(HINT.search(hint) or not inside and TITLE_HINT.search(hint))
         aside = name in ASIDE or name == "header" and not inside or given.get("role", "").lower() in ROLES or hinted and not main
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I))
-        x = Open(name, aside, main, hidden, name == "a")
         if (aside or hidden) and name in INLINE:
             flush()
-        stack.append(x)
-        count(x, 1)
+        stack.push(Open(name, aside, main, hidden, name == "a"))
     flush()
     return out
 
@@ -239,7 +282,6 @@ def main_text(page: str | None, nodes: list[tuple]) -> str:
 def extract(pages: DataFrame, nodes: list[tuple] | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages(page_id, url, html)."""
     spark = pages.sparkSession
-    small_batches(spark)
     nodes = nodes or train(spark)
 
     def run(batches):
