@@ -9,13 +9,16 @@ trained with these posteriors as soft labels; it scores every document. (The sam
 SAMPLE x WIDTH numbers, so the driver fits it by accelerated gradient steps; Spark ML's logistic
 regression had not converged on these sparse shares after 60 passes.)
 
-The sample is drawn by a hash of identifier and text, so it is the same at every run. Each pass over
-the documents is one scan without a shuffle of texts.
+The sample holds as many documents that the posterior calls bad as good ones (all of a kind that is
+rare), each weighted by how many it stands for, so both kinds are seen wherever the labellers find them.
+It is drawn by a hash of identifier and text, so it is the same at every run. Each pass over the
+documents is one scan without a shuffle of texts; the first one leaves 12 bytes a document in the shared
+folder, from which the sample is chosen.
 
 null or empty text: no labeller votes, the features are empty, and the document is kept, since
 nothing speaks against it. null ids stay null, repeated rows get equal scores, ties (a score of
-exactly one half) are kept. If the documents are too few or too alike to hold both kinds, all are
-kept with score 1. Extra columns are not read.
+exactly one half) are kept. If the posterior finds no bad or no good document, all are kept with score 1.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import small_batches
+from basinflow.llm.common import cut
 
 #: Documents on which the scorer is trained; hashed features.
 SAMPLE, WIDTH = 4000, 1024
@@ -114,13 +117,16 @@ def vote(value: float, good: float | None, bad: float) -> int:
 
 
 def votes(m: dict) -> list[int]:
-    """The labellers' votes, in the order of LABELLERS. Short texts say little about shares. Only
-    one labeller can speak for a text: several that all see plain words would count them twice."""
-    if m["n"] < 4:
-        return [*[0] * (len(LABELLERS) - 1), vote(m["plain_words"], 0.85, 0.2) if m["n"] else 0]
+    """The labellers' votes, in the order of LABELLERS. A share of few words says little, so shares are
+    taken as if some more words spoke for the text: bad words against three more good ones, plain words
+    with one and a half more plain ones. Only one labeller can speak for a text: several that all see
+    plain words would count them twice."""
+    doubt = m["n"] / (m["n"] + 3)
+    plain = (m["plain_words"] * m["n"] + 1.5) / (m["n"] + 1.5)
+    share = lambda name, bad: vote(doubt * m[name], None, bad)
     return [
-        vote(m["sign_ends"], None, 0.3), vote(m["shouting"], None, 0.4), vote(m["exclaiming"], None, 0.4), vote(m["bare_signs"], None, 0.25), vote(m["stuttering"], None, 0.3),
-        -1 if m["n"] >= 30 and m["few_words"] <= 0.15 else 0, vote(m["repeated_lines"], None, 0.6) if m["lines"] >= 5 else 0, vote(m["sign_share"], None, 0.2), vote(-m["letter_share"], None, -0.7), vote(m["plain_words"], 0.85, 0.6),
+        share("sign_ends", 0.3), share("shouting", 0.4), share("exclaiming", 0.4), share("bare_signs", 0.25), share("stuttering", 0.3),
+        -1 if m["n"] >= 30 and m["few_words"] <= 0.15 else 0, vote(m["repeated_lines"], None, 0.6) if m["lines"] >= 5 else 0, share("sign_share", 0.2), vote(doubt * (1 - m["letter_share"]), None, 0.3), 1 if m["n"] and m["plain_words"] >= 0.85 else -1 if plain <= 0.6 else 0,
     ]
 
 
@@ -139,22 +145,29 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def voted(rows: DataFrame, with_features: bool) -> DataFrame:
-    schema = "code int" + (", places array<int>, shares array<double>" if with_features else "")
+def voted(rows: DataFrame) -> DataFrame:
+    """mark (a hash) and code (all votes as one number) of rows(mark, text)."""
 
     def run(batches):
         for batch in batches:
-            for _, texts in text_slices(batch.column(0)):
-                seen = [measures(t or "") for t in texts]
-                code = [sum((v + 1) * 3**i for i, v in enumerate(votes(m))) for m, _ in seen]
-                out = {"code": pa.array(code, pa.int32())}
-                if with_features:
-                    dense = [hashed(s) for _, s in seen]
-                    out["places"] = pa.array([np.flatnonzero(x) for x in dense], pa.list_(pa.int32()))
-                    out["shares"] = pa.array([x[x != 0] for x in dense], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_pydict(out)
+            for at, texts in text_slices(batch.column(1)):
+                code = [sum((v + 1) * 3**i for i, v in enumerate(votes(measures(t or "")[0]))) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(code, pa.int32())], names=["mark", "code"])
+
+    return rows.select("mark", "text").mapInArrow(run, "mark long, code int")
+
+
+def featured(rows: DataFrame) -> DataFrame:
+    """mark, code and the hashed features (places and shares) of rows(mark, code, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in text_slices(batch.column(2)):
+                dense = [hashed(shapes_of(t or "")) for t in texts]
+                own = [batch.column(i).slice(at, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([np.flatnonzero(x) for x in dense], pa.list_(pa.int32())), pa.array([x[x != 0] for x in dense], pa.list_(pa.float64()))], names=["mark", "code", "places", "shares"])
 
-    return rows.select("text").mapInArrow(run, schema)
+    return rows.select("mark", "code", "text").mapInArrow(run, "mark long, code int, places array<int>, shares array<double>")
 
 
 def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float, np.ndarray]:
@@ -183,38 +196,43 @@ def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Accuracies of the labellers and the weights of the scorer (None if there is one kind only)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = rows_of(docs, id_col, text_col)
-    counted = sorted(voted(rows, False).groupBy("code").agg(F.count("*").alias("n")).collect())
+    rows = rows_of(docs, id_col, text_col).withColumn("mark", F.xxhash64(F.lit(11), "doc_id", "text"))
+    cast = cut(voted(rows))
+    counted = sorted(cast.groupBy("code").agg(F.count("*").alias("n")).collect())
     silent = sum(3**i for i in range(len(LABELLERS)))
     codes, counts = np.array([r["code"] for r in counted if r["code"] != silent], int), np.array([r["n"] for r in counted if r["code"] != silent], float)
     if not len(codes):
         return {"weights": None}
     posterior, share, accuracy = expectation_maximisation(codes, counts)
     out = {"weights": None, "share": share, "accuracy": dict(zip(LABELLERS, accuracy.tolist())), "posterior": dict(zip(codes.tolist(), posterior.tolist()))}
-    if counts[posterior < 0.5].sum() < 3 or counts[posterior >= 0.5].sum() < 3:
+    good = posterior >= 0.5
+    if good.all() or not good.any():
         return out
-    total = float(sum(r["n"] for r in counted))
-    mark = F.xxhash64(F.lit(11), "doc_id", "text")
-    drawn = rows.withColumn("mark", mark).where(F.pmod("mark", F.lit(1 << 40)) < int(min(1.0, 1.5 * sample / total) * (1 << 40)))
-    taken = voted(drawn.orderBy("mark").limit(sample), True).where(F.col("code") != silent)
-    trained = taken.collect()
-    x, p = np.zeros((len(trained), WIDTH)), np.array([out["posterior"].get(r["code"], 0.5) for r in trained])
+    # At most `sample` marks reach the driver; equal ones (repeated rows) count as one.
+    picked = []
+    for kind in (good, ~good):
+        total = counts[kind].sum()
+        drawn = cast.where(F.col("code").isin(codes[kind].tolist())).where(F.pmod("mark", F.lit(1 << 40)) <= int(min(1.0, 2 * sample / total) * (1 << 40)))
+        picked += [(r["mark"], r["code"]) for r in drawn.select("mark", "code").distinct().orderBy("mark").limit(sample // 2).collect()]
+    chosen = F.broadcast(spark.createDataFrame(picked, "mark long, code int"))
+    trained = featured(rows.select("mark", "text").join(chosen, "mark")).dropDuplicates(["mark"]).orderBy("mark").collect()
+    x, p = np.zeros((len(trained), WIDTH)), np.array([out["posterior"][r["code"]] for r in trained])
     for i, r in enumerate(trained):
         x[i, r["places"]] = r["shares"]
-    if (p < 0.5).any() and (p >= 0.5).any():
-        out["weights"], out["intercept"] = logistic(x, p)
+    sure = p >= 0.5
+    weight = np.where(sure, counts[good].sum() / max(1, sure.sum()), counts[~good].sum() / max(1, (~sure).sum()))
+    out["weights"], out["intercept"] = logistic(x, p, weight / weight.mean())
     return out
 
 
-def logistic(x: np.ndarray, p: np.ndarray, penalty: float = 1e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the penalised logistic regression on soft labels p."""
+def logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the penalised logistic regression on soft labels p of weighted rows."""
     used = np.flatnonzero(x.any(0))
     design = np.hstack([x[:, used], np.ones((len(x), 1))])
     w = look = np.zeros(design.shape[1])
-    step = 1 / (0.25 * np.linalg.eigvalsh(design.T @ design / len(design))[-1] + penalty)
+    step = 1 / (0.25 * np.linalg.eigvalsh((design * weight[:, None]).T @ design / len(design))[-1] + penalty)
     for k in range(rounds):
-        slope = design.T @ (1 / (1 + np.exp(-design @ look)) - p) / len(design) + penalty * np.append(look[:-1], 0)
+        slope = design.T @ (weight * (1 / (1 + np.exp(-design @ look)) - p)) / len(design) + penalty * np.append(look[:-1], 0)
         new = look - step * slope
         look, w = new + k / (k + 3) * (new - w), new
     out = np.zeros(x.shape[1])
@@ -224,7 +242,6 @@ def logistic(x: np.ndarray, p: np.ndarray, penalty: float = 1e-4, rounds: int =
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (of being good) and kept of every row."""
-    small_batches(docs.sparkSession)
     weights, intercept = model["weights"], model.get("intercept", 0.0)
 
     def run(batches):
@@ -248,7 +265,6 @@ def scores(texts: list[str | None], weights: np.ndarray | None, intercept: float
 
 def filter_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the scorer keeps."""
-    small_batches(docs.sparkSession)
     weights, intercept = model["weights"], model.get("intercept", 0.0)
 
     @F.pandas_udf("boolean")
