@@ -145,8 +145,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     width = width["w"] if width and width["w"] > 0 else 1
     # +0.0 and -0.0 are equal numbers but different bytes
     every = every.withColumn("vec", F.when(usable("vec") & (F.size("vec") == width), F.transform("vec", lambda x: x + F.lit(0.0))))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    every = cut(every.withColumn("vec", F.when((norm(F.col("vec")) > 1e-150) & (norm(F.col("vec")) < 1e150), F.col("vec"))))
+    # Squares of very large or small components leave the range of numbers: such vectors are first
+    # divided by their largest component, which changes no cosine.
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    every = cut(every.withColumn("vec", F.when((top > 1e-100) & (top < 1e100), F.col("vec")).otherwise(F.transform("vec", lambda x: x / top))))
     groups = every.where("vec is not null").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     mean, directions = principal(groups, width)
     epsilon = math.sqrt(max(1e-12, 2 - 2 * least))
