@@ -62,6 +62,48 @@ def test_bpe_splits_and_long_words(text):
     assert next(model.encode_batch([text], P.PATTERN)).tolist() == enc.encode_ordinary(text)
 
 
+def test_bpe_long_rows():
+    """Rows that merge many places in a round, against the library's merges of one pre-token."""
+    import tiktoken
+
+    model = bpe.ByteBPE(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=model.ranks, special_tokens={})
+    rng = random.Random(3)
+    for letters in ("abcdefgh", "ab", "a", "etaoinshrdlu", "!?-=*#", "=", "日本語", "0123456789abcdef"):
+        for n in (2, 3, 50, 257, 1000, 3000):
+            word = "".join(rng.choice(letters) for _ in range(n)).encode()
+            assert model.long_row(word).tolist() == enc._encode_single_piece(word)
+    # A vocabulary in which a merge makes a pair of a lower rank: only the leftmost place may merge then.
+    low = bpe.ByteBPE.__new__(bpe.ByteBPE)
+    low.ranks = {bytes([b]): b + 10 for b in range(256)} | {b"aba": 1, b"ab": 5}
+    low.byte = np.array([low.ranks[bytes([b])] for b in range(256)], np.int32)
+    pairs = [(low.ranks[t[:k]], low.ranks[t[k:]], i) for t, i in low.ranks.items() for k in range(1, len(t)) if t[:k] in low.ranks and t[k:] in low.ranks]
+    low.pairs = bpe.PairTable(*np.array(pairs, np.int32).T)
+    assert low.long_row(b"ababab").tolist() == [1, 98 + 10, 5]
+
+
+def test_word_cache_is_bounded():
+    cache, calls = bpe.WordCache(most=50, most_chars=400), []
+
+    def encode(new):
+        calls.extend(new)
+        return [w.encode() for w in new]
+
+    rng = random.Random(1)
+    for _ in range(60):
+        split = [[f"w{rng.randrange(30) if rng.random() < 0.8 else rng.randrange(10**6)}" for _ in range(20)] for _ in range(3)]
+        assert cache.coded(split, encode) == ["".join(x).encode() for x in split]
+        assert len(cache) <= 50 + 60 and len(cache.old) <= 50 + 60
+    assert len(calls) < 60 * 60 and cache.coded([[], ["x" * 1000]], encode) == [b"", b"x" * 1000]
+
+    def broken(new):
+        raise OSError
+
+    with pytest.raises(OSError):
+        cache.coded([["never seen"]], broken)
+    assert cache.coded([["never seen"]], encode) == [b"never seen"]
+
+
 def test_sorted_tables(spark, odd_rows):
     from tokenizers import Tokenizer
 
@@ -228,6 +270,95 @@ def test_kdtree(spark, odd_rows):
     assert {r["shard"] for r in kdtree.assign(table(spark, [(1, "one")]), shards=4).collect()} <= set(range(4))
 
 
+def test_kdtree_against_brute_force(spark):
+    """The same keys, split by a plain recursion over sorted rows."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(1, 40)), rng.choice(["en", "de", None]), "hot" if i % 3 else f"s{rng.randrange(9)}") for i in range(700)], "doc_id long, text string, lang string, source string")
+    tagged, count = kdtree.metadata(kdtree.numbered(docs), "doc_id", "text", ["lang", "source"])
+    rows = [(r["doc_id"], r["size"], r["keys"]) for r in tagged.collect()]
+    want = {}
+
+    def split(rows, first, leaves):
+        if leaves == 1:
+            want.update((i, first) for i, _, _ in rows)
+            return
+        widths = [max(k[d] >> 32 for _, _, k in rows) - min(k[d] >> 32 for _, _, k in rows) for d in range(count)]
+        d = widths.index(max(widths))
+        rows = sorted(rows, key=lambda r: r[2][d])
+        goal, before = sum(s for _, s, _ in rows) * (leaves // 2) / leaves, 0
+        for at, (_, size, _) in enumerate(rows):
+            if before + size >= goal:
+                break
+            before += size
+        at += abs(before + size - goal) <= abs(before - goal)
+        split(rows[:at], first, leaves // 2)
+        split(rows[at:], first + leaves // 2, leaves - leaves // 2)
+
+    split(rows, 0, 12)
+    assert {r["doc_id"]: r["shard"] for r in kdtree.assign(docs, shards=12, tolerance=0).collect()} == want
+
+
+def test_kdtree_of_equal_rows(spark, tmp_path):
+    """Equal rows and null ids are spread like others, and each is written once."""
+    rows = [(7, "the same row")] * 400 + [(None, "no identifier")] * 100 + [(1000 + i, "the same row") for i in range(300)] + [(5, "one"), (5, "another text"), (6, None)]
+    docs = table(spark, rows)
+    placed = kdtree.assign(docs, shards=8)
+    out = placed.collect()
+    sizes, slots = Counter(), {}
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(out) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 60 and len(sizes) == 8
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    kdtree.write(docs, placed, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter((r["doc_id"], r["text"], r["shard"]) for r in back.collect()) == Counter((i, t, "z") for i, t in rows)
+    assert {r["_shard"]: r["count"] for r in back.groupBy("_shard").count().collect()} == Counter(r["shard"] for r in out)
+
+
+def test_quality_of_a_rare_kind(spark):
+    """A kind that a uniform sample would miss is in the sample, with the weight of what it stands for."""
+    rng = random.Random(2)
+    rows = [(i, (prose(rng, 40) + ".").capitalize()) for i in range(500)] + [(900 + i, " ".join(w + "***" for w in prose(rng, 60).split())) for i in range(2)]
+    docs = table(spark, rows)
+    model = quality.fit(docs, sample=20)
+    kept = {r["doc_id"]: r["kept"] for r in quality.score(docs, model).collect()}
+    assert model["weights"] is not None and not kept[900] and not kept[901] and all(kept[i] for i in range(500))
+
+
+def test_expectation_maximisation_against_a_plain_one():
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000) < 0.8
+    cast = np.zeros((4000, len(quality.LABELLERS)), int) + 1
+    for i in range(5):
+        speaks, right = rng.random(4000) < 0.6, rng.random(4000) < 0.7 + 0.05 * i
+        cast[:, i] = np.where(speaks, np.where(right == truth, 2, 0), 1)
+    codes, counts = np.unique(cast @ 3 ** np.arange(len(quality.LABELLERS)), return_counts=True)
+    q, share, _ = quality.expectation_maximisation(codes, counts.astype(float))
+    # The same model, row by row and round by round.
+    p = np.where((cast == 0).any(1), 0.1, 0.9)
+    for _ in range(300):
+        prior = (p.sum() + 1) / (len(p) + 2)
+        log = np.full(len(p), np.log(prior / (1 - prior)))
+        for i in range(cast.shape[1]):
+            of = []
+            for weight, smooth in (((1 - p), (1.0, 1.0, 0.01)), (p, (0.01, 1.0, 1.0))):
+                hits = [weight[cast[:, i] == v].sum() + smooth[v] for v in range(3)]
+                of.append(np.array(hits) / sum(hits))
+            log += np.log(of[1][cast[:, i]] / of[0][cast[:, i]])
+        p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
+    by_code = dict(zip(codes.tolist(), q.tolist()))
+    assert np.abs(np.array([by_code[c] for c in (cast @ 3 ** np.arange(len(quality.LABELLERS))).tolist()]) - p).max() < 1e-4 and abs(share - truth.mean()) < 0.05
+
+
+def test_quality_votes_have_no_least_size():
+    """Votes change step by step with the number of words, not at a size; very long texts and words work."""
+    bad = lambda n: quality.votes(quality.measures(" ".join(["word***"] * n))[0])[0]
+    assert [bad(n) for n in (1, 2, 3, 50)] == [0, -1, -1, -1]
+    long = quality.measures("word " * 200_000 + "x" * 1_000_000)[0]
+    assert long["n"] == 200_001 and len(quality.votes(long)) == len(quality.LABELLERS)
+
+
 def test_quality(spark):
     rng = random.Random(9)
     good = [(i, (prose(rng, rng.randint(1, 200)) + ".").capitalize()) for i in range(400)]
@@ -279,8 +410,31 @@ def test_greedy_tiles_match_brute_force():
             n, q, p = -best[0], best[1], best[2]
             want.append((p, q, n))
             free_a[p : p + n], free_b[q : q + n] = [False] * n, [False] * n
-        places = [(p, q, 3) for p in range(len(a) - 2) for q in range(len(b) - 2) if a[p : p + 3] == b[q : q + 3]]
-        assert (tiling.tiles(places) if places else []) == sorted(want)
+        places = [(0, p, q, 3) for p in range(len(a) - 2) for q in range(len(b) - 2) if a[p : p + 3] == b[q : q + 3]]
+        half = len(places) // 2
+        runs = tiling.joined(np.concatenate([tiling.joined(np.array(x, np.int64).reshape(-1, 4)) for x in (places[:half], places[half:])]))
+        assert (tiling.tiles(runs[:, 1:], 3) if places else []) == sorted(want)
+
+
+def test_tiling_of_repeated_words(spark, monkeypatch):
+    """Every place of one word meets every place: few runs, and the same result however they are dealt."""
+    seeds = tiling.Seeds([(1, "ha " * 300), (2, "one two " * 150), (3, "one")])
+    text = "ha " * 4000 + "one " * 3
+    want = [(1, 300, 1, 1.0), (3, 1, 1, 1.0)]
+    assert list(tiling.covered(text, seeds, 0.7)) == want
+    monkeypatch.setattr(tiling, "MEETINGS", 1000)
+    assert list(tiling.covered(text, seeds, 0.7)) == want
+
+
+def test_tiling_in_blocks(spark, monkeypatch):
+    """A benchmark of several blocks gives the rows of one block, also for repeated and null ids."""
+    rng = random.Random(3)
+    items = [prose(random.Random(100 + i), 40) for i in range(6)]
+    docs = table(spark, [(1, items[0]), (1, prose(rng, 60)), (2, items[4]), (None, items[5]), (None, prose(rng, 50)), (3, None)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one = (sorted(map(str, tiling.contamination(docs, bench).collect())), sorted(map(str, tiling.clean(docs, bench).collect())))
+    monkeypatch.setattr(tiling, "BLOCK_WORDS", 80)
+    assert one == (sorted(map(str, tiling.contamination(docs, bench).collect())), sorted(map(str, tiling.clean(docs, bench).collect()))) and len(one[1]) == 3
 
 
 def test_paragraphs(spark, monkeypatch):
@@ -327,6 +481,61 @@ def test_passages(spark):
     assert paragraphs.passages(table(spark, [])).count() == 0
 
 
+def test_repeated_rows_of_paragraphs(spark):
+    """Of equal rows one is kept; rows of one identifier with other texts are told apart."""
+    rng = random.Random(31)
+    own = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = own(60), own(60), own(60)
+    rows = [(11, a)] * 3 + [(12, b), (12, c), (None, c), (None, c), (13, own(60)), (14, b)]
+    docs = table(spark, rows)
+    out = paragraphs.repeated(docs).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in out) == Counter({(11, True): 1, (11, False): 2, (12, False): 2, (None, True): 1, (None, False): 1, (14, True): 1} if [r for r in out if r["doc_id"] == 14 and r["kept"]] else {(11, True): 1, (11, False): 2, (12, True): 1, (12, False): 1, (None, True): 1, (None, False): 1, (14, False): 1})
+    left = Counter((r["doc_id"], bool(r["text"])) for r in paragraphs.remove(docs, paragraphs.all_repeats(docs)).collect())
+    assert sum(n for (_, full), n in left.items() if full) == 4 and sum(left.values()) == len(rows) and left[13, True] == 1
+    told = {(r["doc_id"], r["_copy"]): r["text"] for r in paragraphs.numbered(docs).collect()}
+    assert len(told) == len(rows) and told[13, 0] and {k for i, k in told if i in (11, 12, None)} == set(range(1, 8))
+
+
+def test_rows_and_folders(spark):
+    from basinflow.llm.common import with_rows
+
+    plain = with_rows(table(spark, [(3, "a"), (9, "b")])).collect()
+    assert {r["doc_id"]: r["_row"] for r in plain} == {3: 3, 9: 9}
+    odd = with_rows(table(spark, [(3, "a"), (3, "a"), (None, "b"), (9, "c"), (-4, None)])).collect()
+    assert len({r["_row"] for r in odd}) == 5 and {r["doc_id"]: r["_row"] for r in odd if r["doc_id"] in (9, -4)} == {9: 9, -4: -4}
+    assert len({r["_row"] for r in with_rows(table(spark, [(2**63 - 1, "a"), (1, "b"), (1, "b")])).collect()}) == 3
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        new_folder(Cluster(), "x")
+
+
+def test_embeddings_of_any_size(spark):
+    """Finite vectors whose squares leave the range of numbers are linked like others."""
+    rows = [(1, [3e-200, 4e-200]), (2, [3e200, 4e200]), (3, [3.0, 4.0]), (4, [-3e-310, 4e-310]), (5, [4.0, -3.0]), (6, [1.7e308, 1.7e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in egojoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (0, 5), 6: (3, 1)}
+
+
+def test_html_hostile_pages():
+    """Time grows with the length; what is never closed ends with the page, and a stray quote hides nothing."""
+    import time
+
+    pages = ["<div>" * 20_000 + "</span>" * 20_000, "<span><div>" * 20_000 + "</span>" * 20_000, '<a "' * 40_000, "<head>" * 20_000, "<!" * 40_000, "<p><b>" * 20_000, "<ul><li>" * 20_000 + "<li>" * 20_000, "<svg>" * 20_000, "<a href='x\" " * 20_000]
+    for page in pages:
+        began = time.process_time()
+        html.blocks(page)
+        assert time.process_time() - began < 8
+    assert [b.text for b in html.blocks('<p>a</p><p class="x>b <i>c</i></p> d')] == ["a", "b c", "d"]
+    assert [b.text for b in html.blocks("<p>a</p><!-- <p>b</p>")] == ["a"] and [b.text for b in html.blocks("<p>a<b")] == ["a"]
+    assert [b.text for b in html.blocks("<ul><li>a<ul><li>b</ul><li>c</ul><b><p>d</b>e</p>")] == ["a", "b", "c", "de"]
+
+
 def test_sorted_tables_added_token():
     from tokenizers import Tokenizer
 

@@ -35,6 +35,17 @@ def test_stages(spark, tmp_path):
     assert "hunter2222" not in texts[800] and texts[1] == clean[1][1]
 
 
+def test_one_of_each_tells_rows_apart(spark):
+    """Texts of one identifier or of none are documents like others: unlike ones stay, copies go."""
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    docs = table(spark, [(1, a), (1, b), (2, b), (None, c), (None, c), (3, c), (None, d), (4, None), (4, None)])
+    left = corpus_pipeline.one_of_each(spark, docs, "")
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(t or "" for _, t in got) == sorted([a, b, c, d, ""]) and {(1, a), (2, b), (3, c), (None, d)} <= set(got)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
