@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given. The first four return the
 columns of documents; the last returns doc_id and ids, the tokens of every remaining text. null ids and
-texts pass as the operators' docstrings say; repeated rows of one identifier count as copies of each
-other, so one of them stays.
+texts pass as the operators' docstrings say. Rows count for themselves, also those of one identifier.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.llm import bpe, paragraphs, quality, secrets, simhash, tiling
-from basinflow.llm.common import connected_components, new_folder, table
+from basinflow.llm.common import COPY, connected_components, new_folder, table, with_rows
 from basinflow.llm.queries import split_pattern, tokenizer_file
 
 
@@ -28,15 +27,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts that are nearly equal; texts of a Jaccard similarity of 0.8 lie about 10 bits apart, where
     fingerprints of 64 bits cannot be searched. So that such copies go too, whole documents are also
     compared as one paragraph each by the banding operator, and both kinds of links are followed.
-    Rows without an identifier stay."""
-    parts = simhash.near_duplicates(docs, shingle=5)
-    whole = docs.select("doc_id", F.translate("text", "\n", " ").alias("text"))
-    similar = paragraphs.repeated(whole, least=0.8, min_words=1)
+    Rows are told apart by numbers of their own: null and repeated identifiers are documents like others,
+    of which those with an identifier that occurs once stay first."""
+    rows = with_rows(docs)
+    parts = simhash.near_duplicates(rows.select("_row", "text"), shingle=5, id_col="_row")
+    whole = rows.select("_row", F.translate("text", "\n", " ").alias("text"), F.lit(0).cast("long").alias(COPY))
+    similar = paragraphs.repeated(whole, least=0.8, min_words=1, id_col="_row")
     links = parts.select("doc_id", "component_id").unionByName(similar.select("doc_id", "component_id"))
-    groups = connected_components(links.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")).where("src is not null and dst is not null"))
-    lost = groups.where("node <> component").select(F.col("node").alias("doc_id"))
-    numbered = docs.where("doc_id is not null").join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    groups = connected_components(links.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")))
+    lost = groups.where("node <> component").select(F.col("node").alias("_row"))
+    return rows.join(lost, "_row", "left_anti").select(docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
