@@ -99,13 +99,31 @@ REGISTRY: dict[tuple[str, str], MoveSet] = {
 }
 
 
-def move_set(graph: str, option: str = "") -> MoveSet:
-    """The move set of a graph description: Q2, Qk[,LETTERS], P, X, ? and (through their own modules)
-    RNA, RNA2, S, T."""
+def rna_options(graph: str, option: str = "") -> dict[str, bool]:
+    """What an RNA graph (RNA, RNA2, each with or without -noLP) and its move option (Shift, noShift or
+    ligand) ask for. An unknown word is an error, as are ligands with RNA2, whose structures take no mark."""
+    if graph not in ("RNA", "RNA-noLP", "RNA2", "RNA2-noLP"):
+        raise ValueError(f"unknown graph {graph!r}")
+    words = {"": {}, "shift": {"shift": True}, "noshift": {"shift": False}, "ligand": {"ligand": True}}
+    word = option if option == "ligand" else option[:1].lower() + option[1:].replace("Shift", "shift")
+    if word not in words:
+        raise ValueError(f"unknown moves {option!r}")
+    out = {"second": graph.startswith("RNA2"), "no_lonely": graph.endswith("-noLP"), "shift": False, "ligand": False} | words[word]
+    if out["second"] and out["ligand"]:
+        raise ValueError("RNA2 takes no ligand marks")
+    return out
+
+
+def move_set(graph: str, option: str = "", design: tuple[str, str, int, int] | None = None, scores: dict | None = None, least: int = 4) -> MoveSet:
+    """The move set of a graph description: Q2, Qk[,LETTERS], P, X, T (trees), S or SECIS (with design:
+    structure, protein, most mutations and least score) and RNA, RNA2 (functions of structure and
+    sequence; least: smallest distance of a new pair). Lists of neighbours (?) are a column: adjacency()."""
     if (graph, option) in REGISTRY:
         return REGISTRY[graph, option]
-    if graph[:1] == "Q":
+    if graph[:1] == "Q" and graph[1:2].isdigit():
         size, _, letters = graph[1:].partition(",")
+        if not size.isdigit() or not 0 < int(size) <= 26 and not letters:
+            raise ValueError(f"unknown graph {graph!r}")
         letters = letters or "".join(chr(65 + i) for i in range(int(size)))
         if len(letters) != int(size):
             raise ValueError(f"{graph}: the alphabet has {len(letters)} letters")
@@ -117,5 +135,16 @@ def move_set(graph: str, option: str = "") -> MoveSet:
     if graph[:3] == "RNA":
         from basinflow.functions.rna import rna_moves
 
-        return rna_moves(no_lonely="noLP" in graph, shift=option.lower() == "shift")
+        chosen = rna_options(graph, option)
+        return rna_moves(no_lonely=chosen["no_lonely"], shift=chosen["shift"], second=chosen["second"], least=least)
+    if graph == "T":
+        from basinflow.functions.trees import nni
+
+        return nni
+    if graph in ("S", "SECIS"):
+        from basinflow.functions.design import mutants
+
+        if design is None:
+            raise ValueError("a design landscape needs structure, protein, most mutations and least score")
+        return mutants(*design, scores=scores)
     raise ValueError(f"unknown graph {graph!r} with moves {option!r}")

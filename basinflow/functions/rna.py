@@ -2,6 +2,10 @@
 
 A structure is a dot-bracket string over a sequence of the same length; a trailing * marks a bound
 ligand. A move is written as a rule on the pair table; the string comes from the table afterwards.
+
+There are two move sets. RNA knows the extended base pairs and ligand marks, and has no shifts without
+lonely pairs. RNA2 knows the canonical pairs only, has such shifts, takes no marks, and lets a pair that
+is not lonely close a loop that is shorter by one.
 """
 
 from __future__ import annotations
@@ -61,8 +65,28 @@ def is_pair(table: list[int], i: int, j: int) -> bool:
     return 0 <= i < j < len(table) and table[i] == j
 
 
+def outside_lonely(table: list[int], i: int, j: int) -> bool:
+    """Whether (i - 1, j + 1) is no pair."""
+    return not is_pair(table, i - 1, j + 1)
+
+
+def inside_lonely(table: list[int], i: int, j: int) -> bool:
+    """Whether (i + 1, j - 1) is no pair."""
+    return not is_pair(table, i + 1, j - 1)
+
+
 def lonely(table: list[int], i: int, j: int) -> bool:
-    return not is_pair(table, i - 1, j + 1) and not is_pair(table, i + 1, j - 1)
+    return outside_lonely(table, i, j) and inside_lonely(table, i, j)
+
+
+def leaves_inside_lonely(table: list[int], i: int, j: int) -> bool:
+    """Whether (i + 1, j - 1) is a pair that would be lonely without (i, j)."""
+    return is_pair(table, i + 1, j - 1) and inside_lonely(table, i + 1, j - 1)
+
+
+def leaves_outside_lonely(table: list[int], i: int, j: int) -> bool:
+    """Whether (i - 1, j + 1) is a pair that would be lonely without (i, j)."""
+    return is_pair(table, i - 1, j + 1) and outside_lonely(table, i - 1, j + 1)
 
 
 def changed(table: list[int], remove=(), add=()) -> list[int]:
@@ -78,34 +102,33 @@ def canonical(table: list[int]) -> bool:
     return not any(j > i and lonely(table, i, j) for i, j in enumerate(table))
 
 
-def neighbours(sequence: str, structure: str, no_lonely: bool = False, shift: bool = False, least: int = 4, least_canonical: int = 3, pairs: frozenset = PAIRS) -> Iterator[tuple[str, bool]]:
+def neighbours(sequence: str, structure: str, no_lonely: bool = False, shift: bool = False, second: bool = False, least: int = 4) -> Iterator[tuple[str, bool]]:
     """(structure, whether two pairs changed) for every insertion, deletion and, with shift, every
-    move of one end of a pair. least: smallest j - i of a new pair; least_canonical: of an insertion
-    without lonely pairs. With no_lonely, a pair that would be lonely comes or goes as a stack of two."""
+    move of one end of a pair. second: the set RNA2 instead of RNA. least: smallest j - i of a new pair
+    (1 for two strands). With no_lonely, a pair that would be lonely comes or goes as a stack of two."""
     table = pair_list(structure)
-    loop, n = loops(table), len(table)
+    loop, n, pairs = loops(table), len(table), PAIRS if second else EXTENDED
     fits = lambda i, j: sequence[i] + sequence[j] in pairs
     free = [i for i in range(n) if table[i] < 0]
-    apart = least_canonical if no_lonely else least
+    apart = least - 1 if no_lonely and second else least
     for i in free:
         for j in free:
             if j - i >= apart and loop[i] == loop[j] and fits(i, j):
                 new = changed(table, add=[(i, j)])
                 if not no_lonely or not lonely(new, i, j):
                     yield drawn(new), False
-                elif j - i > 5 and table[i + 1] < 0 and table[j - 1] < 0 and fits(i + 1, j - 1) and not is_pair(table, i + 2, j - 2):
+                elif j - i >= least + 2 and table[i + 1] < 0 and table[j - 1] < 0 and fits(i + 1, j - 1) and inside_lonely(table, i + 1, j - 1):
                     yield drawn(changed(new, add=[(i + 1, j - 1)])), True
     for i, j in enumerate(table):
         if j <= i:
             continue
         new = changed(table, remove=[(i, j)])
-        inside = is_pair(new, i + 1, j - 1) and lonely(new, i + 1, j - 1)
-        outside = is_pair(new, i - 1, j + 1) and lonely(new, i - 1, j + 1)
+        inside, outside = leaves_inside_lonely(table, i, j), leaves_outside_lonely(table, i, j)
         if not no_lonely or not inside and not outside:
             yield drawn(new), False
-        elif inside and not is_pair(table, i - 1, j + 1):
+        elif inside and outside_lonely(table, i, j):
             yield drawn(changed(new, remove=[(i + 1, j - 1)])), True
-        if shift:
+        if shift and (second or not no_lonely):
             for stay, gone in ((i, j), (j, i)):
                 for k in free:
                     a, b = min(stay, k), max(stay, k)
@@ -115,10 +138,10 @@ def neighbours(sequence: str, structure: str, no_lonely: bool = False, shift: bo
                             yield drawn(moved), False
 
 
-def rna_moves(sequence: Column | str | None = None, no_lonely: bool = False, shift: bool = False, extended: bool = False, least: int = 4, ligand: bool = False) -> Callable:
-    """A function (structure, sequence) -> array of (structure, is_double). ligand: structures may
-    carry a trailing *, which neighbours keep, and the state with the other mark is one more."""
-    pairs = EXTENDED if extended else PAIRS
+def rna_moves(sequence: Column | str | None = None, no_lonely: bool = False, shift: bool = False, second: bool = False, least: int = 4, ligand: bool = False) -> Callable:
+    """A function (structure, sequence) -> array of (structure, is_double). ligand: also the state with
+    the other mark (the steps of binding and release, which count for rates only). Structures may carry
+    a trailing *, which neighbours keep, unless second is set."""
 
     @F.pandas_udf(NEIGHBOUR)
     def generated(structures: pd.Series, sequences: pd.Series) -> pd.Series:
@@ -127,23 +150,29 @@ def rna_moves(sequence: Column | str | None = None, no_lonely: bool = False, shi
             if s is None or q is None:
                 out.append(None)
                 continue
-            bare = s.rstrip("*")
+            bare = s if second else s.rstrip("*")
             if len(bare) != len(q):
                 raise ValueError(f"structure and sequence differ in length: {s} {q}")
-            out.append([{"structure": x + s[len(bare) :], "is_double": d} for x, d in neighbours(q, bare, no_lonely, shift, least, min(3, least) if no_lonely and not extended else least, pairs)])
+            out.append([{"structure": x + s[len(bare) :], "is_double": d} for x, d in neighbours(q, bare, no_lonely, shift, second, least)])
         return pd.Series(out)
 
     def of(structure: Column, seq: Column | str | None = None) -> Column:
         q = seq if seq is not None else sequence
         found = generated(structure, q if isinstance(q, Column) else F.lit(q))
-        if not ligand:
-            return found
-        other = F.when(structure.endswith("*"), F.rtrim(structure, F.lit("*"))).otherwise(F.concat(structure, F.lit("*")))
-        return F.concat(found, F.array(F.struct(other.alias("structure"), F.lit(False).alias("is_double"))))
+        return F.concat(found, F.array(F.struct(other_mark(structure).alias("structure"), F.lit(False).alias("is_double")))) if ligand else found
 
     return of
 
 
+def is_bound(structure: Column) -> Column:
+    return structure.endswith("*")
+
+
+def other_mark(structure: Column) -> Column:
+    """The same structure bound if it is unbound, and the other way round."""
+    return F.when(is_bound(structure), F.rtrim(structure, F.lit("*"))).otherwise(F.concat(structure, F.lit("*")))
+
+
 def cut_strands(s: Column) -> Column:
     """The place of a strand cut & (0: none) and the string without it; two cuts are an error."""
     n = F.length(s) - F.length(F.replace(s, F.lit("&"), F.lit("")))

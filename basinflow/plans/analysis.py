@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basinflow.functions.moves import adjacency, move_set
+from basinflow.functions.moves import adjacency, move_set, rna_options
+from basinflow.functions.rna import other_mark
 from basinflow.operators import landscape as L
 from basinflow.operators.graph import cut
 from basinflow.operators.paths import saddle_path
@@ -20,15 +21,21 @@ ID = L.ID
 
 @dataclass(frozen=True)
 class LandscapeOptions:
-    """graph and moves: the move set by name, or move itself. minh, most: depth and number of true
-    minima. connected: only the tree of the ground state. temperature: see operators.landscape.kt.
-    poset: edges must not worsen any objective. early_stop: read no more than the bands that give the
-    first most - 1 merges deeper than minh. noise-free energies are compared exactly."""
+    """graph and moves: the move set by name, or move itself. sequence: of RNA structures (T counts as U);
+    strands: whether it is cut into two. design, scores: of a sequence design (see moves.move_set).
+    minh, most: depth and number of true minima. connected: only the tree of the ground state (with
+    ligands, of the bound and of the unbound one). temperature: see operators.landscape.kt. poset: edges
+    must not worsen any objective. early_stop: read no more than the bands that give the first most - 1
+    merges deeper than minh. sizes: valley sizes are wanted in bar. Energies are compared exactly. An
+    unknown graph or move option is an error."""
 
     graph: str = "RNA"
     moves: str = ""
     move: Callable[[Column], Column] | None = None
     sequence: str | None = None
+    strands: bool = False
+    design: tuple[str, str, int, int] | None = None
+    scores: dict | None = None
     minh: float = 1e-6
     most: int = 100
     connected: bool = False
@@ -36,6 +43,11 @@ class LandscapeOptions:
     poset: bool = False
     early_stop: bool = False
     double_rate: float = 1.0
+    sizes: bool = False
+
+    @property
+    def ligand(self) -> bool:
+        return self.move is None and self.graph.startswith("RNA") and rna_options(self.graph, self.moves)["ligand"]
 
 
 class Landscape:
@@ -55,13 +67,13 @@ class Landscape:
     def neighbours(self, states: DataFrame) -> DataFrame:
         """landscape_id, n, structure, is_double: all neighbours of all states, stored or not."""
         o = self.options
-        if o.graph.startswith("RNA"):
-            found = move_set(o.graph, o.moves)(F.col("structure"), F.lit(o.sequence))
+        if o.move is None and o.graph.startswith("RNA"):
+            found = move_set(o.graph, o.moves, least=1 if o.strands else 4)(F.col("structure"), F.lit((o.sequence or "").replace("T", "U")))
             return states.select(ID, F.col("rank").alias("n"), F.explode(found).alias("x")).select(ID, "n", "x.structure", "x.is_double")
         if o.graph == "?":
             found = adjacency(F.col("listed"))
         else:
-            found = (o.move or move_set(o.graph, o.moves))(F.col("structure"))
+            found = (o.move or move_set(o.graph, o.moves, o.design, o.scores))(F.col("structure"))
         return states.select(ID, F.col("rank").alias("n"), F.explode(found).alias("structure")).withColumn("is_double", F.lit(False))
 
     @cached_property
@@ -72,6 +84,16 @@ class Landscape:
         met = self.neighbours(self.states).join(build, [ID, "structure"]).where("m < n").join(own, [ID, "n"])
         return cut(met.groupBy(ID, "n", "m").agg(F.min("e_n").alias("e_n"), F.min("e_m").alias("e_m"), F.bool_and("is_double").alias("is_double")))
 
+    @cached_property
+    def rate_edges(self) -> DataFrame:
+        """The edges that rates count: with ligands, binding and release are steps too."""
+        if not self.options.ligand:
+            return self.all_edges
+        build = self.states.select(ID, "structure", F.col("rank").alias("m"), F.col("energy").alias("e_m"))
+        turned = self.states.select(ID, F.col("rank").alias("n"), F.col("energy").alias("e_n"), other_mark(F.col("structure")).alias("structure"))
+        met = turned.join(build, [ID, "structure"]).where("m < n").select(ID, "n", "m", "e_n", "e_m", F.lit(False).alias("is_double"))
+        return cut(self.all_edges.unionByName(met))
+
     @cached_property
     def edges(self) -> DataFrame:
         if not self.options.poset:
@@ -110,7 +132,7 @@ class Landscape:
     @cached_property
     def true_minima(self) -> DataFrame:
         o = self.options
-        return cut(L.true_minima(self.tree, o.minh, o.most, o.connected))
+        return cut(L.true_minima(self.tree, o.minh, o.most, o.connected, ligand=o.ligand))
 
     @cached_property
     def pareto(self) -> DataFrame:
@@ -136,11 +158,11 @@ class Landscape:
     @cached_property
     def rates(self) -> DataFrame:
         factor = F.when(F.col("is_double"), F.lit(self.options.double_rate)).otherwise(F.lit(1.0))
-        return L.rates(self.states, self.all_edges, self.labels, self.kt, factor)
+        return L.rates(self.states, self.rate_edges, self.labels, self.kt, factor)
 
     @cached_property
     def micro_rates(self) -> DataFrame:
-        return L.micro_rates(self.all_edges, self.kt)
+        return L.micro_rates(self.rate_edges, self.kt)
 
     def path(self, a: int, b: int, landscape: str = "1") -> DataFrame:
         """The saddle path between two true minima."""

@@ -49,12 +49,25 @@ CASES = [
     ("GGGGUUUCCCC", "((((...))))", True, False, "(((.....))) .(((...)))."),
     ("GGGGUUUCCCC", "...........", True, False, "((......)). .((....)).. .((.....)). ((.....)).. ..((....)). .((......)) ..((...)).. ((.......)) ..((.....)) ((....))... .((...))... ((...))...."),
     ("GGGGGGGGUUUUUUU", "((..(((...)))))", True, True, "....(((...))).. ((..((.....)))) (((..((...))))) ((...((...)).))"),
-]
+    (
+        "AAGUGAUACCAGCAUCGUCUUGAUGCCCUUGGCAGCACUUCAU", "(((((((......)))).)))((((((...)))).....))..", True, True,
+        "(((((((......))))).))((((((...)))).....)).. (((((((......)))).)))(((((.....))).....)).. (((((((......)))).)))((.(((...)))......)).. (((((((......)))).)))..((((...))))......... "
+        "((((((........))).)))((((((...)))).....)).. (((.(((......)))..)))((((((...)))).....)).. ((.((((......))))..))((((((...)))).....)).. .((((((......)))).))(((((((...)))).....))). .((((((......)))).)).((((((...)))).....))..",
+    ),
+    (
+        "GGGGGGGGGGGGAAAUUUUUUUGUUUU", ".(((....(((.....)))....))).", False, True,
+        ".(((...((((.....))))...))). .(((.(..(((.....)))..).))). ((((....(((.....)))....)))) .(((....((((...))))....))). ..((....(((.....)))....)).. .(((.....((.....)).....))). .(((....((.......))....))). .(((..(.(((.....))).)..))). "
+        ".((.....(((.....))).....)). .(.(....(((.....)))....).). .(((....(.(.....).)....))). .(((....(((....).))....))). .(((.(..(((.....))).)..))). .(((..(.(((.....)))..).))). .(((....((.(....)))....))). .(((..(.(((.....))))...))). "
+        ".(((...((((.....))).)..))). .(((....(((.....)))....)).) .((.(...(((.....)))....))). .(((...(.((.....)))....))). .(((....(((.....)).)...))). (.((....(((.....)))....))). .((((...(((.....)))..).))). .((((...(((.....))).)..))). "
+        ".(((.(..(((.....))))...))). .(((...((((.....)))..).))). .(((....((..(...)))....))). .((..(..(((.....)))....))). .(((..(..((.....)))....))). .(((....(((.....))..)..))). .((((...(((.....))))...))). .(((....(((.....)))..)..)). "
+        ".((....((((.....)))....))). .(((....(((.....))))....)). .((((....((.....)))....))). .((...(.(((.....)))....))). .(((....(((.....))).)...)). .(((.(...((.....)))....))). .(((....(((.....))...).))). .(((.....((.....))(...)))).",
+    ),
+]
 
 
 @pytest.mark.parametrize("sequence,structure,no_lonely,shift,want", CASES)
 def test_rna(spark, sequence, structure, no_lonely, shift, want):
-    row = spark.createDataFrame([(structure, sequence)], "s string, q string").select(rna.rna_moves(no_lonely=no_lonely, shift=shift)(F.col("s"), F.col("q")).alias("n")).first()
+    row = spark.createDataFrame([(structure, sequence)], "s string, q string").select(rna.rna_moves(no_lonely=no_lonely, shift=shift, second=True)(F.col("s"), F.col("q")).alias("n")).first()
     assert sorted(x["structure"] for x in row["n"]) == sorted(want.split())
 
 
@@ -73,8 +86,32 @@ def test_pair_table_and_loneliness():
     assert rna.pair_list("((...))(...)") == [6, 5, -1, -1, -1, 1, 0, 11, -1, -1, -1, 7]
     with pytest.raises(ValueError):
         rna.pair_list("(()")
-    lone = {".(((....))).": 0, "..((....))..": 0, "..(......)..": 1, ".((......).)": 1, ".((.(...)).)": 1, ".(((..()))).": 0, "(((......)))": 0, "((((.)(.))))": 0}
-    assert {s: int(rna.lonely(rna.pair_list(s), 2, 9)) for s in lone} == lone
+    # For the pair (2, 9) of each structure, whether it is lonely inside, outside, at all, and
+    # whether its inner or outer neighbour would become lonely without it.
+    lone = {
+        ".(((....))).": (0, 0, 0, 1, 1), "..((....))..": (0, 1, 0, 1, 0), "..(......)..": (1, 1, 1, 0, 0), ".((......).)": (1, 1, 1, 0, 0),
+        ".((.(...)).)": (1, 1, 1, 0, 0), ".(((..()))).": (0, 0, 0, 1, 1), "(((......)))": (1, 0, 0, 0, 0), "((((.)(.))))": (1, 0, 0, 0, 0),
+    }
+    tests = (rna.inside_lonely, rna.outside_lonely, rna.lonely, rna.leaves_inside_lonely, rna.leaves_outside_lonely)
+    assert {s: tuple(int(f(rna.pair_list(s), 2, 9)) for f in tests) for s in lone} == lone
+
+
+def test_rna_dispatch(spark):
+    """RNA and RNA2 differ without lonely pairs, in base pairs and in marks; unknown words are errors."""
+    of = lambda graph, option, s, q, **more: sorted(x["structure"] for x in spark.createDataFrame([(s, q)], "s string, q string").select(moves.move_set(graph, option, **more)(F.col("s"), F.col("q")).alias("n")).first()["n"])
+    s, q = "((..(((...)))))", "GGGGGGGGUUUUUUU"
+    assert of("RNA2-noLP", "Shift", s, q) == sorted(CASES[4][4].split()) and set(of("RNA-noLP", "shift", s, q)) == set(of("RNA-noLP", "noShift", s, q)) < set(of("RNA2-noLP", "shift", s, q))
+    assert "(((..)))" in of("RNA2-noLP", "", "((....))", "GGGAACCC") and "(((..)))" not in of("RNA-noLP", "", "((....))", "GGGAACCC")
+    assert of("RNA", "", "......", "XAAAAK") == ["(....)"] and of("RNA2", "", "......", "XAAAAK") == [] and of("RNA", "", ".....*", "AGGGI") == ["(...)*"]
+    assert of("RNA", "", "..", "GC") == [] and of("RNA", "", "..", "GC", least=1) == ["()"]
+    for graph, option in (("RNA", "Shiftt"), ("RNA", "xyz"), ("RNA3", ""), ("RNA-noLPs", ""), ("RNA2", "ligand"), ("Q", ""), ("Q0", ""), ("Q27", ""), ("S", "")):
+        with pytest.raises(ValueError):
+            moves.move_set(graph, option)
+    with pytest.raises(Exception):
+        of("RNA2", "", ".....*", "AGGGU")
+    tree = "((1)((2)(3))((4)(5)))"
+    assert len(neighbours(spark, moves.move_set("T"), tree)[tree]) == 4
+    assert sorted(neighbours(spark, moves.move_set("S", design=("(.)", "K", 9, -99)), "GAC")["GAC"]) == ["AAU", "CAG", "GCC", "GGC", "GUC"]
 
 
 def test_ligand_and_strands(spark):
