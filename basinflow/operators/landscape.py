@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basinflow.operators.graph import chase, connected_components, cut
+from basinflow.operators.graph import chase, connected_components, cut, rank_within
 
 ID = "landscape_id"
 #: Gas constant in kcal/(mol K); zero of the Celsius scale.
@@ -30,18 +30,20 @@ def kt(temperature: float | None = None, rna: bool = False) -> float:
 
 
 def ranked(states: DataFrame, *ties: str) -> DataFrame:
-    """states with a dense rank by energy, then the given columns."""
-    return states.withColumn("rank", F.row_number().over(Window.partitionBy(ID).orderBy("energy", *(ties or ("structure",)))).cast("long"))
+    """states with a dense rank by energy, then the given columns. A landscape is ranked by as many
+    tasks as its rows need."""
+    return rank_within(states, [ID], ["energy", *(ties or ("structure",))], "rank")
 
 
 def validated(states: DataFrame) -> DataFrame:
     """states, with an error at run time for a rank against the energies or a structure that occurs
-    twice. (A scan that finds the input unsorted cannot go on; nor can one whose keys are ambiguous.)"""
-    order = Window.partitionBy(ID).orderBy("rank")
-    same = Window.partitionBy(ID, "structure")
-    checked = states.withColumn("_low", F.lag("energy").over(order)).withColumn("_n", F.count("*").over(same))
+    twice. (A scan that finds the input unsorted cannot go on; nor can one whose keys are ambiguous.)
+    Each state is compared with the one of the rank before, by a join."""
+    before = states.select(ID, (F.col("rank") + 1).alias("rank"), F.col("energy").alias("_low"))
+    doubled = states.groupBy(ID, "structure").agg(F.count("*").alias("_n")).where("_n > 1")
+    checked = states.join(before, [ID, "rank"], "left").join(doubled, [ID, "structure"], "left")
     energy = F.when(F.col("_low") > F.col("energy"), F.raise_error(F.concat(F.lit("unsorted list at rank "), F.col("rank")))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate structure "), F.col("structure")))).otherwise(F.col("energy"))
-    return checked.withColumn("energy", energy).drop("_low", "_n")
+    return checked.withColumn("energy", energy).select(states.columns)
 
 
 def look_back_edges(states: DataFrame, moves: Callable[[Column], Column], poset: bool = False) -> DataFrame:
@@ -69,9 +71,8 @@ def steps(states: DataFrame, edges: DataFrame) -> DataFrame:
 
 def numbered_minima(stepped: DataFrame) -> DataFrame:
     """Minima with their index in order of energy: landscape_id, lmin, rank, structure, energy."""
-    index = F.row_number().over(Window.partitionBy(ID).orderBy("rank")).cast("long")
     extra = [c for c in ("pov",) if c in stepped.columns]
-    return stepped.where("is_min").select(ID, index.alias("lmin"), "rank", "structure", "energy", *extra)
+    return rank_within(stepped.where("is_min").select(ID, "rank", "structure", "energy", *extra).withColumnRenamed("rank", "_r"), [ID], ["_r"], "lmin").select(ID, "lmin", F.col("_r").alias("rank"), "structure", "energy", *extra)
 
 
 def gradient_basins(stepped: DataFrame) -> DataFrame:
@@ -156,10 +157,55 @@ def replay(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[ID, "lmin", "father", "e_saddle", "saddle", "left_contact", "right_contact"])
 
 
+#: Components of one landscape that a task thins out together.
+CHUNK_COMPONENTS = 50_000
+
+
+def thinned(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a chunk of one landscape's components, those whose basins the chunk's components of lower energy
+    do not connect already. What goes merges nothing in replay(), whatever the other chunks hold."""
+    father: dict[int, int] = {}
+
+    def root(i):
+        while (r := father.get(i, i)) != i:
+            father[i] = father.get(r, r)
+            i = r
+        return i
+
+    keep = np.zeros(len(rows), bool)
+    ids = [[b["lmin"] for b in basins] for basins in rows["basins"]]
+    order = np.argsort(rows["energy"].to_numpy(), kind="stable")
+    edges = np.flatnonzero(np.diff(rows["energy"].to_numpy()[order])) + 1 if len(rows) else []
+    for band in np.split(order, edges):
+        for i in band:
+            keep[i] = len({root(x) for x in ids[i]}) > 1
+        for i in band:
+            first, *rest = sorted({root(x) for x in ids[i]})
+            father.update(dict.fromkeys(rest, first))
+    return rows[keep]
+
+
+def spanning(components: DataFrame) -> DataFrame:
+    """joining() components, cut down in chunks until a landscape's fit one, or no longer shrink: about
+    one for each minimum (and equal ones of a band) is left, however many states or components there are."""
+    rows = cut(joining(components).select(ID, "comp", "energy", "basins"))
+    n = rows.count()
+    while True:
+        chunks = rows.groupBy(ID).agg(F.ceil(F.count("*") / CHUNK_COMPONENTS).cast("int").alias("_cuts"))
+        if (chunks.agg(F.max("_cuts")).first()[0] or 0) <= 1:
+            return rows
+        dealt = rows.join(chunks, ID).withColumn("_own", F.pmod(F.xxhash64("comp"), "_cuts"))
+        fewer = cut(dealt.groupBy(ID, "_own").applyInPandas(lambda t: thinned(t[[ID, "comp", "energy", "basins"]]), rows.schema))
+        left = fewer.count()
+        if left > 0.8 * n:
+            return fewer
+        rows, n = fewer, left
+
+
 def merge_tree(components: DataFrame) -> DataFrame:
-    """Father and saddle of every minimum that is merged: one row each. One task handles one
-    landscape's joining components; landscapes run in parallel."""
-    return joining(components).select(ID, "comp", "energy", "basins").groupBy(ID).applyInPandas(replay, TREE)
+    """Father and saddle of every minimum that is merged: one row each. Chunks of components are thinned
+    out in parallel; one task then replays what is left of one landscape."""
+    return spanning(components).groupBy(ID).applyInPandas(replay, TREE)
 
 
 def forest(minima: DataFrame, tree: DataFrame, states: DataFrame, top: float = 1e-6) -> DataFrame:
@@ -209,15 +255,27 @@ def pools(tree: DataFrame, components: DataFrame, states: DataFrame, kt: float =
     return own.groupBy(ID).cogroup(base.groupBy("_id")).applyInPandas(valleys, f"{ID} string, lmin long, pool long, z double")
 
 
-def true_minima(tree: DataFrame, minh: float = 1e-6, most: int = 0, connected: bool = False, epsilon: float = 1.1920928955078125e-07) -> DataFrame:
-    """Minima at least minh deep (and, with connected, in the tree of minimum 1), numbered from 1 by
-    energy; at most `most` of them (0: all). A landscape's only minimum is always true."""
-    alone = F.count("*").over(Window.partitionBy(ID)) == 1
-    good = tree.withColumn("_alone", alone)
-    if connected:
-        good = good.join(component_roots(tree), [ID, "lmin"]).where("root = 1")
+def ground_roots(tree: DataFrame, roots: DataFrame, ligand: bool) -> DataFrame:
+    """landscape_id and root of the ground state's tree, that of minimum 1; with ligands, of the lowest
+    bound and of the lowest unbound root."""
+    if not ligand:
+        return tree.select(ID).distinct().withColumn("root", F.lit(1).cast("long"))
+    tops = roots.select(ID, F.col("root").alias("lmin")).distinct().join(tree.select(ID, "lmin", "energy", F.col("structure").endswith("*").alias("_bound")), [ID, "lmin"])
+    return tops.groupBy(ID, "_bound").agg(F.min(F.struct("energy", "lmin")).alias("_low")).select(ID, F.col("_low.lmin").alias("root"))
+
+
+def true_minima(tree: DataFrame, minh: float = 1e-6, most: int = 0, connected: bool = False, epsilon: float = 1.1920928955078125e-07, ligand: bool = False) -> DataFrame:
+    """Minima at least minh deep (and, with connected, in the tree of the ground state, see
+    ground_roots()), numbered from 1 by energy; at most `most` of them (0: all). A landscape's only minimum
+    is always true."""
+    alone = tree.groupBy(ID).agg((F.count("*") == 1).alias("_alone"))
+    good = tree.join(alone, ID)
     good = good.where(F.col("_alone") | (F.col("barrier") - F.lit(minh) + F.lit(epsilon) >= 0)).drop("_alone")
-    out = good.withColumn("true_id", F.row_number().over(Window.partitionBy(ID).orderBy("lmin")).cast("long"))
+    if connected:
+        roots = component_roots(tree)
+        held = good.join(roots, [ID, "lmin"])
+        good = held.join(ground_roots(tree, held.select(ID, "root"), ligand), [ID, "root"], "left_semi").drop("root")
+    out = rank_within(good, [ID], ["lmin"], "true_id")
     return out.where(F.col("true_id") <= most) if most else out
 
 

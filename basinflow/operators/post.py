@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from basinflow.functions.rna import pair_distance
+from basinflow.operators.graph import rank_within
 from basinflow.operators.landscape import GAS, ID, ZERO
 
 
 def reordered(minima: DataFrame) -> DataFrame:
     """New numbers with unbound minima (no trailing *) first: landscape_id, lmin, bound, new_id."""
-    marked = minima.withColumn("bound", F.col("structure").endswith("*"))
-    return marked.withColumn("new_id", F.row_number().over(Window.partitionBy(ID).orderBy("bound", "lmin")).cast("long"))
+    return rank_within(minima.withColumn("bound", F.col("structure").endswith("*")), [ID], ["bound", "lmin"], "new_id")
 
 
 def cross_rates(rates: DataFrame, order: DataFrame, association: float = 170000.0, concentration: float = 1.0, binding_energy: float = 0.0, temperature: float = 37.0) -> DataFrame:
@@ -26,22 +27,23 @@ def cross_rates(rates: DataFrame, order: DataFrame, association: float = 170000.
     return met.select(ID, F.col("new_i").alias("i"), F.col("new_j").alias("j"), (F.col("rate") * scale).alias("rate"))
 
 
-def mapped_trees(first: DataFrame, second: DataFrame) -> DataFrame:
+def mapped_trees(first: DataFrame, second: DataFrame, distance: Callable[[Column, Column], Column] = pair_distance) -> DataFrame:
     """Every minimum of the first tree in the second: the equal structure if there is one (exact), else
-    the one of least base-pair distance, the earlier one on ties. Only minima
-    without an equal one meet the second tree's minima, and only those of their own landscape."""
+    the one of least distance, the earlier one on ties. distance: of two structures, base pairs by default
+    (rna.hamming for spins and strings)."""
     a = first.select(ID, F.col("lmin").alias("source"), "structure")
     b = second.select(ID, F.col("lmin").alias("target"), F.col("structure").alias("other"))
-    exact = a.join(b, (a[ID] == b[ID]) & (a["structure"] == b["other"])).select(a[ID], "source", "target", F.lit(0).alias("distance"), F.lit(True).alias("exact"))
+    exact = a.join(b, (a[ID] == b[ID]) & (a["structure"] == b["other"])).groupBy(a[ID], "source").agg(F.min("target").alias("target")).select(ID, "source", "target", F.lit(0).alias("distance"), F.lit(True).alias("exact"))
     rest = a.join(exact.select(ID, "source"), [ID, "source"], "left_anti")
-    best = rest.join(b, ID).withColumn("distance", pair_distance(F.col("structure"), F.col("other"))).groupBy(ID, "source").agg(F.min(F.struct("distance", "target")).alias("m"))
+    best = rest.join(b, ID).withColumn("distance", distance(F.col("structure"), F.col("other"))).groupBy(ID, "source").agg(F.min(F.struct("distance", "target")).alias("m"))
     return exact.unionByName(best.select(ID, "source", F.col("m.target").alias("target"), F.col("m.distance").alias("distance"), F.lit(False).alias("exact")))
 
 
-def saddle_graph(components: DataFrame, cut: int = 1000) -> DataFrame:
-    """Edges between saddles and the minima they touch, up to a minimum's number: landscape_id, saddle,
-    energy, lmin."""
-    return components.where(F.size("basins") > 1).select(ID, F.col("comp").alias("saddle"), "energy", F.explode("basins").alias("b")).where(F.col("b.lmin") <= cut).select(ID, "saddle", "energy", F.col("b.lmin").alias("lmin"))
+def saddle_graph(components: DataFrame, cut: int | None = 1000) -> DataFrame:
+    """Edges between saddles and the minima they touch, up to a minimum's number (None: all):
+    landscape_id, saddle, energy, lmin."""
+    edges = components.where(F.size("basins") > 1).select(ID, F.col("comp").alias("saddle"), "energy", F.explode("basins").alias("b")).select(ID, "saddle", "energy", F.col("b.lmin").alias("lmin"))
+    return edges if cut is None else edges.where(F.col("lmin") <= cut)
 
 
 def dot_lines(graph: DataFrame, name: str = "saddles") -> DataFrame:

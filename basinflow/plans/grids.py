@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.functions import moves
 from basinflow.operators import landscape as L
+from basinflow.operators.graph import cut, rank_within
 
 ID = L.ID
 
@@ -33,27 +36,26 @@ class Grid:
     """The steps of the analysis of one set of landscapes, each computed once and then kept."""
 
     def __init__(self, states: DataFrame, move=moves.grid):
-        from basinflow.operators.graph import cut
-
         self.states = cut(states)
         self.edges = cut(L.look_back_edges(self.states, move))
-        self.stepped = L.steps(self.states, self.edges)
-        self.minima = L.numbered_minima(self.stepped)
+        self.stepped = cut(L.steps(self.states, self.edges))
+
+    @cached_property
+    def minima(self):
+        return L.numbered_minima(self.stepped)
 
-    @property
+    @cached_property
     def basins(self):
         return L.gradient_basins(self.stepped)
 
     def components(self):
-        from basinflow.operators.graph import cut
-
         return cut(L.component_basins(self.states, self.edges, self.stepped, self.basins, L.plateau_components(self.states, self.edges)))
 
     def tree(self, components=None):
         """Father and saddle of all minima; components: those of components(), if at hand."""
         return L.forest(self.minima, L.merge_tree(components if components is not None else self.components()), self.states)
 
-    @property
+    @cached_property
     def index(self):
         return self.basins.join(self.minima.select(ID, F.col("rank").alias("basin"), "lmin"), [ID, "basin"]).select(ID, "rank", "lmin")
 
@@ -138,12 +140,39 @@ SADDLE = (
 )
 
 
+#: Descents to minima, for heads that have st, ed and mn.
+DESCENT = (
+    ", dn AS (SELECT landscape_id, n, min(m) AS down FROM ed WHERE NOT EXISTS (SELECT 1 FROM mn WHERE mn.landscape_id = ed.landscape_id AND mn.n = ed.n) GROUP BY ALL), "
+    "walk AS (SELECT landscape_id, n, n AS at FROM st UNION ALL SELECT w.landscape_id, w.n, dn.down FROM walk w JOIN dn ON dn.landscape_id = w.landscape_id AND dn.n = w.at), "
+    "gb AS (SELECT w.landscape_id, w.n, mn.n AS basin, mn.lmin FROM walk w JOIN mn ON mn.landscape_id = w.landscape_id AND mn.n = w.at) "
+)
+#: Plateau components with the basins they touch, in their order of merging (by energy, then by the roots
+#: of their basins when the band begins), and the merges, one component after another: r holds the root of
+#: each minimum, pool and z what its valley holds. Follows PLATEAU and SADDLE.
+REPLAY = (
+    ", comp AS (SELECT landscape_id, a AS n, min(b) AS comp FROM reach GROUP BY ALL), "
+    "touch AS (SELECT landscape_id, comp, lmin, min(contact) AS contact FROM (SELECT c.landscape_id, comp, lmin, c.n AS contact FROM comp c JOIN gb USING (landscape_id, n) UNION ALL SELECT ed.landscape_id, comp, lmin, ed.m FROM ed JOIN comp c ON c.landscape_id = ed.landscape_id AND c.n = ed.n JOIN gb ON gb.landscape_id = ed.landscape_id AND gb.n = ed.m WHERE e_m < e_n) GROUP BY ALL), "
+    "lev AS MATERIALIZED (SELECT f.landscape_id, f.lmin, mn.lmin AS o, min(level) AS level FROM flood f JOIN mn ON mn.landscape_id = f.landscape_id AND mn.n = f.at GROUP BY ALL), "
+    "own AS (SELECT t.landscape_id, t.comp, st.e, t.lmin, t.contact, coalesce(least(t.lmin, min(l.o)), t.lmin) AS root0 FROM touch t JOIN st ON st.landscape_id = t.landscape_id AND st.n = t.comp LEFT JOIN lev l ON l.landscape_id = t.landscape_id AND l.lmin = t.lmin AND l.level < st.e GROUP BY t.landscape_id, t.comp, st.e, t.lmin, t.contact), "
+    "held AS (SELECT landscape_id, comp, count(*) - count(lmin) AS size FROM comp LEFT JOIN mn USING (landscape_id, n) GROUP BY ALL), "
+    "todo AS (SELECT landscape_id, comp, e, list(lmin ORDER BY lmin) AS ids, list(contact ORDER BY lmin) AS contacts, list_sort(list_distinct(list(root0))) AS rs FROM own GROUP BY ALL), "
+    "turn AS MATERIALIZED (SELECT t.*, size, exp(mfe - e) AS w, row_number() OVER (PARTITION BY landscape_id ORDER BY e, rs, comp) AS k FROM todo t JOIN held USING (landscape_id, comp) JOIN low USING (landscape_id)), "
+    "rep AS (SELECT landscape_id, cast(0 AS bigint) AS k, list(lmin ORDER BY lmin) AS r, list(cast(1 AS hugeint) ORDER BY lmin) AS pool, list(exp(mfe - e) ORDER BY lmin) AS z, cast(NULL AS bigint[]) AS s, cast(NULL AS bigint) AS comp, cast(NULL AS bigint[]) AS ids, cast(NULL AS bigint[]) AS contacts, cast(NULL AS bigint[]) AS old FROM mn JOIN low USING (landscape_id) GROUP BY landscape_id "
+    "UNION ALL SELECT landscape_id, k, list_transform(r, lambda x: CASE WHEN list_contains(s, x) THEN s[1] ELSE x END), "
+    "list_transform(pool, lambda p, i: CASE WHEN i = s[1] THEN cast(p + size + coalesce(list_sum(list_transform(s[2:], lambda x: pool[x])), 0) AS hugeint) ELSE p END), "
+    "list_transform(z, lambda p, i: CASE WHEN i = s[1] THEN p + size * w + coalesce(list_sum(list_transform(s[2:], lambda x: z[x])), 0) ELSE p END), s, comp, ids, contacts, r "
+    "FROM (SELECT rep.landscape_id, turn.k, rep.r, rep.pool, rep.z, turn.size, turn.w, turn.comp, turn.ids, turn.contacts, list_sort(list_distinct(list_transform(turn.ids, lambda x: rep.r[x]))) AS s FROM rep JOIN turn ON turn.landscape_id = rep.landscape_id AND turn.k = rep.k + 1)), "
+    "made AS (SELECT landscape_id, comp, s[1] AS father, unnest(s[2:]) AS lmin, ids, contacts, old FROM rep WHERE len(s) > 1), "
+    "fathers AS (SELECT landscape_id, lmin, father, comp AS saddle, list_min(list_transform(list_filter(list_zip(ids, contacts), lambda y: old[y[1]] = father), lambda y: y[2])) AS left_contact, list_min(list_transform(list_filter(list_zip(ids, contacts), lambda y: old[y[1]] = lmin), lambda y: y[2])) AS right_contact FROM made) "
+)
+
+
 @query("merge_saddle", SADDLE + "SELECT landscape_id, lmin, energy, round(e_saddle, 7) AS e_saddle, round(e_saddle - energy, 7) AS barrier, is_root FROM tree")
 def merge_saddle(spark, sf_dir):
     return orders(spark, sf_dir).tree().select(ID, "lmin", "energy", rounded("e_saddle", 7), rounded("barrier", 7), (F.col("father") == 0).alias("is_root"))
 
 
-@query("merge_fathers")
+@query("merge_fathers", PLATEAU + SADDLE + REPLAY + "SELECT landscape_id, lmin, coalesce(father, 0) AS father, saddle, left_contact, right_contact FROM mn LEFT JOIN fathers USING (landscape_id, lmin)")
 def merge_fathers(spark, sf_dir):
     return orders(spark, sf_dir).tree().select(ID, "lmin", "father", "saddle", "left_contact", "right_contact")
 
@@ -158,7 +187,7 @@ def merge_forest_roots(spark, sf_dir):
     return orders(spark, sf_dir).tree().groupBy(ID).agg(F.count("*").alias("minima"), F.sum((F.col("father") == 0).cast("int")).alias("roots"))
 
 
-@query("valley_pools")
+@query("valley_pools", PLATEAU + SADDLE + REPLAY + "SELECT landscape_id, mn.lmin, cast(pool[mn.lmin] AS bigint) AS pool, round(z[mn.lmin], 6) AS z FROM mn JOIN (SELECT landscape_id, arg_max(pool, k) AS pool, arg_max(z, k) AS z FROM rep GROUP BY ALL) USING (landscape_id)")
 def valley_pools(spark, sf_dir):
     g = orders(spark, sf_dir)
     components = g.components()
@@ -174,7 +203,15 @@ def rates_sparse(spark, sf_dir):
     return L.rates(g.states, g.edges, g.index.withColumnRenamed("lmin", "label")).select(ID, "i", "j", rounded("rate"))
 
 
-@query("true_rates")
+#: True minima at least 2 deep, and the true minimum that each one counts for.
+FOLDED = (
+    ", tm AS (SELECT landscape_id, lmin, row_number() OVER (PARTITION BY landscape_id ORDER BY lmin) AS true_id FROM (SELECT *, count(*) OVER (PARTITION BY landscape_id) AS c FROM tree) WHERE c = 1 OR e_saddle - energy - 2.0 + 1.1920928955078125e-07 >= 0), "
+    "up AS (SELECT landscape_id, lmin, lmin AS at FROM mn UNION ALL SELECT u.landscape_id, u.lmin, f.father FROM up u JOIN fathers f ON f.landscape_id = u.landscape_id AND f.lmin = u.at WHERE NOT EXISTS (SELECT 1 FROM tm WHERE tm.landscape_id = u.landscape_id AND tm.lmin = u.at)), "
+    "fold AS (SELECT up.landscape_id, up.lmin, tm.true_id FROM up JOIN tm ON tm.landscape_id = up.landscape_id AND tm.lmin = up.at), tb AS (SELECT gb.landscape_id, gb.n, fold.true_id AS lmin FROM gb JOIN fold USING (landscape_id, lmin)) "
+)
+
+
+@query("true_rates", PLATEAU + SADDLE + REPLAY + FOLDED + RATES.replace("JOIN gb", "JOIN tb").replace("FROM gb", "FROM tb") + "SELECT landscape_id, i, j, round(sum(w) / z, 6) AS rate FROM r JOIN z USING (landscape_id, i) GROUP BY landscape_id, i, j, z")
 def true_rates(spark, sf_dir):
     """Rates between true minima: states of false minima count for their true ancestor."""
     g = orders(spark, sf_dir)
@@ -207,10 +244,10 @@ def topk_minima(spark, sf_dir):
 def map_structures(spark, sf_dir):
     """Every cell that any year has, looked up in each year's landscape; misses keep their row."""
     g = orders(spark, sf_dir)
-    known = g.states.join(g.index, [ID, "rank"]).select(ID, "structure", "rank", "energy", "lmin")
+    tree = g.tree()
     asked = g.states.select("structure").distinct().join(F.broadcast(g.states.select(ID).distinct()))
-    met = asked.join(known, [ID, "structure"], "left")
-    return met.select(ID, "structure", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rank", "energy", "lmin")), F.col("rank").isNotNull().alias("found"))
+    met = L.map_structures(asked, g.states, g.basins, g.minima, tree, L.true_minima(tree, minh=2.0))
+    return met.select(ID, "structure", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rank", "energy", "lmin")), "found")
 
 
 TORUS = """WITH RECURSIVE cell AS (SELECT event_type AS landscape_id, dayofweek(ts) AS q, hour(ts) AS d, -count(*) AS e FROM events GROUP BY ALL),
@@ -225,15 +262,17 @@ def torus_minima(spark, sf_dir):
     return g.minima.select(ID, "rank", "structure", "energy")
 
 
-@query("torus_tree")
-def torus_tree(spark, sf_dir):
-    g = Grid(week_cells(spark, sf_dir), lambda s: moves.grid(s, (7, 24)))
-    return g.tree().select(ID, "lmin", "structure", "energy", "father", rounded("e_saddle", 7), rounded("barrier", 7))
-
-
 #: Minima with their numbers and lowest and highest energies, for heads that have st and ed.
 NUMBERED = ", mn AS (SELECT *, row_number() OVER (PARTITION BY landscape_id ORDER BY n) AS lmin FROM st WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.landscape_id = st.landscape_id AND ed.n = st.n AND e_m < e_n)), low AS (SELECT landscape_id, min(e) AS mfe, max(e) AS top FROM st GROUP BY ALL)"
 SADDLES = NUMBERED + SADDLE + "SELECT landscape_id, lmin, energy, round(e_saddle, 7) AS e_saddle FROM tree"
+#: All that follows st and ed, up to the merges.
+WHOLE = NUMBERED + DESCENT + PLATEAU + SADDLE + REPLAY
+
+
+@query("torus_tree", WHOLE + "SELECT landscape_id, lmin, mn.q || ',' || mn.d AS structure, energy, coalesce(father, 0) AS father, round(e_saddle, 7) AS e_saddle, round(e_saddle - energy, 7) AS barrier FROM mn JOIN tree USING (landscape_id, lmin) LEFT JOIN fathers USING (landscape_id, lmin)", TORUS)
+def torus_tree(spark, sf_dir):
+    g = Grid(week_cells(spark, sf_dir), lambda s: moves.grid(s, (7, 24)))
+    return g.tree().select(ID, "lmin", "structure", "energy", "father", rounded("e_saddle", 7), rounded("barrier", 7))
 
 
 @query("torus_saddles", SADDLES, TORUS)
@@ -245,10 +284,8 @@ PARTS = "WITH p AS (SELECT p_brand AS landscape_id, row_number() OVER (PARTITION
 
 
 def part_points(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    parts = table(spark, sf_dir, "part")
-    return parts.select(F.col("p_brand").alias(ID), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")).cast("long").alias("lmin"), "p_partkey", F.array(F.col("p_size"), F.length("p_name"), (F.col("p_partkey") % 97).cast("int")).alias("pov"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias(ID), "p_retailprice", "p_partkey", F.array(F.col("p_size"), F.length("p_name"), (F.col("p_partkey") % 97).cast("int")).alias("pov"))
+    return rank_within(parts, [ID], ["p_retailprice", "p_partkey"], "lmin")
 
 
 @query("pareto_flags", PARTS + "SELECT landscape_id, lmin, p_partkey, NOT EXISTS (SELECT 1 FROM p o WHERE o.landscape_id = p.landscape_id AND o.lmin < p.lmin AND o.a < p.a AND o.b < p.b AND o.c < p.c) AS is_global FROM p", "")

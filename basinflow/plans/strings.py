@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basinflow.functions import design, lattice, moves, rna, trees
 from basinflow.operators import landscape as L
 from basinflow.operators import post
-from basinflow.plans.grids import SADDLES, Grid, rounded, table
+from basinflow.plans.grids import DESCENT, NUMBERED, PLATEAU, RATES, SADDLES, WHOLE, Grid, rounded, table
 from basinflow.sources.readers import hopfield, spin_string
 
 ID = L.ID
@@ -58,13 +58,18 @@ def spin_minima(spark, sf_dir):
     return L.steps(states, L.look_back_edges(states, moves.spin)).where("is_min").select(ID, "rank", "structure", "energy")
 
 
-@query("spin_tree")
+#: States and edges of the spin landscapes, for what follows them.
+SPIN_HEAD = SPINS.replace("WITH cell", "WITH RECURSIVE cell") + ", ed AS (" + PAIR.replace("cast(a.e AS double)", "a.e").replace("cast(b.e AS double)", "b.e") + "bit_count(xor(a.x, b.x)) = 1)"
+SPIN_TEXT = "translate(lpad(bin(x), 6, '0'), '01', '+-')"
+
+
+@query("spin_tree", SPIN_HEAD + WHOLE + f"SELECT landscape_id, lmin, {SPIN_TEXT} AS structure, energy, coalesce(father, 0) AS father, round(e_saddle, 7) AS e_saddle FROM mn JOIN tree USING (landscape_id, lmin) LEFT JOIN fathers USING (landscape_id, lmin)")
 def spin_tree(spark, sf_dir):
     g = Grid(spin_states(spark, sf_dir), moves.spin)
     return g.tree().select(ID, "lmin", "structure", "energy", "father", rounded("e_saddle", 7))
 
 
-@query("spin_saddles", SPINS.replace("WITH cell", "WITH RECURSIVE cell") + ", ed AS (" + PAIR.replace("cast(a.e AS double)", "a.e").replace("cast(b.e AS double)", "b.e") + "bit_count(xor(a.x, b.x)) = 1)" + SADDLES)
+@query("spin_saddles", SPIN_HEAD + SADDLES)
 def spin_saddles(spark, sf_dir):
     return spin_tree(spark, sf_dir).select(ID, "lmin", "energy", "e_saddle")
 
@@ -159,7 +164,7 @@ def rna_open_chain(spark, sf_dir):
 def rna_canonical_moves(spark, sf_dir):
     """Two rounds of moves without lonely pairs, with shifts, from the open chain."""
     rows = table(spark, sf_dir, "part").select("p_partkey", sequence(20).alias("sequence"), F.repeat(F.lit("."), 20).alias("structure"))
-    step = rna.rna_moves(no_lonely=True, shift=True)
+    step = rna.rna_moves(no_lonely=True, shift=True, second=True)
     for _ in range(2):
         rows = rows.select("p_partkey", "sequence", F.explode(step(F.col("structure"), F.col("sequence"))).alias("x")).select("p_partkey", "sequence", "x.structure").distinct()
     return rows
@@ -218,7 +223,10 @@ def hamming_neighbors(spark, sf_dir):
     return rows.where("o is not null").select("p_partkey", rna.hamming(F.col("p_name"), F.col("o")).alias("distance"))
 
 
-@query("cross_rates")
+CROSS = ", nw AS (SELECT landscape_id, lmin, lmin % 2 = 1 AS bound, row_number() OVER (PARTITION BY landscape_id ORDER BY lmin % 2 = 1, lmin) AS new_id FROM mn), f AS (SELECT landscape_id, i, j, sum(w) / z AS rate FROM r JOIN z USING (landscape_id, i) GROUP BY landscape_id, i, j, z) "
+
+
+@query("cross_rates", SPIN_HEAD + WHOLE + RATES + CROSS + "SELECT f.landscape_id, a.new_id AS i, b.new_id AS j, round(rate * CASE WHEN NOT a.bound AND b.bound THEN 6.0 WHEN a.bound AND NOT b.bound THEN 2.0 ELSE 1.0 END, 6) AS rate FROM f JOIN nw a ON a.landscape_id = f.landscape_id AND a.lmin = f.i JOIN nw b ON b.landscape_id = f.landscape_id AND b.lmin = f.j")
 def cross_rates(spark, sf_dir):
     """Rates of the spin landscapes with minima of odd number marked as bound, reordered and scaled."""
     g = Grid(spin_states(spark, sf_dir), moves.spin)
@@ -227,15 +235,54 @@ def cross_rates(spark, sf_dir):
     return post.cross_rates(rates, order, association=2.0, concentration=3.0).select(ID, "i", "j", rounded("rate"))
 
 
-@query("mapped_trees")
+MAPPED = """, oc AS (SELECT o_orderpriority AS landscape_id, o_custkey % 64 AS x, -count(*) AS e FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL), ost AS (SELECT *, row_number() OVER (PARTITION BY landscape_id ORDER BY e, x) AS n FROM oc),
+om AS (SELECT *, row_number() OVER (PARTITION BY landscape_id ORDER BY n) AS lmin FROM ost WHERE NOT EXISTS (SELECT 1 FROM ost b WHERE b.landscape_id = ost.landscape_id AND b.e < ost.e AND bit_count(xor(ost.x, b.x)) = 1))
+SELECT landscape_id, source, target, distance, distance = 0 AS exact FROM (SELECT a.landscape_id, a.lmin AS source, b.lmin AS target, cast(bit_count(xor(a.x, b.x)) AS int) AS distance, row_number() OVER (PARTITION BY a.landscape_id, a.lmin ORDER BY bit_count(xor(a.x, b.x)), b.lmin) AS k FROM mn a JOIN om b USING (landscape_id)) WHERE k = 1"""
+
+
+@query("mapped_trees", SPIN_HEAD + WHOLE + MAPPED)
 def mapped_trees(spark, sf_dir):
-    """Minima of each priority's spin landscape in the tree of the same spins over shipped items."""
+    """Minima of each priority's spin landscape in the tree of the same spins over orders not yet closed."""
     first = Grid(spin_states(spark, sf_dir), moves.spin).minima
     other = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderpriority").alias(ID), (F.col("o_custkey") % 64).alias("x")).groupBy(ID, "x").agg((-F.count("*")).cast("double").alias("energy")).withColumn("structure", spin_string(F.col("x"), 6))
     second = Grid(L.ranked(other, "x"), moves.spin).minima
-    return post.mapped_trees(first, second)
+    return post.mapped_trees(first, second, rna.hamming)
 
 
-@query("saddle_graph")
+@query("saddle_graph", SPIN_HEAD + WHOLE + "SELECT landscape_id, comp AS saddle, cast(e AS double) AS energy, lmin FROM own WHERE (landscape_id, comp) IN (SELECT (landscape_id, comp) FROM own GROUP BY ALL HAVING count(*) > 1)")
 def saddle_graph(spark, sf_dir):
-    return post.saddle_graph(Grid(spin_states(spark, sf_dir), moves.spin).components())
+    return post.saddle_graph(Grid(spin_states(spark, sf_dir), moves.spin).components(), cut=None)
+
+
+def order_states(spark, sf_dir, bits: int = 20):
+    """One landscape of all orders, which grows with the table: numbers modulo 2 ** bits as spins, energy less
+    the thousands of the price."""
+    seen = table(spark, sf_dir, "orders").select(F.lit("orders").alias(ID), (F.col("o_orderkey") % 2**bits).alias("x"), (-F.floor(F.col("o_totalprice") / 1000)).cast("double").alias("e"))
+    return L.ranked(seen.groupBy(ID, "x").agg(F.min("e").alias("energy")).withColumn("structure", spin_string(F.col("x"), bits)), "x")
+
+
+#: States and edges of the landscape of all orders: 20 flips of each state, looked up.
+ORDERS = """WITH RECURSIVE st AS (SELECT 'orders' AS landscape_id, x, e, row_number() OVER (ORDER BY e, x) AS n FROM (SELECT o_orderkey % 1048576 AS x, cast(min(-floor(o_totalprice / 1000)) AS bigint) AS e FROM orders GROUP BY ALL)),
+ed AS (SELECT a.landscape_id, a.n, b.n AS m, a.e AS e_n, b.e AS e_m FROM (SELECT *, xor(x, cast(1 << k AS bigint)) AS y FROM st, range(0, 20) t(k)) a JOIN st b ON b.x = a.y WHERE b.n < a.n)"""
+
+
+@query("order_spin_edges", ORDERS + "SELECT landscape_id, n, m FROM ed")
+def order_spin_edges(spark, sf_dir):
+    return L.look_back_edges(order_states(spark, sf_dir), moves.spin).select(ID, "n", "m")
+
+
+@query("order_spin_basins", ORDERS + NUMBERED + DESCENT + "SELECT landscape_id, n AS rank, lmin FROM gb")
+def order_spin_basins(spark, sf_dir):
+    return Grid(order_states(spark, sf_dir), moves.spin).index
+
+
+@query("order_spin_plateaus", ORDERS + NUMBERED + PLATEAU + "SELECT landscape_id, comp, count(*) AS size FROM (SELECT landscape_id, a, min(b) AS comp FROM reach GROUP BY ALL) GROUP BY ALL")
+def order_spin_plateaus(spark, sf_dir):
+    g = Grid(order_states(spark, sf_dir), moves.spin)
+    return L.plateau_components(g.states, g.edges).groupBy(ID, "comp").agg(F.count("*").alias("size"))
+
+
+@query("order_spin_tree")
+def order_spin_tree(spark, sf_dir):
+    """The merge tree of all orders. (As SQL it would need every minimum's flood over all states.)"""
+    return Grid(order_states(spark, sf_dir), moves.spin).tree().select(ID, "lmin", "energy", "father", rounded("e_saddle", 7))
