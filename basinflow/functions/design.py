@@ -85,6 +85,33 @@ def mutants(structure: str, protein: str, most_mutations: int, least_score: int,
     return of
 
 
+def allowed(sequence: Column, constraint: str) -> Column:
+    """Whether every place of a sequence holds one of the bases that the constraint's letter stands for."""
+    if set(constraint) - set(IUPAC):
+        raise ValueError(f"not IUPAC letters: {constraint}")
+    here = lambda i: F.substring(sequence, i + 1, 1)
+    out = F.length(sequence) == len(constraint)
+    for i, c in enumerate(constraint):
+        out = out & here(i).isin(*IUPAC[c])
+    return out
+
+
+def paired(sequence: Column, structure: str) -> Column:
+    """Whether both ends of every pair of a design structure can pair (G and U close wobbles too)."""
+    table, out = partners(structure), F.length(sequence) == len(structure)
+    for i, c in enumerate(structure):
+        if c in "(G":
+            out = out & F.concat(F.substring(sequence, i + 1, 1), F.substring(sequence, table[i] + 1, 1)).isin(*(WATSON_CRICK if c == "(" else WOBBLE))
+    return out
+
+
+def possible(constraint: str, structure: str) -> bool:
+    """Whether each pair of a structure has letters under the constraint that can pair."""
+    table = partners(structure)
+    kinds = {"(": WATSON_CRICK, "G": WOBBLE}
+    return all(any(a + b in kinds[c] for a in IUPAC[constraint[i]] for b in IUPAC[constraint[table[i]]]) for i, c in enumerate(structure) if c in kinds)
+
+
 def pairing(letters: Column, first: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(letters, lambda b: F.concat(first, b).isin(*kinds))
 
@@ -94,6 +121,8 @@ def sequences(spark: SparkSession, constraint: str, structure: str) -> DataFrame
     added one after another by exploding the letters they allow, so the rows grow in Spark."""
     if len(constraint) != len(structure) or set(constraint) - set(IUPAC):
         raise ValueError("constraint and structure must have one length and IUPAC letters")
+    if not possible(constraint, structure):
+        raise ValueError("no letters of the constraint can pair as the structure asks")
     table = partners(structure)
     out = spark.range(1).select(F.lit("").alias("sequence"))
     for i, c in enumerate(structure):

@@ -136,3 +136,53 @@ def direct_paths(queries: DataFrame, energy: Callable[[str, frozenset], float],
             yield pd.DataFrame(out, columns=["sequence", "start", "target", "saddle_energy", "saddle"])
 
     return queries.select("sequence", "start", "target").mapInPandas(run, "sequence string, start string, target string, saddle_energy double, saddle string")
+
+
+def gradient_walk(queries: DataFrame, energy: Callable[[str, str], float]) -> DataFrame:
+    """For queries(sequence, structure): the end of the steepest descent by insertions and deletions of
+    pairs under the caller's energy(sequence, structure). Columns sequence, structure, minimum."""
+    from basinflow.functions.rna import neighbours
+
+    def down(q: str, s: str) -> str:
+        e = energy(q, s)
+        while True:
+            low, best = min(((energy(q, x), x) for x, _ in neighbours(q, s, second=True)), default=(e, s))
+            if low >= e:
+                return s
+            e, s = low, best
+
+    def run(rows):
+        for t in rows:
+            yield t.assign(minimum=[None if q is None or s is None else down(q, s) for q, s in zip(t["sequence"], t["structure"])])
+
+    return queries.select("sequence", "structure").mapInPandas(run, "sequence string, structure string, minimum string")
+
+
+def joined_roots(minima: DataFrame, sequence: str, energy: Callable[[str, frozenset], float], most_kept: int = 20) -> DataFrame:
+    """Minima of a tree of several roots with the roots joined by the lowest direct paths to minima of
+    smaller number: landscape_id, lmin, father, e_saddle and saddle (of new merges). Paths are searched as
+    rows; merges by the new and the old saddles then follow the elder rule. minima: landscape_id, lmin,
+    structure, father, e_saddle, of a table cut to a number of minima."""
+    seen = minima.select(ID, F.col("lmin").alias("low"), F.col("structure").alias("target"))
+    pairs = minima.where("father = 0 and lmin > 1").select(ID, "lmin", F.col("structure").alias("start")).join(seen, ID).where("low < lmin").withColumn("sequence", F.lit(sequence))
+    found = direct_paths(pairs.select("sequence", "start", "target").distinct(), energy, most_kept).where("saddle is not null")
+    new = pairs.join(found, ["sequence", "start", "target"]).select(ID, "lmin", F.col("low").alias("other"), F.col("saddle_energy").alias("level"), "saddle")
+    old = minima.where("father > 0").select(ID, "lmin", F.col("father").alias("other"), F.col("e_saddle").alias("level"), F.lit(None).cast("string").alias("saddle"))
+
+    def merge(t: pd.DataFrame) -> pd.DataFrame:
+        father, out = {}, []
+
+        def root(i):
+            while i in father:
+                i = father[i]
+            return i
+
+        for r in t.sort_values(["level", "lmin", "other"], kind="stable").itertuples():
+            a, b = sorted((root(r.lmin), root(r.other)))
+            if a != b:
+                father[b] = a
+                out.append((getattr(r, ID), b, a, r.level, r.saddle))
+        return pd.DataFrame(out, columns=[ID, "lmin", "father", "e_saddle", "saddle"])
+
+    merged = new.unionByName(old).groupBy(ID).applyInPandas(merge, f"{ID} string, lmin long, father long, e_saddle double, saddle string")
+    return minima.select(ID, "lmin", "structure", F.col("e_saddle").alias("_top")).join(merged, [ID, "lmin"], "left").select(ID, "lmin", "structure", F.coalesce("father", F.lit(0)).alias("father"), F.coalesce("e_saddle", "_top").alias("e_saddle"), "saddle")

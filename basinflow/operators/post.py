@@ -27,10 +27,12 @@ def cross_rates(rates: DataFrame, order: DataFrame, association: float = 170000.
     return met.select(ID, F.col("new_i").alias("i"), F.col("new_j").alias("j"), (F.col("rate") * scale).alias("rate"))
 
 
-def mapped_trees(first: DataFrame, second: DataFrame, distance: Callable[[Column, Column], Column] = pair_distance) -> DataFrame:
+def mapped_trees(first: DataFrame, second: DataFrame, distance: Callable[[Column, Column], Column] = pair_distance, walked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every minimum of the first tree in the second: the equal structure if there is one (exact), else
     the one of least distance, the earlier one on ties. distance: of two structures, base pairs by default
-    (rna.hamming for spins and strings)."""
+    (rna.hamming for spins and strings). walked: takes the first minima to where they descend in the second
+    landscape (see paths.gradient_walk), with the same columns."""
+    first = walked(first) if walked else first
     a = first.select(ID, F.col("lmin").alias("source"), "structure")
     b = second.select(ID, F.col("lmin").alias("target"), F.col("structure").alias("other"))
     exact = a.join(b, (a[ID] == b[ID]) & (a["structure"] == b["other"])).groupBy(a[ID], "source").agg(F.min("target").alias("target")).select(ID, "source", "target", F.lit(0).alias("distance"), F.lit(True).alias("exact"))

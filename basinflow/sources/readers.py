@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basinflow.operators.graph import cut
 from basinflow.operators.landscape import ID
 
 
@@ -43,10 +43,18 @@ def tokens(line: Column) -> Column:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Lines of text with a dense number from 1 in file order. A file is read in order of its blocks;
-    numbering adds up the blocks' line counts, as Spark's zipWithIndex does."""
-    pairs = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    return lines.sparkSession.createDataFrame(pairs, "value string, line long")
+    """Lines of text with a dense number from 1 in file order (of the files of a folder: in the order of
+    their names). Lines are written once; only the row count of each block reaches the driver."""
+    at = F.monotonically_increasing_id()
+    placed = cut(lines.select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), at.alias("_at")))
+    part = F.shiftright("_at", 33)
+    blocks = placed.groupBy("_file", "_start", part.alias("_part")).agg(F.count("*").alias("n"), F.min("_at").alias("_first")).orderBy("_file", "_start").collect()
+    before, total = [], 0
+    for r in blocks:
+        before.append((r["_file"], r["_start"], r["_first"], total))
+        total += r["n"]
+    offsets = lines.sparkSession.createDataFrame(before or [("", 0, 0, 0)], "_file string, _start long, _first long, _before long")
+    return placed.join(F.broadcast(offsets), ["_file", "_start"]).select("value", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"))
 
 
 def read_landscape(spark: SparkSession, path: str, name: str = "1", objectives: int | None = None, header: Header | None = None) -> DataFrame:
@@ -87,24 +95,65 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary_rates(spark: SparkSession, path: str) -> DataFrame:
-    """A rate matrix file (int32 dimension, then column after column of float64): file, i, j, rate."""
+    """A rate matrix file (int32 dimension, then column after column of float64): file, i, j, rate of its
+    entries other than zero. Columns are read as arrays, some at a time."""
+    import numpy as np
     import pandas as pd
 
     def run(batches):
         for t in batches:
             for name, data in zip(t["path"], t["content"]):
-                (n,) = struct.unpack_from("<i", data)
-                flat = struct.unpack_from(f"<{n * n}d", data, 4)
-                yield pd.DataFrame([(name, k % n + 1, k // n + 1, v) for k, v in enumerate(flat) if v], columns=["file", "i", "j", "rate"])
+                n = int(np.frombuffer(data, "<i4", 1)[0])
+                step = max(1, (1 << 20) // max(n, 1))
+                for j in range(0, n, step):
+                    part = np.frombuffer(data, "<f8", min(step, n - j) * n, 4 + 8 * j * n).reshape(-1, n)
+                    column, row = np.nonzero(part)
+                    yield pd.DataFrame({"file": name, "i": row + 1, "j": column + j + 1, "rate": part[column, row]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, i long, j long, rate double")
 
 
+def read_reorder_map(spark: SparkSession, path: str) -> DataFrame:
+    """A map of old to new numbers as write_reorder_map() leaves it: lmin, bound, new_id."""
+    return spark.read.schema("lmin long, bound boolean, new_id long").json(path)
+
+
+def read_design_results(spark: SparkSession, path: str) -> DataFrame:
+    """Scored sequences: sequence, energy, log_probability (null where the probability is 0), score and
+    mutations, from data lines of five columns; other lines (parameters) are left out."""
+    t = tokens(F.col("value"))
+    rows = spark.read.text(path).withColumn("t", t).where(F.col("t")[0].rlike("^[ACGUT]+$")).where(F.size("t") >= 5)
+    probability = F.col("t")[2].cast("double")
+    return rows.select(F.col("t")[0].alias("sequence"), F.col("t")[1].cast("double").alias("energy"), F.when(probability > 0, F.log(probability)).alias("log_probability"), F.col("t")[3].cast("int").alias("score"), F.col("t")[4].cast("int").alias("mutations"))
+
+
+def deviations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The population standard deviation of each column, in one row."""
+    return rows.agg(*(F.stddev_pop(c).alias(c) for c in columns))
+
+
+def prepared(rows: DataFrame, objectives: list[str], falling: list[str] = ()) -> DataFrame:
+    """Rows as a landscape's input: by energy, then by each objective, the falling ones from the largest."""
+    return rows.orderBy("energy", *(F.desc(c) if c in falling else F.asc(c) for c in objectives))
+
+
 def spins(spark: SparkSession, n: int) -> DataFrame:
     """All 2 ** n strings of + and -, as a distributed range."""
     return spark.range(2**n).select(spin_string(F.col("id"), n).alias("structure"))
 
 
+def random_strings(rows: DataFrame, alphabet: str, length: int, seed: int) -> DataFrame:
+    """rows with a random string each (column structure), the same for the same seed and number (column id)."""
+    letter = lambda i: F.element_at(F.array(*map(F.lit, alphabet)), (F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(len(alphabet))) + 1).cast("int"))
+    return rows.withColumn("structure", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), letter), ""))
+
+
+def hopfield_landscape(states: DataFrame, patterns: list[list[str]], scale: float = 1.0) -> DataFrame:
+    """structure, pov (an energy for each set of patterns) and energy (their scaled sum) of states."""
+    each = [hopfield(F.col("structure"), p) for p in patterns]
+    return states.withColumn("pov", F.array(*each)).withColumn("energy", F.aggregate("pov", F.lit(0), lambda s, x: s + x) * F.lit(scale))
+
+
 def spin_string(i: Column, n: int) -> Column:
     return F.translate(F.lpad(F.bin(i), n, "0"), "01", "+-")
 

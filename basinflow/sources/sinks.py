@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basinflow.operators.graph import rank_within
 from basinflow.operators.landscape import ID
-from basinflow.operators.post import leaf_order
+from basinflow.operators.post import incidence, leaf_order
 
 
 def bar_lines(tree: DataFrame, rna: bool = False, saddles: bool = False, flags: bool = False, sizes: DataFrame | None = None) -> DataFrame:
@@ -45,31 +47,94 @@ def write_saddles(components: DataFrame, states: DataFrame, path: str) -> None:
     met.select("energy", "comp", line.alias("value")).orderBy("energy", "comp").select("value").write.mode("overwrite").text(path)
 
 
-def dense(rates: DataFrame, most: int = 5000) -> list[list[float]]:
-    """The rates of one landscape as a matrix on the driver; an error beyond `most` basins."""
+def bounded(rates: DataFrame, most: int = 5000) -> int:
+    """Number of basins; an error beyond `most`, of which no dense matrix is made."""
     size = rates.agg(F.greatest(F.max("i"), F.max("j"))).first()[0] or 0
     if size > most:
         raise ValueError(f"a matrix of {size} basins is not written densely; the sparse rows are the result")
-    out = [[0.0] * size for _ in range(size)]
-    for r in rates.select("i", "j", "rate").collect():
-        out[r["i"] - 1][r["j"] - 1] = r["rate"]
+    return size
+
+
+def dense(rates: DataFrame, most: int = 5000) -> np.ndarray:
+    """The rates of one landscape as a matrix on the driver; an error beyond `most` basins."""
+    size = bounded(rates, most)
+    out = np.zeros((size, size))
+    for r in rates.select("i", "j", "rate").toLocalIterator():
+        out[r["i"] - 1, r["j"] - 1] = r["rate"]
     return out
 
 
+def write_bytes(path: str, parts) -> None:
+    """A file at a path or URI, in a folder that the driver reaches."""
+    from pyarrow import fs
+
+    to, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with to.open_output_stream(name) as out:
+        for part in parts:
+            out.write(part)
+
+
+def write_landscape(states: DataFrame, header: str, path: str) -> None:
+    """states as a landscape's text, in the order of their ranks, for readers.read_landscape(): structure,
+    energy, objectives and listed neighbours, behind a header line."""
+    extra = [F.array_join(F.transform("pov", lambda x: x.cast("string")), " ")] if "pov" in states.columns else []
+    listed = [F.coalesce("listed", F.lit(":"))] if "listed" in states.columns else []
+    lines = states.select("rank", F.concat_ws(" ", "structure", F.format_string("%.5f", "energy"), *extra, *listed).alias("value"))
+    first = states.sparkSession.createDataFrame([(0, header)], "rank long, value string")
+    first.unionByName(lines).orderBy("rank").select("value").write.mode("overwrite").text(path)
+
+
 def write_text_rates(rates: DataFrame, path: str) -> None:
-    with open(path, "w") as f:
-        for row in dense(rates):
-            f.write(" ".join(f"{x:10.4g}" for x in row) + " \n")
+    """The matrix as text, a row a line: rows are made dense in Spark, and written by it."""
+    size = bounded(rates)
+    line = F.concat(F.array_join(F.transform("row", lambda x: F.format_string("%10.4g", x)), " "), F.lit(" "))
+    rows = rates.sparkSession.range(1, size + 1).withColumnRenamed("id", "i").join(incidence(rates, size).drop(ID), "i", "left")
+    rows.withColumn("row", F.coalesce("row", F.array_repeat(F.lit(0.0), size))).orderBy("i").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_binary_rates(rates: DataFrame, path: str) -> None:
     """int32 dimension, then the matrix column after column."""
     matrix = dense(rates)
-    n = len(matrix)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<i", n))
-        for j in range(n):
-            f.write(struct.pack(f"<{n}d", *(matrix[i][j] for i in range(n))))
+    write_bytes(path, [struct.pack("<i", len(matrix)), *(matrix[:, j].astype("<f8").tobytes() for j in range(len(matrix)))])
+
+
+def write_reorder_map(order: DataFrame, path: str) -> None:
+    """The map of old to new numbers (see post.reordered), for later runs."""
+    order.select("lmin", "bound", "new_id").orderBy("new_id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def reordered_bars(minima: DataFrame, order: DataFrame) -> DataFrame:
+    """Lines of the minima tables of the unbound (u), bound (b) and of all minima (r) under their new
+    numbers: part, new_id, value. Bound ones are numbered from 1 in their own table; fathers follow."""
+    ids = order.select(ID, "lmin", "bound", "new_id")
+    unbound = ids.groupBy(ID).agg(F.sum(F.when(F.col("bound"), 0).otherwise(1)).alias("_unbound"))
+    up = ids.select(ID, F.col("lmin").alias("father"), F.col("new_id").alias("_father"))
+    rows = minima.join(ids, [ID, "lmin"]).join(up, [ID, "father"], "left").join(unbound, ID)
+    line = lambda n, father: F.concat_ws(" ", F.format_string("%4d", n), "structure", F.format_string("%6.2f", "energy"), F.format_string("%4d", father), F.format_string("%6.2f", "barrier"))
+    father = F.coalesce("_father", F.lit(0)).cast("long")
+    own = lambda n: F.when(F.col("bound") & (n > 0), n - F.col("_unbound")).otherwise(n)
+    every = rows.select(ID, F.lit("r").alias("part"), "new_id", line(F.col("new_id"), father).alias("value"))
+    apart = rows.select(ID, F.when(F.col("bound"), "b").otherwise("u").alias("part"), "new_id", line(own(F.col("new_id")), own(father)).alias("value"))
+    return every.unionByName(apart)
+
+
+def map_lines(mapped: DataFrame) -> DataFrame:
+    """Lines of Landscape.map_structures(): the minimum's structure, rank, energy, basin and true minimum; a
+    structure that is not in the landscape says so."""
+    known = F.concat_ws(" ", "minimum", F.format_string("%6d", "rank"), F.format_string("%6.2f", "energy"), F.format_string("%6d", "lmin"), F.format_string("%6d", F.coalesce("true_id", F.lit(0))))
+    return mapped.select(ID, "structure", F.when(F.col("found"), known).otherwise(F.concat_ws(" ", "structure", F.lit("not found"))).alias("value"))
+
+
+def tree_map_lines(mapped: DataFrame) -> DataFrame:
+    """Lines of post.mapped_trees(): source -> target if the structures are equal, source ~> target else."""
+    return mapped.select(ID, "source", F.concat_ws(" ", F.format_string("%4d", "source"), F.when(F.col("exact"), "->").otherwise("~>"), F.format_string("%4d", "target")).alias("value"))
+
+
+def connected_states(states: DataFrame, labels: DataFrame, basins: DataFrame) -> DataFrame:
+    """States that belong to a true minimum, numbered anew in their order, with it and their basin:
+    landscape_id, number, structure, energy, true_id, lmin."""
+    held = states.join(labels.select(ID, "rank", F.col("label").alias("true_id")), [ID, "rank"]).join(basins.select(ID, "rank", "lmin"), [ID, "rank"])
+    return rank_within(held, [ID], ["rank"], "number").select(ID, "number", "structure", "energy", "true_id", "lmin")
 
 
 def write_path(path: DataFrame, to: str) -> None:
