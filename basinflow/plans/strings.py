@@ -160,7 +160,19 @@ def rna_open_chain(spark, sf_dir):
     return rows.select("p_partkey", "sequence", F.explode(found).alias("x")).select("p_partkey", "sequence", "x.structure", "x.is_double")
 
 
-@query("rna_canonical_moves")
+CHAIN20 = SEQUENCE.replace("1, 16)", "1, 20)")
+FITS = "substr(q, cast({i} AS int), 1) || substr(q, cast({j} AS int), 1) IN ('AU', 'UA', 'CG', 'GC', 'GU', 'UG')"
+#: Two steps from the open chain: a stack of two pairs comes first; then it goes again, grows by a pair outside
+#: or inside, or a second stack comes beside, around or within it. Moving an end would leave lonely pairs.
+CANONICAL = f"""WITH s AS ({CHAIN20}), p AS (SELECT p_partkey, q, i, j FROM s, range(1, 21) a(i), range(1, 21) b(j) WHERE j - i >= 3 AND {FITS.format(i="i", j="j")}),
+k AS (SELECT o.p_partkey, o.q, o.i, o.j FROM p o JOIN p n ON n.p_partkey = o.p_partkey AND n.i = o.i + 1 AND n.j = o.j - 1 WHERE o.j - o.i >= 6),
+t AS (SELECT p_partkey, q, [] AS l, [] AS r FROM k
+UNION ALL SELECT k.p_partkey, k.q, [k.i, k.i + 1, p.i], [k.j, k.j - 1, p.j] FROM k JOIN p ON p.p_partkey = k.p_partkey AND (p.i = k.i - 1 AND p.j = k.j + 1 OR p.i = k.i + 2 AND p.j = k.j - 2)
+UNION ALL SELECT k.p_partkey, k.q, [k.i, k.i + 1, n.i, n.i + 1], [k.j, k.j - 1, n.j, n.j - 1] FROM k JOIN k n USING (p_partkey) WHERE n.j < k.i OR n.i > k.j OR n.i + 1 < k.i AND n.j - 1 > k.j AND NOT (n.i + 2 = k.i AND n.j - 2 = k.j) OR n.i > k.i + 1 AND n.j < k.j - 1 AND NOT (n.i = k.i + 2 AND n.j = k.j - 2))
+SELECT p_partkey, q AS sequence, structure FROM (SELECT DISTINCT p_partkey, q, array_to_string(list_transform(range(1, 21), lambda x: CASE WHEN list_contains(l, x) THEN '(' WHEN list_contains(r, x) THEN ')' ELSE '.' END), '') AS structure FROM t)"""
+
+
+@query("rna_canonical_moves", CANONICAL)
 def rna_canonical_moves(spark, sf_dir):
     """Two rounds of moves without lonely pairs, with shifts, from the open chain."""
     rows = table(spark, sf_dir, "part").select("p_partkey", sequence(20).alias("sequence"), F.repeat(F.lit("."), 20).alias("structure"))
@@ -187,7 +199,14 @@ def translated_designs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(acids, "").alias("acids"), design.mutations(acids, "MAGIC").alias("mutations"), F.coalesce(design.similarity(acids, "MAGIC"), F.lit(-999)).cast("int").alias("score"))
 
 
-@query("design_mutants")
+MUTANTS = f"""WITH s AS ({SEQUENCE}), o AS (SELECT p_partkey, substr(q, 1, 7) || translate(reverse(substr(q, 1, 3)), 'ACGU', 'UGCA') || substr(q, 11, 6) AS q FROM s),
+m AS (SELECT p_partkey, q, substr(q, 1, i - 1) || b || substr(q, i + 1) AS x FROM o, (VALUES (4), (5), (6), (7), (11), (12), (13), (14), (15), (16)) t(i), (VALUES ('A'), ('C'), ('G'), ('U')) u(b) WHERE b <> substr(q, i, 1)
+UNION ALL SELECT p_partkey, q, substr(q, 1, i - 1) || b[1] || substr(q, i + 1, j - i - 1) || b[2] || substr(q, j + 1) FROM o, (VALUES (1, 10), (2, 9), (3, 8)) t(i, j), (VALUES ('AU'), ('CG'), ('GC'), ('UA')) u(b) WHERE b <> substr(q, i, 1) || substr(q, j, 1)),
+c AS (SELECT p_partkey, q, x, substr('{CODE}', 16 * (strpos('UCAG', substr(x, cast(3 * k + 1 AS int), 1)) - 1) + 4 * (strpos('UCAG', substr(x, cast(3 * k + 2 AS int), 1)) - 1) + strpos('UCAG', substr(x, cast(3 * k + 3 AS int), 1)), 1) AS aa, substr('MAGIC', cast(k + 1 AS int), 1) AS p FROM m, range(0, 5) t(k))
+SELECT p_partkey, q AS sequence, x AS mutant FROM c GROUP BY ALL HAVING NOT bool_or(aa = '*') AND sum(cast(aa <> p AS int)) <= 5 AND sum(CASE WHEN aa = p THEN 5 ELSE -1 END) >= -5"""
+
+
+@query("design_mutants", MUTANTS)
 def design_mutants(spark, sf_dir):
     """Mutants of each part's sequence that respect a hairpin and stay close to a protein."""
     structure = "(((....)))......"
@@ -197,7 +216,19 @@ def design_mutants(spark, sf_dir):
     return rows.select("p_partkey", "sequence", F.explode(found).alias("mutant"))
 
 
-@query("lattice_moves")
+def pairs_as_values(listed: str) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in lattice.both_ways(listed).items())
+
+
+LATTICE = f"""WITH w(a, b) AS (VALUES {pairs_as_values(lattice.SQUARE)}), e(a, b) AS (VALUES {pairs_as_values(lattice.SQUARE_ENDS)}),
+s AS (SELECT p_partkey, translate(substr(md5(cast(p_partkey AS varchar)), 1, 12), '0123456789abcdef', 'FLRFLRFLRFLRFLRF') AS chain FROM part),
+t AS (SELECT s.*, i, coalesce(x.b, y.b) AS new FROM s CROSS JOIN range(2, 11) r(i) LEFT JOIN w x ON x.a = substr(chain, cast(i AS int), 3) LEFT JOIN w y ON y.a = substr(chain, cast(i AS int), 4))
+SELECT p_partkey, chain, substr(chain, 1, cast(i - 1 AS int)) || new || substr(chain, cast(i + length(new) AS int)) AS neighbour FROM t WHERE new IS NOT NULL
+UNION ALL SELECT p_partkey, chain, substr(chain, 1, 10) || e.b FROM s JOIN e ON e.a = substr(chain, 11, 2)
+UNION ALL SELECT p_partkey, chain, substr(chain, 1, 11) || c FROM s, (VALUES ('F'), ('L'), ('R')) l(c) WHERE c <> substr(chain, 12, 1)"""
+
+
+@query("lattice_moves", LATTICE)
 def lattice_moves(spark, sf_dir):
     """Local moves of chains on the square lattice, one chain a part."""
     chain = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 12), "0123456789abcdef", "FLRFLRFLRFLRFLRF")
@@ -205,7 +236,21 @@ def lattice_moves(spark, sf_dir):
     return rows.select("p_partkey", "chain", F.explode(lattice.crankshaft("FLR")(F.col("chain"))).alias("neighbour"))
 
 
-@query("tree_interchanges")
+def joined_sql(t) -> tuple[str, str]:
+    """SQL for the least leaf and the text of a nested pair of leaf columns, the subtree of smaller least
+    leaf first."""
+    if isinstance(t, str):
+        return t, f"cast({t} AS varchar)"
+    (a, x), (b, y) = map(joined_sql, t)
+    return f"least({a}, {b})", f"CASE WHEN {a} < {b} THEN '(' || {x} || ')(' || {y} || ')' ELSE '(' || {y} || ')(' || {x} || ')' END"
+
+
+LEFT, RIGHT = ("l0", "l1"), ("l2", ("l3", "l4"))
+SWAPPED = [((RIGHT, "l1"), "l0"), (("l0", RIGHT), "l1"), ((LEFT, RIGHT[1]), "l2"), (("l2", LEFT), RIGHT[1]), ((("l2", "l4"), "l3"), LEFT), ((("l3", "l2"), "l4"), LEFT)]
+LEAVES = ", ".join(f"(k + {i}) % 5 + 2 AS l{i}" for i in range(5))
+
+
+@query("tree_interchanges", f"WITH b AS (SELECT p_brand, min(p_partkey) AS k FROM part GROUP BY ALL), l AS (SELECT p_brand, {LEAVES} FROM b), t AS (SELECT *, '((1)((' || l0 || ')(' || l1 || '))((' || l2 || ')((' || l3 || ')(' || l4 || '))))' AS tree FROM l) " + " UNION ALL ".join(f"SELECT p_brand, tree, '((1)' || {joined_sql(x)[1]} || ')' AS neighbour FROM t" for x in SWAPPED))
 def tree_interchanges(spark, sf_dir):
     """Interchanges of one tree a brand: leaves 2 to 6 in the order of the brand's first parts."""
     brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))

@@ -3,13 +3,14 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from basinflow.operators import landscape as L
 from basinflow.operators import post
 from basinflow.operators.graph import chase, connected_components
-from basinflow.operators.paths import direct_paths
+from basinflow.operators.paths import direct_paths, gradient_walk, joined_roots
 from basinflow.plans.analysis import Landscape, LandscapeOptions
 from basinflow.sources import readers, sinks
 
@@ -195,3 +196,58 @@ def test_direct_path(spark):
 def test_hopfield(spark):
     found = {r["structure"]: r["e"] for r in readers.spins(spark, 3).select("structure", readers.hopfield(F.col("structure"), ["+-+", "++-"]).alias("e")).collect()}
     assert len(found) == 8 and found["+-+"] == -(9 + 1) and found["+++"] == -(1 + 1)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_thinned_components_give_the_same_tree(spark, monkeypatch, seed):
+    """Chunks of components, thinned out again and again, against the flood."""
+    energies, near = random_graph(40 + seed, n=300, levels=150, degree=3)
+    rows = [(str(i), energies[i - 1], ":".join(map(str, sorted(near[i]))) or ":") for i in range(1, len(energies) + 1)]
+    ls = Landscape(spark, listed(spark, *rows), LandscapeOptions(graph="?", most=0))
+    whole = {tuple(r) for r in L.merge_tree(ls.components).collect()}
+    monkeypatch.setattr(L, "CHUNK_COMPONENTS", 7)
+    assert {tuple(r) for r in L.merge_tree(ls.components).collect()} == whole and len(whole) > 20
+    assert L.spanning(ls.components).count() <= L.joining(ls.components).count()
+    ring = pd.DataFrame({"comp": [1, 2, 3, 4], "energy": [1.0, 2.0, 3.0, 2.0], "basins": [[{"lmin": a}, {"lmin": b}] for a, b in ((1, 2), (2, 3), (1, 3), (3, 1))]})
+    assert L.thinned(ring)["comp"].tolist() == [1, 2, 4]
+
+
+def test_ligands(spark):
+    """Bound and unbound states form two trees; rates also count binding and release."""
+    bare = [("....", 0.0), ("(..)", 1.0)]
+    rows = [(s, e) for s, e in bare] + [(s + "*", e - 0.5) for s, e in bare]
+    rows = [("1", i + 1, s, e) for i, (s, e) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))]
+    states = spark.createDataFrame(rows, "landscape_id string, rank long, structure string, energy double")
+    ls = Landscape(spark, states, LandscapeOptions(graph="RNA", moves="ligand", sequence="GAAC", strands=True, most=0, connected=True))
+    assert ls.all_edges.count() == 2 and ls.rate_edges.count() == 4
+    assert {r["structure"] for r in ls.true_minima.collect()} == {"....", "....*"}
+    assert {(r["i"], r["j"]) for r in ls.rates.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    with pytest.raises(ValueError):
+        LandscapeOptions(graph="RNA2", moves="ligand").ligand
+
+
+def test_walks_and_joined_roots(spark):
+    model = lambda sequence, s: -float(s.count("(")) - 0.5 * (s[1] == "(" and s[8] == ")")
+    row = gradient_walk(spark.createDataFrame([("GGAAAAAACC", ".........."), (None, "..")], "sequence string, structure string"), model).collect()
+    assert [r["minimum"] for r in row] == ["((......))", None]
+    pairs = lambda sequence, found: {0: 0.0, 1: 2.0}.get(len(found), -1.0)
+    minima = spark.createDataFrame([("1", 1, "((......))", 0, 9.0), ("1", 2, "..........", 0, 9.0), ("1", 3, ".(......).", 2, 2.5)], "landscape_id string, lmin long, structure string, father long, e_saddle double")
+    got = {r["lmin"]: (r["father"], r["e_saddle"]) for r in joined_roots(minima, "GGAAAAAACC", pairs).collect()}
+    assert got == {1: (0, 9.0), 2: (1, 2.0), 3: (1, 2.5)}
+
+
+def test_more_files(spark, tmp_path):
+    order = post.reordered(spark.createDataFrame([("1", 1, "..*", -1.0, 0, 2.0), ("1", 2, "..", 0.0, 0, 1.0), ("1", 3, "()*", 0.5, 1, 0.2)], "landscape_id string, lmin long, structure string, energy double, father long, barrier double"))
+    sinks.write_reorder_map(order, f"{tmp_path}/map")
+    assert {(r["lmin"], r["bound"], r["new_id"]) for r in readers.read_reorder_map(spark, f"{tmp_path}/map").collect()} == {(2, False, 1), (1, True, 2), (3, True, 3)}
+    lines = {(r["part"], r["new_id"]): r["value"].split() for r in sinks.reordered_bars(order.drop("bound", "new_id"), order).collect()}
+    assert lines["u", 1] == ["1", "..", "0.00", "0", "1.00"] and lines["b", 3] == ["2", "()*", "0.50", "1", "0.20"] and lines["r", 3] == ["3", "()*", "0.50", "2", "0.20"]
+    (tmp_path / "designs.txt").write_text("parameters: 1 2\nACGU -1.5 0.5 30 2\nAC -1 0 3 1\n")
+    got = {r["sequence"]: r["log_probability"] for r in readers.read_design_results(spark, f"{tmp_path}/designs.txt").collect()}
+    assert math.isclose(got["ACGU"], math.log(0.5)) and got["AC"] is None
+    rows = readers.random_strings(spark.range(50), "ACGU", 7, 3).collect()
+    assert all(len(r["structure"]) == 7 and set(r["structure"]) <= set("ACGU") for r in rows) and len({r["structure"] for r in rows}) > 30
+    frame = spark.createDataFrame([(1.0, 2, 5), (0.0, 1, 1), (1.0, 2, 9)], "energy double, a int, b int")
+    assert [tuple(r) for r in readers.prepared(frame, ["a", "b"], ["b"]).collect()] == [(0.0, 1, 1), (1.0, 2, 9), (1.0, 2, 5)]
+    text = spark.createDataFrame([(f"line {i}",) for i in range(1000)], "value string").coalesce(1).write.text(f"{tmp_path}/lines")
+    assert text is None and [r["value"] for r in readers.numbered(spark.read.text(f"{tmp_path}/lines")).orderBy("line").collect()] == [f"line {i}" for i in range(1000)]
