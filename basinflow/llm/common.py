@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from basinflow.operators.graph import checkpoint_dir, connected_components, cut, global_rank
 
-__all__ = ["COPY", "connected_components", "cut", "global_rank", "new_folder", "numbered", "table", "with_rows"]
+__all__ = ["COPY", "connected_components", "cut", "global_rank", "new_folder", "numbered", "small_batches", "table", "with_rows"]
 
 #: Name of the column that tells rows of one identifier apart.
 COPY = "_copy"
+#: Rows of one Arrow batch. Whole texts can be long, and each running task holds some batches outside the heap.
+BATCH_ROWS = 400
 #: Repeated identifiers that are broadcast (8 bytes each); more of them are joined by a shuffle.
 FEW_IDS = 1_000_000
 
@@ -21,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound what one Arrow batch of whole texts holds. Spark reads this setting when a plan runs, after the
+    operator has returned, so it stays lowered for the session; it changes no result."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def new_folder(spark: SparkSession, prefix: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 

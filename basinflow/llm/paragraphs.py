@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import COPY, connected_components, cut, numbered
+from basinflow.llm.common import COPY, connected_components, cut, numbered, small_batches
 
 MIN_WORDS, SHINGLE, BANDS, ROWS = 20, 5, 8, 3
 #: Words of a sampled run; following runs of which one is taken (together, runs of 50 words).
@@ -147,6 +147,7 @@ def band_keys(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
 
 def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str, banded: bool) -> DataFrame:
     """doc_id, copy, line, words, hash and, if wanted, band keys of every paragraph."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import xxhash
@@ -253,7 +254,8 @@ def repeated(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WORDS, id
     parts = connected_components(links(docs, distinct, least, id_col, text_col))
     named = distinct.select("hash", "first", "n").join(parts, distinct["hash"] == parts["node"], "left").withColumn("part", F.coalesce("component", "hash"))
     clusters = named.groupBy("part").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")
-    by_hash = named.join(clusters, "part").select(F.col("hash").alias("_hash"), "head")
+    # Written, so that the join below deals both sides anew and can split a line that occurs very often.
+    by_hash = cut(named.join(clusters, "part").select(F.col("hash").alias("_hash"), "head"))
     out = found.join(by_hash, found["hash"] == by_hash["_hash"])
     return out.select("doc_id", "copy", "line", "words", F.col("head.doc_id").alias("component_id"), F.col("head.line").alias("component_line"), is_head("line").alias("kept"))
 
@@ -265,6 +267,7 @@ def is_head(place: str) -> Column:
 
 def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, copy, word and hash of every run that is taken."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -285,7 +288,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text that are first occurrences and those that are not make spans of their own."""
     docs = numbered(docs, id_col, text_col)
     found = runs(docs, id_col, text_col)  # scanned twice: cheaper than to store all runs
-    again = found.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "word")).alias("head")).where("n > 1").drop("n")
+    # Written, so that the join below can split a passage that occurs very often.
+    again = cut(found.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "word")).alias("head")).where("n > 1").drop("n"))
     met = found.join(again, found["hash"] == again["_hash"]).select("doc_id", "copy", "word", "head", is_head("word").alias("kept"))
     own = Window.partitionBy("doc_id", "copy", "kept").orderBy("word")
     new = F.coalesce(F.col("word") > F.lag("word").over(own) + PASSAGE, F.lit(True))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import cut
+from basinflow.llm.common import cut, small_batches
 
 #: Documents on which the scorer is trained; hashed features.
 SAMPLE, WIDTH = 4000, 1024
@@ -196,6 +196,7 @@ def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Accuracies of the labellers and the weights of the scorer (None if there is one kind only)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = rows_of(docs, id_col, text_col).withColumn("mark", F.xxhash64(F.lit(11), "doc_id", "text"))
     cast = cut(voted(rows))
     counted = sorted(cast.groupBy("code").agg(F.count("*").alias("n")).collect())
@@ -242,6 +243,7 @@ def logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, penalty: float =
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (of being good) and kept of every row."""
+    small_batches(docs.sparkSession)
     weights, intercept = model["weights"], model.get("intercept", 0.0)
 
     def run(batches):
@@ -265,6 +267,7 @@ def scores(texts: list[str | None], weights: np.ndarray | None, intercept: float
 
 def filter_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the scorer keeps."""
+    small_batches(docs.sparkSession)
     weights, intercept = model["weights"], model.get("intercept", 0.0)
 
     @F.pandas_udf("boolean")

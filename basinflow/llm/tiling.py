@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import cut, with_rows
+from basinflow.llm.common import cut, small_batches, with_rows
 
 #: Least words of a match, share of an item's words that must be covered, words of one seed table.
 MATCH, COVERAGE, BLOCK_WORDS = 5, 0.7, 2_000_000
@@ -192,6 +192,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that it covers: doc_id, item_id, words, tiles, coverage."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, words int, tiles int, coverage double"
     done, table = None, None
@@ -215,6 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that cover no item of the benchmark enough."""
+    small_batches(docs.sparkSession)
     every = blocks(benchmark, item_col, item_text_col)
     first, more = next(every), next(every, None)
     if more is not None:
