@@ -8,21 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basinflow.operators.graph import cut
 from basinflow.operators.landscape import ID
 
 
-def descent(starts: DataFrame, stepped: DataFrame, most: int = 10_000) -> DataFrame:
-    """All states on the way down from each start (landscape_id, limb, rank): limb, step, rank. One
-    small join per step; all limbs go on together."""
-    down = stepped.select(ID, "rank", "down")
-    now = starts.select(ID, "limb", "rank").withColumn("step", F.lit(0))
-    out = now
-    for step in range(1, most):
-        rows = now.join(down, [ID, "rank"]).where("down is not null").select(ID, "limb", F.col("down").alias("rank"), F.lit(step).alias("step")).collect()
-        if not rows:
-            return out
-        now = starts.sparkSession.createDataFrame(rows, f"{ID} string, limb int, rank long, step int")
-        out = out.unionByName(now)
+def descent(starts: DataFrame, stepped: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """All states on the way down from each start (landscape_id, limb, rank): limb, step, rank. Round k
+    knows the state 2 ** k steps below each one, so the number of joins is the logarithm of the longest
+    way, and all limbs go on together."""
+    jump = cut(stepped.where("down is not null").select(ID, "rank", "down"))
+    now = cut(starts.select(ID, "limb", "rank", F.lit(0).cast("long").alias("step")))
+    for k in range(most_rounds):
+        further = cut(now.join(jump, [ID, "rank"]).select(ID, "limb", F.col("down").alias("rank"), (F.col("step") + 2**k).alias("step")))
+        if further.isEmpty():
+            return now
+        now = now.unionByName(further)
+        jump = cut(jump.join(jump.select(ID, F.col("rank").alias("down"), F.col("down").alias("_next")), [ID, "down"]).select(ID, "rank", F.col("_next").alias("down")))
     raise RuntimeError("a descent does not end")
 
 

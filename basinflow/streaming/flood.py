@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,15 @@ OUT = f"{ID} string, energy double, first_rank long, size long"
 
 def closed_bands(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Bands of equal energy of one landscape's sorted states. A band is given out when a higher energy
-    arrives; an energy below the open band is an error, as the band was closed. State: the open band."""
+    arrives, the last one when a row without an energy ends the landscape. An energy below the open band is
+    an error, as the band was closed, and so is one after the end. State: the open band."""
     energy, first, size = state.get if state.exists else (None, 0, 0)
     for rows in batches:
         out = []
-        for e, rank in rows.sort_values("rank")[["energy", "rank"]].itertuples(index=False):
+        for e, rank in rows.sort_values(["rank"])[["energy", "rank"]].itertuples(index=False):
+            if energy is not None and np.isinf(energy):
+                raise ValueError(f"landscape {key[0]}: a state after its end")
+            e = np.inf if pd.isna(e) else e
             if energy is not None and e < energy:
                 raise ValueError(f"landscape {key[0]}: energy {e} after band {energy}")
             if e != energy:
@@ -58,9 +63,37 @@ def closed_bands(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator
 
 
 def band_stream(states: DataFrame) -> DataFrame:
-    """Closed bands of a stream of states(landscape_id, rank, energy) whose batches come in order."""
+    """Closed bands of a stream of states(landscape_id, rank, energy) whose batches come in order; a row
+    without an energy, of the largest rank, ends a landscape."""
     return states.groupBy(ID).applyInPandasWithState(closed_bands, OUT, "energy double, first long, size long", "append", "NoTimeout")
 
 
-QUERIES = {"stream_week_cells": week_counts}
-SQL = {"stream_week_cells": "SELECT event_type AS landscape_id, dayofweek(ts) AS q, hour(ts) AS d, count(*) AS n FROM events GROUP BY ALL"}
+def bands_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands of the landscape of all orders, whose states arrive as a stream of files, in the order of
+    their ranks, and are ended by a row without an energy."""
+    import uuid
+
+    from basinflow.plans.strings import order_states
+
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/bands-{uuid.uuid4().hex}"
+    states = order_states(spark, sf_dir).select(ID, "rank", "energy")
+    last = states.agg(F.max("rank")).first()[0] or 0
+    parts = max(4, -(-last // 1_000_000))  # files of bounded size
+    for k in range(parts):
+        part = states.where((F.col("rank") > last * k // parts) & (F.col("rank") <= last * (k + 1) // parts))
+        if k == parts - 1:
+            part = part.unionByName(states.select(ID).distinct().select(ID, F.lit(last + 1).alias("rank"), F.lit(None).cast("double").alias("energy")))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/states")
+    spark.createDataFrame([], OUT).write.parquet(f"{folder}/bands")
+    source = spark.readStream.schema(states.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/states")
+    keep = lambda batch, number: batch.write.mode("append").parquet(f"{folder}/bands")
+    query = band_stream(source).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/bands")
+
+
+QUERIES = {"stream_week_cells": week_counts, "stream_bands": bands_of_orders}
+SQL = {
+    "stream_bands": "WITH st AS (SELECT e, row_number() OVER (ORDER BY e, x) AS n FROM (SELECT o_orderkey % 1048576 AS x, cast(min(-floor(o_totalprice / 1000)) AS bigint) AS e FROM orders GROUP BY ALL)) SELECT 'orders' AS landscape_id, cast(e AS double) AS energy, min(n) AS first_rank, count(*) AS size FROM st GROUP BY ALL",
+    "stream_week_cells": "SELECT event_type AS landscape_id, dayofweek(ts) AS q, hour(ts) AS d, count(*) AS n FROM events GROUP BY ALL",
+}

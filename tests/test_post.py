@@ -32,6 +32,9 @@ def test_closed_bands():
     assert feed((5, 2.0), (4, 1.0)) == [("k", 1.0, 3, 2)]
     with pytest.raises(ValueError):
         feed((6, 1.5))
+    assert feed((7, 2.0), (8, None)) == [("k", 2.0, 5, 2)]
+    with pytest.raises(ValueError):
+        feed((9, 3.0))
 
 
 def test_cells(spark):
