@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.functions.rna import pair_distance
-from basinflow.operators.graph import rank_within
+from basinflow.operators.graph import cut, rank_within
 from basinflow.operators.landscape import GAS, ID, ZERO
 
 
@@ -27,25 +27,50 @@ def cross_rates(rates: DataFrame, order: DataFrame, association: float = 170000.
     return met.select(ID, F.col("new_i").alias("i"), F.col("new_j").alias("j"), (F.col("rate") * scale).alias("rate"))
 
 
-def mapped_trees(first: DataFrame, second: DataFrame, distance: Callable[[Column, Column], Column] = pair_distance, walked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def nearest(rest: DataFrame, others: DataFrame, distance: Callable[[Column, Column], Column], changes: int) -> DataFrame:
+    """For each of rest(landscape_id, source, structure) the nearest of others(landscape_id, target, other):
+    landscape_id, source, target, distance; the smaller target on ties.
+
+    Strings that differ at fewer places than they have parts agree on a part, so only those that share one
+    are compared; what is then found within reach is the nearest. For the others the parts are halved. A
+    distance of one changes `changes` letters at most. Only strings that agree nowhere with a near one
+    meet all of their landscape in the end."""
+    out, parts = None, 2
+    n = max(2, others.agg(F.max(F.length("other"))).first()[0] or 0, rest.agg(F.max(F.length("structure"))).first()[0] or 0)
+    best = lambda pairs: pairs.withColumn("distance", distance(F.col("structure"), F.col("other"))).groupBy(ID, "source").agg(F.min(F.struct("distance", "target")).alias("m")).select(ID, "source", F.col("m.target").alias("target"), F.col("m.distance").alias("distance"))
+    while True:
+        cuts = [n * k // parts for k in range(parts + 1)]
+        pieces = lambda c: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring(c, a + 1, b - a).alias("part")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))).alias("piece")  # noqa: B023, E731
+        met = rest.select("*", pieces("structure")).join(others.select("*", pieces("other")), [ID, "piece"]).drop("piece").distinct()
+        sure = cut(best(met).where(F.col("distance") * changes < parts))
+        out = sure if out is None else out.unionByName(sure)
+        rest = cut(rest.join(sure.select(ID, "source"), [ID, "source"], "left_anti"))
+        if rest.isEmpty():
+            return out
+        if parts >= n:
+            return out.unionByName(best(rest.join(others, ID)))
+        parts = min(n, 2 * parts)
+
+
+def mapped_trees(first: DataFrame, second: DataFrame, distance: Callable[[Column, Column], Column] = pair_distance, changes: int = 2, walked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every minimum of the first tree in the second: the equal structure if there is one (exact), else
-    the one of least distance, the earlier one on ties. distance: of two structures, base pairs by default
-    (rna.hamming for spins and strings). walked: takes the first minima to where they descend in the second
-    landscape (see paths.gradient_walk), with the same columns."""
+    the one of least distance, the earlier one on ties. distance and changes: of two structures, and the
+    letters that a distance of one changes at most; base pairs (2) by default, rna.hamming (1) for spins
+    and strings. walked: takes the first minima to where they descend in the second landscape (see
+    paths.gradient_walk), with the same columns."""
     first = walked(first) if walked else first
     a = first.select(ID, F.col("lmin").alias("source"), "structure")
     b = second.select(ID, F.col("lmin").alias("target"), F.col("structure").alias("other"))
     exact = a.join(b, (a[ID] == b[ID]) & (a["structure"] == b["other"])).groupBy(a[ID], "source").agg(F.min("target").alias("target")).select(ID, "source", "target", F.lit(0).alias("distance"), F.lit(True).alias("exact"))
-    rest = a.join(exact.select(ID, "source"), [ID, "source"], "left_anti")
-    best = rest.join(b, ID).withColumn("distance", distance(F.col("structure"), F.col("other"))).groupBy(ID, "source").agg(F.min(F.struct("distance", "target")).alias("m"))
-    return exact.unionByName(best.select(ID, "source", F.col("m.target").alias("target"), F.col("m.distance").alias("distance"), F.lit(False).alias("exact")))
+    rest = cut(a.join(exact.select(ID, "source"), [ID, "source"], "left_anti"))
+    return exact.unionByName(nearest(rest, cut(b), distance, changes).withColumn("exact", F.lit(False)))
 
 
-def saddle_graph(components: DataFrame, cut: int | None = 1000) -> DataFrame:
+def saddle_graph(components: DataFrame, most: int | None = 1000) -> DataFrame:
     """Edges between saddles and the minima they touch, up to a minimum's number (None: all):
     landscape_id, saddle, energy, lmin."""
     edges = components.where(F.size("basins") > 1).select(ID, F.col("comp").alias("saddle"), "energy", F.explode("basins").alias("b")).select(ID, "saddle", "energy", F.col("b.lmin").alias("lmin"))
-    return edges if cut is None else edges.where(F.col("lmin") <= cut)
+    return edges if most is None else edges.where(F.col("lmin") <= most)
 
 
 def dot_lines(graph: DataFrame, name: str = "saddles") -> DataFrame:

@@ -140,9 +140,11 @@ class Landscape:
 
     @cached_property
     def bar(self) -> DataFrame:
-        """True minima under their new numbers: landscape_id, lmin, structure, energy, father, barrier."""
+        """True minima under their new numbers: landscape_id, lmin, structure, energy, father, barrier; with
+        sizes, also the columns of pools."""
         ids = self.true_minima.select(ID, F.col("lmin").alias("father"), F.col("true_id").alias("_f"))
-        return self.true_minima.join(ids, [ID, "father"], "left").withColumn("father", F.coalesce("_f", F.lit(0))).withColumn("lmin", F.col("true_id")).drop("_f", "true_id")
+        rows = self.true_minima.join(self.pools, [ID, "lmin"]) if self.options.sizes else self.true_minima
+        return rows.join(ids, [ID, "father"], "left").withColumn("father", F.coalesce("_f", F.lit(0))).withColumn("lmin", F.col("true_id")).drop("_f", "true_id")
 
     @cached_property
     def labels(self) -> DataFrame:

@@ -291,12 +291,12 @@ def mapped_trees(spark, sf_dir):
     first = Grid(spin_states(spark, sf_dir), moves.spin).minima
     other = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderpriority").alias(ID), (F.col("o_custkey") % 64).alias("x")).groupBy(ID, "x").agg((-F.count("*")).cast("double").alias("energy")).withColumn("structure", spin_string(F.col("x"), 6))
     second = Grid(L.ranked(other, "x"), moves.spin).minima
-    return post.mapped_trees(first, second, rna.hamming)
+    return post.mapped_trees(first, second, rna.hamming, 1)
 
 
 @query("saddle_graph", SPIN_HEAD + WHOLE + "SELECT landscape_id, comp AS saddle, cast(e AS double) AS energy, lmin FROM own WHERE (landscape_id, comp) IN (SELECT (landscape_id, comp) FROM own GROUP BY ALL HAVING count(*) > 1)")
 def saddle_graph(spark, sf_dir):
-    return post.saddle_graph(Grid(spin_states(spark, sf_dir), moves.spin).components(), cut=None)
+    return post.saddle_graph(Grid(spin_states(spark, sf_dir), moves.spin).components(), most=None)
 
 
 def order_states(spark, sf_dir, bits: int = 20):

@@ -89,6 +89,11 @@ def read_phylo(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(t) >= 5).select(t[0].cast("long").alias("id"), t[2].cast("double").alias("energy"), t[3].cast("long").alias("father"), t[4].cast("double").alias("lifetime"))
 
 
+def phylo_tree(rows: DataFrame, name: str = "1") -> DataFrame:
+    """read_phylo() rows as a merge tree, for drawings: a negative father is none."""
+    return rows.select(F.lit(name).alias(ID), F.col("id").alias("lmin"), "energy", F.greatest("father", F.lit(0)).cast("long").alias("father"), (F.col("energy") + F.col("lifetime")).alias("e_saddle"))
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """The first token of each line."""
     return spark.read.text(path).where(F.trim("value") != "").select(tokens(F.col("value"))[0].alias("structure"))

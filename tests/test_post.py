@@ -58,6 +58,26 @@ def test_mapped_trees(spark):
     assert {(r["source"], r["target"], r["distance"], r["exact"]) for r in post.mapped_trees(first, second).collect()} == {(1, 1, 1, False), (2, 1, 0, True)}
 
 
+def test_nearest_strings(spark):
+    """Parts that agree find the nearest string, also where nothing near agrees; against all pairs."""
+    import random
+
+    from basinflow.functions import rna
+
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("+-") for _ in range(12))
+    a, b = [(str(k % 2), k, text()) for k in range(40)], [(str(k % 2), k, text()) for k in range(60)]
+    a += [("2", 100, "+" * 12)]
+    b += [("2", 100, "-" * 12), ("2", 101, "-" * 12)]
+    schema = "landscape_id string, lmin long, structure string"
+    got = {(r["landscape_id"], r["source"]): (r["target"], r["distance"], r["exact"]) for r in post.mapped_trees(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), rna.hamming, 1).collect()}
+    want = {}
+    for n, k, s in a:
+        d, target = min((sum(x != y for x, y in zip(s, t)), j) for m, j, t in b if m == n)
+        want[n, k] = (target, d, d == 0)
+    assert got == want
+
+
 def test_leaf_order_and_dense_rows(spark):
     tree = spark.createDataFrame([("1", 1, 0, 9.0), ("1", 2, 1, 3.0), ("1", 3, 2, 2.0), ("1", 4, 1, 1.0)], "landscape_id string, lmin long, father long, e_saddle double")
     assert [r["lmin"] for r in post.leaf_order(tree).orderBy("place").collect()] == [1, 4, 2, 3]
