@@ -52,8 +52,8 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return docs.withColumn(COPY, F.lit(0).cast("long"))
     again = F.broadcast(again) if n <= FEW_IDS else again
     same = key.eqNullSafe(F.col("_again"))
-    told = docs.join(again, same, "left_semi").withColumn("_mark", F.xxhash64(text_col)).withColumn("_at_", F.monotonically_increasing_id())
-    ranked = global_rank(told, [key, F.col("_mark"), F.col(text_col), F.col("_at_")], COPY).withColumn(COPY, F.col(COPY) + 1).drop("_mark", "_at_")
+    told = docs.join(again, same, "left_semi").withColumn("_at_", F.monotonically_increasing_id())
+    ranked = global_rank(told, [key, F.col(text_col), F.col("_at_")], COPY).withColumn(COPY, F.col(COPY) + 1).drop("_at_")
     return docs.join(again, same, "left_anti").withColumn(COPY, F.lit(0).cast("long")).unionByName(ranked)
 
 

@@ -14,8 +14,8 @@ Keys are 8 bytes, big endian with the sign bit flipped, so that byte order is nu
 null identifier is the empty key, which sorts first. Values are the ids as little-endian
 unsigned 16-bit integers (32-bit if the vocabulary needs it).
 
-Repeated identifiers are kept side by side, ordered by text; a lookup gives the first. A null
-text has only the end id. Extra columns are neither read nor written. An empty table gives no
+Repeated identifiers are kept side by side, ordered by text, and may fill several files; a lookup gives
+the first. A null text has only the end id. Extra columns are neither read nor written. An empty table gives no
 files. Files go to a folder that all machines share; a task writes under a temporary name and
 renames, so a repeated task replaces its file by an equal one.
 """
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import WordCache, pre_tokens, text_slices
-from basinflow.llm.common import small_batches
+from basinflow.llm.common import COPY, numbered, small_batches
 
 MAGIC, RESTART, BLOCK, FILE = b"SSTids01", 16, 64 << 10, 16 << 20
 FOOTER = struct.Struct("<QQQQQQI4x8s")
@@ -290,8 +290,8 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
         if now.docs:
             yield save()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = numbered(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), COPY)
+    placed = rows.repartitionByRange("doc_id", COPY).sortWithinPartitions("doc_id", COPY).select("doc_id", "text")
     files = sorted(placed.mapInArrow(run, "part int, n int, name string, docs long, ids long").collect())
     out, before = [], 0
     for f in files:

@@ -187,7 +187,7 @@ def groups(values, linked):
 
 
 def test_simhash(spark, odd_rows):
-    rows = [r for r in odd_rows if r[0] != 6]
+    rows = odd_rows
     got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(table(spark, rows)).collect())
     fps = [fingerprint(t, 3) for _, t in rows]
     top = groups(fps, lambda a, b: bin(a ^ b).count("1") <= 3)
@@ -266,6 +266,7 @@ def test_kdtree(spark, odd_rows):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert sorted(slots) == list(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(sizes.values()) - min(sizes.values()) <= 3 * max(r["size"] for r in out)
+    assert Counter(r["doc_id"] for r in kdtree.assign(table(spark, odd_rows), shards=4).collect()) == Counter(i for i, _ in odd_rows)
     assert kdtree.assign(table(spark, []), shards=4).count() == 0
     assert {r["shard"] for r in kdtree.assign(table(spark, [(1, "one")]), shards=4).collect()} <= set(range(4))
 
