@@ -197,7 +197,7 @@ def tile_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """Spanning links of a tile: side 0 against side 1 (on the diagonal against themselves). Pairs
     that are connected already are not compared again, which changes no component."""
     marks, side = rows["hash"].to_numpy(np.int64), rows["side"].to_numpy()
-    sets = [frozenset(x) for x in rows["set"]]
+    sets = [np.asarray(x, np.int64).view(np.uint64) for x in rows["set"]]  # sorted, as they were made
     same = not (side > 0).any()
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     left, right = [i for i in order if same or side[i] == 1], [i for i in order if same or side[i] == 2]
@@ -218,7 +218,7 @@ def tile_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
             if least * len(sets[j]) > size:
                 break
             if i != j and top(i) != top(j):
-                common = len(sets[i] & sets[j])
+                common = int((sets[j][np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)] == sets[i]).sum())
                 if common >= least * (size + len(sets[j]) - common):
                     root[top(i)] = top(j)
                     out.append((marks[i], marks[j]))
