@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from basinflow.functions.moves import adjacency, move_set, rna_options
 from basinflow.functions.rna import other_mark
 from basinflow.operators import landscape as L
-from basinflow.operators.graph import cut
+from basinflow.operators.graph import cut, rank_within
 from basinflow.operators.paths import saddle_path
 
 ID = L.ID
@@ -174,13 +173,20 @@ class Landscape:
     def map_structures(self, query: DataFrame) -> DataFrame:
         return L.map_structures(query, self.states, self.basins, self.minima, self.tree, self.true_minima)
 
-    def first_bands(self) -> DataFrame:
+    def first_bands(self, begin: int = 1 << 14) -> DataFrame:
         """The states up to the band in which most - 1 merges of at least minh have happened, and the
-        first state above it."""
-        full = Landscape(self.spark, self.states, LandscapeOptions(**{**self.options.__dict__, "early_stop": False}))
-        deep = full.tree.where((F.col("father") > 0) & (F.col("barrier") >= self.options.minh))
-        count = F.count("*").over(Window.partitionBy(ID).orderBy("e_saddle").rangeBetween(Window.unboundedPreceding, 0))
-        last = deep.withColumn("_n", count).where(F.col("_n") >= self.options.most - 1).groupBy(ID).agg(F.min("e_saddle").alias("_last"))
+        first state above it. Merges up to an energy depend on the states up to it only, so the tree of
+        the first states is looked at, then of eight times as many, until it has enough merges: what
+        lies far above the last merge is never joined."""
+        n, k, plain = self.states.agg(F.max("rank")).first()[0] or 0, begin, replace(self.options, early_stop=False)
+        while True:
+            top = self.states.where(F.col("rank") <= k).groupBy(ID).agg(F.max("energy").alias("_top"))
+            part = self.states if k >= n else self.states.join(top, ID).where(F.col("energy") <= F.col("_top")).drop("_top")
+            merges = Landscape(self.spark, part, plain).tree.where((F.col("father") > 0) & (F.col("barrier") >= self.options.minh))
+            last = cut(rank_within(merges.select(ID, "e_saddle", "lmin"), [ID], ["e_saddle", "lmin"], "_n").where(F.col("_n") == max(1, self.options.most - 1)).select(ID, F.col("e_saddle").alias("_last")))
+            if k >= n or self.states.where(F.col("rank") > k).join(last, ID, "left_anti").isEmpty():
+                break
+            k *= 8
         met = self.states.join(last, ID, "left")
-        above = F.sum(F.when(F.col("energy") > F.col("_last"), 1).otherwise(0)).over(Window.partitionBy(ID).orderBy("rank"))
-        return met.withColumn("_above", above).where("_last is null or _above <= 1").drop("_last", "_above")
+        above = met.where(F.col("energy") > F.col("_last")).groupBy(ID).agg(F.min("rank").alias("_next"))
+        return met.join(above, ID, "left").where("_next is null or rank <= _next").drop("_last", "_next")

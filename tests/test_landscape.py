@@ -157,6 +157,8 @@ def test_early_stop(spark):
     rows = [("a", 0.0, ":"), ("b", 1.0, ":"), ("c", 2.0, ":"), ("x", 5.0, "a:b"), ("y", 6.0, "b:c"), ("z", 7.0, "y")]
     stop = Landscape(spark, listed(spark, *rows), LandscapeOptions(graph="?", most=2, early_stop=True))
     assert [r["structure"] for r in stop.states.orderBy("rank").collect()] == ["a", "b", "c", "x", "y"]
+    for begin in (1, 4, 5):
+        assert [r["rank"] for r in Landscape(spark, listed(spark, *rows), LandscapeOptions(graph="?", most=2)).first_bands(begin).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
 def test_components_and_chains(spark):
