@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm import bpe, egojoin, html, kdtree, paragraphs, quality, secrets, simhash, sstable, tiling
+from basinflow.llm import alignment, backoff, bpe, egojoin, html, kdtree, paragraphs, quality, secrets, simhash, spelling, sstable, tiling
 from basinflow.llm.common import new_folder, table
 
 
@@ -65,7 +65,20 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.all_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op3_weak_labels": op3_weak_labels, "op4_kdtree": op4_kdtree, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_embeddings": op8_embeddings, "op9_tiling": op9_tiling, "op10_paragraphs": op10_paragraphs}
+def op11_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), tokenizer_file("piece_bpe_32k.model"))
+    return alignment.scored(alignment.counted(aligned))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_html": op1_html, "op2_sorted_tables": op2_sorted_tables, "op3_weak_labels": op3_weak_labels, "op4_kdtree": op4_kdtree, "op5_byte_bpe": op5_byte_bpe, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_embeddings": op8_embeddings, "op9_tiling": op9_tiling, "op10_paragraphs": op10_paragraphs, "op11_backoff": op11_backoff, "op12_alignment": op12_alignment, "op13_spelling": op13_spelling}
 #: The others cannot be written in SQL (trees, tokenizers, fingerprints, expectation maximisation,
 #: tilings) or only as a join of all pairs of paragraphs; tests hold them against brute force.
 SQL: dict[str, str] = {
