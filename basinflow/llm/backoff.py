@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import text_slices
 from basinflow.llm.common import new_folder, small_batches
 
-#: Characters of a block (one text at least), and n-grams of a part on average.
-BLOCK_CHARS, PART_KEYS = 4 << 20, 2_000_000
+#: Bytes of the texts of a block (one text at least), and n-grams of a part on average.
+BLOCK_BYTES, PART_KEYS = 4 << 20, 2_000_000
 BLOCKS = "doc_ids array<long>, held_out array<boolean>, lengths array<int>, words binary, codes binary"
 PIECES = "part long, block long, n_words long, keys binary, counts binary"
 TOTALS = "block long, part long, totals binary"
@@ -44,25 +44,48 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest bytes each (the first byte says how many), compressed."""
+    import zstandard
+
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(numbers.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(numbers.astype(f"<u{width}").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of documents: their identifiers and numbers of words, the hashes of the block's distinct words,
     and all words as places in that list."""
     import xxhash
 
     small_batches(docs.sparkSession)
 
+    def block(ids: list, split: list[list[bytes]]) -> pa.RecordBatch:
+        words = pa.array(chain.from_iterable(split), pa.binary()).dictionary_encode()
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+        return pa.RecordBatch.from_pydict({
+            "doc_ids": pa.array([ids], pa.list_(pa.int64())), "held_out": pa.array([list(map(is_held_out, ids))], pa.list_(pa.bool_())), "lengths": pa.array([list(map(len, split))], pa.list_(pa.int32())),
+            "words": pa.array([hashes.tobytes()], pa.binary()), "codes": pa.array([packed(words.indices.to_numpy())], pa.binary()),
+        })
+
     def run(batches):
+        ids, split, size = [], [], 0
         for batch in batches:
-            for at, texts in text_slices(batch.column(1), block_chars):
-                split = [(t or "").encode().lower().split() for t in texts]
-                ids = batch.column(0).slice(at, len(texts))
-                words = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
-                held = [is_held_out(i) for i in ids.to_pylist()]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "held_out": pa.array([held], pa.list_(pa.bool_())), "lengths": pa.array([[len(ws) for ws in split]], pa.list_(pa.int32())),
-                    "words": pa.array([hashes.tobytes()], pa.binary()), "codes": pa.array([words.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
-                })
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = (text.as_py() or "").encode()
+                if ids and size + len(text) > block_bytes:
+                    yield block(ids, split)
+                    ids, split, size = [], [], 0
+                ids.append(i)
+                split.append(text.lower().split())
+                size += len(text)
+        if ids:
+            yield block(ids, split)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
@@ -90,7 +113,7 @@ class Grams:
         self.starts = self.ends - size + 1
         self.sequence = np.full(size.sum(), -1, np.int64)
         self.sequence[self.ends], self.sequence[self.starts] = self.end, self.begin
-        self.sequence[self.sequence < 0] = np.frombuffer(codes, np.int32)
+        self.sequence[self.sequence < 0] = unpacked(codes)
         depth = np.arange(len(self.sequence)) - np.repeat(self.starts, size)
         learn = np.repeat(~np.asarray(held, bool), size)
         self.at, self.keys, self.last, self.before, self.rest = [self.sequence], [mixed(hashes)], [np.arange(self.width)], [None], [None]
@@ -128,7 +151,7 @@ def pieces(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 keys, by_part, starts = grams.dealt(parts)
                 counts = np.concatenate(grams.counts).astype(np.int64)[by_part]
                 keys, is_word = keys[by_part], np.concatenate([[0], np.cumsum(by_part <= grams.end)])
-                rows = [(p, row["block"], int(is_word[j] - is_word[i]), keys[i:j].tobytes(), counts[i:j].tobytes()) for p, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())) if i < j]
+                rows = [(p, row["block"], int(is_word[j] - is_word[i]), keys[i:j].tobytes(), packed(counts[i:j])) for p, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())) if i < j]
                 for k in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + 1000])], names=["part", "block", "n_words", "keys", "counts"])
 
@@ -141,13 +164,13 @@ def part_totals(rows: pd.DataFrame) -> pd.DataFrame:
     keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
     sizes = np.array([len(k) // 8 for k in rows["keys"]])
     distinct, ids = np.unique(keys, return_inverse=True)
-    totals = np.bincount(ids, np.frombuffer(b"".join(rows["counts"]), np.int64), len(distinct)).astype(np.int64)
+    totals = np.bincount(ids, np.concatenate([unpacked(c) for c in rows["counts"]]), len(distinct)).astype(np.int64)
     ends = np.cumsum(sizes)
     place = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
     is_word = np.zeros(len(distinct), bool)
     is_word[ids[place < np.repeat(rows["n_words"].to_numpy(), sizes)]] = True
     learned = np.array([np.count_nonzero(totals[is_word]), totals[is_word].sum()], np.int64)
-    own = [totals[ids[e - n : e]].tobytes() for n, e in zip(sizes.tolist(), ends.tolist())]
+    own = [packed(totals[ids[e - n : e]]) for n, e in zip(sizes.tolist(), ends.tolist())]
     return pd.DataFrame({"block": pd.array([*rows["block"], None], "Int64"), "part": int(rows["part"].iloc[0]), "totals": [*own, learned.tobytes()]})
 
 
@@ -202,7 +225,7 @@ def scored(blocks: DataFrame, n: int, v: int, order: int, parts: int, prior: flo
                 grams = Grams(row["lengths"], row["held_out"], row["words"], row["codes"], order)
                 keys, by_part, _ = grams.dealt(parts)
                 found = np.empty(len(keys), np.int64)
-                found[by_part] = np.frombuffer(b"".join(x["totals"] for x in sorted(row["parted"], key=lambda x: x["part"])), np.int64)
+                found[by_part] = np.concatenate([unpacked(x["totals"]) for x in sorted(row["parted"], key=lambda x: x["part"])])
                 totals = np.split(found, np.cumsum([len(k) for k in grams.keys])[:-1])
                 model = Automaton(grams, totals, n, v, prior)
                 known = np.concatenate([[0], np.cumsum(totals[0][grams.sequence] > 0)])
@@ -216,12 +239,12 @@ def scored(blocks: DataFrame, n: int, v: int, order: int, parts: int, prior: flo
     return blocks.mapInArrow(run, SCORES)
 
 
-def score(docs: DataFrame, order: int = 2, prior: float = 500.0, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, part_keys: int = PART_KEYS) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, prior: float = 500.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """Per document: held_out (not learned from), n_tokens, n_known (tokens that were learned), train_tokens
     (all that were learned from), base_score (by single tokens) and score (by the automaton), both in
     log10. order: words of the longest n-gram."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "blocks")
-    tokenized(docs, id_col, text_col, block_chars).withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{folder}/blocks")
+    tokenized(docs, id_col, text_col, block_bytes).withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     places = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y + 2)
     size = blocks.agg(F.sum(places(F.col("lengths")))).first()[0] or 0

@@ -58,7 +58,7 @@ def by_key(rows):
 def test_backoff_scores_equal_plain_ones(spark, order):
     rows = rows_of(order)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    found = [tuple(r) for r in backoff.score(docs, order, 3.0, block_chars=600, part_keys=200).collect()]
+    found = [tuple(r) for r in backoff.score(docs, order, 3.0, block_bytes=600, part_keys=200).collect()]
     want = by_key(plain_scores([r[:2] for r in rows], order, 3.0))
     for a, b in zip(by_key(found), want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
