@@ -140,3 +140,62 @@ def sequences(spark: SparkSession, constraint: str, structure: str) -> DataFrame
 def scored(found: DataFrame, protein: str, scores=None) -> DataFrame:
     acids = translated(F.col("sequence"))
     return found.withColumn("mutations", mutations(acids, protein)).withColumn("score", similarity(acids, protein, scores))
+
+
+def letter_codons(letters: Column) -> Column:
+    """All codons that three IUPAC letters stand for."""
+    table = F.create_map(*(F.lit(x) for kv in IUPAC.items() for x in kv))
+    bases = lambda k: F.split(table[F.substring(letters, k, 1)], "")
+    ends = F.flatten(F.transform(bases(2), lambda b: F.transform(bases(3), lambda c: F.concat(b, c))))
+    return F.flatten(F.transform(bases(1), lambda a: F.transform(ends, lambda e: F.concat(a, e))))
+
+
+def pruned_sequences(designs: DataFrame, structure: str, most_mutations: int, least_score: int, scores: dict[tuple[str, str], int] | None = None, match: int = 5, mismatch: int = -1, rows: list[int] | None = None) -> DataFrame:
+    """For designs(constraint, protein, ...): all sequences under the IUPAC constraint and the structure that
+    differ from the protein at no more than so many acids, without a stop, and score at least so much: the
+    columns of designs with sequence, mutations and score.
+
+    Branch and bound by codons. The codons that a constraint allows at a place, whatever stands elsewhere, give
+    the fewest mutations and the highest score that the rest can still have; a beginning that cannot
+    keep both limits with them is dropped when it is made, so rows only grow with beginnings that
+    may end well. rows: a list that gets the number of rows after each codon (a count each).
+
+    null constraints and proteins, and constraints of another length than the structure or without three
+    letters for each acid, have no sequences; unknown letters stand for no base."""
+    if len(structure) % 3:
+        raise ValueError("a structure of whole codons")
+    table, n = partners(structure), len(structure) // 3
+    acids = F.create_map(*(F.lit(x) for kv in codons().items() for x in kv))
+    if scores is None:
+        value = lambda acid, wanted: F.when(acid == wanted, match).otherwise(mismatch)
+    else:
+        both = F.create_map(*(F.lit(x) for (a, b), v in {**{(b, a): v for (a, b), v in scores.items()}, **scores}.items() for x in (a + b, v)))
+        value = lambda acid, wanted: both[F.concat(acid, wanted)]
+
+    def choices(k: int) -> Column:
+        wanted = F.substring("protein", k + 1, 1)
+        made = F.transform(letter_codons(F.substring("constraint", 3 * k + 1, 3)), lambda c: F.struct(c.alias("codon"), (acids[c] != wanted).cast("int").alias("mutation"), F.when(acids[c] != "*", value(acids[c], wanted)).alias("score")))
+        return F.filter(made, lambda c: c["score"].isNotNull())
+
+    def fits(k: int, codon: Column) -> Column:
+        """Whether the bases of the k-th codon pair with those before them (or among themselves)."""
+        ok, whole = F.lit(True), F.concat("sequence", codon)
+        for j in range(3 * k, 3 * k + 3):
+            if 0 <= table[j] < j:
+                ok = ok & F.concat(F.substring(whole, table[j] + 1, 1), F.substring(whole, j + 1, 1)).isin(*(WATSON_CRICK if structure[j] == ")" else WOBBLE))
+        return ok
+
+    best = F.array(*(F.struct(F.array_min(F.transform(choices(k), lambda c: c["mutation"])).alias("mutations"), F.array_max(F.transform(choices(k), lambda c: c["score"])).alias("score")) for k in range(n)))
+    kept = designs.columns
+    out = designs.where((F.length("constraint") == 3 * n) & (F.length("protein") == n)).withColumn("_best", best).where(~F.exists("_best", lambda b: b["score"].isNull()))
+    out = out.withColumn("sequence", F.lit("")).withColumn("mutations", F.lit(0)).withColumn("score", F.lit(0))
+    for k in range(n):
+        rest = lambda name: F.aggregate(F.slice("_best", k + 2, n), F.lit(0), lambda s, b: s + b[name])  # noqa: B023, E731
+        grown = out.withColumn("_c", F.explode(choices(k))).where(fits(k, F.col("_c.codon")))
+        out = grown.select(*kept, "_best", F.concat("sequence", "_c.codon").alias("sequence"), (F.col("mutations") + F.col("_c.mutation")).alias("mutations"), (F.col("score") + F.col("_c.score")).alias("score"))
+        out = out.where((F.col("mutations") + rest("mutations") <= most_mutations) & (F.col("score") + rest("score") >= least_score))
+        if k % 4 == 3 and k < n - 1:
+            out = out.repartition("sequence", "constraint")
+        if rows is not None:
+            rows.append(out.count())
+    return out.drop("_best")

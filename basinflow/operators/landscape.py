@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basinflow.operators.forest import climbed, doubled, elder_forest, subtree_sums
 from basinflow.operators.graph import chase, connected_components, cut, rank_within
 
 ID = "landscape_id"
@@ -157,55 +158,59 @@ def replay(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[ID, "lmin", "father", "e_saddle", "saddle", "left_contact", "right_contact"])
 
 
-#: Components of one landscape that a task thins out together.
-CHUNK_COMPONENTS = 50_000
+#: Joining components of a landscape that one task may replay. Larger landscapes are merged by joins alone.
+REPLAYED = 50_000
 
 
-def thinned(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a chunk of one landscape's components, those whose basins the chunk's components of lower energy
-    do not connect already. What goes merges nothing in replay(), whatever the other chunks hold."""
-    father: dict[int, int] = {}
+def ids_of(basins: str = "basins") -> Column:
+    return F.transform(basins, lambda b: b["lmin"])
 
-    def root(i):
-        while (r := father.get(i, i)) != i:
-            father[i] = father.get(r, r)
-            i = r
-        return i
 
-    keep = np.zeros(len(rows), bool)
-    ids = [[b["lmin"] for b in basins] for basins in rows["basins"]]
-    order = np.argsort(rows["energy"].to_numpy(), kind="stable")
-    edges = np.flatnonzero(np.diff(rows["energy"].to_numpy()[order])) + 1 if len(rows) else []
-    for band in np.split(order, edges):
-        for i in band:
-            keep[i] = len({root(x) for x in ids[i]}) > 1
-        for i in band:
-            first, *rest = sorted({root(x) for x in ids[i]})
-            father.update(dict.fromkeys(rest, first))
-    return rows[keep]
-
-
-def spanning(components: DataFrame) -> DataFrame:
-    """joining() components, cut down in chunks until a landscape's fit one, or no longer shrink: about
-    one for each minimum (and equal ones of a band) is left, however many states or components there are."""
-    rows = cut(joining(components).select(ID, "comp", "energy", "basins"))
-    n = rows.count()
-    while True:
-        chunks = rows.groupBy(ID).agg(F.ceil(F.count("*") / CHUNK_COMPONENTS).cast("int").alias("_cuts"))
-        if (chunks.agg(F.max("_cuts")).first()[0] or 0) <= 1:
-            return rows
-        dealt = rows.join(chunks, ID).withColumn("_own", F.pmod(F.xxhash64("comp"), "_cuts"))
-        fewer = cut(dealt.groupBy(ID, "_own").applyInPandas(lambda t: thinned(t[[ID, "comp", "energy", "basins"]]), rows.schema))
-        left = fewer.count()
-        if left > 0.8 * n:
-            return fewer
-        rows, n = fewer, left
+def star(rows: DataFrame, ids: str, key: str) -> DataFrame:
+    """Edges (a, b, key) from the first of each row's nodes to all others."""
+    return rows.select(ID, F.explode(F.slice(ids, 2, F.size(ids))).alias("b"), F.col(ids)[0].alias("a"), F.col(key).alias("key"))
+
+
+def turns(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """For rows (landscape_id, energy, ids) of basins that meet at an energy: roots, the sorted roots of the
+    basins when the band of that energy begins, and turn, the place of (energy, roots) in the landscape's
+    order of merging. levels: the doubled forest of the landscape's merges by energy."""
+    distinct = cut(rows.select(ID, "energy", "ids").distinct())
+    began = climbed(distinct.select(ID, "energy", "ids", F.explode("ids").alias("at")), levels, "at", F.col("key") < F.col("energy"))
+    rooted = began.groupBy(ID, "energy", "ids").agg(F.array_sort(F.collect_set("at")).alias("roots"))
+    order = rank_within(rooted.select(ID, "energy", "roots").distinct(), [ID], ["energy", "roots"], "turn")
+    return cut(rooted.join(order, [ID, "energy", "roots"]).select(ID, "energy", "ids", "roots", "turn"))
 
 
-def merge_tree(components: DataFrame) -> DataFrame:
-    """Father and saddle of every minimum that is merged: one row each. Chunks of components are thinned
-    out in parallel; one task then replays what is left of one landscape."""
-    return spanning(components).groupBy(ID).applyInPandas(replay, TREE)
+def contracted(rows: DataFrame) -> DataFrame:
+    """What replay() gives, of landscapes of any size and without a task that sees a whole one.
+
+    The forest of merges by energy alone says which roots a band begins with; with these, components
+    have their order of merging, and a second forest, by that order, has each minimum's father and turn.
+    Of the components of one turn the first does the merging; its basins' roots just before that turn
+    say on which side each contact lies."""
+    rows = cut(rows.withColumn("ids", ids_of()))
+    timed = rows.join(turns(rows, doubled(elder_forest(star(rows, "ids", "energy")))), [ID, "energy", "ids"]).where(F.size("roots") > 1)
+    firsts = cut(timed.groupBy(ID, "turn").agg(F.min("comp").alias("comp")).join(timed.drop("turn"), [ID, "comp"]))
+    merged = cut(elder_forest(star(firsts, "roots", "turn")))
+    used = firsts.join(merged.select(ID, F.col("key").alias("turn")).distinct(), [ID, "turn"])
+    sides = climbed(used.select(ID, "turn", F.explode("basins").alias("b")).select(ID, "turn", F.col("b.lmin").alias("at"), F.col("b.contact").alias("contact")), doubled(merged), "at", F.col("key") < F.col("turn"))
+    contacts = cut(sides.groupBy(ID, "turn", "at").agg(F.min("contact").alias("contact")))
+    of = lambda node, name: contacts.select(ID, "turn", F.col("at").alias(node), F.col("contact").alias(name))
+    out = merged.select(ID, F.col("node").alias("lmin"), F.col("up").alias("father"), F.col("key").alias("turn")).join(used.select(ID, "turn", F.col("energy").alias("e_saddle"), F.col("comp").alias("saddle")), [ID, "turn"])
+    return out.join(of("father", "left_contact"), [ID, "turn", "father"]).join(of("lmin", "right_contact"), [ID, "turn", "lmin"]).select(ID, "lmin", "father", "e_saddle", "saddle", "left_contact", "right_contact")
+
+
+def merge_tree(components: DataFrame, replayed: int | None = None) -> DataFrame:
+    """Father and saddle of every minimum that is merged: one row each. A landscape of at most `replayed`
+    (as a rule REPLAYED) joining components is replayed by a task; larger ones are contracted by joins,
+    with the same result."""
+    most = REPLAYED if replayed is None else replayed
+    rows = cut(joining(components).select(ID, "comp", "energy", "basins"))
+    large = cut(rows.groupBy(ID).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(ID))
+    small = rows if (none := large.isEmpty()) else rows.join(large, ID, "left_anti")
+    out = small.groupBy(ID).applyInPandas(replay, TREE)
+    return out if none else out.unionByName(contracted(rows.join(large, ID, "left_semi")))
 
 
 def forest(minima: DataFrame, tree: DataFrame, states: DataFrame, top: float = 1e-6) -> DataFrame:
@@ -220,39 +225,21 @@ def component_roots(tree: DataFrame) -> DataFrame:
     return chase(tree.select(ID, F.col("lmin").alias("node"), F.when(F.col("father") > 0, F.col("father")).alias("parent")), [ID]).select(ID, F.col("node").alias("lmin"), F.col("top").alias("root"))
 
 
-def valleys(minima: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-    """One landscape: states and partition sums of all valleys, in the order of replay(). A component's
-    states count for the smallest root that it touches when its turn comes."""
-    father: dict[int, int] = {}
-    pool, z = dict(zip(minima["lmin"], minima["own"])), dict(zip(minima["lmin"], minima["own_z"]))
-
-    def root(i):
-        while i in father:
-            i = father[i]
-        return i
-
-    for _, band in sums.groupby("energy", sort=True):
-        todo = sorted((sorted({root(i) for i in ids}), tuple(ids), size, w) for ids, size, w in zip(band["ids"], band["size"], band["w"]))
-        for _, ids, size, w in todo:
-            first, *rest = sorted({root(i) for i in ids})
-            for r in rest:
-                father[r] = first
-                pool[first] += pool[r]
-                z[first] += z[r]
-            pool[first] += size
-            z[first] += w
-    return pd.DataFrame({ID: minima[ID].iloc[:1].repeat(len(pool)).to_numpy(), "lmin": list(pool), "pool": list(pool.values()), "z": [z[i] for i in pool]})
-
-
 def pools(tree: DataFrame, components: DataFrame, states: DataFrame, kt: float = 1.0) -> DataFrame:
     """Per minimum: pool (states that its valley holds when it is merged, or at the end) and z (their
-    partition sum). Components are first added up per energy and set of basins, so a task sees a
-    landscape's minima and that histogram, not its states."""
-    low = ground(states)
-    own = tree.join(low, ID).select(ID, "lmin", F.lit(1).cast("long").alias("own"), weight(F.col("energy"), F.col("mfe"), kt).alias("own_z"))
-    ids = F.transform("basins", lambda b: b["lmin"]).alias("ids")
-    base = components.join(low, ID).select(F.col(ID).alias("_id"), "energy", ids, "size", (F.col("size") * weight(F.col("energy"), F.col("mfe"), kt)).alias("w")).groupBy("_id", "energy", "ids").agg(F.sum("size").alias("size"), F.sum("w").alias("w"))
-    return own.groupBy(ID).cogroup(base.groupBy("_id")).applyInPandas(valleys, f"{ID} string, lmin long, pool long, z double")
+    partition sum). A component's states count for the root that they have when its turn has come: the first
+    ancestor, from its smallest root when the band began, that is merged later. A valley then holds what
+    counts for any minimum below it in the tree of merges."""
+    low, merges = ground(states), cut(tree.where("father > 0").select(ID, "lmin", "father", "e_saddle", "saddle"))
+    base = components.join(low, ID).select(ID, "comp", "energy", ids_of().alias("ids"), "size", (F.col("size") * weight(F.col("energy"), F.col("mfe"), kt)).alias("w"))
+    sums = cut(base.groupBy(ID, "energy", "ids").agg(F.sum("size").alias("size"), F.sum("w").alias("w")))
+    order = turns(sums, doubled(merges.select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), F.col("e_saddle").alias("key"))))
+    saddles = merges.join(base.select(ID, F.col("comp").alias("saddle"), "energy", "ids"), [ID, "saddle"]).join(order, [ID, "energy", "ids"])
+    levels = doubled(saddles.select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), F.col("turn").alias("key")))
+    at = climbed(sums.join(order, [ID, "energy", "ids"]).select(ID, "turn", "size", "w", F.col("roots")[0].alias("node")), levels, "node", F.col("key") <= F.col("turn"))
+    own = tree.join(low, ID).select(ID, F.col("lmin").alias("node"), F.lit(1).cast("long").alias("size"), weight(F.col("energy"), F.col("mfe"), kt).alias("w"))
+    each = at.select(ID, "node", "size", "w").unionByName(own).groupBy(ID, "node").agg(F.sum("size").alias("pool"), F.sum("w").alias("z"))
+    return subtree_sums(each, levels, "pool", "z").withColumnRenamed("node", "lmin")
 
 
 def ground_roots(tree: DataFrame, roots: DataFrame, ligand: bool) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from basinflow.operators.forest import climbed, doubled, joined_at
 from basinflow.operators.graph import cut
 from basinflow.operators.landscape import ID
 
@@ -27,61 +30,90 @@ def descent(starts: DataFrame, stepped: DataFrame, most_rounds: int = 60) -> Dat
     raise RuntimeError("a descent does not end")
 
 
-def ancestors(node: int, father: dict[int, int]) -> list[int]:
-    out = [node]
-    while father.get(out[-1]):
-        out.append(father[out[-1]])
-    return out
+def way_down(stepped: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """For all states: the minimum below (its rank) and the steps to it, by pointer doubling: landscape_id,
+    rank, basin, steps."""
+    now = cut(stepped.select(ID, "rank", F.coalesce("down", "rank").alias("basin"), F.col("down").isNotNull().cast("long").alias("steps")))
+    for _ in range(most_rounds):
+        below = now.where("steps > 0").select(ID, F.col("rank").alias("basin"), F.col("basin").alias("_next"), F.col("steps").alias("_more"))
+        met = cut(now.join(below, [ID, "basin"], "left"))
+        now = met.select(ID, "rank", F.coalesce("_next", "basin").alias("basin"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"))
+        if met.where("_next is not null").isEmpty():
+            return now
+    raise RuntimeError("a descent does not end")
 
 
-def highest(a: int, b: int, tree: dict[int, dict]) -> dict | None:
-    """The merge that first brings two minima together: the highest on their way in the tree, None if
-    they lie in different trees."""
-    father = {i: r["father"] for i, r in tree.items()}
-    one, two = ancestors(a, father), ancestors(b, father)
-    meet = next((x for x in one if x in set(two)), None)
-    if meet is None:
-        return None
-    way = [tree[i] for i in one[: one.index(meet)] + two[: two.index(meet)]]
-    return max(way, key=lambda r: (r["e_saddle"], -r["lmin"]))
+def merges_of(tree: DataFrame) -> list[DataFrame]:
+    """Doubled tables of a forest's merges, whose keys order them by energy and then by the number of the
+    minimum, the largest first: (e, k) with k the negative number."""
+    key = F.struct(F.col("e_saddle").alias("e"), (-F.col("lmin")).alias("k")).alias("key")
+    return doubled(tree.where("father > 0").select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), key))
+
+
+def saddles_between(pairs: DataFrame, tree: DataFrame, levels: list[DataFrame] | None = None) -> DataFrame:
+    """For pairs(landscape_id, a, b, ...) of minima: the highest merge on the way from a to b in the tree, as
+    merged (the minimum that it ends; of equal energies the one of smallest number), e_saddle, saddle,
+    left_contact and right_contact. All null where there is no way, or a = b. All pairs are looked up at
+    once, by ancestors 1, 2, 4, ... merges above."""
+    met = joined_at(pairs, levels or merges_of(tree)).withColumn("merged", -F.col("key.k")).drop("key")
+    return met.join(tree.select(ID, F.col("lmin").alias("merged"), "e_saddle", "saddle", "left_contact", "right_contact"), [ID, "merged"], "left")
+
+
+def saddle_paths(pairs: DataFrame, tree: DataFrame, states: DataFrame, stepped: DataFrame, index: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """For pairs(landscape_id, a, b) of minima: all states of a way from a over the lowest saddles to b.
+    Columns landscape_id, a, b, step (from 0), rank, structure, energy and mark (L and number for a minimum,
+    S for a saddle, I between). Pairs without a way have no rows.
+
+    A round takes all stretches between two minima that are still open, finds their highest merge, and puts
+    in its place the descents from both sides of the saddle and the stretches left over to their minima.
+    Places within the way are arrays of numbers, so that all pairs can go on apart and be put in order at
+    the end. tree: minima with father, e_saddle, saddle, contacts and rank; index: landscape_id, rank, lmin
+    (the minimum below each state)."""
+    levels, minima = merges_of(tree), tree.select(ID, F.col("lmin").alias("x"), F.col("rank").alias("at"))
+    below = index.select(ID, F.col("rank"), F.col("lmin"))
+    open_, done = cut(pairs.select(ID, "a", "b").distinct().withColumn("pos", F.array().cast("array<int>")).withColumn("x", F.col("a")).withColumn("y", F.col("b"))), []
+    key = [ID, "a", "b"]
+
+    def place(n: int):
+        return F.concat("pos", F.array(F.lit(n))).alias("pos")
+
+    for _ in range(most_rounds):
+        point = open_.where("x = y").join(minima, [ID, "x"])
+        done.append(point.select(*key, "pos", "at", F.lit("point").alias("kind")))
+        split = joined_at(open_.where("x <> y"), levels, "x", "y").where("key is not null").withColumn("merged", -F.col("key.k"))
+        if split.isEmpty():
+            break
+        side = climbed(split.withColumnRenamed("key", "_top").withColumn("_side", F.col("x")), levels, "_side", F.col("key") < F.col("_top"))
+        met = side.join(tree.select(ID, F.col("lmin").alias("merged"), "saddle", "left_contact", "right_contact"), [ID, "merged"])
+        turned = F.col("_side") == F.col("merged")  # x lies on the side that was merged
+        met = met.select(*key, "pos", "x", "y", "saddle", F.when(turned, F.col("right_contact")).otherwise(F.col("left_contact")).alias("from"), F.when(turned, F.col("left_contact")).otherwise(F.col("right_contact")).alias("to"))
+        met = met.join(below.select(ID, F.col("rank").alias("from"), F.col("lmin").alias("first")), [ID, "from"]).join(below.select(ID, F.col("rank").alias("to"), F.col("lmin").alias("last")), [ID, "to"])
+        met = cut(met)
+        done += [met.select(*key, place(1), F.col("from").alias("at"), F.lit("up").alias("kind")), met.select(*key, place(2), F.col("saddle").alias("at"), F.lit("point").alias("kind")), met.select(*key, place(3), F.col("to").alias("at"), F.lit("down").alias("kind"))]
+        open_ = cut(met.select(*key, place(0), "x", F.col("first").alias("y")).unionByName(met.select(*key, place(4), F.col("last").alias("x"), "y")))
+    else:
+        raise RuntimeError("a way does not end")
+    pieces = cut(reduce(DataFrame.unionByName, done))
+    limbs = descent(pieces.where("kind <> 'point'").select(ID, F.col("at").alias("limb"), F.col("at").alias("rank")).distinct(), stepped)
+    walked = pieces.where("kind <> 'point'").join(limbs.select(ID, F.col("limb").alias("at"), "rank", "step"), [ID, "at"]).select(*key, "pos", F.when(F.col("kind") == "up", -F.col("step")).otherwise(F.col("step")).alias("sub"), "rank")
+    whole = walked.unionByName(pieces.where("kind = 'point'").select(*key, "pos", F.lit(0).cast("long").alias("sub"), F.col("at").alias("rank")))
+    order = Window.partitionBy(*key).orderBy("pos", "sub")
+    fresh = whole.withColumn("_before", F.lag("rank").over(order)).where("_before is null or _before <> rank").withColumn("step", F.row_number().over(order) - 1)
+    saddles = tree.where("father > 0").select(ID, F.col("saddle").alias("rank")).distinct().withColumn("_is_saddle", F.lit(True))
+    named = fresh.join(states.select(ID, "rank", "structure", "energy"), [ID, "rank"]).join(minima.select(ID, F.col("x").alias("_lmin"), F.col("at").alias("rank")), [ID, "rank"], "left").join(saddles, [ID, "rank"], "left")
+    mark = F.when(F.col("_lmin").isNotNull(), F.format_string("L%04d", "_lmin")).when(F.col("_is_saddle"), "S").otherwise("I")
+    return named.select(*key, "step", "rank", "structure", "energy", mark.alias("mark"))
 
 
 def saddle_path(tree: DataFrame, states: DataFrame, stepped: DataFrame, index: DataFrame, landscape: str, a: int, b: int) -> DataFrame:
-    """States from minimum a over the lowest saddles to minimum b: step, rank, structure, energy and
-    mark (L and number for a minimum, S for a saddle, I between). One landscape's merges (a row a
-    minimum) are looked at by the driver; states stay in Spark. An error if there is no path."""
-    merges = {r["lmin"]: r.asDict() for r in tree.where(F.col(ID) == landscape).select("lmin", "father", "e_saddle", "saddle", "left_contact", "right_contact", "rank").collect()}
-    own_states = stepped.where(F.col(ID) == landscape)
-    own_index = index.where(F.col(ID) == landscape)
-    spark = tree.sparkSession
-
-    def limb(rank: int) -> tuple[list[int], int]:
-        start = spark.createDataFrame([(landscape, 0, rank)], f"{ID} string, limb int, rank long")
-        way = [r["rank"] for r in descent(start, own_states).orderBy("step").collect()]
-        return way, own_index.where(F.col("rank") == way[-1]).first()["lmin"]
-
-    def between(x: int, y: int) -> list[int]:
-        if x == y:
-            return [merges[x]["rank"]]
-        top = highest(x, y, merges)
-        if top is None:
-            raise ValueError(f"no path between minima {x} and {y}")
-        father = {i: r["father"] for i, r in merges.items()}
-        (left, at), (right, to) = limb(top["left_contact"]), limb(top["right_contact"])
-        if top["lmin"] in ancestors(x, father):  # x lies on the side that was merged
-            left, at, right, to = right, to, left, at
-        middle = [*reversed(left), top["saddle"], *right]
-        first = between(x, at)[:-1] if x != at else []
-        last = between(to, y)[1:] if to != y else []
-        return [*first, *middle, *last]
-
-    ranks = [r for i, r in enumerate(way) if not i or way[i - 1] != r] if (way := between(a, b)) else []
-    steps = spark.createDataFrame(list(enumerate(ranks)), "step int, rank long")
-    minima = {r["rank"]: i for i, r in merges.items()}
-    saddles = {r["saddle"] for r in merges.values() if r["father"]} & set(ranks)
-    marks = spark.createDataFrame([(r, f"L{minima[r]:04d}" if r in minima else "S" if r in saddles else "I") for r in set(ranks)], "rank long, mark string")
-    own = states.where(F.col(ID) == landscape).select("rank", "structure", "energy")
-    return steps.join(own, "rank").join(marks, "rank").select("step", "rank", "structure", "energy", "mark").orderBy("step")
+    """saddle_paths() of one pair, in order: step, rank, structure, energy and mark. An error if there is no
+    way."""
+    own = [x.where(F.col(ID) == landscape) for x in (tree, states, stepped, index)]
+    pair = tree.sparkSession.createDataFrame([(landscape, a, b)], f"{ID} string, a long, b long")
+    way = cut(saddle_paths(pair, *own))
+    if way.isEmpty():
+        raise ValueError(f"no path between minima {a} and {b}")
+    return way.select("step", "rank", "structure", "energy", "mark").orderBy("step")
 
 
 def direct_paths(queries: DataFrame, energy: Callable[[str, frozenset], float], most_kept: int = 20, ceiling: float = 99999.0) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basinflow.functions.rna import pair_distance
+from basinflow.operators.forest import doubled, subtree_sums, summed_up
 from basinflow.operators.graph import cut, rank_within
 from basinflow.operators.landscape import GAS, ID, ZERO
 
@@ -95,19 +97,22 @@ def framed(lines: DataFrame, head: str, tail: str) -> DataFrame:
 
 
 def leaf_order(minima: DataFrame) -> DataFrame:
-    """Places of a landscape's minima along the axis of a drawing: visited by saddle, a minimum's chain
-    goes behind its father's. landscape_id, lmin, place. Drawn trees are cut to a number of minima."""
-    import pandas as pd
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        chain = {i: [i] for i in rows["lmin"]}
-        for r in rows.sort_values(["e_saddle", "lmin"], ascending=[True, False]).itertuples():
-            if r.father in chain and r.father != r.lmin:
-                chain[r.father] += chain.pop(r.lmin)
-        places = [i for head in sorted(chain) for i in chain[head]]
-        return pd.DataFrame({ID: rows[ID].iloc[0], "lmin": places, "place": range(len(places))})
-
-    return minima.groupBy(ID).applyInPandas(order, f"{ID} string, lmin long, place long")
+    """Places of a landscape's minima along the axis of a drawing: landscape_id, lmin, place (from 0).
+    Visited by saddle (of equal ones the larger number first), a minimum's chain goes behind its father's;
+    trees follow each other by the number of their root.
+
+    So a minimum stands behind its father by one and by all that hangs on the father's earlier children;
+    places are the sums of these numbers up to the root, by doubled ancestors. A father that is not among
+    the rows makes a root."""
+    known = minima.select(ID, F.col("lmin").alias("father")).distinct()
+    tree = cut(minima.join(known.withColumn("_known", F.lit(True)), [ID, "father"], "left").select(ID, F.col("lmin").alias("node"), "e_saddle", F.when(F.col("_known") & (F.col("father") != F.col("lmin")), F.col("father")).alias("up")))
+    levels = doubled(tree.where("up is not null").select(ID, "node", "up", F.col("e_saddle").alias("key")))
+    sizes = subtree_sums(tree.select(ID, "node", F.lit(1).cast("long").alias("held")), levels, "held")
+    rows = tree.join(sizes, [ID, "node"])
+    before = lambda order: F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    roots = rows.where("up is null").withColumn("offset", before(Window.partitionBy(ID).orderBy("node")))
+    others = rows.where("up is not null").withColumn("offset", before(Window.partitionBy(ID, "up").orderBy("e_saddle", F.desc("node"))) + 1)
+    return summed_up(roots.unionByName(others).select(ID, "node", "up", "offset"), "offset").select(ID, F.col("node").alias("lmin"), F.col("offset").alias("place"))
 
 
 def incidence(rates: DataFrame, size: int) -> DataFrame:

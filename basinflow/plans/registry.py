@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from basinflow.plans import files, grids, strings
+from basinflow.plans import files, generators, grids, ligands, strings, ways
 from basinflow.streaming import flood
 
-QUERIES: dict = {**grids.QUERIES, **strings.QUERIES, **files.QUERIES, **flood.QUERIES}
-SQL: dict[str, str] = {**grids.SQL, **strings.SQL, **files.SQL, **flood.SQL}
+QUERIES: dict = {**grids.QUERIES, **strings.QUERIES, **files.QUERIES, **ways.QUERIES, **generators.QUERIES, **ligands.QUERIES, **flood.QUERIES}
+SQL: dict[str, str] = {**grids.SQL, **strings.SQL, **files.SQL, **ways.SQL, **generators.SQL, **ligands.SQL, **flood.SQL}

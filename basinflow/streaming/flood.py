@@ -42,22 +42,22 @@ OUT = f"{ID} string, energy double, first_rank long, size long"
 def closed_bands(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Bands of equal energy of one landscape's sorted states. A band is given out when a higher energy
     arrives, the last one when a row without an energy ends the landscape. An energy below the open band is
-    an error, as the band was closed, and so is one after the end. State: the open band."""
+    an error, as the band was closed, and so is one after the end. State: the open band. What a trigger
+    brings of a landscape (a file of bounded size) comes in several batches, which have no order."""
     energy, first, size = state.get if state.exists else (None, 0, 0)
-    for rows in batches:
-        out = []
-        for e, rank in rows.sort_values(["rank"])[["energy", "rank"]].itertuples(index=False):
-            if energy is not None and np.isinf(energy):
-                raise ValueError(f"landscape {key[0]}: a state after its end")
-            e = np.inf if pd.isna(e) else e
-            if energy is not None and e < energy:
-                raise ValueError(f"landscape {key[0]}: energy {e} after band {energy}")
-            if e != energy:
-                if energy is not None:
-                    out.append((key[0], energy, first, size))
-                energy, first, size = e, int(rank), 0
-            size += 1
-        yield pd.DataFrame(out, columns=[ID, "energy", "first_rank", "size"])
+    rows, out = pd.concat(list(batches)).sort_values("rank"), []
+    for e, rank in rows[["energy", "rank"]].itertuples(index=False):
+        if energy is not None and np.isinf(energy):
+            raise ValueError(f"landscape {key[0]}: a state after its end")
+        e = np.inf if pd.isna(e) else e
+        if energy is not None and e < energy:
+            raise ValueError(f"landscape {key[0]}: energy {e} after band {energy}")
+        if e != energy:
+            if energy is not None:
+                out.append((key[0], energy, first, size))
+            energy, first, size = e, int(rank), 0
+        size += 1
+    yield pd.DataFrame(out, columns=[ID, "energy", "first_rank", "size"])
     if energy is not None:
         state.update((float(energy), int(first), int(size)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basinflow.operators import landscape as L
 from basinflow.operators import post
+from basinflow.operators.forest import elder_forest
 from basinflow.operators.graph import chase, connected_components
 from basinflow.operators.paths import direct_paths, gradient_walk, joined_roots
 from basinflow.plans.analysis import Landscape, LandscapeOptions
@@ -200,18 +201,45 @@ def test_hopfield(spark):
     assert len(found) == 8 and found["+-+"] == -(9 + 1) and found["+++"] == -(1 + 1)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_thinned_components_give_the_same_tree(spark, monkeypatch, seed):
-    """Chunks of components, thinned out again and again, against the flood."""
-    energies, near = random_graph(40 + seed, n=300, levels=150, degree=3)
-    rows = [(str(i), energies[i - 1], ":".join(map(str, sorted(near[i]))) or ":") for i in range(1, len(energies) + 1)]
-    ls = Landscape(spark, listed(spark, *rows), LandscapeOptions(graph="?", most=0))
-    whole = {tuple(r) for r in L.merge_tree(ls.components).collect()}
-    monkeypatch.setattr(L, "CHUNK_COMPONENTS", 7)
-    assert {tuple(r) for r in L.merge_tree(ls.components).collect()} == whole and len(whole) > 20
-    assert L.spanning(ls.components).count() <= L.joining(ls.components).count()
-    ring = pd.DataFrame({"comp": [1, 2, 3, 4], "energy": [1.0, 2.0, 3.0, 2.0], "basins": [[{"lmin": a}, {"lmin": b}] for a, b in ((1, 2), (2, 3), (1, 3), (3, 1))]})
-    assert L.thinned(ring)["comp"].tolist() == [1, 2, 4]
+@pytest.mark.parametrize("levels", [4, 60])
+def test_contracted_landscapes_give_the_same_tree(spark, levels):
+    """Merges by joins alone against the flood and the replay, with many and with few equal energies."""
+    graphs = {f"g{k}": random_graph(40 + 10 * levels + k, n=110, levels=levels, degree=2 + k % 2) for k in range(2)}
+    ls = Landscape(spark, states_of(spark, graphs), LandscapeOptions(graph="?", most=0))
+    replayed = {tuple(r) for r in L.merge_tree(ls.components).collect()}
+    assert {tuple(r) for r in L.merge_tree(ls.components, 0).collect()} == replayed and len(replayed) > 20
+    merged = {(r[0], r[1]): (r[2], r[3]) for r in replayed}
+    pools = {(r[L.ID], r["lmin"]): r["pool"] for r in L.pools(ls.tree, ls.components, ls.states).collect()}
+    for name, graph in graphs.items():
+        minimum, _, _, father, level, pool = flood(*graph)
+        assert {i: merged[name, i] for i in minimum if (name, i) in merged} == {i: (father[i], level[i]) for i in father}
+        assert {i: pools[name, i] for i in minimum} == pool
+
+
+def test_chains_and_stars_of_merges(spark):
+    """Forests of edges in an order against merging one edge after another."""
+    rng = random.Random(5)
+    sets = {"chain up": [(i, i + 1, i) for i in range(1, 9)], "chain down": [(i, i + 1, 9 - i) for i in range(1, 9)], "star": [(30, i, rng.random()) for i in range(1, 9)], "ties": [(rng.randint(1, 40), rng.randint(1, 40), float(rng.randint(1, 5))) for _ in range(60)], "loops": [(1, 1, 0.0)]}
+    edges = spark.createDataFrame([(name, a, b, float(k)) for name, rows in sets.items() for a, b, k in rows], "landscape_id string, a long, b long, key double")
+    found = {(r[0], r["node"]): (r["up"], r["key"]) for r in elder_forest(edges).collect()}
+    want = {}
+    for name, rows in sets.items():
+        root = {}
+
+        def top(i):
+            while i in root:
+                i = root[i]
+            return i
+
+        for key in sorted({k for _, _, k in rows}):
+            died = []
+            for a, b, _ in [r for r in rows if r[2] == key]:
+                x, y = sorted((top(a), top(b)))
+                if x != y:
+                    root[y] = x
+                    died.append(y)
+            want |= {(name, y): (top(y), float(key)) for y in died}
+    assert found == want
 
 
 def test_ligands(spark):
