@@ -197,6 +197,38 @@ def base_pairs(structure: Column) -> Column:
     return F.aggregate(places, start, step, lambda s: s["pairs"])
 
 
+def in_one_loop(structure: Column, i: Column, j: Column) -> Column:
+    """Whether two places (from 1, i < j) are unpaired and what stands between them is closed in itself, so that
+    a pair of them crosses no other."""
+    inside = F.when(j > i + 1, F.split(structure.substr(i + 1, j - i - 1), "")).otherwise(F.array().cast("array<string>"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+
+    def step(state, c):
+        depth = state["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.least(state["least"], depth).alias("least"))
+
+    closed = F.aggregate(inside, start, step, lambda s: (s["depth"] == 0) & (s["least"] == 0))
+    return (structure.substr(i, F.lit(1)) == ".") & (structure.substr(j, F.lit(1)) == ".") & closed
+
+
+def put_pair(structure: Column, i: Column, j: Column, closed: Column) -> Column:
+    """The structure with both places (from 1) paired if closed, else unpaired."""
+    a, b = (F.when(closed, F.lit(c)).otherwise(F.lit(".")) for c in "()")
+    return F.concat(structure.substr(F.lit(1), i - 1), a, structure.substr(i + 1, j - i - 1), b, structure.substr(j + 1, F.length(structure)))
+
+
+def pair_sum(sequence: Column, structure: Column, energies: dict[str, float], other: float) -> Column:
+    """An additive model: the sum of the energies of all pairs by their two bases; `other` for bases that the
+    table does not have."""
+    table = F.create_map(*(F.lit(x) for pair in energies.items() for x in pair))
+
+    def value(p):
+        ends = F.split(p, ",")
+        return F.coalesce(table[F.concat(sequence.substr(ends[0].cast("int"), F.lit(1)), sequence.substr(ends[1].cast("int"), F.lit(1)))], F.lit(other))
+
+    return F.aggregate(base_pairs(structure), F.lit(0.0), lambda s, p: s + value(p))
+
+
 def pair_distance(a: Column, b: Column) -> Column:
     """Number of base pairs that only one of two structures has."""
     p, q = base_pairs(a), base_pairs(b)

@@ -45,34 +45,44 @@ def climbed(rows: DataFrame, levels: list[DataFrame], at: str, goes: Column | No
     return out
 
 
-def joined_at(pairs: DataFrame, levels: list[DataFrame], a: str = "a", b: str = "b") -> DataFrame:
-    """For pairs (landscape_id, a, b, ...) the greatest key on the way from a to b in the forest, as the
-    column key: null if they have different roots or are the same node."""
-    out = cut(pairs.withColumn("_pair", F.monotonically_increasing_id()))
+def depths(levels: list[DataFrame]) -> DataFrame:
+    """Root and depth of every node of a forest: landscape_id, node, root, depth."""
+    nodes = levels[0].select(ID, "node").unionByName(levels[0].select(ID, F.col("up").alias("node"))).distinct()
+    return cut(climbed(nodes.withColumn("root", F.col("node")), levels, "root", steps="depth").select(ID, "node", "root", "depth"))
+
+
+def joined_at(pairs: DataFrame, levels: list[DataFrame], deep: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """pairs (landscape_id, a, b, ...) with the greatest key on the way from a to b in the forest, as the column
+    key, and on_a, whether it lies between a and where their ways meet: null if they have different roots or
+    are the same node. deep: depths() of the forest.
+
+    The deeper node is lifted by the difference of the depths, bit by bit; then both are lifted by 2 ** k as long
+    as they do not meet, and by one at last."""
+    none, out = F.lit(None).cast(levels[0].schema["key"].dataType), pairs
     for side in (a, b):
-        top = climbed(out.select(ID, "_pair", F.col(side).alias("_at")), levels, "_at", steps=f"_deep_{side}")
-        out = out.join(top.select("_pair", F.col("_at").alias(f"_root_{side}"), f"_deep_{side}"), "_pair")
-    deeper = F.col(f"_deep_{a}") >= F.col(f"_deep_{b}")
-    met = out.where((F.col(f"_root_{a}") == F.col(f"_root_{b}")) & (F.col(a) != F.col(b)))
-    met = cut(met.select(ID, "_pair", F.when(deeper, F.col(a)).otherwise(F.col(b)).alias("_u"), F.when(deeper, F.col(b)).otherwise(F.col(a)).alias("_v"), F.abs(F.col(f"_deep_{a}") - F.col(f"_deep_{b}")).alias("_lift")))
-    met = met.withColumn("_key", F.lit(None).cast(levels[0].schema["key"].dataType))
-
-    def hop(rows: DataFrame, k: int, moves: Column, both: bool) -> DataFrame:
-        for side in ("_u", "_v") if both else ("_u",):
-            rows = rows.join(levels[k].select(ID, F.col("node").alias(side), F.col("up").alias(f"_up{side}"), F.col("key").alias(f"_key{side}")), [ID, side], "left")
-        rows = rows.withColumn("_go", moves)
-        for side in ("_u", "_v") if both else ("_u",):
-            rows = rows.withColumn(side, F.when(F.col("_go"), F.col(f"_up{side}")).otherwise(F.col(side))).withColumn("_key", F.when(F.col("_go"), F.greatest("_key", f"_key{side}")).otherwise(F.col("_key")))
-        return rows.select(ID, "_pair", "_u", "_v", "_lift", "_key")
-
-    for k in range(len(levels) - 1):
-        met = hop(met, k, F.shiftright("_lift", k).bitwiseAND(1) == 1, False)
-    met = cut(met)
-    for k in reversed(range(len(levels) - 1)):
-        met = hop(met, k, F.coalesce((F.col("_u") != F.col("_v")) & (F.col("_up_u") != F.col("_up_v")), F.lit(False)), True)
-    if len(levels) > 1:
-        met = hop(met, 0, F.col("_u") != F.col("_v"), True)
-    return out.drop(*(f"_{x}_{side}" for x in ("root", "deep") for side in (a, b))).join(met.select("_pair", F.col("_key").alias("key")), "_pair", "left").drop("_pair")
+        out = out.join(deep.select(ID, F.col("node").alias(side), F.col("root").alias(f"_root_{side}"), F.col("depth").alias(f"_deep_{side}")), [ID, side], "left")
+    live, first = (F.col(f"_root_{a}") == F.col(f"_root_{b}")) & (F.col(a) != F.col(b)), F.col(f"_deep_{a}") >= F.col(f"_deep_{b}")
+    out = out.withColumn("_first", first).withColumn("_u", F.when(live, F.when(first, F.col(a)).otherwise(F.col(b)))).withColumn("_v", F.when(live, F.when(first, F.col(b)).otherwise(F.col(a))))
+    out = out.withColumn("_lift", F.abs(F.col(f"_deep_{a}") - F.col(f"_deep_{b}"))).withColumn("_key_u", none).withColumn("_key_v", none).drop(*(f"_{x}_{side}" for x in ("root", "deep") for side in (a, b)))
+
+    def hop(rows: DataFrame, k: int, moves: Column, sides: str) -> DataFrame:
+        for x in sides:
+            rows = rows.join(levels[k].select(ID, F.col("node").alias(f"_{x}"), F.col("up").alias(f"_up_{x}"), F.col("key").alias(f"_by_{x}")), [ID, f"_{x}"], "left")
+        rows = rows.withColumn("_go", F.coalesce(moves, F.lit(False)))
+        for x in sides:
+            rows = rows.withColumn(f"_{x}", F.when(F.col("_go"), F.col(f"_up_{x}")).otherwise(F.col(f"_{x}"))).withColumn(f"_key_{x}", F.when(F.col("_go"), F.greatest(f"_key_{x}", f"_by_{x}")).otherwise(F.col(f"_key_{x}")))
+        return rows.drop("_go", *(f"_{part}_{x}" for part in ("up", "by") for x in sides))
+
+    last = len(levels) - 1
+    for k in range(last):
+        out = hop(out, k, F.shiftright("_lift", k).bitwiseAND(1) == 1, "u")
+    for k in reversed(range(last)):
+        out = hop(out, k, (F.col("_u") != F.col("_v")) & (F.col("_up_u") != F.col("_up_v")), "uv")
+    if last:
+        out = hop(out, 0, F.col("_u") != F.col("_v"), "uv")
+    on_u = F.col("_key_v").isNull() | F.coalesce(F.col("_key_u") > F.col("_key_v"), F.lit(False))
+    key = F.greatest("_key_u", "_key_v")
+    return out.withColumn("key", key).withColumn("on_a", F.when(key.isNotNull(), on_u == F.col("_first"))).drop("_first", "_u", "_v", "_lift", "_key_u", "_key_v")
 
 
 def subtree_sums(values: DataFrame, levels: list[DataFrame], *columns: str) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basinflow.operators.forest import climbed, doubled, joined_at
+from basinflow.operators.forest import depths, doubled, joined_at
 from basinflow.operators.graph import cut
 from basinflow.operators.landscape import ID
 
@@ -50,12 +50,13 @@ def merges_of(tree: DataFrame) -> list[DataFrame]:
     return doubled(tree.where("father > 0").select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), key))
 
 
-def saddles_between(pairs: DataFrame, tree: DataFrame, levels: list[DataFrame] | None = None) -> DataFrame:
+def saddles_between(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """For pairs(landscape_id, a, b, ...) of minima: the highest merge on the way from a to b in the tree, as
     merged (the minimum that it ends; of equal energies the one of smallest number), e_saddle, saddle,
     left_contact and right_contact. All null where there is no way, or a = b. All pairs are looked up at
     once, by ancestors 1, 2, 4, ... merges above."""
-    met = joined_at(pairs, levels or merges_of(tree)).withColumn("merged", -F.col("key.k")).drop("key")
+    levels = merges_of(tree)
+    met = joined_at(pairs, levels, depths(levels)).withColumn("merged", -F.col("key.k")).drop("key", "on_a")
     return met.join(tree.select(ID, F.col("lmin").alias("merged"), "e_saddle", "saddle", "left_contact", "right_contact"), [ID, "merged"], "left")
 
 
@@ -69,8 +70,9 @@ def saddle_paths(pairs: DataFrame, tree: DataFrame, states: DataFrame, stepped:
     Places within the way are arrays of numbers, so that all pairs can go on apart and be put in order at
     the end. tree: minima with father, e_saddle, saddle, contacts and rank; index: landscape_id, rank, lmin
     (the minimum below each state)."""
+    tree, below = cut(tree.select(ID, "lmin", "rank", "father", "e_saddle", "saddle", "left_contact", "right_contact")), cut(index.select(ID, "rank", "lmin"))
     levels, minima = merges_of(tree), tree.select(ID, F.col("lmin").alias("x"), F.col("rank").alias("at"))
-    below = index.select(ID, F.col("rank"), F.col("lmin"))
+    deep, sides = depths(levels), tree.select(ID, F.col("lmin").alias("merged"), "saddle", "left_contact", "right_contact")
     open_, done = cut(pairs.select(ID, "a", "b").distinct().withColumn("pos", F.array().cast("array<int>")).withColumn("x", F.col("a")).withColumn("y", F.col("b"))), []
     key = [ID, "a", "b"]
 
@@ -80,15 +82,13 @@ def saddle_paths(pairs: DataFrame, tree: DataFrame, states: DataFrame, stepped:
     for _ in range(most_rounds):
         point = open_.where("x = y").join(minima, [ID, "x"])
         done.append(point.select(*key, "pos", "at", F.lit("point").alias("kind")))
-        split = joined_at(open_.where("x <> y"), levels, "x", "y").where("key is not null").withColumn("merged", -F.col("key.k"))
-        if split.isEmpty():
-            break
-        side = climbed(split.withColumnRenamed("key", "_top").withColumn("_side", F.col("x")), levels, "_side", F.col("key") < F.col("_top"))
-        met = side.join(tree.select(ID, F.col("lmin").alias("merged"), "saddle", "left_contact", "right_contact"), [ID, "merged"])
-        turned = F.col("_side") == F.col("merged")  # x lies on the side that was merged
+        met = joined_at(open_.where("x <> y"), levels, deep, "x", "y").where("key is not null").withColumn("merged", -F.col("key.k")).join(sides, [ID, "merged"])
+        turned = F.col("on_a")  # x lies on the side that was merged
         met = met.select(*key, "pos", "x", "y", "saddle", F.when(turned, F.col("right_contact")).otherwise(F.col("left_contact")).alias("from"), F.when(turned, F.col("left_contact")).otherwise(F.col("right_contact")).alias("to"))
         met = met.join(below.select(ID, F.col("rank").alias("from"), F.col("lmin").alias("first")), [ID, "from"]).join(below.select(ID, F.col("rank").alias("to"), F.col("lmin").alias("last")), [ID, "to"])
         met = cut(met)
+        if met.isEmpty():
+            break
         done += [met.select(*key, place(1), F.col("from").alias("at"), F.lit("up").alias("kind")), met.select(*key, place(2), F.col("saddle").alias("at"), F.lit("point").alias("kind")), met.select(*key, place(3), F.col("to").alias("at"), F.lit("down").alias("kind"))]
         open_ = cut(met.select(*key, place(0), "x", F.col("first").alias("y")).unionByName(met.select(*key, place(4), F.col("last").alias("x"), "y")))
     else:
@@ -171,6 +171,44 @@ def direct_paths(queries: DataFrame, energy: Callable[[str, frozenset], float],
     return queries.select("sequence", "start", "target").mapInPandas(run, "sequence string, start string, target string, saddle_energy double, saddle string")
 
 
+def direct_saddles(queries: DataFrame, energy: Callable[[Column, Column], Column], most_kept: int = 20, ceiling: float = 99999.0) -> DataFrame:
+    """What direct_paths() looks for, by tables: for queries(sequence, start, target) the lowest barrier found,
+    with columns sequence, start, target, saddle_energy, saddle. energy(sequence, structure) is a native
+    expression.
+
+    All queries go on together. A step takes every state of the beams, explodes the pairs that are still to
+    be removed or added, keeps what stays a structure and below the query's best barrier so far, merges equal
+    states into the one with the lower top, and keeps the best width + 1 of a query. Steps are made from
+    alternating ends with beams of 1, 2, 4, ... up to most_kept. Where there are no more states between, the
+    barrier is the lowest of all direct paths. Equal queries are one; null structures have no rows."""
+    from basinflow.functions.rna import base_pairs, in_one_loop, put_pair
+
+    asked = queries.select("sequence", "start", "target").where("sequence is not null and start is not null and target is not null").distinct()
+    lost, gained = (F.array_except(base_pairs(F.col(a)), base_pairs(F.col(b))) for a, b in (("start", "target"), ("target", "start")))
+    asked = cut(asked.withColumn("lost", lost).withColumn("gained", gained).withColumn("_q", F.monotonically_increasing_id()))
+    longest = asked.agg(F.max(F.size("lost") + F.size("gained"))).first()[0] or 0
+    best = asked.select("_q", F.lit(float(ceiling)).alias("limit"), F.lit(None).cast("string").alias("saddle"))
+    move = lambda adds: lambda p: F.struct(F.split(p, ",")[0].cast("int").alias("i"), F.split(p, ",")[1].cast("int").alias("j"), F.lit(adds).alias("adds"))
+    width, turn = 1, False
+    while True:
+        begin, away, back = ("target", "gained", "lost") if turn else ("start", "lost", "gained")
+        rows = asked.join(best.select("_q", "limit"), "_q").select("_q", "sequence", "limit", F.col(begin).alias("now"), energy(F.col("sequence"), F.col(begin)).alias("e"), F.concat(F.transform(away, move(False)), F.transform(back, move(True))).alias("left"))
+        rows = rows.withColumn("top", F.col("e")).withColumn("peak", F.col("now"))
+        for _ in range(longest):
+            ended, open_ = rows.where(F.size("left") == 0), rows.where(F.size("left") > 0)
+            grown = open_.withColumn("m", F.explode("left")).where(~F.col("m.adds") | in_one_loop(F.col("now"), F.col("m.i"), F.col("m.j")))
+            grown = grown.select("_q", "sequence", "limit", put_pair(F.col("now"), F.col("m.i"), F.col("m.j"), F.col("m.adds")).alias("now"), F.array_remove("left", F.col("m")).alias("left"), "top", "peak")
+            merged = grown.groupBy("_q", "now").agg(F.min(F.struct("top", "peak")).alias("b"), F.first("sequence").alias("sequence"), F.first("limit").alias("limit"), F.first("left").alias("left"))
+            merged = merged.withColumn("e", energy(F.col("sequence"), F.col("now"))).select("_q", "sequence", "limit", "now", "e", "left", F.greatest("b.top", "e").alias("top"), F.when(F.col("e") > F.col("b.top"), F.col("now")).otherwise(F.col("b.peak")).alias("peak"))
+            place = F.row_number().over(Window.partitionBy("_q").orderBy("top", "e", "now"))
+            rows = cut(merged.where(F.col("top") < F.col("limit")).withColumn("_place", place).where(F.col("_place") <= width + 1).drop("_place").unionByName(ended))
+        found = rows.where((F.size("left") == 0) & (F.col("top") < F.col("limit"))).groupBy("_q").agg(F.min(F.struct("top", "peak")).alias("b"))
+        best = cut(best.join(found, "_q", "left").select("_q", F.coalesce("b.top", "limit").alias("limit"), F.coalesce("b.peak", "saddle").alias("saddle")))
+        if width >= most_kept:
+            return asked.join(best, "_q").select("sequence", "start", "target", F.when(F.col("saddle").isNotNull(), F.col("limit")).alias("saddle_energy"), "saddle")
+        width, turn = min(2 * width, most_kept), not turn
+
+
 def gradient_walk(queries: DataFrame, energy: Callable[[str, str], float]) -> DataFrame:
     """For queries(sequence, structure): the end of the steepest descent by insertions and deletions of
     pairs under the caller's energy(sequence, structure). Columns sequence, structure, minimum."""

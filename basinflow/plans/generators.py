@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basinflow.functions import design, trees
+from basinflow.functions import design, rna, trees
+from basinflow.operators import paths
 from basinflow.plans.grids import table
 from basinflow.plans.strings import CODE, sequence
 
@@ -64,3 +65,24 @@ def tree_slice(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % trees.count_trees(9)).alias("rank"))
     made = rows.withColumn("tree", trees.from_places(trees.rank_places(F.col("rank"), 9)))
     return made.withColumn("back", trees.places_rank(trees.to_places("tree"), 9)).withColumn("trees", F.lit(trees.count_trees(9)).cast("long"))
+
+
+PAIR_ENERGIES = {"GC": -3.0, "CG": -3.0, "AU": -2.0, "UA": -2.0, "GU": -1.0, "UG": -1.0}
+START, TARGET = "((.(....).........))", ".....((....))..(..)."
+#: Pairs of both structures, with 1 for those that a way adds; 4 and 8 cross 16 and 32.
+TOGGLES = ((1, 20, 0), (2, 19, 0), (4, 9, 0), (6, 13, 1), (7, 12, 1), (16, 19, 1))
+DIRECT = f"""WITH RECURSIVE s AS (SELECT p_partkey, translate(substr(md5(cast(p_partkey AS varchar)), 1, 20), '0123456789abcdef', 'ACGUACGUACGUACGU') AS q FROM part),
+t(k, i, j, adds) AS (VALUES {', '.join(f'({k}, {i}, {j}, {a})' for k, (i, j, a) in enumerate(TOGGLES))}),
+pe AS (SELECT p_partkey, k, adds, coalesce(v, 1.0) AS v FROM (SELECT p_partkey, k, adds, substr(q, i, 1) || substr(q, j, 1) AS ends FROM s, t) LEFT JOIN (VALUES {', '.join(f"('{p}', {v})" for p, v in PAIR_ENERGIES.items())}) w(ends, v) USING (ends)),
+en AS (SELECT p_partkey, m, sum(CASE WHEN (m >> k) & 1 = adds THEN v ELSE 0 END) AS e FROM pe, range(0, 64) r(m) WHERE (m & 24 = 0 OR m & 4 > 0) AND (m & 32 = 0 OR m & 2 > 0) GROUP BY ALL),
+fl AS (SELECT p_partkey, m, e AS top FROM en WHERE m = 0 UNION SELECT f.p_partkey, n.m, greatest(f.top, n.e) FROM fl f JOIN en n ON n.p_partkey = f.p_partkey AND n.m > f.m AND bit_count(xor(f.m, n.m)) = 1)
+SELECT p_partkey, cast(min(top) AS double) AS saddle_energy FROM fl WHERE m = 63 GROUP BY ALL"""
+
+
+@query("direct_path_saddles", DIRECT)
+def direct_path_saddles(spark, sf_dir):
+    """The barrier of the direct paths between two structures for each part's sequence."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", sequence(20).alias("sequence"))
+    asked = parts.select("sequence", F.lit(START).alias("start"), F.lit(TARGET).alias("target"))
+    found = paths.direct_saddles(asked, lambda q, s: rna.pair_sum(q, s, PAIR_ENERGIES, 1.0))
+    return parts.join(found, "sequence").select("p_partkey", "saddle_energy")

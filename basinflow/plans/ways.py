@@ -80,3 +80,7 @@ def saddle_path_states(spark, sf_dir):
 def leaf_places(spark, sf_dir):
     """Places of all minima along the axis of a drawing of their tree."""
     return post.leaf_order(orders(spark, sf_dir).tree())
+
+
+#: Of stream_minima, whose query is in basinflow.streaming.flood.
+SQL["stream_minima"] = CELLS + MERGED + "SELECT mn.landscape_id, lmin, mn.n AS rank, q || ',' || d AS structure, cast(mn.e AS double) AS energy, coalesce(father, 0) AS father, e_saddle FROM mn LEFT JOIN (SELECT landscape_id, lmin, father, e_saddle FROM fathers JOIN tree USING (landscape_id, lmin)) USING (landscape_id, lmin)"
