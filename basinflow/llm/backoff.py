@@ -21,6 +21,7 @@ Words and n-grams are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from basinflow.llm.common import new_folder, small_batches
 
 #: Bytes of the texts of a block (one text at least), and n-grams of a part on average.
-BLOCK_BYTES, PART_KEYS = 4 << 20, 2_000_000
+BLOCK_BYTES, PART_KEYS = 3 << 20, 2_000_000
 BLOCKS = "doc_ids array<long>, held_out array<boolean>, lengths array<int>, words binary, codes binary"
 PIECES = "part long, block long, n_words long, keys binary, counts binary"
 TOTALS = "block long, part long, totals binary"
@@ -201,7 +202,7 @@ class Automaton:
                 back[first[k - 1] : first[k]] = state(k - 2, grams.rest[k - 1])
         self.width, self.fail, self.back = grams.width, fail.tolist(), back.tolist()
         self.arc = {key: i for i, key in enumerate(np.concatenate(keys).tolist())}
-        self.weight, self.goal = np.concatenate(weights).tolist(), np.concatenate(goals).tolist()
+        self.weight, self.goal = array("d", np.concatenate(weights)), array("q", np.concatenate(goals).astype(np.int64))
         self.start = int(state(0, grams.begin)) if order > 1 else root
 
     def score(self, words: list[int]) -> float:
