@@ -14,9 +14,10 @@ stays null. Extra columns are neither read nor returned. An empty table gives an
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -25,12 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import WordCache, text_slices
+from basinflow.llm.bpe import WordCache, pre_tokens, text_slices
 from basinflow.llm.common import cut, new_folder, small_batches
 
 #: A pair of ids in this share of all rows or more is looked up in a broadcast table. There are at most so
 #: many such pairs (about 50 MB), and no other pair is frequent enough to fill a task.
 HOT_PAIRS = 1_000_000
+#: Parts of texts that a task keeps with their ids for each tokenizer, and their characters, in each of two
+#: generations; characters of the texts that it aligns together.
+KEPT, KEPT_CHARS, SLICE = 150_000, 5 << 20, 1 << 18
+#: Parts that are encoded in one call.
+JOINED = 4000
+#: Stands for a part of a text that its tokens do not spell.
+BROKEN = np.array([-1], np.int32).tobytes()
 SIDES = ("a_ids", "b_ids", "a_sizes", "b_sizes", "first", "last")
 ALIGNED = "doc_id long, " + ", ".join(f"{c} array<int>" for c in SIDES)
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<pair: long, n: int>>"
@@ -44,21 +52,31 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def spelled(words: list[str], coded: Iterable[np.ndarray], spell: list[bytes]) -> Iterator[bytes]:
+    """The ids of each word, or BROKEN if their bytes are not those of the word."""
+    for word, ids in zip(words, coded):
+        yield ids.tobytes() if b"".join(map(spell.__getitem__, ids.tolist())) == word.encode() else BROKEN
+
+
 class ByteTokens:
     """Ids of a byte-level tokenizer, and the bytes of each; literals of special tokens are plain text."""
 
     def __init__(self, path: str, pattern: str):
         from basinflow.llm.sstable import Encoder
 
-        self.coder = Encoder(path, pattern)
+        self.coder, self.pattern, self.cache = Encoder(path, pattern), pattern, WordCache(KEPT, KEPT_CHARS)
         self.coder.model.encode_special_tokens, self.coder.added = True, []
         byte, tokens = byte_of_char(), self.coder.model.get_vocab(with_added_tokens=True)
         self.bytes = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.bytes[i] = bytes(map(byte.__getitem__, token))
 
+    def words(self, new: list[str]) -> Iterator[bytes]:
+        return spelled(new, (np.frombuffer(ids, self.coder.dtype).astype(np.int32) for ids in self.coder.words(new)), self.bytes)
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, self.coder.dtype).astype(np.int32) for ids in self.coder.batch(texts)]
+        coded = self.cache.coded([pre_tokens(t, self.pattern) for t in texts], lambda new: self.words(new) if new else ())
+        return [np.frombuffer(ids, np.int32) for ids in coded]
 
 
 class PieceTokens:
@@ -70,21 +88,42 @@ class PieceTokens:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model, self.cache = sentencepiece.SentencePieceProcessor(model_file=path), WordCache()
+        self.model, self.cache = sentencepiece.SentencePieceProcessor(model_file=path), WordCache(KEPT, KEPT_CHARS)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [self.piece_bytes(p) for p in pieces]
-        whole = any(self.MARK in p.lstrip(self.MARK) for p in pieces) or self.model.encode(" a  b ", out_type=str) != self.model.encode(" a", out_type=str) + self.model.encode(" b", out_type=str) + [self.MARK]
-        self.parts = re.compile(".+" if whole else " +[^ ]*", re.DOTALL)
-        self.space = np.array([self.model.piece_to_id(self.MARK)], np.int32).tobytes()
+        self.length = np.array([len(x) for x in self.bytes], np.int64)
+        self.whole = any(self.MARK in p.lstrip(self.MARK) for p in pieces) or self.model.encode(" a  b ", out_type=str) != self.model.encode(" a", out_type=str) + self.model.encode(" b", out_type=str) + [self.MARK]
+        self.parts = re.compile(".+" if self.whole else " +[^ ]*", re.DOTALL)
+        self.space = self.model.piece_to_id(self.MARK)
 
     def piece_bytes(self, piece: str) -> bytes:
         if re.fullmatch("<0x[0-9A-F]{2}>", piece):
             return bytes([int(piece[3:5], 16)])
         return piece.replace(self.MARK, " ").encode()
 
-    def words(self, new: list[str]) -> Iterator[bytes]:
-        for ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1)):
-            yield self.space if ids[0] == " " else np.array(ids[1], np.int32).tobytes()
+    def glued(self, words: list[str]) -> list[bytes]:
+        """Ids of parts that do not end with a space, encoded as one text and cut where the tokens' bytes
+        reach the end of a part; empty if that text is not spelled by its tokens."""
+        text = "".join(words)
+        ids = np.array(self.model.encode(text[1:]), np.int32)
+        if b"".join(map(self.bytes.__getitem__, ids.tolist())) != text.encode():
+            return []
+        reach, ends = np.cumsum(self.length[ids]), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        cuts = np.searchsorted(reach, ends)
+        if (reach[cuts] != ends).any():
+            return []
+        bounds, data = (4 * (cuts + 1)).tolist(), ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *bounds], bounds)]
+
+    def words(self, new: list[str]) -> list[bytes]:
+        known = {}
+        inner = [w for w in new if w[-1] != " "] if not self.whole else []
+        for k in range(0, len(inner), JOINED):
+            known.update(zip(part := inner[k : k + JOINED], self.glued(part)))
+        apart = [w for w in new if w not in known]
+        coded = self.model.encode([w[1:] for w in apart], num_threads=1) if apart else []
+        known.update(zip(apart, spelled(apart, (np.array([self.space] if w == " " else ids, np.int32) for w, ids in zip(apart, coded)), self.bytes)))
+        return [known[w] for w in new]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each of the texts, which begin with the space that the model puts in front."""
@@ -94,13 +133,16 @@ class PieceTokens:
 
 def gallop(short: list[int], long: list[int]) -> list[int]:
     """For each of the ascending values of short: how many values of long (ascending) are smaller."""
-    out, at, n = [], 0, len(long)
+    out, at, n, long = [], 0, len(long), [*long, math.inf]
     for e in short:
-        if at < n and long[at] < e:
-            step = 1
-            while at + step < n and long[at + step] < e:
-                step <<= 1
-            at = bisect_left(long, e, at + (step >> 1) + 1, min(at + step, n))
+        if long[at] < e:
+            if long[at + 1] >= e:
+                at += 1
+            else:
+                step = 2
+                while at + step < n and long[at + step] < e:
+                    step <<= 1
+                at = bisect_left(long, e, at + (step >> 1) + 1, min(at + step, n))
         out.append(at)
     return out
 
@@ -130,9 +172,8 @@ class Aligner:
         """Per text the arrays of SIDES."""
         spaced = [" " + t if t else "" for t in texts]
         none = (np.zeros(0, np.int32),) * 6
-        for text, a, b in zip(spaced, self.a.batch(spaced), self.b.batch(spaced)):
-            plain = text.encode()
-            if not plain or b"".join(map(self.a.bytes.__getitem__, a.tolist())) != plain or b"".join(map(self.b.bytes.__getitem__, b.tolist())) != plain:
+        for a, b in zip(self.a.batch(spaced), self.b.batch(spaced)):
+            if not len(a) or a.min() < 0 or b.min() < 0:
                 yield none
             else:
                 yield a, b, *matched(np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b]))
@@ -157,7 +198,7 @@ def align(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str =
     def run(batches):
         model = aligner(a_path, pattern, b_path)
         for batch in batches:
-            for at, texts in text_slices(batch.column(1), 1 << 20):
+            for at, texts in text_slices(batch.column(1), SLICE):
                 found = list(model.batch(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(lists(list(side)) for side in zip(*found))], names=["doc_id", *SIDES])
 
