@@ -225,23 +225,39 @@ def component_roots(tree: DataFrame) -> DataFrame:
     return chase(tree.select(ID, F.col("lmin").alias("node"), F.when(F.col("father") > 0, F.col("father")).alias("parent")), [ID]).select(ID, F.col("node").alias("lmin"), F.col("top").alias("root"))
 
 
+def holders(tree: DataFrame, components: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """For rows (landscape_id, energy, ids) of basins that meet at an energy: node, the root that they have
+    when their turn has come, which is the first ancestor, from their smallest root when the band began,
+    that is merged later. Also the doubled forest of merges by turn."""
+    merges = cut(tree.where("father > 0").select(ID, "lmin", "father", "e_saddle", "saddle"))
+    order = turns(rows, doubled(merges.select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), F.col("e_saddle").alias("key"))))
+    saddles = merges.join(components.select(ID, F.col("comp").alias("saddle"), "energy", ids_of().alias("ids")), [ID, "saddle"]).join(order, [ID, "energy", "ids"])
+    levels = doubled(saddles.select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), F.col("turn").alias("key")))
+    return climbed(order.select(ID, "energy", "ids", "turn", F.col("roots")[0].alias("node")), levels, "node", F.col("key") <= F.col("turn")).select(ID, "energy", "ids", "node"), levels
+
+
 def pools(tree: DataFrame, components: DataFrame, states: DataFrame, kt: float = 1.0) -> DataFrame:
     """Per minimum: pool (states that its valley holds when it is merged, or at the end) and z (their
-    partition sum). A component's states count for the root that they have when its turn has come: the first
-    ancestor, from its smallest root when the band began, that is merged later. A valley then holds what
-    counts for any minimum below it in the tree of merges."""
-    low, merges = ground(states), cut(tree.where("father > 0").select(ID, "lmin", "father", "e_saddle", "saddle"))
-    base = components.join(low, ID).select(ID, "comp", "energy", ids_of().alias("ids"), "size", (F.col("size") * weight(F.col("energy"), F.col("mfe"), kt)).alias("w"))
+    partition sum). A component's states count for its holder; a valley then holds what counts for any
+    minimum below it in the tree of merges."""
+    low = ground(states)
+    base = components.join(low, ID).select(ID, "energy", ids_of().alias("ids"), "size", (F.col("size") * weight(F.col("energy"), F.col("mfe"), kt)).alias("w"))
     sums = cut(base.groupBy(ID, "energy", "ids").agg(F.sum("size").alias("size"), F.sum("w").alias("w")))
-    order = turns(sums, doubled(merges.select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), F.col("e_saddle").alias("key"))))
-    saddles = merges.join(base.select(ID, F.col("comp").alias("saddle"), "energy", "ids"), [ID, "saddle"]).join(order, [ID, "energy", "ids"])
-    levels = doubled(saddles.select(ID, F.col("lmin").alias("node"), F.col("father").alias("up"), F.col("turn").alias("key")))
-    at = climbed(sums.join(order, [ID, "energy", "ids"]).select(ID, "turn", "size", "w", F.col("roots")[0].alias("node")), levels, "node", F.col("key") <= F.col("turn"))
+    held, levels = holders(tree, components, sums)
     own = tree.join(low, ID).select(ID, F.col("lmin").alias("node"), F.lit(1).cast("long").alias("size"), weight(F.col("energy"), F.col("mfe"), kt).alias("w"))
-    each = at.select(ID, "node", "size", "w").unionByName(own).groupBy(ID, "node").agg(F.sum("size").alias("pool"), F.sum("w").alias("z"))
+    each = sums.join(held, [ID, "energy", "ids"]).select(ID, "node", "size", "w").unionByName(own).groupBy(ID, "node").agg(F.sum("size").alias("pool"), F.sum("w").alias("z"))
     return subtree_sums(each, levels, "pool", "z").withColumnRenamed("node", "lmin")
 
 
+def flooded_basins(tree: DataFrame, components: DataFrame, parts: DataFrame) -> DataFrame:
+    """The basin by merging of every state: a minimum's own, else the holder of the state's plateau component
+    (parts, see plateau_components()). landscape_id, rank, basin."""
+    rows = components.select(ID, "comp", "energy", ids_of().alias("ids"))
+    held, _ = holders(tree, components, rows.select(ID, "energy", "ids"))
+    own = tree.select(ID, "rank", "lmin")
+    return parts.join(rows.join(held, [ID, "energy", "ids"]).select(ID, "comp", "node"), [ID, "comp"]).join(own, [ID, "rank"], "left").select(ID, "rank", F.coalesce("lmin", "node").alias("basin"))
+
+
 def ground_roots(tree: DataFrame, roots: DataFrame, ligand: bool) -> DataFrame:
     """landscape_id and root of the ground state's tree, that of minimum 1; with ligands, of the lowest
     bound and of the lowest unbound root."""

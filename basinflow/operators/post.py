@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basinflow.functions.rna import pair_distance
+from basinflow.functions.rna import base_pairs, pair_distance
 from basinflow.operators.forest import doubled, subtree_sums, summed_up
 from basinflow.operators.graph import cut, rank_within
 from basinflow.operators.landscape import GAS, ID, ZERO
@@ -54,6 +55,39 @@ def nearest(rest: DataFrame, others: DataFrame, distance: Callable[[Column, Colu
         parts = min(n, 2 * parts)
 
 
+def nearest_structures(queries: DataFrame, others: DataFrame) -> DataFrame:
+    """For each of queries(landscape_id, source, structure) the one of others(landscape_id, target, other) that
+    differs in the fewest base pairs, the smaller target on ties: landscape_id, source, target, distance.
+
+    Pairs are put in order of rarity. Two structures that differ in at most d pairs and share one share it
+    among the first d + 1 of both, so only those that meet there are compared, for d = 1, 2, 4, ...; of those
+    that share nothing with a structure, the one with the fewest pairs is nearest. What is found within d is
+    the nearest, and common pairs come into play for the last queries only. Structures of landscapes without
+    others have no row."""
+    of = lambda rows, key, text: rows.select(ID, F.col(key).alias("key"), base_pairs(F.col(text)).alias("pairs"))
+    a, b = cut(of(queries, "source", "structure")), cut(of(others, "target", "other"))
+    often = cut(b.select(ID, F.explode("pairs").alias("pair")).groupBy(ID, "pair").agg(F.count("*").alias("n")))
+
+    def rare_first(rows: DataFrame) -> DataFrame:
+        each = rows.select(ID, "key", F.explode("pairs").alias("pair")).join(often, [ID, "pair"], "left")
+        order = each.groupBy(ID, "key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("s"))
+        return cut(rows.select(ID, "key").join(order, [ID, "key"], "left").select(ID, "key", F.coalesce(F.transform("s", lambda x: x["pair"]), F.array().cast("array<string>")).alias("pairs")))
+
+    a, b = rare_first(a), rare_first(b)
+    least = b.groupBy(ID).agg(F.min(F.struct(F.size("pairs").alias("size"), "key")).alias("least"))
+    rest = cut(a.join(least, ID).select(ID, F.col("key").alias("source"), F.col("pairs").alias("own"), F.struct((F.size("pairs") + F.col("least.size")).alias("distance"), F.col("least.key").alias("target")).alias("best")))
+    out, d = [], 1
+    while not rest.isEmpty():
+        first = lambda c: F.explode(F.slice(c, 1, d + 1)).alias("pair")  # noqa: B023, E731
+        met = rest.select(ID, "source", first("own")).join(b.select(ID, F.col("key").alias("target"), first("pairs")), [ID, "pair"]).select(ID, "source", "target").distinct()
+        near = met.join(rest.select(ID, "source", "own"), [ID, "source"]).join(b.select(ID, F.col("key").alias("target"), F.col("pairs").alias("other")), [ID, "target"])
+        found = near.groupBy(ID, "source").agg(F.min(F.struct((F.size("own") + F.size("other") - 2 * F.size(F.array_intersect("own", "other"))).alias("distance"), "target")).alias("_best"))
+        now = cut(rest.join(found, [ID, "source"], "left").withColumn("best", F.least("best", F.coalesce("_best", "best"))).drop("_best"))
+        out.append(now.where(F.col("best.distance") <= d).select(ID, "source", F.col("best.target").alias("target"), F.col("best.distance").alias("distance")))
+        rest, d = now.where(F.col("best.distance") > d), 2 * d
+    return reduce(DataFrame.unionByName, out) if out else rest.select(ID, "source", F.col("best.target").alias("target"), F.col("best.distance").alias("distance"))
+
+
 def mapped_trees(first: DataFrame, second: DataFrame, distance: Callable[[Column, Column], Column] = pair_distance, changes: int = 2, walked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every minimum of the first tree in the second: the equal structure if there is one (exact), else
     the one of least distance, the earlier one on ties. distance and changes: of two structures, and the

@@ -171,7 +171,12 @@ class Landscape:
         return saddle_path(self.tree, self.states, self.stepped, self.index, landscape, ids[a], ids[b])
 
     def map_structures(self, query: DataFrame) -> DataFrame:
-        return L.map_structures(query, self.states, self.basins, self.minima, self.tree, self.true_minima)
+        """Structures looked up, with their basins by descent (lmin, true_id) and by merging (basin,
+        true_basin)."""
+        found = L.map_structures(query, self.states, self.basins, self.minima, self.tree, self.true_minima)
+        merged = L.flooded_basins(self.tree, self.components, L.plateau_components(self.states, self.edges))
+        true = L.folded(self.tree, self.true_minima).select(ID, F.col("lmin").alias("basin"), F.col("true_id").alias("true_basin"))
+        return found.join(merged, [ID, "rank"], "left").join(true, [ID, "basin"], "left")
 
     def first_bands(self, begin: int = 1 << 14) -> DataFrame:
         """The states up to the band in which most - 1 merges of at least minh have happened, and the

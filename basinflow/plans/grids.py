@@ -250,6 +250,24 @@ def map_structures(spark, sf_dir):
     return met.select(ID, "structure", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rank", "energy", "lmin")), "found")
 
 
+@query("map_basins", PLATEAU + SADDLE + REPLAY + FOLDED + "SELECT b.landscape_id, b.n AS rank, b.basin, f.true_id AS true_basin, g.lmin, h.true_id FROM (SELECT c.landscape_id, c.n, coalesce(mn.lmin, rep.r[turn.ids[1]]) AS basin FROM comp c JOIN turn USING (landscape_id, comp) JOIN rep ON rep.landscape_id = c.landscape_id AND rep.k = turn.k LEFT JOIN mn ON mn.landscape_id = c.landscape_id AND mn.n = c.n) b JOIN gb g ON g.landscape_id = b.landscape_id AND g.n = b.n LEFT JOIN fold f ON f.landscape_id = b.landscape_id AND f.lmin = b.basin LEFT JOIN fold h ON h.landscape_id = b.landscape_id AND h.lmin = g.lmin")
+def map_basins(spark, sf_dir):
+    """Each state's basin by merging and by descent, and the true minima at least 2 deep that these count for."""
+    g = orders(spark, sf_dir)
+    components = g.components()
+    tree = cut(g.tree(components))
+    of = cut(L.folded(tree, L.true_minima(tree, minh=2.0)))
+    merged = L.flooded_basins(tree, components, L.plateau_components(g.states, g.edges)).join(g.index, [ID, "rank"])
+    both = merged.join(of.select(ID, F.col("lmin").alias("basin"), F.col("true_id").alias("true_basin")), [ID, "basin"], "left").join(of, [ID, "lmin"], "left")
+    return both.select(ID, "rank", "basin", "true_basin", "lmin", "true_id")
+
+
+@query("first_true_minima", SADDLE + "SELECT landscape_id, lmin, true_id FROM (SELECT landscape_id, lmin, row_number() OVER (PARTITION BY landscape_id ORDER BY lmin) AS true_id FROM (SELECT *, count(*) OVER (PARTITION BY landscape_id) AS c FROM tree) WHERE c = 1 OR e_saddle - energy - 2.0 + 1.1920928955078125e-07 >= 0) WHERE true_id <= 5")
+def first_true_minima(spark, sf_dir):
+    """The first five true minima at least 2 deep."""
+    return L.true_minima(orders(spark, sf_dir).tree(), minh=2.0, most=5).select(ID, "lmin", "true_id")
+
+
 TORUS = """WITH RECURSIVE cell AS (SELECT event_type AS landscape_id, dayofweek(ts) AS q, hour(ts) AS d, -count(*) AS e FROM events GROUP BY ALL),
 st AS (SELECT *, row_number() OVER (PARTITION BY landscape_id ORDER BY e, q, d) AS n FROM cell),
 ed AS (SELECT DISTINCT a.landscape_id, a.n AS n, b.n AS m, a.e AS e_n, b.e AS e_m FROM st a JOIN st b ON a.landscape_id = b.landscape_id AND (a.d = b.d AND (a.q - b.q + 7) % 7 IN (1, 6) OR a.q = b.q AND (a.d - b.d + 24) % 24 IN (1, 23)) WHERE b.n < a.n)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basinflow.functions import moves
 from basinflow.operators import paths, post
-from basinflow.plans.grids import CELLS, ID, PLATEAU, REPLAY, SADDLE, orders
+from basinflow.operators.graph import rank_within
+from basinflow.plans.analysis import Landscape, LandscapeOptions
+from basinflow.plans.grids import CELLS, ID, PLATEAU, REPLAY, SADDLE, order_cells, orders, table
+from basinflow.plans.strings import CANONICAL, rna_canonical_moves
 
 QUERIES, SQL = {}, {}
 
@@ -82,5 +86,29 @@ def leaf_places(spark, sf_dir):
     return post.leaf_order(orders(spark, sf_dir).tree())
 
 
+@query("early_stop_states", MERGED + ", deep AS (SELECT landscape_id, e_saddle, row_number() OVER (PARTITION BY landscape_id ORDER BY e_saddle, lmin) AS k FROM tree JOIN fathers USING (landscape_id, lmin) WHERE e_saddle - energy >= 2), above AS (SELECT st.landscape_id, min(n) AS first FROM st JOIN deep USING (landscape_id) WHERE k = 4 AND e > e_saddle GROUP BY ALL) SELECT landscape_id, n AS rank FROM st LEFT JOIN above USING (landscape_id) WHERE first IS NULL OR n <= first")
+def early_stop_states(spark, sf_dir):
+    """The states that are read if no more is wanted than the merges of the first five minima at least 2
+    deep."""
+    options = LandscapeOptions(move=moves.grid, minh=2.0, most=5, early_stop=True)
+    return Landscape(spark, order_cells(spark, sf_dir), options).states.select(ID, "rank")
+
+
+STRUCTURES = CANONICAL[: CANONICAL.rindex("SELECT p_partkey, q AS sequence")]
+SQL_NEAREST = STRUCTURES + """, d AS (SELECT DISTINCT p_brand AS landscape_id, p_size % 2 = 0 AS even, list_sort(list_transform(range(1, len(l) + 1), lambda k: 100 * l[k] + r[k])) AS pairs, array_to_string(list_transform(range(1, 21), lambda x: CASE WHEN list_contains(l, x) THEN '(' WHEN list_contains(r, x) THEN ')' ELSE '.' END), '') AS structure FROM t JOIN part USING (p_partkey)),
+nk AS (SELECT *, row_number() OVER (PARTITION BY landscape_id, even ORDER BY structure) AS number FROM d),
+m AS (SELECT a.landscape_id, a.number AS source, b.number AS target, len(a.pairs) + len(b.pairs) - 2 * len(list_intersect(a.pairs, b.pairs)) AS distance FROM nk a JOIN nk b ON a.landscape_id = b.landscape_id AND a.even AND NOT b.even)
+SELECT landscape_id, source, target, cast(distance AS int) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY landscape_id, source ORDER BY distance, target) AS j FROM m) WHERE j = 1"""
+
+
+def nearest_structures(spark, sf_dir):
+    """For the structures of each brand's parts of even size, the nearest ones of its parts of odd size."""
+    found = rna_canonical_moves(spark, sf_dir).select("p_partkey", "structure").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias(ID), (F.col("p_size") % 2 == 0).alias("even")), "p_partkey")
+    rows = rank_within(found.select(ID, "even", "structure").distinct(), [ID, "even"], ["structure"], "number")
+    return post.nearest_structures(rows.where("even").select(ID, F.col("number").alias("source"), "structure"), rows.where("not even").select(ID, F.col("number").alias("target"), F.col("structure").alias("other")))
+
+
+QUERIES["nearest_structures"], SQL["nearest_structures"] = nearest_structures, SQL_NEAREST
+
 #: Of stream_minima, whose query is in basinflow.streaming.flood.
 SQL["stream_minima"] = CELLS + MERGED + "SELECT mn.landscape_id, lmin, mn.n AS rank, q || ',' || d AS structure, cast(mn.e AS double) AS energy, coalesce(father, 0) AS father, e_saddle FROM mn LEFT JOIN (SELECT landscape_id, lmin, father, e_saddle FROM fathers JOIN tree USING (landscape_id, lmin)) USING (landscape_id, lmin)"

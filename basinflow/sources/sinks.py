@@ -119,9 +119,11 @@ def reordered_bars(minima: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def map_lines(mapped: DataFrame) -> DataFrame:
-    """Lines of Landscape.map_structures(): the minimum's structure, rank, energy, basin and true minimum; a
-    structure that is not in the landscape says so."""
-    known = F.concat_ws(" ", "minimum", F.format_string("%6d", "rank"), F.format_string("%6.2f", "energy"), F.format_string("%6d", "lmin"), F.format_string("%6d", F.coalesce("true_id", F.lit(0))))
+    """Lines of Landscape.map_structures(): the minimum's structure, rank, energy, basin and true minimum by
+    merging (where these columns are there), and both by descent; a structure that is not in the landscape
+    says so."""
+    merged = ["basin", "true_basin"] if "basin" in mapped.columns else []
+    known = F.concat_ws(" ", "minimum", F.format_string("%6d", "rank"), F.format_string("%6.2f", "energy"), *(F.format_string("%6d", F.coalesce(c, F.lit(0))) for c in (*merged, "lmin", "true_id")))
     return mapped.select(ID, "structure", F.when(F.col("found"), known).otherwise(F.concat_ws(" ", "structure", F.lit("not found"))).alias("value"))
 
 
