@@ -159,7 +159,7 @@ def replay(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 #: Joining components of a landscape that one task may replay. Larger landscapes are merged by joins alone.
-REPLAYED = 50_000
+REPLAYED = 500_000
 
 
 def ids_of(basins: str = "basins") -> Column:
@@ -177,7 +177,7 @@ def turns(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
     order of merging. levels: the doubled forest of the landscape's merges by energy."""
     distinct = cut(rows.select(ID, "energy", "ids").distinct())
     began = climbed(distinct.select(ID, "energy", "ids", F.explode("ids").alias("at")), levels, "at", F.col("key") < F.col("energy"))
-    rooted = began.groupBy(ID, "energy", "ids").agg(F.array_sort(F.collect_set("at")).alias("roots"))
+    rooted = cut(began.groupBy(ID, "energy", "ids").agg(F.array_sort(F.collect_set("at")).alias("roots")))
     order = rank_within(rooted.select(ID, "energy", "roots").distinct(), [ID], ["energy", "roots"], "turn")
     return cut(rooted.join(order, [ID, "energy", "roots"]).select(ID, "energy", "ids", "roots", "turn"))
 
@@ -190,7 +190,7 @@ def contracted(rows: DataFrame) -> DataFrame:
     Of the components of one turn the first does the merging; its basins' roots just before that turn
     say on which side each contact lies."""
     rows = cut(rows.withColumn("ids", ids_of()))
-    timed = rows.join(turns(rows, doubled(elder_forest(star(rows, "ids", "energy")))), [ID, "energy", "ids"]).where(F.size("roots") > 1)
+    timed = cut(rows.join(turns(rows, doubled(elder_forest(star(rows, "ids", "energy")))), [ID, "energy", "ids"]).where(F.size("roots") > 1))
     firsts = cut(timed.groupBy(ID, "turn").agg(F.min("comp").alias("comp")).join(timed.drop("turn"), [ID, "comp"]))
     merged = cut(elder_forest(star(firsts, "roots", "turn")))
     used = firsts.join(merged.select(ID, F.col("key").alias("turn")).distinct(), [ID, "turn"])

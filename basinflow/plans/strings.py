@@ -331,14 +331,3 @@ def order_spin_plateaus(spark, sf_dir):
 def order_spin_tree(spark, sf_dir):
     """The merge tree of all orders. (As SQL it would need every minimum's flood over all states.)"""
     return Grid(order_states(spark, sf_dir), moves.spin).tree().select(ID, "lmin", "energy", "father", rounded("e_saddle", 7))
-
-
-FEWER = ORDERS.replace("1048576", "256").replace("range(0, 20)", "range(0, 8)")
-
-
-@query("order_spin_merges", FEWER + WHOLE + "SELECT landscape_id, lmin, energy, coalesce(father, 0) AS father, round(e_saddle, 7) AS e_saddle, saddle, left_contact, right_contact FROM mn JOIN tree USING (landscape_id, lmin) LEFT JOIN fathers USING (landscape_id, lmin)")
-def order_spin_merges(spark, sf_dir):
-    """The merge tree of all orders as 8 spins, by joins alone as for landscapes too large for one task."""
-    g = Grid(order_states(spark, sf_dir, 8), moves.spin)
-    tree = L.forest(g.minima, L.merge_tree(g.components(), 0), g.states)
-    return tree.select(ID, "lmin", "energy", "father", rounded("e_saddle", 7), "saddle", "left_contact", "right_contact")
