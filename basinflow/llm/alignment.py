@@ -17,7 +17,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -34,7 +34,7 @@ from basinflow.llm.common import cut, new_folder, small_batches
 HOT_PAIRS = 1_000_000
 #: Parts of texts that a task keeps with their ids for each tokenizer, and their characters, in each of two
 #: generations; characters of the texts that it aligns together.
-KEPT, KEPT_CHARS, SLICE = 150_000, 5 << 20, 1 << 18
+KEPT, KEPT_CHARS, SLICE = 250_000, 8 << 20, 1 << 18
 #: Parts that are encoded in one call.
 JOINED = 4000
 #: Stands for a part of a text that its tokens do not spell.
@@ -70,9 +70,19 @@ class ByteTokens:
         self.bytes = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.bytes[i] = bytes(map(byte.__getitem__, token))
+        self.length = np.array([len(x) for x in self.bytes], np.int64)
 
-    def words(self, new: list[str]) -> Iterator[bytes]:
-        return spelled(new, (np.frombuffer(ids, self.coder.dtype).astype(np.int32) for ids in self.coder.words(new)), self.bytes)
+    def words(self, new: list[str]) -> Iterable[bytes]:
+        """Ids of each word; all words are compared with their tokens' bytes at once, and one by one if that
+        finds a difference."""
+        coded = self.coder.words(new)
+        ids = np.frombuffer(b"".join(coded), self.coder.dtype).astype(np.int32)
+        ends = np.cumsum([len(c) for c in coded]) // self.coder.width
+        reach = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in new])
+        if len(ids) and ends[0] and (np.cumsum(self.length[ids])[ends - 1] == reach).all() and b"".join(map(self.bytes.__getitem__, ids.tolist())) == "".join(new).encode():
+            bounds, data = (4 * ends).tolist(), ids.tobytes()
+            return [data[i:j] for i, j in zip([0, *bounds], bounds)]
+        return spelled(new, (np.frombuffer(c, self.coder.dtype).astype(np.int32) for c in coded), self.bytes)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.cache.coded([pre_tokens(t, self.pattern) for t in texts], lambda new: self.words(new) if new else ())
@@ -166,7 +176,6 @@ def matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 class Aligner:
     def __init__(self, a_path: str, pattern: str, b_path: str):
         self.a, self.b = ByteTokens(a_path, pattern), PieceTokens(b_path)
-        self.a_length, self.b_length = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
         """Per text the arrays of SIDES."""
@@ -176,7 +185,7 @@ class Aligner:
             if not len(a) or a.min() < 0 or b.min() < 0:
                 yield none
             else:
-                yield a, b, *matched(np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b]))
+                yield a, b, *matched(np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b]))
 
 
 @lru_cache(maxsize=2)
@@ -194,7 +203,14 @@ def align(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str =
     a_sizes and b_sizes, the tokens of each group; first and last, per token of A the places (from 0) of the
     first and last token of B that it overlaps."""
     small_batches(docs.sparkSession)
+    return texts_of(docs, id_col, text_col).mapInArrow(aligned_batches(a_path, pattern, b_path), ALIGNED)
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+
+def aligned_batches(a_path: str, pattern: str, b_path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         model = aligner(a_path, pattern, b_path)
         for batch in batches:
@@ -202,7 +218,7 @@ def align(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str =
                 found = list(model.batch(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(lists(list(side)) for side in zip(*found))], names=["doc_id", *SIDES])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ALIGNED)
+    return run
 
 
 def overlaps(a_ids: np.ndarray, b_ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,32 +248,38 @@ class GroupText:
         return "".join(map(self.parts.__getitem__, code.tolist()))[:-1]
 
 
+def counted_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = GroupText()
+    for batch in batches:
+        sides = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[1:]]
+        hashes, pairs, counts, links = [], [], [], []
+        for i in range(batch.num_rows):
+            a_ids, b_ids, a_sizes, b_sizes, first, last = (v[o[i] : o[i + 1]] for o, v in sides)
+            a, b = overlaps(a_ids, b_ids, first, last)
+            pair, count = np.unique(a.astype(np.int64) << 32 | b, return_counts=True)
+            hashes.append(hashlib.sha256(texts.text(a_ids, b_ids, a_sizes, b_sizes).encode()).hexdigest() if len(a_ids) else "")
+            pairs.append(pair)
+            counts.append(count)
+            links.append(len(a))
+        sizes = [pa.array(np.diff(sides[k][0]).astype(np.int64)) for k in (0, 1, 2)]
+        offsets = np.array([0, *accumulate(map(len, pairs))], np.int32)
+        each = pa.StructArray.from_arrays([pa.array(np.concatenate(pairs)), pa.array(np.concatenate(counts).astype(np.int32))], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array(links, pa.int64()), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), each)], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
+
+
 def counted(aligned: DataFrame) -> DataFrame:
     """Of the rows of align(): numbers of tokens, groups and links, the hash of the groups' text (empty
     without tokens), and the document's distinct linked pairs of ids (A's id times 2 ** 32 and B's) with
     their number of links."""
     small_batches(aligned.sparkSession)
+    return aligned.select("doc_id", *SIDES).mapInArrow(counted_batches, COUNTED)
 
-    def run(batches):
-        texts = GroupText()
-        for batch in batches:
-            n = batch.num_rows
-            sides = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[1:]]
-            hashes, pairs, counts, links = [], [], [], []
-            for i in range(n):
-                a_ids, b_ids, a_sizes, b_sizes, first, last = (v[o[i] : o[i + 1]] for o, v in sides)
-                a, b = overlaps(a_ids, b_ids, first, last)
-                pair, count = np.unique(a.astype(np.int64) << 32 | b, return_counts=True)
-                hashes.append(hashlib.sha256(texts.text(a_ids, b_ids, a_sizes, b_sizes).encode()).hexdigest() if len(a_ids) else "")
-                pairs.append(pair)
-                counts.append(count)
-                links.append(len(a))
-            sizes = [pa.array(np.diff(sides[k][0]).astype(np.int64)) for k in (0, 1, 2)]
-            offsets = np.array([0, *accumulate(map(len, pairs))], np.int32)
-            each = pa.StructArray.from_arrays([pa.array(np.concatenate(pairs)), pa.array(np.concatenate(counts).astype(np.int32))], names=["pair", "n"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array(links, pa.int64()), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), each)], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
-
-    return aligned.select("doc_id", *SIDES).mapInArrow(run, COUNTED)
+
+def align_counted(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """counted(align()), where the rows of the one go to the other inside the task."""
+    small_batches(docs.sparkSession)
+    align_batches = aligned_batches(a_path, pattern, b_path)
+    return texts_of(docs, id_col, text_col).mapInArrow(lambda batches: counted_batches(align_batches(batches)), COUNTED)
 
 
 def b_of(pair: Column) -> Column:

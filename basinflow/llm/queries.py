@@ -70,8 +70,8 @@ def op11_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), tokenizer_file("piece_bpe_32k.model"))
-    return alignment.scored(alignment.counted(aligned))
+    paths = (tokenizer_file("byte_bpe_50k.json"), split_pattern(), tokenizer_file("piece_bpe_32k.model"))
+    return alignment.scored(alignment.align_counted(table(spark, sf_dir, "documents"), *paths))
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

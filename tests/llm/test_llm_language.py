@@ -151,6 +151,7 @@ def test_alignment_equals_all_pairs_of_ranges(spark, hot, monkeypatch):
     paths = (tokenizer_file("byte_bpe_50k.json"), split_pattern(), tokenizer_file("piece_bpe_32k.model"))
     found = [tuple(r) for r in alignment.scored(alignment.counted(alignment.align(docs, *paths))).collect()]
     assert by_key(found) == by_key(plain_alignment(rows))
+    assert by_key(tuple(r) for r in alignment.scored(alignment.align_counted(docs, *paths)).collect()) == by_key(found)
     assert alignment.scored(alignment.counted(alignment.align(docs.limit(0), *paths))).count() == 0
 
 
