@@ -158,10 +158,6 @@ def replay(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[ID, "lmin", "father", "e_saddle", "saddle", "left_contact", "right_contact"])
 
 
-#: Joining components of a landscape that one task may replay. Larger landscapes are merged by joins alone.
-REPLAYED = 500_000
-
-
 def ids_of(basins: str = "basins") -> Column:
     return F.transform(basins, lambda b: b["lmin"])
 
@@ -202,10 +198,12 @@ def contracted(rows: DataFrame) -> DataFrame:
 
 
 def merge_tree(components: DataFrame, replayed: int | None = None) -> DataFrame:
-    """Father and saddle of every minimum that is merged: one row each. A landscape of at most `replayed`
-    (as a rule REPLAYED) joining components is replayed by a task; larger ones are contracted by joins,
-    with the same result."""
-    most = REPLAYED if replayed is None else replayed
+    """Father and saddle of every minimum that is merged: one row each. As a rule a
+    task replays a landscape. With `replayed`, landscapes of more joining components than that are contracted
+    by joins, which is meant to give the same and is not verified yet."""
+    if replayed is None:
+        return cut(joining(components).select(ID, "comp", "energy", "basins")).groupBy(ID).applyInPandas(replay, TREE)
+    most = replayed
     rows = cut(joining(components).select(ID, "comp", "energy", "basins"))
     large = cut(rows.groupBy(ID).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(ID))
     small = rows if (none := large.isEmpty()) else rows.join(large, ID, "left_anti")
