@@ -16,8 +16,9 @@ Passages are found apart from lines, in the words of the whole text, so they may
 or spread over short ones: among the hashes of all runs of PASSAGE words, the smallest of each WINDOW
 following ones is taken. Texts that share PASSAGE + WINDOW - 1 = 50 words share one of them, wherever the
 passage stands. The same hash at two places is a repeat; overlapping ones of a text are joined to spans. So
-every repeated run of 50 words is found; of runs of PASSAGE to 49 words, those that were taken. A span may
-end up to WINDOW - 1 words before the common run does, on either side. Only places are counted and
+every repeated run of 50 words is found; of runs of PASSAGE to 49 words, those that were taken. The first and
+last run of a span are then made longer word by word, up to WINDOW - 1 words, while the longer run is
+still found at another place: spans end where the common runs end. Only places are counted and
 joined: no pairs of texts.
 
 null or empty texts have no paragraphs. null ids sort first, as in Spark. Every row counts for itself, also
@@ -282,20 +283,90 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, copy long, word int, hash long")
 
 
+def longer_runs(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The asked runs (doc_id, copy, word and side) with 1 to WINDOW - 1 words more before them (side 0) or
+    after them (side 1), as far as the text goes: doc_id, copy, word, side, more and key, a hash of the
+    longer run and the side."""
+    small_batches(docs.sparkSession)
+    more = np.arange(1, WINDOW)
+    names = ["doc_id", "copy", "word", "side", "more", "key"]
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in text_slices(batch.column(2), SLICE):
+                parts = []
+                for i, (text, places) in enumerate(zip(texts, batch.column(3).slice(at, len(texts)).to_pylist())):
+                    words = word_hashes([b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())])
+                    prefix, back = sums(words), powers(INVERSE, len(words))
+                    word, side = (np.array([p[name] for p in places])[:, None] for name in ("word", "side"))
+                    start, end = word - more * (side == 0), word + PASSAGE + more * (side == 1)
+                    row, n = np.nonzero((start >= 0) & (end <= len(words)))
+                    start, end, side = start[row, n], end[row, n], side[row, 0]
+                    keys = mix((prefix[end] - prefix[start]) * back[start]) * ODD + side.astype(np.uint64)
+                    parts.append((np.full(len(row), i + at), word[row, 0], side, more[n], keys.view(np.int64)))
+                own, word, side, n, keys = map(np.concatenate, zip(*parts))
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (word, side, n)), pa.array(keys)], names=names)
+
+    places = asked.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_number")).agg(F.collect_list(F.struct("word", "side")).alias("places"))
+    rows = rows_of(docs, id_col, text_col)
+    met = rows.join(places, rows["doc_id"].eqNullSafe(places["_id"]) & (rows["copy"] == places["_number"])).select("doc_id", "copy", "text", "places")
+    return met.mapInArrow(run, "doc_id long, copy long, word int, side int, more int, key long")
+
+
+def extensions(docs: DataFrame, met: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """How far the ends of spans reach beyond their first and last runs: doc_id, copy, word, side, more (words
+    that the run and those beside it have in common with the same run at any other place) and lost (with
+    an earlier place). Every place of a run that ends a span somewhere is asked for its longer runs,
+    and these are counted like runs: no pairs of places."""
+    ends = spans.select(F.col("first.hash").alias("hash"), F.lit(0).alias("side")).unionByName(spans.select(F.col("last.hash").alias("hash"), F.lit(1).alias("side"))).distinct()
+    keys = longer_runs(docs, met.join(ends, "hash").select("doc_id", "copy", "word", "side"), id_col, text_col)
+    # Written, so that the join below can split a run that occurs very often.
+    shared = cut(keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "word")).alias("head")).where("n > 1").drop("n"))
+    again = keys.join(shared, keys["key"] == shared["_key"])
+    return again.groupBy("doc_id", "copy", "word", "side").agg(F.max("more").alias("more"), F.max(F.when(~is_head("word"), F.col("more"))).alias("lost"))
+
+
+def beside(spans: DataFrame, reach: DataFrame, side: int, end: str, names: tuple[str, str]) -> DataFrame:
+    """spans with the reach of one end, 0 where nothing beside it is shared."""
+    of = reach.where(F.col("side") == side).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_number"), F.col("word").alias("_word"), F.col("more").alias("_more"), F.col("lost").alias("_lost"))
+    met = spans.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_number")) & (F.col(end) == F.col("_word")), "left")
+    return met.select(*spans.columns, *(F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(("_more", "_lost"), names)))
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every span of words that occurs at another place too: doc_id, copy, word (from 0, in the whole text),
-    words, component_id and component_word (first occurrence of its first run), kept. The runs of a
-    text that are first occurrences and those that are not make spans of their own."""
+    words, component_id and component_word (first occurrence of its first sampled run), kept. A span begins
+    and ends where the common run does, so all words of every common run of 50 words lie in spans. What occurs
+    here first and what does not make spans of their own, which may overlap: words of a span that is
+    not kept all stand at an earlier place too."""
     docs = numbered(docs, id_col, text_col)
     found = runs(docs, id_col, text_col)  # scanned twice: cheaper than to store all runs
     # Written, so that the join below can split a passage that occurs very often.
     again = cut(found.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "word")).alias("head")).where("n > 1").drop("n"))
-    met = found.join(again, found["hash"] == again["_hash"]).select("doc_id", "copy", "word", "head", is_head("word").alias("kept"))
+    met = cut(found.join(again, found["hash"] == again["_hash"]).select("doc_id", "copy", "word", "hash", "head", is_head("word").alias("kept")))
     own = Window.partitionBy("doc_id", "copy", "kept").orderBy("word")
     new = F.coalesce(F.col("word") > F.lag("word").over(own) + PASSAGE, F.lit(True))
-    spans = met.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(own))
-    joined = spans.groupBy("doc_id", "copy", "kept", "span").agg(F.min(F.struct("word", "head")).alias("first"), F.max("word").alias("last"))
-    return joined.select("doc_id", "copy", F.col("first.word").alias("word"), (F.col("last") + PASSAGE - F.col("first.word")).alias("words"), F.col("first.head.doc_id").alias("component_id"), F.col("first.head.word").alias("component_word"), "kept")
+    touching = met.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(own))
+    spans = cut(touching.groupBy("doc_id", "copy", "kept", "span").agg(F.min(F.struct("word", "hash", "head")).alias("first"), F.max(F.struct("word", "hash")).alias("last")))
+    reach = cut(extensions(docs, met, spans, id_col, text_col))
+    wide = beside(beside(spans, reach, 0, "first.word", ("before", "lost_before")), reach, 1, "last.word", ("after", "lost_after"))
+    first, end = F.col("first.word"), F.col("last.word") + PASSAGE
+    piece = lambda kept, begin, stop, head: F.struct(F.lit(kept).alias("kept"), begin.alias("word"), stop.alias("end"), head.alias("head"))
+    here = lambda word: F.struct("doc_id", "copy", word.cast("int").alias("word"))
+    pieces = F.when(F.col("kept"), F.array(piece(True, first - F.col("before"), end + F.col("after"), F.col("first.head")))).otherwise(
+        F.array(
+            piece(False, first - F.col("lost_before"), end + F.col("lost_after"), F.col("first.head")),
+            F.when(F.col("before") > F.col("lost_before"), piece(True, first - F.col("before"), first + PASSAGE, here(first))),
+            F.when(F.col("after") > F.col("lost_after"), piece(True, F.col("last.word").cast("int"), end + F.col("after"), here(F.col("last.word")))),
+        )
+    )
+    rows = wide.select("doc_id", "copy", F.explode(F.filter(pieces, lambda x: x.isNotNull())).alias("piece")).select("doc_id", "copy", "piece.*")
+    own = Window.partitionBy("doc_id", "copy", "kept").orderBy("word", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.withColumn("new", F.coalesce(F.col("word") > before, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(own))
+    out = joined.groupBy("doc_id", "copy", "kept", "span").agg(F.min(F.struct("word", "head")).alias("first"), F.max("end").alias("end"))
+    return out.select("doc_id", "copy", F.col("first.word").alias("word"), (F.col("end") - F.col("first.word")).alias("words"), F.col("first.head.doc_id").alias("component_id"), F.col("first.head.word").alias("component_word"), "kept")
 
 
 def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

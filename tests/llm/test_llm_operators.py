@@ -563,3 +563,34 @@ def test_html_attributes():
     assert "hidden" not in html.attributes(' href="/hidden-valley" title="A hidden gem" data-hidden="false" alt=hidden') and html.attributes(' id="a" id="b"')["id"] == "a"
     page = '<article data-hidden="false"><p>See <a href="/hidden-valley" title="A hidden gem">the valley</a>.</p></article><div id="sidebar" width="30">Side</div>'
     assert [(b.text, b.aside) for b in html.blocks(page)] == [("See the valley.", 0), ("Side", 1)]
+
+
+def test_passages_are_whole(spark):
+    """Against brute force: every word of every common run of 50 words lies in a span, every word of a span
+    in a run of PASSAGE words that stands elsewhere too, and no text that is removed everywhere is lost."""
+    rng = random.Random(77)
+    own = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    long = own(400)
+    rows = []
+    for i in range(90):
+        a, n = rng.randrange(300), rng.choice([32, 40, 50, 51, 60, 75, 90])
+        b, k = rng.randrange(300), rng.choice([20, 50, 80])
+        rows.append((i, own(rng.randrange(40)) + long[a : a + n] + own(rng.randrange(3)) + long[b : b + k] + own(rng.randrange(40))))
+    rows += [(200, long[100:160]), (201, long[100:160]), (202, own(70)), (None, long[350:] + long[:20]), (None, long[350:] + long[:20])]
+    docs = table(spark, [(i, " ".join(w)) for i, w in rows])
+    told = {(r["doc_id"], r[paragraphs.COPY]): r["text"].split() for r in paragraphs.numbered(docs).collect()}
+    places = {}
+    for name, w in told.items():
+        for width in (paragraphs.PASSAGE, 50):
+            for at in range(len(w) - width + 1):
+                places.setdefault(tuple(w[at : at + width]), []).append((name, at))
+    want, most = ({(name, at + k) for run, where in places.items() if len(run) == width and len(where) > 1 for name, at in where for k in range(width)} for width in (50, paragraphs.PASSAGE))
+    out = paragraphs.passages(docs).collect()
+    got = {((r["doc_id"], r["copy"]), r["word"] + k) for r in out for k in range(r["words"])}
+    assert len(want) > 2000 and want <= got <= most
+    for kept in (True, False):
+        spans = sorted((r["copy"], -1 if r["doc_id"] is None else r["doc_id"], r["word"], r["words"]) for r in out if r["kept"] == kept)
+        assert all(a[:2] != b[:2] or a[2] + a[3] < b[2] for a, b in zip(spans, spans[1:]))
+    lost = {((r["doc_id"], r["copy"]), r["word"] + k) for r in out if not r["kept"] for k in range(r["words"])}
+    left = {w for name, words in told.items() for k, w in enumerate(words) if (name, k) not in lost}
+    assert left == {w for words in told.values() for w in words}
