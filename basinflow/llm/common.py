@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 from basinflow.operators.graph import checkpoint_dir, connected_components, cut, global_rank
 
-__all__ = ["COPY", "connected_components", "cut", "global_rank", "new_folder", "numbered", "small_batches", "table", "with_rows"]
+__all__ = ["COPY", "ROW", "own_name", "connected_components", "cut", "global_rank", "new_folder", "numbered", "small_batches", "table", "with_rows"]
 
-#: Name of the column that tells rows of one identifier apart.
-COPY = "_copy"
+
+
+def own_name(name: str) -> str:
+    """Name of a column that stands beside a caller's columns. Tables may have any other names."""
+    return f"_basinflow_{name}"
+
+
+#: Names of the columns that tell rows of one identifier apart, and all rows.
+COPY, ROW = own_name("copy"), own_name("row")
 #: Rows of one Arrow batch. Whole texts can be long, and each running task holds some batches outside the heap.
 BATCH_ROWS = 400
 #: Repeated identifiers that are broadcast (8 bytes each); more of them are joined by a shuffle.
@@ -45,24 +52,25 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated identifiers are ranked and written."""
     if COPY in docs.columns:
         return docs
-    key = F.col(id_col).cast("long")
-    again = cut(docs.groupBy(key.alias("_again")).agg(F.count("*").alias("_n")).where("_again is null or _n > 1").select("_again"))
+    key, repeated, at = F.col(id_col).cast("long"), own_name("again"), own_name("at")
+    counts = docs.select(key.alias(repeated)).groupBy(repeated).agg(F.count("*").alias("n"))
+    again = cut(counts.where(F.col(repeated).isNull() | (F.col("n") > 1)).select(repeated))
     n = again.count()
     if not n:
         return docs.withColumn(COPY, F.lit(0).cast("long"))
     again = F.broadcast(again) if n <= FEW_IDS else again
-    same = key.eqNullSafe(F.col("_again"))
-    told = docs.join(again, same, "left_semi").withColumn("_at_", F.monotonically_increasing_id())
-    ranked = global_rank(told, [key, F.col(text_col), F.col("_at_")], COPY).withColumn(COPY, F.col(COPY) + 1).drop("_at_")
+    same = key.eqNullSafe(F.col(repeated))
+    told = docs.join(again, same, "left_semi").withColumn(at, F.monotonically_increasing_id())
+    ranked = global_rank(told, [key, F.col(text_col), F.col(at)], COPY).withColumn(COPY, F.col(COPY) + 1).drop(at)
     return docs.join(again, same, "left_anti").withColumn(COPY, F.lit(0).cast("long")).unionByName(ranked)
 
 
 def with_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column _row, a number of its own for every row: the identifier where it occurs once,
+    """docs with the column ROW, a number of its own for every row: the identifier where it occurs once,
     larger numbers than any identifier for all others."""
     told = numbered(docs, id_col, text_col)
     key = F.col(id_col).cast("long")
     top = told.agg(F.max(key)).first()[0] or 0
     if top >= 1 << 62:
-        return global_rank(told, [key, F.col(COPY)], "_row").drop(COPY)
-    return told.withColumn("_row", F.when(F.col(COPY) == 0, key).otherwise(F.col(COPY) + F.lit(max(top, 0)))).drop(COPY)
+        return global_rank(told, [key, F.col(COPY)], ROW).drop(COPY)
+    return told.withColumn(ROW, F.when(F.col(COPY) == 0, key).otherwise(F.col(COPY) + F.lit(max(top, 0)))).drop(COPY)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basinflow.llm.common import COPY, cut, numbered
+from basinflow.llm.common import COPY, cut, numbered, own_name
 
 #: Bits of a key digit, digits of a key, rows that one slot bucket aims at.
 DIGIT, DIGITS, BUCKET = 12, 6, 4000
@@ -129,6 +129,9 @@ def write(docs: DataFrame, assigned: DataFrame, folder: str, id_col: str = "doc_
     """Write the documents, with all their columns, as one folder of Parquet files per shard. Every row
     is written once: null and repeated identifiers are met by their number of copy."""
     told = numbered(docs, id_col, text_col)
-    placed = assigned.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_number"), F.col("shard").alias("_shard"))
-    met = told.join(placed, told[id_col].cast("long").eqNullSafe(placed["_id"]) & (told[COPY] == placed["_number"]))
-    met.drop("_id", "_number", COPY).write.partitionBy("_shard").parquet(folder)
+    if "_shard" in docs.columns:
+        raise ValueError("folders are named by a column _shard, which the documents have already: rename it")
+    one, number = own_name("id"), own_name("number")
+    placed = assigned.select(F.col("doc_id").alias(one), F.col("copy").alias(number), F.col("shard").alias("_shard"))
+    met = told.join(placed, told[id_col].cast("long").eqNullSafe(placed[one]) & (told[COPY] == placed[number]))
+    met.drop(one, number, COPY).write.partitionBy("_shard").parquet(folder)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import COPY, connected_components, cut, numbered, small_batches
+from basinflow.llm.common import COPY, connected_components, cut, numbered, own_name, small_batches
 
 MIN_WORDS, SHINGLE, BANDS, ROWS = 20, 5, 8, 3
 #: Words of a sampled run; following runs of which one is taken (together, runs of 50 words).
@@ -399,7 +399,8 @@ def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     Row count and columns stay."""
     told = numbered(docs, id_col, text_col)
     span = F.when(F.col("word").isNotNull(), F.struct("word", "words")) if "word" in found.columns else F.lit(None).cast("struct<word:int,words:int>")
-    lost = found.where(~F.col("kept")).groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_number")).agg(F.collect_set("line").alias("_lines"), F.collect_set(span).alias("_spans"))
+    one, number, lines, spans = map(own_name, ("id", "number", "lines", "spans"))
+    lost = found.where(~F.col("kept")).groupBy(F.col("doc_id").alias(one), F.col("copy").alias(number)).agg(F.collect_set("line").alias(lines), F.collect_set(span).alias(spans))
     rest = F.udf(lambda t, lines, spans: None if t is None else without(t, lines, spans), "string")
-    met = told.join(lost, told[id_col].cast("long").eqNullSafe(lost["_id"]) & (told[COPY] == lost["_number"]), "left")
-    return met.withColumn(text_col, F.when(F.col("_lines").isNotNull(), rest(F.col(text_col), "_lines", "_spans")).otherwise(F.col(text_col))).select(docs.columns)
+    met = told.join(lost, told[id_col].cast("long").eqNullSafe(lost[one]) & (told[COPY] == lost[number]), "left")
+    return met.withColumn(text_col, F.when(F.col(lines).isNotNull(), rest(F.col(text_col), lines, spans)).otherwise(F.col(text_col))).select(docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.bpe import text_slices
-from basinflow.llm.common import cut, small_batches, with_rows
+from basinflow.llm.common import ROW, cut, small_batches, with_rows
 
 #: Least words of a match, share of an item's words that must be covered, words of one seed table.
 MATCH, COVERAGE, BLOCK_WORDS = 5, 0.7, 2_000_000
@@ -221,8 +221,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, tex
     first, more = next(every), next(every, None)
     if more is not None:
         rows = with_rows(docs, text_col=text_col)
-        lost = contamination(rows, benchmark, coverage, "_row", text_col, item_col, item_text_col)
-        return rows.join(lost.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+        lost = contamination(rows, benchmark, coverage, ROW, text_col, item_col, item_text_col)
+        return rows.join(lost.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").select(docs.columns)
     table = docs.sparkSession.sparkContext.broadcast(Seeds(first))
 
     @F.pandas_udf("boolean")

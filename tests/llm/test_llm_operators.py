@@ -493,18 +493,18 @@ def test_repeated_rows_of_paragraphs(spark):
     assert Counter((r["doc_id"], r["kept"]) for r in out) == Counter({(11, True): 1, (11, False): 2, (12, False): 2, (None, True): 1, (None, False): 1, (14, True): 1} if [r for r in out if r["doc_id"] == 14 and r["kept"]] else {(11, True): 1, (11, False): 2, (12, True): 1, (12, False): 1, (None, True): 1, (None, False): 1, (14, False): 1})
     left = Counter((r["doc_id"], bool(r["text"])) for r in paragraphs.remove(docs, paragraphs.all_repeats(docs)).collect())
     assert sum(n for (_, full), n in left.items() if full) == 4 and sum(left.values()) == len(rows) and left[13, True] == 1
-    told = {(r["doc_id"], r["_copy"]): r["text"] for r in paragraphs.numbered(docs).collect()}
+    told = {(r["doc_id"], r[paragraphs.COPY]): r["text"] for r in paragraphs.numbered(docs).collect()}
     assert len(told) == len(rows) and told[13, 0] and {k for i, k in told if i in (11, 12, None)} == set(range(1, 8))
 
 
 def test_rows_and_folders(spark):
-    from basinflow.llm.common import with_rows
+    from basinflow.llm.common import ROW, with_rows
 
     plain = with_rows(table(spark, [(3, "a"), (9, "b")])).collect()
-    assert {r["doc_id"]: r["_row"] for r in plain} == {3: 3, 9: 9}
+    assert {r["doc_id"]: r[ROW] for r in plain} == {3: 3, 9: 9}
     odd = with_rows(table(spark, [(3, "a"), (3, "a"), (None, "b"), (9, "c"), (-4, None)])).collect()
-    assert len({r["_row"] for r in odd}) == 5 and {r["doc_id"]: r["_row"] for r in odd if r["doc_id"] in (9, -4)} == {9: 9, -4: -4}
-    assert len({r["_row"] for r in with_rows(table(spark, [(2**63 - 1, "a"), (1, "b"), (1, "b")])).collect()}) == 3
+    assert len({r[ROW] for r in odd}) == 5 and {r["doc_id"]: r[ROW] for r in odd if r["doc_id"] in (9, -4)} == {9: 9, -4: -4}
+    assert len({r[ROW] for r in with_rows(table(spark, [(2**63 - 1, "a"), (1, "b"), (1, "b")])).collect()}) == 3
 
     class Cluster:
         class sparkContext:
@@ -594,3 +594,24 @@ def test_passages_are_whole(spark):
     lost = {((r["doc_id"], r["copy"]), r["word"] + k) for r in out if not r["kept"] for k in range(r["words"])}
     left = {w for name, words in told.items() for k, w in enumerate(words) if (name, k) not in lost}
     assert left == {w for words in told.values() for w in words}
+
+
+def test_any_column_names(spark, tmp_path):
+    """Columns of names that an operator might use for itself are the caller's, whatever their types."""
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n))
+    same = own(60)
+    rows = [(7, same), (7, same), (8, own(60)), (None, own(60)), (9, own(9) + " " + same)]
+    odd = ["_copy", "_row", "_id", "_number", "_lines", "_spans", "_again", "_at_", "_n", "copy", "head", "word", "key"]
+    plain = table(spark, rows)
+    docs = spark.createDataFrame([(*r, *(f"{name} of {i}" for name in odd)) for i, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in odd))
+    bench = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    rowset = lambda df, *names: Counter(tuple(r) for r in df.select(*names).collect())
+    assert rowset(paragraphs.all_repeats(docs), "*") == rowset(paragraphs.all_repeats(plain), "*")
+    assert rowset(kdtree.assign(docs, 3, dimensions=()), "*") == rowset(kdtree.assign(plain, 3, dimensions=()), "*")
+    for work in (lambda d: paragraphs.remove(d, paragraphs.all_repeats(d)), lambda d: tiling.clean(d, bench)):
+        left = work(docs)
+        assert left.columns == docs.columns and rowset(left, "doc_id", "text") == rowset(work(plain), "doc_id", "text")
+        assert all(len({r[n].rsplit(" ", 1)[1] for n in odd}) == 1 for r in left.collect())
+    kdtree.write(docs, kdtree.assign(docs, 3, dimensions=()), str(tmp_path / "shards"))
+    assert rowset(spark.read.parquet(str(tmp_path / "shards")), *docs.columns) == rowset(docs, *docs.columns)
