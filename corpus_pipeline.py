@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.llm import bpe, paragraphs, quality, secrets, simhash, tiling
-from basinflow.llm.common import COPY, connected_components, new_folder, table, with_rows
+from basinflow.llm.common import COPY, ROW, connected_components, new_folder, table, with_rows
 from basinflow.llm.queries import split_pattern, tokenizer_file
 
 
@@ -30,13 +30,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by numbers of their own: null and repeated identifiers are documents like others,
     of which those with an identifier that occurs once stay first."""
     rows = with_rows(docs)
-    parts = simhash.near_duplicates(rows.select("_row", "text"), shingle=5, id_col="_row")
-    whole = rows.select("_row", F.translate("text", "\n", " ").alias("text"), F.lit(0).cast("long").alias(COPY))
-    similar = paragraphs.repeated(whole, least=0.8, min_words=1, id_col="_row")
+    parts = simhash.near_duplicates(rows.select(ROW, "text"), shingle=5, id_col=ROW)
+    whole = rows.select(ROW, F.translate("text", "\n", " ").alias("text"), F.lit(0).cast("long").alias(COPY))
+    similar = paragraphs.repeated(whole, least=0.8, min_words=1, id_col=ROW)
     links = parts.select("doc_id", "component_id").unionByName(similar.select("doc_id", "component_id"))
     groups = connected_components(links.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")))
-    lost = groups.where("node <> component").select(F.col("node").alias("_row"))
-    return rows.join(lost, "_row", "left_anti").select(docs.columns)
+    lost = groups.where("node <> component").select(F.col("node").alias(ROW))
+    return rows.join(lost, ROW, "left_anti").select(docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
