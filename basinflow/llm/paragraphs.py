@@ -9,7 +9,7 @@ Components of links and of equal paragraphs are clusters; the first occurrence s
 document, then line), all others are removals.
 
 A key shared by few paragraphs is joined with itself; one shared by many is cut into tiles of bounded
-size whose links come back as a spanning forest, never as all pairs. Equal paragraphs cost one row in
+rows and shingles whose links come back as a spanning forest, never as all pairs. Equal paragraphs cost one row in
 all of this, however often they occur.
 
 Passages are found apart from lines, in the words of the whole text, so they may lie inside a longer line
@@ -44,8 +44,8 @@ from basinflow.llm.common import COPY, connected_components, cut, numbered, own_
 MIN_WORDS, SHINGLE, BANDS, ROWS = 20, 5, 8, 3
 #: Words of a sampled run; following runs of which one is taken (together, runs of 50 words).
 PASSAGE, WINDOW = 32, 19
-#: Paragraphs under one key that are still joined as rows; rows of one tile side.
-FEW, TILE = 16, 512
+#: Paragraphs under one key that are still joined as rows; rows and shingles (8 bytes each) of one tile side, on average.
+FEW, TILE, TILE_SHINGLES = 16, 512, 1 << 20
 SLICE = 1 << 20
 KEYS = [f"k{i}" for i in range(BANDS)]
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -238,7 +238,10 @@ def links(docs: DataFrame, distinct: DataFrame, least: float, id_col: str, text_
     common = F.size(F.array_intersect("left", "right"))
     both = pairs.join(sets.select(F.col("hash").alias("src"), F.col("set").alias("left")), "src").join(sets.select(F.col("hash").alias("dst"), F.col("set").alias("right")), "dst")
     near = both.where(common >= F.lit(least) * (F.size("left") + F.size("right") - common)).select("src", "dst")
-    many = met.where(F.col("n") > FEW).withColumn("cuts", F.ceil(F.col("n") / TILE).cast("long")).withColumn("own", F.pmod(F.xxhash64("hash"), "cuts"))
+    crowded = met.where(F.col("n") > FEW)
+    sizes = crowded.join(sets.select("hash", F.size("set").alias("size")), "hash").groupBy("key").agg(F.sum("size").alias("shingles"))
+    cuts = F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("long")
+    many = crowded.join(sizes, "key").withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("hash"), "cuts"))
     tiles = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("key", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     tiled = tiles.join(sets, "hash").groupBy("key", "i", "j").applyInPandas(lambda rows: tile_links(rows, least), "src long, dst long")
     return near.unionByName(tiled).distinct()

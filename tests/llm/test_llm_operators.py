@@ -441,6 +441,7 @@ def test_tiling_in_blocks(spark, monkeypatch):
 def test_paragraphs(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "FEW", 6)
     monkeypatch.setattr(paragraphs, "TILE", 16)
+    monkeypatch.setattr(paragraphs, "TILE_SHINGLES", 300)
     rng = random.Random(8)
     shared = [prose(random.Random(50 + k), 60) for k in range(4)]
     near = [" ".join(w if rng.random() > 0.02 else "other" for w in shared[3].split()) for _ in range(60)]
