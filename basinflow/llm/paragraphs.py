@@ -330,6 +330,49 @@ def extensions(docs: DataFrame, met: DataFrame, spans: DataFrame, id_col: str, t
     return again.groupBy("doc_id", "copy", "word", "side").agg(F.max("more").alias("more"), F.max(F.when(~is_head("word"), F.col("more"))).alias("lost"))
 
 
+def neighbours(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The asked rows (doc_id, copy, word, side and head) with near: 32 bits of the hash of each of the WINDOW - 1
+    words before (side 0) or after (side 1) the run at word, from the run outwards."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in text_slices(batch.column(2), SLICE):
+                rows = []
+                ids, copies, places = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (0, 1, 3))
+                for i, c, text, own in zip(ids, copies, texts, places):
+                    words = (word_hashes([b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    for p in own:
+                        w = p["word"]
+                        near = words[max(0, w - WINDOW + 1) : w][::-1] if p["side"] == 0 else words[w + PASSAGE : w + PASSAGE + WINDOW - 1]
+                        rows.append((i, c, w, p["side"], p["head"], near))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kind)], schema=kind)
+
+    place = pa.struct([("doc_id", pa.int64()), ("copy", pa.int64()), ("word", pa.int32())])
+    kind = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("word", pa.int32()), ("side", pa.int32()), ("head", place), ("near", pa.list_(pa.int32()))])
+    places = asked.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_number")).agg(F.collect_list(F.struct("word", "side", "head")).alias("places"))
+    rows = rows_of(docs, id_col, text_col)
+    met = rows.join(places, rows["doc_id"].eqNullSafe(places["_id"]) & (rows["copy"] == places["_number"])).select("doc_id", "copy", "text", "places")
+    return met.mapInArrow(run, "doc_id long, copy long, word int, side int, head struct<doc_id: long, copy: long, word: int>, near array<int>")
+
+
+def first_extensions(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As extensions(), but the ends of a span are compared with the first place of their runs only, and the
+    first place reaches as far as any of these ends does."""
+    lost = spans.where(~F.col("kept"))
+    ends = lost.select("doc_id", "copy", F.col("first.word").alias("word"), F.lit(0).alias("side"), F.col("first.head").alias("head"))
+    ends = ends.unionByName(lost.select("doc_id", "copy", F.col("last.word").alias("word"), F.lit(1).alias("side"), F.col("last.head").alias("head")))
+    heads = ends.select("head.*", "side", "head").distinct()
+    own = neighbours(docs, ends, id_col, text_col)
+    theirs = neighbours(docs, heads, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_number"), F.col("word").alias("_word"), F.col("side").alias("_side"), F.col("near").alias("_near"))
+    same = F.col("head.doc_id").eqNullSafe(F.col("_id")) & (F.col("head.copy") == F.col("_number")) & (F.col("head.word") == F.col("_word")) & (F.col("side") == F.col("_side"))
+    other = F.array_position(F.zip_with("near", "_near", lambda a, b: a == b), False)
+    reach = F.when(other > 0, other - 1).otherwise(F.least(F.size("near"), F.size("_near"))).cast("int")
+    met = cut(own.join(theirs, same).select("doc_id", "copy", "word", "side", "head", reach.alias("more")))
+    firsts = met.groupBy("head", "side").agg(F.max("more").alias("more")).select("head.*", "side", "more", F.lit(0).alias("lost"))
+    return met.select("doc_id", "copy", "word", "side", "more", F.col("more").alias("lost")).unionByName(firsts)
+
+
 def beside(spans: DataFrame, reach: DataFrame, side: int, end: str, names: tuple[str, str]) -> DataFrame:
     """spans with the reach of one end, 0 where nothing beside it is shared."""
     of = reach.where(F.col("side") == side).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_number"), F.col("word").alias("_word"), F.col("more").alias("_more"), F.col("lost").alias("_lost"))
@@ -337,22 +380,25 @@ def beside(spans: DataFrame, reach: DataFrame, side: int, end: str, names: tuple
     return met.select(*spans.columns, *(F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(("_more", "_lost"), names)))
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
     """Every span of words that occurs at another place too: doc_id, copy, word (from 0, in the whole text),
     words, component_id and component_word (first occurrence of its first sampled run), kept. A span begins
-    and ends where the common run does, so all words of every common run of 50 words lie in spans. What occurs
+    and ends where the common run does, so all words of every common run of 50 words lie in spans. With every
+    False, which costs much less, the ends of a span are held against the first place of their runs only: a
+    common run of two later places may reach up to WINDOW - 1 words beyond, on either side. What occurs
     here first and what does not make spans of their own, which may overlap: words of a span that is
     not kept all stand at an earlier place too."""
     docs = numbered(docs, id_col, text_col)
     found = runs(docs, id_col, text_col)  # scanned twice: cheaper than to store all runs
     # Written, so that the join below can split a passage that occurs very often.
     again = cut(found.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "word")).alias("head")).where("n > 1").drop("n"))
-    met = cut(found.join(again, found["hash"] == again["_hash"]).select("doc_id", "copy", "word", "hash", "head", is_head("word").alias("kept")))
+    met = found.join(again, found["hash"] == again["_hash"]).select("doc_id", "copy", "word", "hash", "head", is_head("word").alias("kept"))
+    met = cut(met) if every else met
     own = Window.partitionBy("doc_id", "copy", "kept").orderBy("word")
     new = F.coalesce(F.col("word") > F.lag("word").over(own) + PASSAGE, F.lit(True))
     touching = met.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(own))
-    spans = cut(touching.groupBy("doc_id", "copy", "kept", "span").agg(F.min(F.struct("word", "hash", "head")).alias("first"), F.max(F.struct("word", "hash")).alias("last")))
-    reach = cut(extensions(docs, met, spans, id_col, text_col))
+    spans = cut(touching.groupBy("doc_id", "copy", "kept", "span").agg(F.min(F.struct("word", "hash", "head")).alias("first"), F.max(F.struct("word", "hash", "head")).alias("last")))
+    reach = cut(extensions(docs, met, spans, id_col, text_col) if every else first_extensions(docs, spans, id_col, text_col))
     wide = beside(beside(spans, reach, 0, "first.word", ("before", "lost_before")), reach, 1, "last.word", ("after", "lost_after"))
     first, end = F.col("first.word"), F.col("last.word") + PASSAGE
     piece = lambda kept, begin, stop, head: F.struct(F.lit(kept).alias("kept"), begin.alias("word"), stop.alias("end"), head.alias("head"))
@@ -372,11 +418,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", "copy", F.col("first.word").alias("word"), (F.col("end") - F.col("first.word")).alias("words"), F.col("first.head.doc_id").alias("component_id"), F.col("first.head.word").alias("component_word"), "kept")
 
 
-def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
     """The rows of repeated() (word and component_word are null) and of passages() (line and
     component_line are null)."""
     docs = numbered(docs, id_col, text_col)
-    return repeated(docs, id_col=id_col, text_col=text_col).unionByName(passages(docs, id_col, text_col), allowMissingColumns=True)
+    return repeated(docs, id_col=id_col, text_col=text_col).unionByName(passages(docs, id_col, text_col, every), allowMissingColumns=True)
 
 
 def without(text: str, lines: list[int] | None, spans: list | None) -> str:

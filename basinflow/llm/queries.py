@@ -62,7 +62,7 @@ def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.all_repeats(table(spark, sf_dir, "documents"))
+    return paragraphs.all_repeats(table(spark, sf_dir, "documents"), every=False)
 
 
 def op11_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

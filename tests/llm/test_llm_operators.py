@@ -616,3 +616,23 @@ def test_any_column_names(spark, tmp_path):
         assert all(len({r[n].rsplit(" ", 1)[1] for n in odd}) == 1 for r in left.collect())
     kdtree.write(docs, kdtree.assign(docs, 3, dimensions=()), str(tmp_path / "shards"))
     assert rowset(spark.read.parquet(str(tmp_path / "shards")), *docs.columns) == rowset(docs, *docs.columns)
+
+
+def test_passages_reach_their_first_place(spark):
+    """Compared with first places only, whole runs of two documents are removed, and no word is lost."""
+    rng = random.Random(78)
+    own = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [own(n) for n in (50, 53, 60, 80, 200) * 4]
+    rows = [(i, own(rng.choice([0, 3, 40])) + w + own(rng.choice([0, 3, 40]))) for i, w in enumerate(shared)] + [(100 + i, own(30) + w + own(rng.choice([0, 25]))) for i, w in enumerate(shared)]
+    docs = table(spark, [(i, " ".join(w)) for i, w in rows])
+    out = paragraphs.passages(docs, every=False).collect()
+    spans = Counter((r["doc_id"], r["kept"], tuple(dict(rows)[r["doc_id"]][r["word"] : r["word"] + r["words"]])) for r in out)
+    assert spans == Counter((k + i, k == 0, tuple(w)) for i, w in enumerate(shared) for k in (0, 100))
+    left = [w for r in paragraphs.remove(docs, out_rows(spark, docs)).collect() for w in r["text"].split()]
+    assert Counter(left) == Counter(w for _, words in rows for w in words) - Counter(w for words in shared for w in words)
+
+
+def out_rows(spark, docs):
+    from pyspark.sql import functions as F
+
+    return paragraphs.passages(docs, every=False).withColumn("line", F.lit(None).cast("int"))
