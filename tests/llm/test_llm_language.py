@@ -155,6 +155,30 @@ def test_alignment_equals_all_pairs_of_ranges(spark, hot, monkeypatch):
     assert alignment.scored(alignment.counted(alignment.align(docs.limit(0), *paths))).count() == 0
 
 
+def test_alignment_of_each_part_once(monkeypatch):
+    """Texts of the same parts cost no more than one of them, and no cut of a text changes its rows: each list
+    of ends that gallops holds new parts only, whatever is kept and laid end to end."""
+    model, driven, gallop = alignment.Aligner(tokenizer_file("byte_bpe_50k.json"), split_pattern(), tokenizer_file("piece_bpe_32k.model")), [], alignment.gallop
+    monkeypatch.setattr(alignment, "gallop", lambda short, long: driven.append(len(short)) or gallop(short, long))
+    list(model.batch(["the ring, " * 500 + "end", "end the ring,\n" * 300]))
+    assert 0 < sum(driven) < 40
+    rng = np.random.default_rng(8)
+    white = [" ", "  ", "\n", "\n\n", "\r", ";\r", "{\r\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\u200b", "\ufeff"]
+    texts = TEXTS + ["".join(rng.choice([*white, "a", "the", "'s", "!", "é", "▁", "12", "<s>", "\0"], int(rng.integers(1, 25)))) for _ in range(1500)]
+    for kept, joined in ((alignment.KEPT, alignment.JOINED), (50, 3)):
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        monkeypatch.setattr(alignment, "JOINED", joined)
+        for at in range(0, len(texts), 100):
+            sides = model.batch(texts[at : at + 100])
+            for k, text in enumerate(texts[at : at + 100]):
+                a, b, a_sizes, b_sizes, first, last = (values[ends[k] : ends[k + 1]].tolist() for values, ends in sides)
+                (a_want, a_ends), (b_want, b_ends) = (library_groups(text) if text else None) or (([], []), ([], []))
+                assert (a, b) == (a_want, b_want)
+                assert [a_ends[i - 1] for i in np.cumsum(a_sizes, dtype=int)] == [b_ends[i - 1] for i in np.cumsum(b_sizes, dtype=int)] == sorted({*a_ends} & {*b_ends})
+                starts = zip([0, *a_ends], a_ends)
+                assert list(zip(first, last)) == [(np.searchsorted(b_ends, x, "right"), np.searchsorted(b_ends, y)) for x, y in starts]
+
+
 def test_gallop_counts_smaller_values():
     rng = np.random.default_rng(1)
     for _ in range(200):
