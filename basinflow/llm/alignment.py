@@ -38,8 +38,8 @@ from basinflow.llm.common import cut, new_folder, small_batches
 #: A pair of ids in this share of all rows or more is looked up in a broadcast table. There are at most so
 #: many such pairs (about 50 MB), and no other pair is frequent enough to fill a task.
 HOT_PAIRS = 1_000_000
-#: Distinct parts of texts that a task keeps with their alignment, and their characters; when there are more, it
-#: begins anew. Characters of the texts that it aligns together.
+#: Distinct parts of texts that a task keeps with their alignment, and their characters; when there are more, those
+#: not used again are forgotten. Characters of the texts that it aligns together.
 KEPT, KEPT_CHARS, SLICE = 500_000, 16 << 20, 1 << 18
 #: Parts that are encoded and aligned as one text.
 JOINED = 4000
@@ -158,6 +158,11 @@ class Rows:
     def take(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.take(self.values, ranges(self.ends[rows], sizes), 1)
 
+    def only(self, rows: np.ndarray) -> Rows:
+        out, sizes = Rows(len(self.values)), self.sizes(rows)
+        out.append(sizes, *self.take(rows, sizes))
+        return out
+
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each, as many as its size."""
@@ -185,7 +190,18 @@ class Aligner(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.new, self.chars, self.by_a, self.by_b, self.by_group = [], 0, Rows(3), Rows(1), Rows(2)
+        self.new, self.chars, self.uses, self.by_a, self.by_b, self.by_group = [], 0, np.zeros(0, np.int64), Rows(3), Rows(1), Rows(2)
+
+    def trim(self) -> None:
+        """Forget parts that were not used again since the last time; all, if that leaves more than half."""
+        again, parts = np.flatnonzero(self.uses > 1), list(self)
+        kept = [parts[i] for i in again.tolist()]
+        rows, chars = (self.by_a, self.by_b, self.by_group), sum(map(len, kept))
+        self.forget()
+        if len(kept) <= KEPT // 2 and chars <= KEPT_CHARS // 2:
+            self.update(zip(kept, range(len(kept))))
+            self.chars, self.uses = chars, np.ones(len(kept), np.int64)
+            self.by_a, self.by_b, self.by_group = (r.only(again) for r in rows)
 
     def __missing__(self, part: str) -> int:
         n = self[part] = len(self)
@@ -193,9 +209,9 @@ class Aligner(dict):
         return n
 
     def numbers(self, parts: list[str]) -> np.ndarray:
-        if len(self) > KEPT or self.chars > KEPT_CHARS:
-            self.forget()
         try:
+            if len(self) > KEPT or self.chars > KEPT_CHARS:
+                self.trim()
             found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
             new, self.new, at = self.new, [], 0
             for k, part in enumerate(new, 1):
@@ -204,6 +220,8 @@ class Aligner(dict):
                     self.learn(new[at:k])
                     at = k
             self.chars += sum(map(len, new))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            np.add.at(self.uses, found, 1)
         except BaseException:
             self.forget()
             raise
