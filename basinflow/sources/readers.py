@@ -23,7 +23,10 @@ class Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    lines = [r["value"] for r in spark.read.text(path).limit(2).collect()]
+    """The header of a file, or of a folder whose files follow each other as in numbered(): Spark itself reads
+    large files first, so that the first rows of a table are not always the first lines."""
+    first = ["_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()]
+    lines = [r["value"] for r in spark.read.text(path).orderBy(*first).limit(2).collect()]
     tokens = lines[0].split()
     objectives = next((int(t[2:]) for t in tokens[2:] if t.startswith("P:") and t[2:].isdigit()), 0)
     graph = next((t for t in tokens[2:] if t[0] in "RQTPX?S" and not t.startswith("P:")), "RNA")

@@ -190,6 +190,18 @@ def test_files(spark, tmp_path):
     assert post.gml_lines(post.saddle_graph(ls.components)).count() == 7
 
 
+def test_header_of_a_folder(spark, tmp_path):
+    """The header stands in the first file, which is not the largest one and may hold nothing else."""
+    for number, text in enumerate(("", "orders -999 P:2 Q2 price\n", "+- -1.5 3 4\n", "++ -1.0 3 4\n" * 50)):
+        (tmp_path / f"part-{number:05d}.txt").write_text(text)
+    head = readers.read_header(spark, str(tmp_path))
+    assert head == readers.Header("price", 2, "Q2")
+    assert [r["structure"] for r in readers.read_landscape(spark, str(tmp_path), header=head).orderBy("rank").collect()] == ["+-", *["++"] * 50]
+    (tmp_path / "part-00001.txt").write_text("MAGIC -999 SECIS,9,30\n")
+    (tmp_path / "part-00002.txt").write_text("(...) MAGIC\n")
+    assert readers.read_header(spark, str(tmp_path)).design == ("(...)", "MAGIC", 9, 30)
+
+
 def test_direct_path(spark):
     energy = lambda sequence, pairs: -float(len(pairs)) + 3.0 * ((0, 9) in pairs and (1, 8) not in pairs)
     row = direct_paths(spark.createDataFrame([("GGAAAAAACC", "..........", "((......))")], "sequence string, start string, target string"), energy).first()
