@@ -342,6 +342,8 @@ def rates(states: DataFrame, edges: DataFrame, labels: DataFrame, kt: float = 1.
 
     labels: landscape_id, rank, label. States without a label take no part. double_moves: a factor
     per edge, such as a lower weight for moves of two pairs. Entries i = j hold the mass that stays.
+    Weights are relative to the ground state: where all of a basin's are too small for a double, its
+    rates are not numbers (NaN).
     """
     factor = double_moves if double_moves is not None else F.lit(1.0)
     low = ground(states)
@@ -349,7 +351,7 @@ def rates(states: DataFrame, edges: DataFrame, labels: DataFrame, kt: float = 1.
     mass = edges.join(of("n"), [ID, "n"]).join(of("m"), [ID, "m"]).join(low, ID).select(ID, "g_n", "g_m", (weight(F.col("e_n"), F.col("mfe"), kt) * factor).alias("w"))
     both = mass.select(ID, F.col("g_m").alias("i"), F.col("g_n").alias("j"), "w").unionByName(mass.select(ID, F.col("g_n").alias("i"), F.col("g_m").alias("j"), "w"))
     z = states.join(labels, [ID, "rank"]).join(low, ID).groupBy(ID, F.col("label").alias("i")).agg(F.sum(weight(F.col("energy"), F.col("mfe"), kt)).alias("z"))
-    return both.groupBy(ID, "i", "j").agg(F.sum("w").alias("w")).join(z, [ID, "i"]).select(ID, "i", "j", (F.col("w") / F.col("z")).alias("rate"))
+    return both.groupBy(ID, "i", "j").agg(F.sum("w").alias("w")).join(z, [ID, "i"]).select(ID, "i", "j", F.coalesce(F.try_divide("w", "z"), F.lit(float("nan"))).alias("rate"))
 
 
 def micro_rates(edges: DataFrame, kt: float = 1.0) -> DataFrame:

@@ -77,7 +77,8 @@ def rates_files(spark, sf_dir):
     sinks.write_text_rates(rates, f"{path}/text")
     sinks.write_binary_rates(rates, f"{path}/binary")
     text = readers.numbered(spark.read.text(f"{path}/text")).select(F.col("line").alias("i"), F.posexplode(readers.tokens(F.col("value"))).alias("k", "entry")).select("i", (F.col("k") + 1).cast("long").alias("j"), F.col("entry").cast("double").alias("entry"))
-    met = readers.read_binary_rates(spark, f"{path}/binary").join(text, ["i", "j"])
+    held = rates.select("i", "j").join(readers.read_binary_rates(spark, f"{path}/binary"), ["i", "j"], "left")  # of 0 there are no rows
+    met = held.select("i", "j", F.coalesce("rate", F.lit(0.0)).alias("rate")).join(text, ["i", "j"])
     return met.select("i", "j", rounded("rate"), (F.abs(F.col("entry") - F.col("rate")) <= F.abs("rate") * 0.001).alias("in_text"))
 
 

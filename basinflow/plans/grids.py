@@ -225,7 +225,7 @@ def detailed_balance(spark, sf_dir):
     g = orders(spark, sf_dir)
     labels = g.index.withColumnRenamed("lmin", "label")
     z = g.states.join(labels, [ID, "rank"]).join(L.ground(g.states), ID).groupBy(ID, F.col("label").alias("i")).agg(F.sum(L.weight(F.col("energy"), F.col("mfe"), 1.0)).alias("z"))
-    flow = L.rates(g.states, g.edges, labels).join(z, [ID, "i"]).select(ID, "i", "j", (F.col("rate") * F.col("z")).alias("m"))
+    flow = L.rates(g.states, g.edges, labels).join(z, [ID, "i"]).select(ID, "i", "j", F.when(F.col("z") > 0, F.col("rate") * F.col("z")).otherwise(0.0).alias("m"))
     back = flow.select(ID, F.col("j").alias("i"), F.col("i").alias("j"), F.col("m").alias("o"))
     return flow.join(back, [ID, "i", "j"]).groupBy(ID).agg(F.count("*").alias("pairs"), F.sum((F.abs(F.col("m") - F.col("o")) > 1e-9).cast("int")).alias("broken"))
 

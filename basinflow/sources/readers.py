@@ -104,21 +104,22 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_binary_rates(spark: SparkSession, path: str) -> DataFrame:
     """A rate matrix file (int32 dimension, then column after column of float64): file, i, j, rate of its
-    entries other than zero. Columns are read as arrays, some at a time."""
+    entries other than zero (NaN stays NaN). Columns are read as arrays, some at a time."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def run(batches):
         for t in batches:
-            for name, data in zip(t["path"], t["content"]):
+            for name, content in zip(t.column("path").to_pylist(), t.column("content")):
+                data = content.as_buffer()
                 n = int(np.frombuffer(data, "<i4", 1)[0])
                 step = max(1, (1 << 20) // max(n, 1))
                 for j in range(0, n, step):
                     part = np.frombuffer(data, "<f8", min(step, n - j) * n, 4 + 8 * j * n).reshape(-1, n)
                     column, row = np.nonzero(part)
-                    yield pd.DataFrame({"file": name, "i": row + 1, "j": column + j + 1, "rate": part[column, row]})
+                    yield pa.RecordBatch.from_arrays([pa.repeat(name, len(row)), pa.array(row + 1), pa.array(column + j + 1), pa.array(part[column, row])], ["file", "i", "j", "rate"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, i long, j long, rate double")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, i long, j long, rate double")
 
 
 def read_reorder_map(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from basinflow.operators import post
 from basinflow.operators.forest import elder_forest
 from basinflow.operators.graph import chase, connected_components
 from basinflow.operators.paths import direct_paths, gradient_walk, joined_roots
+from basinflow.plans import registry
 from basinflow.plans.analysis import Landscape, LandscapeOptions
 from basinflow.sources import readers, sinks
 
@@ -190,6 +191,35 @@ def test_files(spark, tmp_path):
     assert post.gml_lines(post.saddle_graph(ls.components)).count() == 7
 
 
+def test_rates_below_the_smallest_double(spark, tmp_path):
+    """Basins so high that all their weights vanish have NaN as rates, others have 0, through the files as well."""
+    rows = listed(spark, ("a", -2000.0, ":"), ("b", -100.0, ":"), ("c", -99.0, ":"), ("x", 0.0, "a:b"), ("y", 0.0, "b:c"))
+    ls = Landscape(spark, rows, LandscapeOptions(graph="?", most=0))
+    got = {(r["i"], r["j"]): r["rate"] for r in ls.rates.collect()}
+    assert got[1, 2] == 0.0 and math.isnan(got[2, 1]) and math.isnan(got[2, 3]) and math.isnan(got[3, 2])
+    sinks.write_binary_rates(ls.rates, f"{tmp_path}/rates.bin")
+    back = {(r["i"], r["j"]): r["rate"] for r in readers.read_binary_rates(spark, f"{tmp_path}/rates.bin").collect()}
+    assert set(back) == {k for k, v in got.items() if v != 0} and all(math.isnan(v) for v in back.values() if v != 1.0)
+
+
+@pytest.mark.parametrize("name", ["rates_files", "detailed_balance"])
+def test_large_counts(spark, tmp_path, name):
+    """These queries against their SQL where energies are so far apart that weights vanish."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    spins = [x for x, n in ((0, 1500), (1, 2), (3, 300), (7, 1), (15, 200), (31, 3), (63, 900)) for _ in range(n)]
+    spark.createDataFrame([(x, "1-URGENT") for x in spins], "o_custkey long, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    cells = [(q, 1) for q, n in ((1, 1500), (2, 2), (3, 300), (4, 1), (5, 200)) for _ in range(n)]
+    spark.createDataFrame(cells, "q int, d int").selectExpr("date'1997-01-01' AS l_shipdate", "cast(q AS double) AS l_quantity", "d / 100.0D AS l_discount").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    plain = lambda rows: sorted(tuple(str(float(v)) for v in r) for r in rows)
+    want = plain(con.sql(registry.SQL[name]).select(*df.columns).fetchall())
+    assert plain(df.collect()) == want and len(want) > (name == "rates_files")
+    assert name != "rates_files" or {"nan", "0.0"} <= {r[df.columns.index("rate")] for r in want}
+
+
 def test_header_of_a_folder(spark, tmp_path):
     """The header stands in the first file, which is not the largest one and may hold nothing else."""
     for number, text in enumerate(("", "orders -999 P:2 Q2 price\n", "+- -1.5 3 4\n", "++ -1.0 3 4\n" * 50)):
