@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,16 +111,18 @@ def neighbours(sequence: str, structure: str, no_lonely: bool = False, shift: bo
     table = pair_list(structure)
     loop, n, pairs = loops(table), len(table), PAIRS if second else EXTENDED
     fits = lambda i, j: sequence[i] + sequence[j] in pairs
+    mates = {x: {b for a, b in pairs if a == x} for x in set(sequence)}
     free = [i for i in range(n) if table[i] < 0]
     apart = least - 1 if no_lonely and second else least
-    for i in free:
-        for j in free:
-            if j - i >= apart and loop[i] == loop[j] and fits(i, j):
-                new = changed(table, add=[(i, j)])
-                if not no_lonely or not lonely(new, i, j):
-                    yield drawn(new), False
+    text = drawn(table)
+    for k, i in enumerate(free):
+        around, mate = loop[i], mates[sequence[i]]
+        for j in free[k + 1 :]:
+            if sequence[j] in mate and j - i >= apart and loop[j] == around:
+                if not no_lonely or not lonely(table, i, j):
+                    yield f"{text[:i]}({text[i + 1 : j]}){text[j + 1 :]}", False
                 elif j - i >= least + 2 and table[i + 1] < 0 and table[j - 1] < 0 and fits(i + 1, j - 1) and inside_lonely(table, i + 1, j - 1):
-                    yield drawn(changed(new, add=[(i + 1, j - 1)])), True
+                    yield f"{text[:i]}(({text[i + 2 : j - 1]})){text[j + 1 :]}", True
     for i, j in enumerate(table):
         if j <= i:
             continue
@@ -143,18 +147,21 @@ def rna_moves(sequence: Column | str | None = None, no_lonely: bool = False, shi
     the other mark (the steps of binding and release, which count for rates only). Structures may carry
     a trailing *, which neighbours keep, unless second is set."""
 
-    @F.pandas_udf(NEIGHBOUR)
-    def generated(structures: pd.Series, sequences: pd.Series) -> pd.Series:
-        out = []
-        for s, q in zip(structures, sequences):
-            if s is None or q is None:
-                out.append(None)
-                continue
-            bare = s if second else s.rstrip("*")
-            if len(bare) != len(q):
-                raise ValueError(f"structure and sequence differ in length: {s} {q}")
-            out.append([{"structure": x + s[len(bare) :], "is_double": d} for x, d in neighbours(q, bare, no_lonely, shift, second, least)])
-        return pd.Series(out)
+    @F.arrow_udf(NEIGHBOUR)
+    def generated(structures: pa.Array, sequences: pa.Array) -> pa.Array:
+        found, ends, missing = [], [0], []
+        for s, q in zip(structures.to_pylist(), sequences.to_pylist()):
+            missing.append(s is None or q is None)
+            if not missing[-1]:
+                bare = s if second else s.rstrip("*")
+                if len(bare) != len(q):
+                    raise ValueError(f"structure and sequence differ in length: {s} {q}")
+                mark = s[len(bare) :]
+                found += [(x + mark, d) for x, d in neighbours(q, bare, no_lonely, shift, second, least)]
+            ends.append(len(found))
+        texts, doubles = zip(*found) if found else ((), ())
+        pairs = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(doubles, pa.bool_())], ["structure", "is_double"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array(missing, pa.bool_()))
 
     def of(structure: Column, seq: Column | str | None = None) -> Column:
         q = seq if seq is not None else sequence
@@ -229,10 +236,35 @@ def pair_sum(sequence: Column, structure: Column, energies: dict[str, float], ot
     return F.aggregate(base_pairs(structure), F.lit(0.0), lambda s, p: s + value(p))
 
 
+def paired_places(texts: np.ndarray) -> np.ndarray:
+    """For characters of equally long dot-bracket strings, a row each: the place that each opening bracket is
+    closed at, -1 elsewhere. One step a place, for all rows together."""
+    n, length = texts.shape
+    out, open_, top = np.full((n, length), -1), np.zeros((n, length), dtype=int), np.zeros(n, dtype=int)
+    for j in range(length):
+        opens, closes = np.flatnonzero(texts[:, j] == "("), np.flatnonzero(texts[:, j] == ")")
+        open_[opens, top[opens]] = j
+        top[opens] += 1
+        top[closes] -= 1
+        if (top[closes] < 0).any():
+            raise ValueError(f"unbalanced structure {''.join(texts[closes[top[closes] < 0][0]])}")
+        out[closes, open_[closes, top[closes]]] = j
+    return out
+
+
 def pair_distance(a: Column, b: Column) -> Column:
-    """Number of base pairs that only one of two structures has."""
-    p, q = base_pairs(a), base_pairs(b)
-    return F.size(F.array_except(p, q)) + F.size(F.array_except(q, p))
+    """Number of base pairs that only one of two structures has; null has none."""
+
+    @F.pandas_udf("int")
+    def differing(a: pd.Series, b: pd.Series) -> pd.Series:
+        length, out = max(1, a.str.len().max(), b.str.len().max()), []
+        step = max(1, (1 << 20) // length)
+        for k in range(0, len(a), step):
+            p, q = (paired_places(np.array(c[k : k + step].tolist(), dtype=f"U{length}").view("U1").reshape(-1, length)) for c in (a, b))
+            out.append(((p >= 0) & (p != q)).sum(axis=1) + ((q >= 0) & (p != q)).sum(axis=1))
+        return pd.Series(np.concatenate(out))
+
+    return differing(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
 def hamming(a: Column, b: Column) -> Column:

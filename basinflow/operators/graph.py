@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many tasks as shuffles have: a table of few bytes is read by one or two
+    tasks, however much work its rows make. As the number is given, small partitions are not gathered again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with a gapless rank from 0 in the given order, without one task seeing all rows.
 

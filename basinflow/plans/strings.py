@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from basinflow.functions import design, lattice, moves, rna, trees
 from basinflow.operators import landscape as L
 from basinflow.operators import post
+from basinflow.operators.graph import spread
 from basinflow.plans.grids import DESCENT, NUMBERED, PLATEAU, RATES, SADDLES, WHOLE, Grid, rounded, table
 from basinflow.sources.readers import hopfield, spin_string
 
@@ -155,7 +156,7 @@ SEQUENCE = "SELECT p_partkey, translate(substr(md5(cast(p_partkey AS varchar)),
 @query("rna_open_chain", f"WITH s AS ({SEQUENCE}) SELECT p_partkey, q AS sequence, repeat('.', cast(i - 1 AS int)) || '(' || repeat('.', cast(j - i - 1 AS int)) || ')' || repeat('.', cast(16 - j AS int)) AS structure, false AS is_double FROM s, range(1, 17) a(i), range(1, 17) b(j) WHERE j - i >= 4 AND substr(q, cast(i AS int), 1) || substr(q, cast(j AS int), 1) IN ('AU', 'UA', 'CG', 'GC', 'GU', 'UG')")
 def rna_open_chain(spark, sf_dir):
     """All structures one move from the open chain of each part's sequence."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", sequence().alias("sequence"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", sequence().alias("sequence"))
     found = rna.rna_moves()(F.repeat(F.lit("."), F.length("sequence")), F.col("sequence"))
     return rows.select("p_partkey", "sequence", F.explode(found).alias("x")).select("p_partkey", "sequence", "x.structure", "x.is_double")
 
@@ -186,8 +187,8 @@ def rna_canonical_moves(spark, sf_dir):
 def pair_distances(spark, sf_dir):
     """Sum of the base-pair distances of all one-pair structures to the one that pairs both ends."""
     closed = F.concat(F.lit("("), F.repeat(F.lit("."), F.length("structure") - 2), F.lit(")"))
-    found = rna_open_chain(spark, sf_dir)
-    return found.groupBy("p_partkey").agg(F.count("*").alias("structures"), F.sum(rna.pair_distance(F.col("structure"), closed)).cast("long").alias("distance"))
+    found = rna_open_chain(spark, sf_dir).select("p_partkey", rna.pair_distance(F.col("structure"), closed).alias("distance"))
+    return found.groupBy("p_partkey").agg(F.count("*").alias("structures"), F.sum("distance").cast("long").alias("distance"))
 
 
 CODE = design.GENETIC_CODE

@@ -1,11 +1,14 @@
 """Move sets: known neighbour lists, symmetry, and enumeration."""
 
+import os
 import random
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from basinflow.functions import design, lattice, moves, rna, trees
+from basinflow.plans import registry
 
 
 def neighbours(spark, move, *texts):
@@ -147,3 +150,45 @@ def test_design(spark):
     assert design.sequences(spark, "NAN", "G.U").count() == 6
     found = spark.createDataFrame([("GAC",)], "s string").select(design.mutants("(.)", "D", 1, -5)(F.col("s")).alias("n")).first()["n"]
     assert set(found) <= {"AAU", "CAG", "UAA", "GCC", "GGC", "GUC"} and "UAA" not in found
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+@pytest.mark.parametrize("name", ["rna_open_chain"])
+def test_small_tables_are_spread(spark, name):
+    """A table of one file of few bytes does not put all moves into one task."""
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_pair_distance_of_many(spark):
+    """Distances of random structures of many lengths, against sets of pairs; null has no pairs."""
+    rng, texts = random.Random(5), [None, "", "()", "(..)*", "((.)"]
+    for _ in range(60):
+        text = ["."] * rng.randint(0, 30)
+        for _ in range(rng.randint(0, 8)):
+            free = [i for i, c in enumerate(text) if c == "."]
+            i = rng.choice(free[:-1]) if len(free) > 1 else None
+            depth, ends = 0, []
+            for j in range(i + 1, len(text)) if i is not None else ():
+                depth += {"(": 1, ")": -1, ".": 0}[text[j]]
+                if depth < 0:
+                    break
+                if depth == 0 and text[j] == ".":
+                    ends.append(j)
+            if ends:
+                text[i], text[rng.choice(ends)] = "(", ")"
+        texts.append("".join(text))
+
+    def pairs(s):
+        out, open_ = set(), []
+        for j, c in enumerate(s or ""):
+            if c == "(":
+                open_.append(j)
+            elif c == ")":
+                out.add((open_.pop(), j))
+        return out
+
+    asked = [(a, b) for a in texts for b in texts]
+    got = spark.createDataFrame(asked, "a string, b string").select("a", "b", rna.pair_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r["d"] for r in got] == [len(pairs(r["a"]) ^ pairs(r["b"])) for r in got] and len(got) == len(asked)
+    with pytest.raises(PythonException, match="unbalanced"):
+        spark.createDataFrame([("())", ".")], "a string, b string").select(rna.pair_distance(F.col("a"), F.col("b"))).collect()
