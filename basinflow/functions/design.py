@@ -3,11 +3,16 @@ enumeration of all sequences under a constraint."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import product
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.functions.moves import put
 from basinflow.functions.rna import pair_list
+from basinflow.operators.graph import spread
 
 # The standard genetic code in the order U C A G of the three bases (* for a stop), the
 # bases that IUPAC letters stand for, and base pairs in their order.
@@ -142,12 +147,31 @@ def scored(found: DataFrame, protein: str, scores=None) -> DataFrame:
     return found.withColumn("mutations", mutations(acids, protein)).withColumn("score", similarity(acids, protein, scores))
 
 
-def letter_codons(letters: Column) -> Column:
-    """All codons that three IUPAC letters stand for."""
-    table = F.create_map(*(F.lit(x) for kv in IUPAC.items() for x in kv))
-    bases = lambda k: F.split(table[F.substring(letters, k, 1)], "")
-    ends = F.flatten(F.transform(bases(2), lambda b: F.transform(bases(3), lambda c: F.concat(b, c))))
-    return F.flatten(F.transform(bases(1), lambda a: F.transform(ends, lambda e: F.concat(a, e))))
+def codon_choices(names: list[str], scores: dict[tuple[str, str], int] | None, match: int, mismatch: int) -> Callable[[Column, Column], Column]:
+    """A function (constraint, protein) of whole strings, whose last codons and acids get a field each: all codons
+    that the three IUPAC letters stand for, save stops and those without a score, with what each adds to mutations
+    and score, and the fewest mutations and the highest score among them (null if there are none). Equal
+    letters and acids of a batch are worked out once."""
+    code, both = codons(), None if scores is None else {**{(b, a): v for (a, b), v in scores.items()}, **scores}
+    kind = "struct<choices:array<struct<codon:string,mutation:int,score:int>>,mutations:int,score:int>"
+
+    def found(letters: str, wanted: str) -> dict:
+        made = [(c, code[c]) for c in map("".join, product(*(IUPAC.get(x, "") for x in letters))) if code[c] != "*"]
+        priced = [(c, a, (match if a == wanted else mismatch) if both is None else both.get((a, wanted))) for c, a in made]
+        kept = [{"codon": c, "mutation": int(a != wanted), "score": v} for c, a, v in priced if v is not None]
+        return {"choices": kept, "mutations": min((c["mutation"] for c in kept), default=None), "score": max((c["score"] for c in kept), default=None)}
+
+    @F.arrow_udf(f"struct<{','.join(f'{x}:{kind}' for x in names)}>")
+    def choices(constraints: pa.Array, proteins: pa.Array) -> pa.Array:
+        held = pa.struct({"choices": pa.list_(pa.struct({"codon": pa.string(), "mutation": pa.int32(), "score": pa.int32()})), "mutations": pa.int32(), "score": pa.int32()})
+        columns, rows = [], [(c or "", p or "") for c, p in zip(constraints.to_pylist(), proteins.to_pylist())]
+        for k in range(len(names), 0, -1):
+            place: dict = {}
+            at = [place.setdefault((c[len(c) - 3 * k :][:3], p[len(p) - k :][:1]), len(place)) for c, p in rows]
+            columns.append(pa.array([found(*pair) for pair in place], held).take(pa.array(at, pa.int32())))
+        return pa.StructArray.from_arrays(columns, names)
+
+    return choices
 
 
 def pruned_sequences(designs: DataFrame, structure: str, most_mutations: int, least_score: int, scores: dict[tuple[str, str], int] | None = None, match: int = 5, mismatch: int = -1, rows: list[int] | None = None) -> DataFrame:
@@ -165,17 +189,13 @@ def pruned_sequences(designs: DataFrame, structure: str, most_mutations: int, le
     if len(structure) % 3:
         raise ValueError("a structure of whole codons")
     table, n = partners(structure), len(structure) // 3
-    acids = F.create_map(*(F.lit(x) for kv in codons().items() for x in kv))
-    if scores is None:
-        value = lambda acid, wanted: F.when(acid == wanted, match).otherwise(mismatch)
-    else:
-        both = F.create_map(*(F.lit(x) for (a, b), v in {**{(b, a): v for (a, b), v in scores.items()}, **scores}.items() for x in (a + b, v)))
-        value = lambda acid, wanted: both[F.concat(acid, wanted)]
+    name = "_basinflow_{}".format
 
-    def choices(k: int) -> Column:
-        wanted = F.substring("protein", k + 1, 1)
-        made = F.transform(letter_codons(F.substring("constraint", 3 * k + 1, 3)), lambda c: F.struct(c.alias("codon"), (acids[c] != wanted).cast("int").alias("mutation"), F.when(acids[c] != "*", value(acids[c], wanted)).alias("score")))
-        return F.filter(made, lambda c: c["score"].isNotNull())
+    def priced(rows: DataFrame, first: int) -> DataFrame:
+        """rows with the choices of each codon from the first one on."""
+        names = [name(k) for k in range(first, n)]
+        made = rows.withColumn("_basinflow", codon_choices(names, scores, match, mismatch)(F.col("constraint"), F.col("protein")))
+        return made.select(*rows.columns, "_basinflow.*")
 
     def fits(k: int, codon: Column) -> Column:
         """Whether the bases of the k-th codon pair with those before them (or among themselves)."""
@@ -185,17 +205,19 @@ def pruned_sequences(designs: DataFrame, structure: str, most_mutations: int, le
                 ok = ok & F.concat(F.substring(whole, table[j] + 1, 1), F.substring(whole, j + 1, 1)).isin(*(WATSON_CRICK if structure[j] == ")" else WOBBLE))
         return ok
 
-    best = F.array(*(F.struct(F.array_min(F.transform(choices(k), lambda c: c["mutation"])).alias("mutations"), F.array_max(F.transform(choices(k), lambda c: c["score"])).alias("score")) for k in range(n)))
     kept = designs.columns
-    out = designs.where((F.length("constraint") == 3 * n) & (F.length("protein") == n)).withColumn("_best", best).where(~F.exists("_best", lambda b: b["score"].isNull()))
+    out = priced(spread(designs.where((F.length("constraint") == 3 * n) & (F.length("protein") == n)), *kept), 0)
+    for k in range(n):
+        out = out.where(F.col(f"{name(k)}.score").isNotNull())
     out = out.withColumn("sequence", F.lit("")).withColumn("mutations", F.lit(0)).withColumn("score", F.lit(0))
     for k in range(n):
-        rest = lambda name: F.aggregate(F.slice("_best", k + 2, n), F.lit(0), lambda s, b: s + b[name])  # noqa: B023, E731
-        grown = out.withColumn("_c", F.explode(choices(k))).where(fits(k, F.col("_c.codon")))
-        out = grown.select(*kept, "_best", F.concat("sequence", "_c.codon").alias("sequence"), (F.col("mutations") + F.col("_c.mutation")).alias("mutations"), (F.col("score") + F.col("_c.score")).alias("score"))
+        rest = lambda what: sum((F.col(f"{name(j)}.{what}") for j in range(k + 1, n)), F.lit(0))  # noqa: B023, E731
+        left = [name(j) for j in range(k + 1, n)]
+        grown = out.withColumn("_basinflow_c", F.explode(f"{name(k)}.choices")).where(fits(k, F.col("_basinflow_c.codon")))
+        out = grown.select(*kept, *left, F.concat("sequence", "_basinflow_c.codon").alias("sequence"), (F.col("mutations") + F.col("_basinflow_c.mutation")).alias("mutations"), (F.col("score") + F.col("_basinflow_c.score")).alias("score"))
         out = out.where((F.col("mutations") + rest("mutations") <= most_mutations) & (F.col("score") + rest("score") >= least_score))
-        if k % 4 == 3 and k < n - 1:
-            out = out.repartition("sequence", "constraint")
+        if k % 4 == 0 and k < n - 1:
+            out = priced(spread(out.drop(*left), *kept, "sequence"), k + 1)
         if rows is not None:
             rows.append(out.count())
-    return out.drop("_best")
+    return out

@@ -93,6 +93,17 @@ def test_pruned_designs_equal_filtered_ones(spark):
     assert len(rows) == 4 and rows[-1] == len(want)
 
 
+def test_pruned_designs_are_spread(spark):
+    """Designs that one task reads are dealt over others, and choices of codons follow a matrix of scores."""
+    scores = {("M", "M"): 7, ("I", "M"): 2, ("K", "K"): 6, ("K", "N"): 1}
+    made = spark.createDataFrame([(k, "AUNAAN", "MK") for k in range(40)] + [(40, "AUNAAX", "MK"), (41, "AUNAAN", "MW")], "id int, constraint string, protein string").coalesce(1)
+    found = design.pruned_sequences(made, "......", 2, 8, scores)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    want = {("AUGAAA", 0, 13), ("AUGAAG", 0, 13), ("AUGAAU", 1, 8), ("AUGAAC", 1, 8), *((f"AU{x}AA{y}", 1, 8) for x in "UCA" for y in "AG")}
+    got = found.collect()
+    assert {(r["sequence"], r["mutations"], r["score"]) for r in got} == want and {r["id"] for r in got} == set(range(40)) and len(got) == 40 * len(want)
+
+
 def test_direct_saddles_equal_the_search(spark):
     """The table of beams against the plain beam search, where both are exhaustive."""
     asked = [("GGGAAACCCAUGAAAACAU", "(((...)))..........", "..........(......)."), ("GGGAAACCCAUGAAAACAU", "(((...)))..........", "(((...)))........()"), ("GGGAAACCCAUGAAAACAU", "((.....))..........", ".(((...)))........."), ("GGGAAACCCAUGAAAACAU", "...................", "...................")]
