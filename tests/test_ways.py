@@ -115,6 +115,27 @@ def test_direct_saddles_equal_the_search(spark):
     assert got == want and len(got) == 4
 
 
+def test_direct_saddles_end_early(spark):
+    """A query is done when its beam held all states; the others go on, with the same barriers as the plain
+    search finds."""
+    calls = []
+    weights = {"GC": -3.0, "AU": -2.0, "GU": -1.0}
+
+    def energy(q, s):
+        calls.append(1)
+        return rna.pair_sum(q, s, weights, 1.0)
+
+    schema = "sequence string, start string, target string"
+    assert paths.direct_saddles(spark.createDataFrame([("GGAAAACC", "(......)", "(.(..).)")], schema), energy).first()["saddle_energy"] == -2.0
+    assert len(calls) == 2
+    wide = [("GAUGCUAGCAUGGACUUCAGGAUC", "(((((....)))))..........", "..........(((((....)))))"), ("GGAAAACC", "(......)", "(.(..).)")]
+    plain = lambda q, pairs: float(sum(weights.get(q[i] + q[j], 1.0) for i, j in pairs))
+    for most in (1, 4, 300):
+        got = {tuple(r)[:3]: r["saddle_energy"] for r in paths.direct_saddles(spark.createDataFrame(wide, schema), energy, most_kept=most).collect()}
+        want = {tuple(r)[:3]: r["saddle_energy"] for r in paths.direct_paths(spark.createDataFrame(wide, schema), plain, most_kept=most).collect()}
+        assert got.keys() == want.keys() and got[wide[1]] == want[wide[1]] and (most < 300 or got == want)
+
+
 @pytest.mark.parametrize("leaves", [3, 4, 6])
 def test_trees_by_number(spark, leaves):
     n = trees.count_trees(leaves)
