@@ -173,14 +173,20 @@ UNION ALL SELECT k.p_partkey, k.q, [k.i, k.i + 1, n.i, n.i + 1], [k.j, k.j - 1,
 SELECT p_partkey, q AS sequence, structure FROM (SELECT DISTINCT p_partkey, q, array_to_string(list_transform(range(1, 21), lambda x: CASE WHEN list_contains(l, x) THEN '(' WHEN list_contains(r, x) THEN ')' ELSE '.' END), '') AS structure FROM t)"""
 
 
+def canonical_moves(rows):
+    """For rows(p_partkey, ...): two rounds of moves without lonely pairs, with shifts, from the open chain of each
+    part's sequence, with the other columns."""
+    rows = spread(rows, "p_partkey").withColumn("sequence", sequence(20)).withColumn("structure", F.repeat(F.lit("."), 20))
+    kept, step = [c for c in rows.columns if c != "structure"], rna.rna_moves(no_lonely=True, shift=True, second=True)
+    for _ in range(2):
+        rows = rows.select(*kept, F.explode(step(F.col("structure"), F.col("sequence"))).alias("x")).select(*kept, "x.structure").distinct()
+    return rows
+
+
 @query("rna_canonical_moves", CANONICAL)
 def rna_canonical_moves(spark, sf_dir):
     """Two rounds of moves without lonely pairs, with shifts, from the open chain."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", sequence(20).alias("sequence"), F.repeat(F.lit("."), 20).alias("structure"))
-    step = rna.rna_moves(no_lonely=True, shift=True, second=True)
-    for _ in range(2):
-        rows = rows.select("p_partkey", "sequence", F.explode(step(F.col("structure"), F.col("sequence"))).alias("x")).select("p_partkey", "sequence", "x.structure").distinct()
-    return rows
+    return canonical_moves(table(spark, sf_dir, "part").select("p_partkey"))
 
 
 @query("pair_distances", f"WITH s AS ({SEQUENCE}), o AS (SELECT p_partkey, i, j FROM s, range(1, 17) a(i), range(1, 17) b(j) WHERE j - i >= 4 AND substr(q, cast(i AS int), 1) || substr(q, cast(j AS int), 1) IN ('AU', 'UA', 'CG', 'GC', 'GU', 'UG')) SELECT p_partkey, count(*) AS structures, cast(sum(CASE WHEN i = 1 AND j = 16 THEN 0 ELSE 2 END) AS bigint) AS distance FROM o GROUP BY ALL")

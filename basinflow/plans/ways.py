@@ -9,7 +9,7 @@ from basinflow.operators import paths, post
 from basinflow.operators.graph import rank_within
 from basinflow.plans.analysis import Landscape, LandscapeOptions
 from basinflow.plans.grids import CELLS, ID, PLATEAU, REPLAY, SADDLE, order_cells, orders, table
-from basinflow.plans.strings import CANONICAL, rna_canonical_moves
+from basinflow.plans.strings import CANONICAL, canonical_moves
 
 QUERIES, SQL = {}, {}
 
@@ -101,9 +101,15 @@ m AS (SELECT a.landscape_id, a.number AS source, b.number AS target, len(a.pairs
 SELECT landscape_id, source, target, cast(distance AS int) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY landscape_id, source ORDER BY distance, target) AS j FROM m) WHERE j = 1"""
 
 
+def brand_structures(spark, sf_dir):
+    """Structures of the parts of each brand, of even and of odd size. Brands go along with the parts: a join after
+    the moves would broadcast the part table, whose files are small for its rows, through the driver."""
+    return canonical_moves(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias(ID), (F.col("p_size") % 2 == 0).alias("even")))
+
+
 def nearest_structures(spark, sf_dir):
     """For the structures of each brand's parts of even size, the nearest ones of its parts of odd size."""
-    found = rna_canonical_moves(spark, sf_dir).select("p_partkey", "structure").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias(ID), (F.col("p_size") % 2 == 0).alias("even")), "p_partkey")
+    found = brand_structures(spark, sf_dir)
     rows = rank_within(found.select(ID, "even", "structure").distinct(), [ID, "even"], ["structure"], "number")
     return post.nearest_structures(rows.where("even").select(ID, F.col("number").alias("source"), "structure"), rows.where("not even").select(ID, F.col("number").alias("target"), F.col("structure").alias("other")))
 

@@ -159,6 +159,18 @@ def test_small_tables_are_spread(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_parts_are_not_broadcast(spark):
+    """The moves of the parts of each brand join nothing, so no table of parts passes through the driver, and they are
+    the moves of all parts."""
+    from basinflow.plans.ways import brand_structures
+
+    found = brand_structures(spark, "/root/testdata/sf0.001")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    every = registry.QUERIES["rna_canonical_moves"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["p_partkey", "landscape_id", "even", "sequence", "structure"] and found.count() == every.count() and found.join(every, ["p_partkey", "structure"], "left_anti").isEmpty()
+
+
 def test_pair_distance_of_many(spark):
     """Distances of random structures of many lengths, against sets of pairs; null has no pairs."""
     rng, texts = random.Random(5), [None, "", "()", "(..)*", "((.)"]
