@@ -63,15 +63,16 @@ def nearest_structures(queries: DataFrame, others: DataFrame) -> DataFrame:
     among the first d + 1 of both, so only those that meet there are compared, for d = 1, 2, 4, ...; of those
     that share nothing with a structure, the one with the fewest pairs is nearest. What is found within d is
     the nearest, and common pairs come into play for the last queries only. Structures of landscapes without
-    others have no row."""
+    others have no row. Rows that grow with the structures are joined by merging: a broadcast, which may be
+    chosen for what is small when compressed, would pass them through the driver."""
     of = lambda rows, key, text: rows.select(ID, F.col(key).alias("key"), base_pairs(F.col(text)).alias("pairs"))
     a, b = cut(of(queries, "source", "structure")), cut(of(others, "target", "other"))
     often = cut(b.select(ID, F.explode("pairs").alias("pair")).groupBy(ID, "pair").agg(F.count("*").alias("n")))
 
     def rare_first(rows: DataFrame) -> DataFrame:
-        each = rows.select(ID, "key", F.explode("pairs").alias("pair")).join(often, [ID, "pair"], "left")
+        each = rows.select(ID, "key", F.explode("pairs").alias("pair")).join(often.hint("merge"), [ID, "pair"], "left")
         order = each.groupBy(ID, "key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("s"))
-        return cut(rows.select(ID, "key").join(order, [ID, "key"], "left").select(ID, "key", F.coalesce(F.transform("s", lambda x: x["pair"]), F.array().cast("array<string>")).alias("pairs")))
+        return cut(rows.select(ID, "key").join(order.hint("merge"), [ID, "key"], "left").select(ID, "key", F.coalesce(F.transform("s", lambda x: x["pair"]), F.array().cast("array<string>")).alias("pairs")))
 
     a, b = rare_first(a), rare_first(b)
     least = b.groupBy(ID).agg(F.min(F.struct(F.size("pairs").alias("size"), "key")).alias("least"))
@@ -79,10 +80,10 @@ def nearest_structures(queries: DataFrame, others: DataFrame) -> DataFrame:
     out, d = [], 1
     while not rest.isEmpty():
         first = lambda c: F.explode(F.slice(c, 1, d + 1)).alias("pair")  # noqa: B023, E731
-        met = rest.select(ID, "source", first("own")).join(b.select(ID, F.col("key").alias("target"), first("pairs")), [ID, "pair"]).select(ID, "source", "target").distinct()
-        near = met.join(rest.select(ID, "source", "own"), [ID, "source"]).join(b.select(ID, F.col("key").alias("target"), F.col("pairs").alias("other")), [ID, "target"])
+        met = rest.select(ID, "source", first("own")).join(b.select(ID, F.col("key").alias("target"), first("pairs")).hint("merge"), [ID, "pair"]).select(ID, "source", "target").distinct()
+        near = met.join(rest.select(ID, "source", "own").hint("merge"), [ID, "source"]).join(b.select(ID, F.col("key").alias("target"), F.col("pairs").alias("other")).hint("merge"), [ID, "target"])
         found = near.groupBy(ID, "source").agg(F.min(F.struct((F.size("own") + F.size("other") - 2 * F.size(F.array_intersect("own", "other"))).alias("distance"), "target")).alias("_best"))
-        now = cut(rest.join(found, [ID, "source"], "left").withColumn("best", F.least("best", F.coalesce("_best", "best"))).drop("_best"))
+        now = cut(rest.join(found.hint("merge"), [ID, "source"], "left").withColumn("best", F.least("best", F.coalesce("_best", "best"))).drop("_best"))
         out.append(now.where(F.col("best.distance") <= d).select(ID, "source", F.col("best.target").alias("target"), F.col("best.distance").alias("distance")))
         rest, d = now.where(F.col("best.distance") > d), 2 * d
     return reduce(DataFrame.unionByName, out) if out else rest.select(ID, "source", F.col("best.target").alias("target"), F.col("best.distance").alias("distance"))
